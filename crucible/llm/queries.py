@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from crucible.llm.bpe import op10_two_tier_bpe
 from crucible.llm.exact_dedup import OP5_SQL, op5_content_sort_dedup
 from crucible.llm.mixing import op1_splitting_tree_mix
 from crucible.llm.sharding import op4_virtual_slots
 
 QUERIES = {
     "op1_splitting_tree_mix": op1_splitting_tree_mix,
+    "op10_two_tier_bpe": op10_two_tier_bpe,
     "op4_virtual_slots": op4_virtual_slots,
     "op5_content_sort_dedup": op5_content_sort_dedup,
 }
