@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from crucible.llm.bpe import op10_two_tier_bpe
 from crucible.llm.exact_dedup import OP5_SQL, op5_content_sort_dedup
+from crucible.llm.hmm import op3_hidden_markov
 from crucible.llm.mixing import op1_splitting_tree_mix
 from crucible.llm.sharding import op4_virtual_slots
 from crucible.llm.simhash import op8_anchor_simhash
@@ -11,6 +12,7 @@ from crucible.llm.simhash import op8_anchor_simhash
 QUERIES = {
     "op1_splitting_tree_mix": op1_splitting_tree_mix,
     "op10_two_tier_bpe": op10_two_tier_bpe,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_virtual_slots": op4_virtual_slots,
     "op8_anchor_simhash": op8_anchor_simhash,
     "op5_content_sort_dedup": op5_content_sort_dedup,
