@@ -8,12 +8,14 @@ from crucible.llm.hmm import op3_hidden_markov
 from crucible.llm.mixing import op1_splitting_tree_mix
 from crucible.llm.sharding import op4_virtual_slots
 from crucible.llm.simhash import op8_anchor_simhash
+from crucible.llm.suffix_dedup import op7_difference_cover
 
 QUERIES = {
     "op1_splitting_tree_mix": op1_splitting_tree_mix,
     "op10_two_tier_bpe": op10_two_tier_bpe,
     "op3_hidden_markov": op3_hidden_markov,
     "op4_virtual_slots": op4_virtual_slots,
+    "op7_difference_cover": op7_difference_cover,
     "op8_anchor_simhash": op8_anchor_simhash,
     "op5_content_sort_dedup": op5_content_sort_dedup,
 }
