@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from crucible.llm.ann import op9_pruned_graph
 from crucible.llm.bpe import op10_two_tier_bpe
 from crucible.llm.exact_dedup import OP5_SQL, op5_content_sort_dedup
 from crucible.llm.hmm import op3_hidden_markov
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_hidden_markov": op3_hidden_markov,
     "op4_virtual_slots": op4_virtual_slots,
     "op7_difference_cover": op7_difference_cover,
+    "op9_pruned_graph": op9_pruned_graph,
     "op8_anchor_simhash": op8_anchor_simhash,
     "op5_content_sort_dedup": op5_content_sort_dedup,
 }
