@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from crucible.llm.ann import op9_pruned_graph
 from crucible.llm.bpe import op10_two_tier_bpe
+from crucible.llm.edit_counts import op2_edit_counts
 from crucible.llm.exact_dedup import OP5_SQL, op5_content_sort_dedup
 from crucible.llm.hmm import op3_hidden_markov
 from crucible.llm.mixing import op1_splitting_tree_mix
 from crucible.llm.sharding import op4_virtual_slots
 from crucible.llm.simhash import op8_anchor_simhash
 from crucible.llm.suffix_dedup import op7_difference_cover
+from crucible.llm.toxicity import op6_classifier_chain
 
 QUERIES = {
     "op1_splitting_tree_mix": op1_splitting_tree_mix,
     "op10_two_tier_bpe": op10_two_tier_bpe,
+    "op2_edit_counts": op2_edit_counts,
     "op3_hidden_markov": op3_hidden_markov,
     "op4_virtual_slots": op4_virtual_slots,
+    "op6_classifier_chain": op6_classifier_chain,
     "op7_difference_cover": op7_difference_cover,
     "op9_pruned_graph": op9_pruned_graph,
     "op8_anchor_simhash": op8_anchor_simhash,
