@@ -19,8 +19,8 @@ from crucible.llm.common import ascii_lower, stage, table
 PREFIX_CHARS = 32
 
 
-def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", salts: int = 64) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", salts: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, and the columns of `carry` (small ones: they travel along).
 
     Null texts count as empty, and all empty texts form one group. Null
     identifiers lose to any other; where a group has no other, keep_id is null
@@ -31,9 +31,10 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep must be 'largest' or 'smallest', not {keep!r}")
     best, order = (F.max, F.col("_id").desc_nulls_last()) if keep == "largest" else (F.min, F.col("_id").asc_nulls_last())
-    norm = docs.select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"))
+    carried = [f"_c{i}" for i in range(len(carry))]
+    norm = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)), F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"))
     keyed = norm.select(
-        "_id", "_norm",
+        *carried, "_id", "_norm",
         F.substring("_norm", 1, PREFIX_CHARS).alias("_prefix"),
         F.sha2("_norm", 256).alias("_sha"),
         F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"),
@@ -41,7 +42,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranged = keyed.repartitionByRange("_prefix", "_sha", "_salt")
     same = Window.partitionBy("_prefix", "_sha", "_salt", "_norm")
     parts = ranged.select(
-        "_id", "_sha", "_salt",
+        *carried, "_id", "_sha", "_salt",
         F.row_number().over(same.orderBy(order)).alias("_rank"),
         best("_id").over(same).alias("_best"),
         F.count(F.lit(1)).over(same).alias("_n"),
@@ -59,7 +60,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return parts.join(groups, ["_sha", "_salt"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size",
         (F.col("_wins") & (F.col("_rank") == 1)).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        F.col("_sha").alias("text_sha256"), *(F.col(n).alias(c) for c, n in zip(carry, carried, strict=True)),
     )
 
 

@@ -11,6 +11,7 @@ ranges of every source's permuted blocks, and its rows are shuffled locally.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,3 +155,36 @@ def op1_splitting_tree_mix(spark, sf_dir):
     rows = mix_sources(table(spark, sf_dir, "documents")).rows
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", F.size("spans").alias("n_spans"))
+
+
+def cut_words(text: str, upto: int) -> str:
+    """The text up to the end of its first so many words."""
+    end = 0
+    for _, m in zip(range(upto), re.finditer(WORD, text), strict=False):
+        end = m.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """Rows of docs as the mix takes them: one for each pass that takes words of a document, with all its columns.
+
+    A document in which a source's quota ends gives its first words; `n_chars`,
+    if there is such a column, follows its text. Documents without words, of
+    which the mix takes nothing, and those beyond the quotas give no row.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    mixed = mix_sources(rows, carry=("_row",), **params).rows
+    one = lambda taken: F.struct(F.col(taken).alias("taken"))
+    turns = mixed.filter("first > 0").select("_row", "size", F.explode(F.filter(F.array(one("first"), one("second")), lambda x: x["taken"] > 0)).alias("x")).select("_row", "size", "x.taken")
+    out = rows.join(turns, "_row")
+    whole, part = out.filter("taken = size").select(*docs.columns), out.filter("taken < size")
+    schema = out.schema
+
+    def cut(frames):
+        for f in frames:
+            f["text"] = [cut_words(t, int(n)) for t, n in zip(f.text, f.taken, strict=True)]
+            if "n_chars" in f:
+                f["n_chars"] = f.text.str.len().astype("int64")
+            yield f
+
+    return whole.unionByName(part.mapInPandas(cut, schema).select(*docs.columns))

@@ -166,6 +166,152 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select(id_col, "fp", "component_id")
 
 
+#: Fingerprints of a text for near_copies, and the bits in which one may differ.
+WIDE, WIDE_THRESHOLD = 4, 10
+#: At an anchor with more fingerprints, only those whose own anchor it is look for their nearest.
+CROWD = 64
+
+
+def wide_fingerprint(text: str | None, shingle: int = 3) -> list[int]:
+    """WIDE fingerprints as signed longs: the first as fingerprint() has it, the others of the same hashes after a multiplication."""
+    words = ascii_lower_words(text)
+    if not words:
+        return [0] * WIDE
+    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [b" ".join(words)]
+    h, n, counts = xxhash.xxh64_intdigest, len(grams), np.zeros((WIDE, 64), dtype=np.int64)
+    for k in range(0, n, 8192):
+        x = np.fromiter((h(g, 42) for g in grams[k : k + 8192]), dtype=np.uint64)
+        for i in range(WIDE):
+            with np.errstate(over="ignore"):
+                y = x if i == 0 else (x ^ (x >> np.uint64(29 + i))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+            y = y if i == 0 else y ^ (y >> np.uint64(32))
+            counts[i] += np.unpackbits(y.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64).tolist()
+
+
+def nearest_at(fps: np.ndarray, asking: np.ndarray, most: int = 2048) -> list[tuple[int, int]]:
+    """For each asking place: its two nearest others within WIDE_THRESHOLD bits, as places (asking, other).
+
+    More than `most` fingerprints are divided by the upper bytes of one, then of the other half, and each part looks for itself; a spanning
+    forest of the whole links the parts.
+    """
+    if len(fps) > most:
+        out = []
+        for i in range(8):
+            part = (fps >> (8 * i)) & 255
+            for v in np.unique(part).tolist():
+                own = np.flatnonzero(part == v)
+                if 1 < len(own) <= most:
+                    out += [(int(own[a]), int(own[b])) for a, b in nearest_at(fps[own], asking[own], most)]
+        distinct, place = np.unique(fps, return_index=True)
+        at = dict(zip(distinct.tolist(), place.tolist(), strict=True))
+        return out + [(at[a], at[b]) for a, b in spanning_links(distinct, WIDE_THRESHOLD)]
+    out, who = [], np.flatnonzero(asking)
+    for k in range(0, len(who), 256):
+        mine = who[k : k + 256]
+        d = np.bitwise_count((fps[mine][:, None] ^ fps[None, :]).view(np.uint64)).astype(np.int16)
+        d[np.arange(len(mine)), mine] = 99
+        for _ in range(2):
+            j = d.argmin(axis=1)
+            ok = d[np.arange(len(mine)), j] <= WIDE_THRESHOLD
+            out += zip(mine[ok].tolist(), j[ok].tolist(), strict=True)
+            d[np.arange(len(mine)), j] = 99
+    return out
+
+
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, label) for rows that have a near copy: label is the smallest row of the group.
+
+    Candidates share an anchor in a half of one of WIDE fingerprints; at an
+    anchor each fingerprint proposes its two nearest. The exact check follows: a
+    link stands if the sets of `shingle` words have a Jaccard similarity of at
+    least `similarity`. Rows with all fingerprints equal are one node. row_col
+    must be a unique long. Null and empty texts are one node; a text shorter
+    than a shingle is one shingle.
+    """
+
+    def prints(batches):
+        for batch in batches:
+            got = np.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[:, i].copy()) for i in range(WIDE))], names=["row", *(f"f{i}" for i in range(WIDE))])
+
+    lanes = [f"f{i}" for i in range(WIDE)]
+    base = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("_text"))
+    rows = stage(base.mapInArrow(prints, "row long, " + ", ".join(f"{f} long" for f in lanes)), "copies")
+    nodes = stage(rows.groupBy(*lanes).agg(F.min("row").alias("node")), "copies-nodes")
+
+    def replicate(batches):
+        for batch in batches:
+            node = batch.column(WIDE).to_numpy(zero_copy_only=False)
+            for i in range(WIDE):
+                fp = batch.column(i).to_numpy(zero_copy_only=False)
+                for half in (0, 1):
+                    word = (fp >> (32 * half)) & 0x7FFFFFFF
+                    at, anchor = anchors(word)
+                    home = np.arange(len(at)) < len(word)  # anchors() gives the own ones first
+                    key = anchor * (4 * WIDE) + 2 * (2 * i + half) + home
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node[at], pa.int64()), pa.array(fp[at], pa.int64())], names=["key", "node", "f"])
+
+    def propose(batches):
+        """Rows come sorted by anchor: whole anchors, cut where it changes."""
+        tail = None
+        for batch in batches:
+            t = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            tail = t if tail is None else np.concatenate([tail, t], axis=1)
+            change = np.flatnonzero(np.diff(tail[0] >> 1) != 0) + 1
+            if len(change):
+                yield proposals(tail[:, : change[-1]], change[:-1])
+                tail = tail[:, change[-1] :]
+        if tail is not None:
+            yield proposals(tail, np.empty(0, dtype=np.int64))
+
+    def proposals(t, cuts):
+        begin = np.concatenate([[0], cuts, [t.shape[1]]]).astype(np.int64)
+        size, out = np.diff(begin), []
+        two = begin[:-1][size == 2]
+        near = two[np.bitwise_count((t[2][two] ^ t[2][two + 1]).view(np.uint64)) <= WIDE_THRESHOLD] if len(two) else two
+        out += zip(t[1][near].tolist(), t[1][near + 1].tolist(), strict=True)
+        for k in np.flatnonzero(size > 2).tolist():
+            key, node, f = t[:, begin[k] : begin[k + 1]]
+            asking = (key & 1) > 0 if len(key) > CROWD else np.ones(len(key), dtype=bool)
+            out += [(int(node[a]), int(node[b])) for a, b in nearest_at(f, asking)]
+        out = sorted({(min(a, b), max(a, b)) for a, b in out if a != b})
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
+
+    placed = nodes.select(*lanes, "node").mapInArrow(replicate, "key long, node long, f long")
+    dealt = placed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    pairs = stage(dealt.mapInArrow(propose, "src long, dst long").distinct(), "copies-pairs")
+
+    def shingles(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = ascii_lower_words(text)
+                grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)}
+                out.append(np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["row", "s"])
+
+    asked = pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct()
+    sets = stage(base.join(asked, "row", "left_semi").mapInArrow(shingles, "row long, s binary"), "copies-sets")
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("row").alias("src"), F.col("s").alias("a")), sets.select(F.col("row").alias("dst"), F.col("s").alias("b"))
+    links = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
+    labels = connected_components(links)
+    # Rows of one node belong together, linked or not.
+    of_node = nodes.join(labels, "node", "left").select(*lanes, F.coalesce("label", "node").alias("label"))
+    member = rows.join(of_node, lanes).select("row", "label")
+    return member
+
+
 def op8_anchor_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
