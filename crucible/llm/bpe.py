@@ -13,10 +13,10 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from crucible.llm.common import table
 
-#: Pre-tokens kept between batches by one worker; beyond it the table starts anew.
-KEPT = 200_000
+#: Pre-tokens in a generation of those that a worker keeps between batches.
+KEPT = 250_000
 #: Longer pre-tokens are not kept.
 KEPT_BYTES = 64
 
@@ -105,8 +105,12 @@ class TwoTierBpe:
         self.id_at = np.zeros(self.mph.n, dtype=np.int64)
         for w, p in zip(words, place.tolist(), strict=True):
             self.word_at[p], self.id_at[p] = w, ranks[w]
-        self.bytes_of = {i: w for w, i in ranks.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.packed_at = [np.int32(i).tobytes() for i in self.id_at.tolist()]
+        of = {i: w for w, i in ranks.items()}
+        self.bytes_table = Strings([of.get(i, b"") for i in range(max(of, default=-1) + 1)])
+        self.decimal_table = Strings([b"%d," % i for i in range(max(of, default=-1) + 1)])
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> TwoTierBpe:
@@ -135,33 +139,71 @@ class TwoTierBpe:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
         return tuple(ranks[p] for p in part if p)
 
-    def resolve(self, pre_tokens: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of distinct pre-tokens."""
+    def resolve(self, pre_tokens: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pre-tokens, as 4 bytes each."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pre_tokens]
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
         if raw:
             places = self.mph(raw).tolist()
+            pack, word_at, id_at, merge = np.int32, self.word_at, self.packed_at, self.merge
             for p, w, at in zip(pre_tokens, raw, places, strict=True):
-                out[p] = (int(self.id_at[at]),) if self.word_at[at] == w else self.merge(w)
+                out[p] = id_at[at] if word_at[at] == w else np.array(merge(w), dtype=pack).tobytes()
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text. The pre-tokens that are new to the worker are resolved together."""
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. The pre-tokens that are new to the worker are resolved together.
+
+        What was resolved is kept in two generations: when the young one is
+        full it becomes the old one, from which pre-tokens that occur again return.
+        """
         split = [self.pattern.findall(text or "") for text in texts]
         distinct = set().union(*split)
-        kept = self.kept
-        if len(kept) > KEPT:
-            kept = self.kept = {}
-        kept.update(self.resolve([p for p in distinct if p not in kept]))
-        out = [list(chain.from_iterable(map(kept.__getitem__, pre))) for pre in split]
-        for p in distinct:
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
+        missing = [p for p in distinct if p not in kept]
+        kept.update([(p, old[p]) for p in missing if p in old])
+        kept.update(self.resolve([p for p in missing if p not in old]))
+        look, join = kept.__getitem__, b"".join
+        out = [np.frombuffer(join(map(look, pre)), dtype=np.int32) for pre in split]
+        for p in missing:
+            if len(p) > KEPT_BYTES:
+                del kept[p]
+        return out
+
+    def count(self, pre_tokens: list[str]) -> list[int]:
+        """The number of ids of each pre-token."""
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
+        missing = {p for p in pre_tokens if p not in kept}
+        kept.update([(p, old[p]) for p in missing if p in old])
+        kept.update(self.resolve([p for p in missing if p not in old]))
+        out = [len(kept[p]) >> 2 for p in pre_tokens]
+        for p in missing:
             if len(p) > KEPT_BYTES:
                 del kept[p]
         return out
 
     def decode(self, ids) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        return bytes(self.bytes_table(np.asarray(ids, dtype=np.int64))[0])
+
+
+class Strings:
+    """Byte strings by number, laid end to end: a call joins those of many numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        self.all = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def __call__(self, numbers: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The joined bytes, and where each string ends in them."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[numbers] - (ends - size), size)
+        at += np.arange(len(at))
+        return memoryview(self.all[at]), ends
 
 
 @lru_cache(maxsize=4)
@@ -182,6 +224,11 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[str, str]:
 ROWS = 256
 
 
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, dtype=np.int32)])))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with the ids of each whole text as `ids_col` (array of int), which replaces a column of that name.
 
@@ -202,7 +249,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             for k in range(0, big.num_rows, ROWS):
                 batch = big.slice(k, ROWS)
                 ids = bpe.encode_batch(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, ids_col])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), lists(ids)], names=[*kept, ids_col])
 
     return docs.mapInArrow(encode, schema)
 
@@ -214,6 +261,12 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
     kept = [c for c in encoded.columns if c not in [m[0] for m in made] and not (digest and c == ids_col)]
     at, order = encoded.columns.index(ids_col), [encoded.columns.index(c) for c in kept]
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(*m) for m in made])
+
+    def pieces(strings, flat, last):
+        joined, ends = strings(flat)
+        at = np.concatenate([[0], ends])[last].tolist()
+        return joined, list(zip(at, at[1:], strict=False))
+
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     def decode(batches):
@@ -221,12 +274,20 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
         for big in batches:
             for k in range(0, big.num_rows, ROWS):
                 batch = big.slice(k, ROWS)
-                ids = [x or [] for x in batch.column(at).to_pylist()]
-                raw = [bpe.decode(x) for x in ids]
+                column = batch.column(at)
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                last = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                raw, cuts = pieces(bpe.bytes_table, flat, last)
                 if digest:
-                    new = [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join(map(str, x)).encode()) for x in ids], pa.string()), pa.array([sha(x) for x in raw], pa.string())]
+                    text, commas = pieces(bpe.decimal_table, flat, last)
+                    new = [
+                        pa.array(size, pa.int64()),
+                        pa.array([sha(text[a : max(a, b - 1)]) for a, b in commas], pa.string()),  # without the last comma
+                        pa.array([sha(raw[a:b]) for a, b in cuts], pa.string()),
+                    ]
                 else:
-                    new = [pa.array(raw, pa.binary())]
+                    new = [pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), *new], names=[*kept, *(m[0] for m in made)])
 
     return encoded.mapInArrow(decode, schema)
