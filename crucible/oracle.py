@@ -249,5 +249,10 @@ UNION ALL SELECT 'three_variants', CAST(0 AS BIGINT)
 UNION ALL SELECT 'line_has_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'all_finished', count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') FROM orders""",
     "embedding_wide": "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS embedding_{i}" for i in range(8)) + " FROM embeddings",
+    "direction_counts": f"""WITH {MEMBERS}, r AS (SELECT DISTINCT record_id FROM members WHERE record_id IN (SELECT o_orderkey FROM orders)),
+c AS (SELECT CASE WHEN record_id % 5 = 0 OR record_id % 6 = 0 THEN 'reversible' WHEN record_id % 2 = 0 THEN 'left_to_right' WHEN record_id % 3 = 0 THEN 'right_to_left' ELSE 'undefined' END AS direction FROM r)
+SELECT v.direction, count(c.direction) AS n FROM (VALUES ('left_to_right'), ('right_to_left'), ('reversible'), ('undefined')) v(direction) LEFT JOIN c ON c.direction = v.direction GROUP BY 1""",
+    "cosine_histogram": f"""WITH {TOP1}, b AS (SELECT CAST(least(greatest(floor((cosine + 1.0) / 0.05), 0), 39) AS BIGINT) AS bin FROM top1)
+SELECT bin, -1.0 + bin * CAST(0.05 AS DOUBLE) AS low, -1.0 + (bin + 1) * CAST(0.05 AS DOUBLE) AS high, count(*) AS n FROM b GROUP BY 1""",
     "one_hot": "SELECT vec_id, CASE label WHEN 0 THEN '1000' WHEN 1 THEN '0100' WHEN 2 THEN '0010' ELSE '0001' END AS hot FROM embeddings",
 }

@@ -13,6 +13,9 @@ from crucible.operators import records as R
 from crucible.operators import segments as S
 from crucible.operators import similarity as T
 from crucible.operators import validate as V
+from crucible.operators.encoder import Config, encode_molecules, encode_records, example_of, new_weights, trace_records
+from crucible.plans import analyse as A
+from crucible.sources.sinks import checksum, histogram
 
 #: Stand-ins for direction codes; other event types have none.
 EVENT_CODES = {"click": "left_to_right", "view": "right_to_left", "purchase": "reversible", "signup": "undefined"}
@@ -392,6 +395,75 @@ def one_hot(spark, d):
     return vectors(spark, d).select("vec_id", F.array_join(F.transform(C.one_hot(F.col("label"), [0, 1, 2]), lambda x: x.cast("int").cast("string")), "").alias("hot"))
 
 
+#: Structures that stand for part types; the names of types are no SMILES.
+STRUCTURES = {"ECONOMY": "CCO", "STANDARD": "CC=O", "SMALL": "O", "MEDIUM": "CC(=O)O", "LARGE": "c1ccccc1O", "PROMO": "[NH4+]"}
+ENCODER = Config(dim=32, steps=2, readout="attention_sum", dropout=0.0)
+
+
+def corpus(spark, d) -> DataFrame:
+    """Orders as records that the encoder takes."""
+    parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.lit(None).cast("string"))
+    nested = R.nested(parts, ["side_order", "compound_id", "canonical", "coefficient", "side", "cofactor", "status"])
+    supported = F.filter(F.array(*(F.when(F.col("record_id") % m == 0, F.lit(x)) for m, x in ((2, "left_to_right"), (3, "right_to_left"), (5, "reversible")))), lambda x: x.isNotNull())
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_orderpriority").alias("labels"))
+    return nested.join(orders, "record_id").withColumn("supported_directions", supported)
+
+
+def encode_reactions(spark, d):
+    v = encode_records(A.model_rows(corpus(spark, d)), ENCODER, new_weights(ENCODER))
+    return v.select("record_id", F.size("embedding").alias("dim"), F.round(C.norm(F.col("embedding").cast("array<double>")), 4).alias("norm"))
+
+
+def record_signatures(spark, d):
+    rows = A.model_rows(corpus(spark, d))
+    return rows.select("record_id", "direction", *(c.alias(n) for n, c in A.signatures(F.col("participants"), F.col("direction"), F.col("labels")).items()))
+
+
+def duplicate_vector_diagnosis(spark, d):
+    rows = corpus(spark, d)
+    vectors = encode_records(A.model_rows(rows), ENCODER, new_weights(ENCODER))
+    several = Q.shared_identities(rows.select(F.explode("participants").alias("p")).select("p.*"), "canonical", "compound_id")
+    return A.diagnose(vectors, rows, several)[2]
+
+
+def molecule_collisions(spark, d):
+    texts = spark.createDataFrame([(x,) for x in STRUCTURES.values()], "smiles string")
+    v = encode_molecules(texts, "smiles", ENCODER, new_weights(ENCODER))
+    return Q.duplicate_excess(v, "vector", numeric=False)
+
+
+def fusion_trace(spark, d):
+    rows = A.model_rows(corpus(spark, d)).filter("direction <> 'reversible'")
+    sig = rows.select("record_id", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group"))
+    groups = sig.join(sig.groupBy("group").count().filter("count > 1").select("group"), "group")
+    stages = trace_records(rows, ENCODER, new_weights(ENCODER)).join(groups, "record_id")
+    names = ["fusion_input", "linear1", "relu", "linear2", "layernorm"]
+    return Q.stage_uniqueness(stages, "group", names).groupBy("first_collapsed").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def input_audit(spark, d):
+    return A.audit(corpus(spark, d), ENCODER, new_weights(ENCODER))
+
+
+def direction_counts(spark, d):
+    return A.direction_counts(corpus(spark, d))
+
+
+def invariance_checks(spark, d):
+    """On the first eight records in order, as the check is defined."""
+    rows = [example_of(r) for r in A.model_rows(corpus(spark, d)).orderBy("record_id").limit(8).collect()]
+    return spark.createDataFrame([A.invariance(rows, ENCODER, new_weights(ENCODER))])
+
+
+def rows_checksum(spark, d):
+    names = ("orders", "part", "customer", "supplier")
+    return spark.createDataFrame([(n, checksum(table(spark, d, n))) for n in names], "name string, checksum string")
+
+
+def cosine_histogram(spark, d):
+    return histogram(neighbours(spark, d, 1), "cosine", -1.0, 1.0, 40)
+
+
 QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
     dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, index_values, index_xrefs,
@@ -399,5 +471,6 @@ QUERIES = {f.__name__: f for f in (
     neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, vector_duplicates, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
-    constraint_suite, embedding_wide, one_hot,
+    constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,
+    input_audit, direction_counts, invariance_checks, rows_checksum, cosine_histogram,
 )}
