@@ -104,13 +104,12 @@ def robust_prune(vectors: np.ndarray, points: np.ndarray, candidates: np.ndarray
 
 
 def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUILD, alpha: float = ALPHA, seed: int = 42):
-    """(edges, entry): edges[i] are the neighbours of node i; len(vectors) stands for none."""
+    """(edges, entry): edges[i] are the neighbours of node i; len(vectors) stands for none. Every node can be reached from the entry."""
     n = len(vectors)
     edges = np.full((n, degree), n, dtype=np.int64)
     entry = int(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]]) if n else order
-    done, step = 1, 1
     for relax in (alpha,):
         done = 1
         while done < n:
@@ -136,14 +135,53 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM_BUIL
             room = (own == n).sum(axis=1) >= count
             for i in np.flatnonzero(room).tolist():
                 t = targets[i]
-                free = np.flatnonzero(edges[t] == n)[: count[i]]
-                edges[t, free] = extra[i, : count[i]]
+                fresh = np.setdiff1d(extra[i, : count[i]], own[i])  # nodes of one batch may have chosen each other
+                free = np.flatnonzero(edges[t] == n)[: len(fresh)]
+                edges[t, free] = fresh
             full = np.flatnonzero(~room)
             if len(full):
                 kept = robust_prune(vectors, targets[full], np.concatenate([np.where(own[full] == n, -1, own[full]), extra[full]], axis=1), degree, relax)
                 edges[targets[full]] = np.where(kept >= 0, kept, n)
             done += step
-    return edges, entry
+    return reachable(vectors, edges, entry, beam), entry
+
+
+def reached(edges: np.ndarray, entry: int) -> np.ndarray:
+    """Which nodes a walk from the entry can come to."""
+    n = len(edges)
+    seen = np.zeros(n + 1, dtype=bool)
+    seen[[entry, n]] = True
+    wave = np.array([entry])
+    while len(wave):
+        wave = np.unique(edges[wave])
+        wave = wave[~seen[wave]]
+        seen[wave] = True
+    return seen[:n]
+
+
+def reachable(vectors: np.ndarray, edges: np.ndarray, entry: int, beam: int) -> np.ndarray:
+    """The edges with some more, so that every node can be reached: pruning may have taken a node's last edge from elsewhere.
+
+    Each lost node gets an edge from a near node that can be reached, the one
+    with the fewest such edges of those that its search finds.
+    """
+    n, degree = len(vectors), edges.shape[1]
+    if not n:
+        return edges
+    more: dict[int, list[int]] = {}
+    while True:
+        lost = np.flatnonzero(~reached(edges, entry))
+        if not len(lost):
+            return edges
+        found, _ = beam_search(vectors, edges, entry, vectors[lost], min(beam, 16))
+        for x, near in zip(lost.tolist(), found.tolist(), strict=True):
+            host = min((h for h in near if h >= 0), key=lambda h: len(more.get(h, ())))
+            more.setdefault(host, []).append(x)
+        wide = max(map(len, more.values()))
+        extra = np.full((n, wide), n, dtype=np.int64)
+        for h, some in more.items():
+            extra[h, : len(some)] = some
+        edges = np.concatenate([edges[:, :degree], extra], axis=1)
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -194,9 +232,9 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int,
         ids, out = graph.ids.to_numpy(), []
         for i, own in enumerate(asked._id.to_numpy()):
             nodes = found[i][found[i] >= 0]
-            score = np.einsum("ij,j->i", vectors[nodes], q[i])
+            # Each row is summed by itself in one order, so equal vectors have equal scores in all shards.
+            score = (vectors[nodes] * q[i]).sum(axis=1)
             got: list[tuple[float, int]] = []
-            # An equal score can come from another node too: a few more than k, then sort.
             for node, s in zip(nodes.tolist(), score.tolist(), strict=True):
                 got += [(-s, int(x)) for x in ids[node][: k + 1] if x != own][:k]
             got.sort()
