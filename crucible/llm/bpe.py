@@ -171,20 +171,6 @@ class TwoTierBpe:
                 del kept[p]
         return out
 
-    def count(self, pre_tokens: list[str]) -> list[int]:
-        """The number of ids of each pre-token."""
-        if len(self.kept) > KEPT:
-            self.old, self.kept = self.kept, {}
-        kept, old = self.kept, self.old
-        missing = {p for p in pre_tokens if p not in kept}
-        kept.update([(p, old[p]) for p in missing if p in old])
-        kept.update(self.resolve([p for p in missing if p not in old]))
-        out = [len(kept[p]) >> 2 for p in pre_tokens]
-        for p in missing:
-            if len(p) > KEPT_BYTES:
-                del kept[p]
-        return out
-
     def decode(self, ids) -> bytes:
         return bytes(self.bytes_table(np.asarray(ids, dtype=np.int64))[0])
 

@@ -11,6 +11,9 @@ changed leaves' paths are updated.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from operator import add
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from crucible.llm.bpe import TwoTierBpe, _vocabulary, load
 from crucible.llm.common import table
 
+#: Pre-tokens in a generation of those whose counts a worker keeps.
+KEPT = 400_000
 #: Pre-tokens in a leaf when a tree is built; a leaf with FULL times as many makes the tree be built again.
 LEAF, FULL = 32, 8
 #: Characters that a match can look at from its start without taking them, as in 're.
@@ -26,26 +31,53 @@ REACH = 3
 AHEAD = 64
 
 
-class CountTree:
-    """Sums over leaves in a heap-shaped tree: node i has children 2i and 2i + 1."""
+class Counts:
+    """Token counts of pre-tokens, kept in two generations."""
+
+    def __init__(self, bpe: TwoTierBpe):
+        self.bpe, self.kept, self.old = bpe, {}, {}
 
-    def __init__(self, bpe: TwoTierBpe, text: str):
-        self.bpe, self.reencoded = bpe, 0
-        self._build(self._counted(bpe.pattern.findall(text)))
+    def prepare(self, distinct: set[str]) -> None:
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
+        missing = distinct.difference(self.kept)
+        if missing:
+            old = self.old
+            self.kept.update([(p, old[p]) for p in missing if p in old])
+            self.kept.update([(p, len(ids) >> 2) for p, ids in self.bpe.resolve([p for p in missing if p not in old]).items()])
 
-    def _counted(self, pre: list[str]) -> list[tuple[str, int]]:
-        n = self.bpe.count(pre)
-        self.reencoded += len(pre)
-        return list(zip(pre, n, strict=True))
+    def of(self, pre: list[str]) -> list[int]:
+        return list(map(self.kept.__getitem__, pre))
+
+
+class CountTree:
+    """Sums over leaves in a heap-shaped tree: node i has children 2i and 2i + 1. A leaf is a list of pre-tokens and a list of their counts."""
 
-    def _build(self, pre: list[tuple[str, int]]) -> None:
-        self.leaves = [pre[i : i + LEAF] for i in range(0, len(pre), LEAF)] or [[]]
+    def __init__(self, counts: Counts, text: str, pre: list[str] | None = None):
+        self.counts, self.find, self.reencoded = counts, counts.bpe.pattern.findall, 0
+        if pre is None:
+            pre = self.find(text)
+            counts.prepare(set(pre))
+        self.reencoded = len(pre)
+        self._build(pre, counts.of(pre))
+
+    def _build(self, pre: list[str], n: list[int]) -> None:
+        self.leaves = [(pre[i : i + LEAF], n[i : i + LEAF]) for i in range(0, len(pre), LEAF)] or [([], [])]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.base + i], self.tokens[self.base + i] = sum(len(p) for p, _ in leaf), sum(n for _, n in leaf)
-        for i in range(self.base - 1, 0, -1):
-            self._pull(i)
+        empty = [0] * (self.base - len(self.leaves))
+        self.chars = self._up([sum(map(len, p)) for p, _ in self.leaves] + empty)
+        self.tokens = self._up([sum(x) for _, x in self.leaves] + empty)
+
+    def _up(self, level: list[int]) -> list[int]:
+        """The tree over a row of leaf sums."""
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(add, level[::2], level[1::2]))
+            levels.append(level)
+        out = [0]
+        for x in reversed(levels):
+            out += x
+        return out
 
     def _pull(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -60,7 +92,7 @@ class CountTree:
 
     @property
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p, _ in leaf)
+        return "".join(["".join(p) for p, _ in self.leaves])
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf that holds the character at, and the character where the leaf begins; the last leaf for the end."""
@@ -79,11 +111,11 @@ class CountTree:
     def _boundary(self, at: int) -> tuple[int, int, int]:
         """The last boundary at or before a character: its leaf, its place there, its character."""
         leaf, pos = self._find(at)
-        for k, (p, _) in enumerate(self.leaves[leaf]):
+        for k, p in enumerate(self.leaves[leaf][0]):
             if pos + len(p) > at:
                 return leaf, k, pos
             pos += len(p)
-        return leaf, len(self.leaves[leaf]), pos
+        return leaf, len(self.leaves[leaf][0]), pos
 
     def edit(self, start: int, length: int, new: str) -> None:
         """Replace `length` characters from `start` by `new`; both are cut to the text."""
@@ -98,9 +130,9 @@ class CountTree:
             nonlocal pos, at
             i, j = at
             while pos < upto:
-                if j < len(self.leaves[i]):
-                    old.append(self.leaves[i][j])
-                    pos += len(old[-1][0])
+                if j < len(self.leaves[i][0]):
+                    old.append(self.leaves[i][0][j])
+                    pos += len(old[-1])
                     j += 1
                 elif i + 1 < len(self.leaves):
                     i, j = i + 1, 0
@@ -113,14 +145,14 @@ class CountTree:
         shift, ahead = len(new) - (end - start), AHEAD
         while True:
             going_on = more(end + ahead) and pos < self.n_chars
-            was = "".join(p for p, _ in old)
+            was = "".join(old)
             now = was[: start - begin] + new + was[end - begin :]
             bounds, p, fresh, meet = set(), begin, [], None
-            for x, _ in old:
+            for x in old:
                 p += len(x)
                 bounds.add(p)
             p = begin
-            for m in self.bpe.pattern.findall(now):
+            for m in self.find(now):
                 p += len(m)
                 if going_on and p + REACH + 1 > begin + len(now):
                     break  # what is not yet seen could change it
@@ -133,30 +165,32 @@ class CountTree:
             ahead *= 2
         if meet is None:
             meet = self.n_chars
-        self._splice(leaf, k, meet, self._counted(fresh))
+        self._splice(leaf, k, meet, fresh)
 
-    def _splice(self, leaf: int, k: int, upto: int, fresh: list[tuple[str, int]]) -> None:
+    def _splice(self, leaf: int, k: int, upto: int, fresh: list[str]) -> None:
         """Put fresh in place of the pre-tokens from place k of a leaf to the character upto."""
+        self.counts.prepare(set(fresh))
+        self.reencoded += len(fresh)
+        n = self.counts.of(fresh)
         last, begin = self._find(upto)
-        keep = 0
-        for keep, (p, _) in enumerate(self.leaves[last]):  # noqa: B007
-            if begin >= upto:
-                break
-            begin += len(p)
-        else:
-            keep = len(self.leaves[last])
-        rest = self.leaves[last][keep:]
+        keep, held = 0, self.leaves[last][0]
+        while keep < len(held) and begin < upto:
+            begin += len(held[keep])
+            keep += 1
+        rest = (held[keep:], self.leaves[last][1][keep:])
         if last < leaf:
-            last, rest = leaf, []
-        self.leaves[leaf] = self.leaves[leaf][:k] + fresh + (rest if last == leaf else [])
+            last, rest = leaf, ([], [])
+        p, c = self.leaves[leaf]
+        mine = rest if last == leaf else ([], [])
+        self.leaves[leaf] = (p[:k] + fresh + mine[0], c[:k] + n + mine[1])
         for i in range(leaf + 1, last + 1):
-            self.leaves[i] = rest if i == last else []
-        if max(len(self.leaves[leaf]), len(self.leaves[last])) > FULL * LEAF:
-            self._build([x for one in self.leaves for x in one])
+            self.leaves[i] = rest if i == last else ([], [])
+        if max(len(self.leaves[leaf][0]), len(self.leaves[last][0])) > FULL * LEAF:
+            self._build([x for one, _ in self.leaves for x in one], [x for _, one in self.leaves for x in one])
             return
         for i in range(leaf, last + 1):
             node = self.base + i
-            self.chars[node], self.tokens[node] = sum(len(p) for p, _ in self.leaves[i]), sum(n for _, n in self.leaves[i])
+            self.chars[node], self.tokens[node] = sum(map(len, self.leaves[i][0])), sum(self.leaves[i][1])
         lo, hi = (self.base + leaf) // 2, (self.base + last) // 2
         while lo:
             for i in range(lo, hi + 1):
@@ -164,11 +198,17 @@ class CountTree:
             lo, hi = lo // 2, hi // 2
 
 
+@lru_cache(maxsize=4)
+def counts_of(path: str, pattern: str) -> Counts:
+    """Once a worker."""
+    return Counts(load(path, pattern))
+
+
 EDITS = "array<struct<start:int,length:int,text:string>>"
 
 
-def count_with_edits(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """One row per input row: id, n_tokens, n_edits, n_tokens_edited, n_pre_tokens, n_reencoded, edited_text.
+def count_with_edits(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", with_text: bool = True) -> DataFrame:
+    """One row per input row: id, n_tokens, n_edits, n_tokens_edited, n_pre_tokens, n_reencoded, edited_text (null without with_text).
 
     `edits_col` lists edits (start, length, text) in characters, applied one
     after the other, each to what the earlier ones left; places beyond the text
@@ -180,16 +220,22 @@ def count_with_edits(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = _vocabulary(path, pattern)
 
     def work(batches):
-        bpe = load(path, pattern)
+        counts = counts_of(path, pattern)
+        find = counts.bpe.pattern.findall
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch, cols = big.slice(at, 256), [[] for _ in range(6)]
-                for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    tree = CountTree(bpe, text or "")
-                    before, pre, tree.reencoded = tree.n_tokens, tree.reencoded, 0
+                split = [find(t or "") for t in batch.column(1).to_pylist()]
+                counts.prepare(set().union(*split))
+                kept = counts.kept
+                for pre, edits in zip(split, batch.column(2).to_pylist(), strict=True):
+                    if counts.kept is not kept:  # a new generation began within the batch
+                        counts.prepare(set(pre))
+                    tree = CountTree(counts, "", pre)
+                    before, tree.reencoded = tree.n_tokens, 0
                     for e in edits or []:
                         tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
-                    for c, v in zip(cols, (before, len(edits or []), tree.n_tokens, pre, tree.reencoded, tree.text), strict=True):
+                    for c, v in zip(cols, (before, len(edits or []), tree.n_tokens, len(pre), tree.reencoded, tree.text if with_text else None), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string())], names=names)
 
@@ -207,4 +253,4 @@ def sample_edits(text):
 
 def op2_edit_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_with_edits(docs.withColumn("edits", sample_edits(F.col("text")))).drop("edited_text")
+    return count_with_edits(docs.withColumn("edits", sample_edits(F.col("text"))), with_text=False).drop("edited_text")
