@@ -48,6 +48,23 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, by: Column, most: int = 1024, salts: int = 32) -> DataFrame:
+    """rows joined with facts, which has a row for each key and in `size` the number of its rows.
+
+    Keys with more than 1/most of all rows, of which there are fewer than
+    `most`, are dealt out over several parts by a hash of `by`; their facts are
+    repeated for each part. `size` does not stay.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    hot = [r[0] for r in facts.filter(F.col(size) * most > total).filter(F.col(size) > 1).select(keys[0]).distinct().limit(most).collect()]
+    if not hot:
+        return rows.join(facts.drop(size), keys)
+    is_hot = F.col(keys[0]).isin(hot)
+    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    right = facts.drop(size).withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() has a fast path for plain ASCII; translate() serves the rest."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import ascii_lower_words, stage, table
+from crucible.llm.common import ascii_lower_words, spread_join, stage, table
 from crucible.llm.components import connected_components
 
 THRESHOLD = 3
@@ -155,15 +155,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns are not read; an empty table gives no rows.
     """
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = stage(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-nodes")
+    nodes = stage(rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     links = stage(link_fingerprints(nodes), "simhash-links")
     # label: the smallest fingerprint of the component, for linked ones only.
     labels = connected_components(links)
     linked = nodes.join(labels, nodes.fp == labels.node).select("fp", "first", "label")
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     moved = linked.join(smallest, "label").select("fp", "component_id")
-    of = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of, "fp").select(id_col, "fp", "component_id")
+    of = nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+    return spread_join(rows, of, ["fp"], "n", F.col(id_col)).select(id_col, "fp", "component_id")
 
 
 #: Fingerprints of a text for near_copies, and the bits in which one may differ.
@@ -238,7 +238,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
     lanes = [f"f{i}" for i in range(WIDE)]
     base = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("_text"))
     rows = stage(base.mapInArrow(prints, "row long, " + ", ".join(f"{f} long" for f in lanes)), "copies")
-    nodes = stage(rows.groupBy(*lanes).agg(F.min("row").alias("node")), "copies-nodes")
+    nodes = stage(rows.groupBy(*lanes).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "copies-nodes")
 
     def replicate(batches):
         for batch in batches:
@@ -307,9 +307,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
     links = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
     labels = connected_components(links)
     # Rows of one node belong together, linked or not.
-    of_node = nodes.join(labels, "node", "left").select(*lanes, F.coalesce("label", "node").alias("label"))
-    member = rows.join(of_node, lanes).select("row", "label")
-    return member
+    of_node = nodes.join(labels, "node", "left").select(*lanes, "n", F.coalesce("label", "node").alias("label"))
+    return spread_join(rows, of_node, lanes, "n", F.col("row")).select("row", "label")
 
 
 def op8_anchor_simhash(spark, sf_dir):
