@@ -252,6 +252,20 @@ UNION ALL SELECT 'all_finished', count(*) FILTER (o_orderstatus IS DISTINCT FROM
     "direction_counts": f"""WITH {MEMBERS}, r AS (SELECT DISTINCT record_id FROM members WHERE record_id IN (SELECT o_orderkey FROM orders)),
 c AS (SELECT CASE WHEN record_id % 5 = 0 OR record_id % 6 = 0 THEN 'reversible' WHEN record_id % 2 = 0 THEN 'left_to_right' WHEN record_id % 3 = 0 THEN 'right_to_left' ELSE 'undefined' END AS direction FROM r)
 SELECT v.direction, count(c.direction) AS n FROM (VALUES ('left_to_right'), ('right_to_left'), ('reversible'), ('undefined')) v(direction) LEFT JOIN c ON c.direction = v.direction GROUP BY 1""",
+    "record_signatures": f"""WITH {MEMBERS}, p AS (
+  SELECT record_id, side, CAST(count(*) * CASE WHEN side = 'reactant' THEN -1 ELSE 1 END AS DOUBLE) AS c,
+    CASE canonical WHEN 'ECONOMY' THEN 'CCO' WHEN 'STANDARD' THEN 'CC=O' WHEN 'SMALL' THEN 'O' WHEN 'MEDIUM' THEN 'CC(=O)O' WHEN 'LARGE' THEN 'c1ccccc1O' WHEN 'PROMO' THEN '[NH4+]' END AS s
+  FROM members WHERE record_id IN (SELECT o_orderkey FROM orders) GROUP BY record_id, side, compound_id, canonical),
+d AS (SELECT *, CASE WHEN record_id % 5 = 0 OR record_id % 6 = 0 THEN 'reversible' WHEN record_id % 2 = 0 THEN 'left_to_right' WHEN record_id % 3 = 0 THEN 'right_to_left' ELSE 'undefined' END AS direction FROM p),
+t AS (SELECT record_id, direction, CASE WHEN direction = 'right_to_left' THEN CASE side WHEN 'reactant' THEN 'product' ELSE 'reactant' END ELSE side END AS side, CASE WHEN direction = 'right_to_left' THEN -c ELSE c END AS c, s FROM d),
+l AS (
+  SELECT record_id, direction, list(struct_pack(side := side, c := c, s := s) ORDER BY side, c, s) AS there,
+    list(struct_pack(side := CASE side WHEN 'reactant' THEN 'product' ELSE 'reactant' END, c := -c, s := s) ORDER BY CASE side WHEN 'reactant' THEN 'product' ELSE 'reactant' END, -c, s) AS back FROM t GROUP BY 1, 2),
+k AS (SELECT record_id, direction, CASE WHEN direction = 'reversible' AND back < there THEN back ELSE there END AS core FROM l),
+j AS (
+  SELECT record_id, direction, '{{"direction":"' || direction || '","participants":[' || list_aggregate(list_transform(core, lambda x: '["' || x.side || '",' || CAST(x.c AS VARCHAR) || ',' || coalesce('"' || x.s || '"', 'null') || ',null]'), 'string_agg', ',') || ']' AS head,
+    '[' || list_aggregate(list_transform(core, lambda x: 'true'), 'string_agg', ',') || ']' AS missing FROM k)
+SELECT record_id, direction, sha256(head || '}}') AS structure, sha256(head || ',"cofactor_missing":' || missing || '}}') AS main, sha256(head || ',"labels":["' || o_orderpriority || '"]}}') AS legacy FROM j JOIN orders ON o_orderkey = record_id""",
     "cosine_histogram": f"""WITH {TOP1}, b AS (SELECT CAST(least(greatest(floor((cosine + 1.0) / 0.05), 0), 39) AS BIGINT) AS bin FROM top1)
 SELECT bin, -1.0 + bin * CAST(0.05 AS DOUBLE) AS low, -1.0 + (bin + 1) * CAST(0.05 AS DOUBLE) AS high, count(*) AS n FROM b GROUP BY 1""",
     "one_hot": "SELECT vec_id, CASE label WHEN 0 THEN '1000' WHEN 1 THEN '0100' WHEN 2 THEN '0010' ELSE '0001' END AS hot FROM embeddings",
