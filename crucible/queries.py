@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crucible.functions import columns as C
+from crucible.functions.tables import settled
 from crucible.operators import evidence as E
 from crucible.operators import losses as L
 from crucible.operators import quality as Q
@@ -51,7 +52,8 @@ def keyed(spark, d) -> DataFrame:
 
 def resolved(spark, d) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_orderpriority")).alias("labels"))
-    return R.resolve_duplicates(keyed(spark, d).join(orders, "record_id"), number=F.col("record_id"))
+    # Keys are made once: the rule reads them for the groups and for the records.
+    return R.resolve_duplicates(settled(keyed(spark, d).join(orders, "record_id"), "keyed"), number=F.col("record_id"))
 
 
 def vectors(spark, d) -> DataFrame:
@@ -142,7 +144,7 @@ def loose_keys(spark, d):
 
 
 def dedup_winners(spark, d):
-    m = R.merged(resolved(spark, d), number=F.col("record_id"))
+    m = R.merged(settled(resolved(spark, d), "resolved"), number=F.col("record_id"))
     return m.select("record_id", "group_size", F.array_join("equivalent_ids", ";").alias("equivalent_ids"), F.array_join("labels", ";").alias("labels"))
 
 
@@ -420,7 +422,7 @@ def record_signatures(spark, d):
 
 
 def duplicate_vector_diagnosis(spark, d):
-    rows = corpus(spark, d)
+    rows = settled(corpus(spark, d), "corpus")
     vectors = encode_records(A.model_rows(rows), ENCODER, new_weights(ENCODER))
     several = Q.shared_identities(rows.select(F.explode("participants").alias("p")).select("p.*"), "canonical", "compound_id")
     return A.diagnose(vectors, rows, several)[2]
@@ -433,16 +435,17 @@ def molecule_collisions(spark, d):
 
 
 def fusion_trace(spark, d):
-    rows = A.model_rows(corpus(spark, d)).filter("direction <> 'reversible'")
+    rows = settled(A.model_rows(corpus(spark, d)).filter("direction <> 'reversible'"), "corpus")
     sig = rows.select("record_id", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group"))
     groups = sig.join(sig.groupBy("group").count().filter("count > 1").select("group"), "group")
-    stages = trace_records(rows, ENCODER, new_weights(ENCODER)).join(groups, "record_id")
+    # Each stage's ranges and counts read the traces.
+    stages = settled(trace_records(rows.join(groups.select("record_id"), "record_id", "left_semi"), ENCODER, new_weights(ENCODER)).join(groups, "record_id"), "traces")
     names = ["fusion_input", "linear1", "relu", "linear2", "layernorm"]
     return Q.stage_uniqueness(stages, "group", names).groupBy("first_collapsed").agg(F.count(F.lit(1)).alias("groups"))
 
 
 def input_audit(spark, d):
-    return A.audit(corpus(spark, d), ENCODER, new_weights(ENCODER))
+    return A.audit(settled(corpus(spark, d), "corpus"), ENCODER, new_weights(ENCODER))
 
 
 def direction_counts(spark, d):
