@@ -22,12 +22,12 @@ from crucible.llm.common import stage, table
 #: Labelled rows that train the chain, at most: those of the smallest hash.
 MOST_LABELLED = 20_000
 #: Features, at most, and how telling one must be (log likelihood ratio).
-MOST_FEATURES, LEAST_G2 = 4000, 12.0
+MOST_FEATURES, LEAST_G2 = 4000, 20.0
 PREFIXES = (4, 5)
 FOLDS = 5
 #: In this order. `pervasive` and `scattered` divide toxic texts by how densely the telling features stand in them.
 CATEGORIES = ("pervasive", "scattered", "toxic")
-REJECT_AT = 0.4
+REJECT_AT = 0.35
 STRIP = ".,;:!?\"'()[]{}<>*#%$&|/\\-_=+~`^@"
 
 
@@ -62,26 +62,55 @@ class Chain:
         return out
 
 
-def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.02, steps: int = 400):
-    """Logistic regression (weights, bias, dense weights) by accelerated gradient; both classes weigh the same."""
+def minimise(f, x: np.ndarray, steps: int = 120, memory: int = 10, enough: float = 1e-7) -> np.ndarray:
+    """Limited-memory BFGS with backtracking; f gives the value and the gradient."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d -= a * y
+        if pairs:
+            s, y = pairs[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            d += (a - (y @ d) / (s @ y)) * s
+        t, slope = 1.0, g @ d
+        while True:
+            nxt = x - t * d
+            v, h = f(nxt)
+            if v <= value - 1e-4 * t * slope or t < 1e-8:
+                break
+            t /= 2
+        s, y = nxt - x, h - g
+        done = value - v < enough * max(1e-12, abs(value))
+        x, value, g = nxt, v, h
+        if s @ y > 1e-12:
+            pairs = [*pairs[-memory + 1 :], (s, y)]
+        if done:
+            break
+    return x
+
+
+def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1e-3):
+    """Logistic regression (weights, bias, dense weights); both classes weigh the same."""
     size = np.array([len(r) for r in rows])
     flat = np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
-    positive = max(1.0, y.sum())
-    weight = np.where(y > 0, 0.5 / positive, 0.5 / max(1.0, (1 - y).sum()))
-    scale = 0.25 * (max(1.0, size.max(initial=1)) + 1 + float((dense**2).sum(axis=1).max(initial=0.0))) + l2
-    params = np.zeros(n_features + 1 + dense.shape[1])
-    look, before = params.copy(), params.copy()
-    for t in range(1, steps + 1):
-        z = np.bincount(owner, weights=look[flat], minlength=len(rows)) + look[n_features] + dense @ look[n_features + 1 :]
+    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
+    free = np.full(n_features + 1 + dense.shape[1], l2)
+    free[n_features] = 0.0
+
+    def loss(p: np.ndarray):
+        z = np.bincount(owner, weights=p[flat], minlength=len(rows)) + p[n_features] + dense @ p[n_features + 1 :]
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.concatenate([np.bincount(flat, weights=r[owner], minlength=n_features), [r.sum()], dense.T @ r])
-        reg = l2 * look * 1e-2
-        reg[n_features] = 0
-        params = look - (g + reg) / scale * 4
-        look = params + (t - 1) / (t + 2) * (params - before)
-        before = params
-    return params[:n_features], params[n_features], params[n_features + 1 :]
+        return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.5 * float(free @ (p * p)), g + free * p
+
+    p = minimise(loss, np.zeros(n_features + 1 + dense.shape[1]))
+    return p[:n_features], p[n_features], p[n_features + 1 :]
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, index: dict[str, int], categories=CATEGORIES, fold: np.ndarray | None = None) -> Chain:
