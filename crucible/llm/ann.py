@@ -211,7 +211,8 @@ def build_index(rows: DataFrame, shards: int, **params) -> DataFrame:
         return pd.DataFrame({"shard": int(pdf.shard.iloc[0]), "node": np.arange(len(distinct), dtype=np.int32), "ids": ids, "vector": list(distinct), "edges": list(edges.astype(np.int32)), "entry": np.int32(entry)})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(build, schema)
+    # By range with a given number: each shard is a task of its own.
+    return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, schema)
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int = 20, beam: int = BEAM_QUERY) -> DataFrame:
