@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import ascii_lower_words, spread_join, stage, table
+from crucible.llm.common import arrow_rows, ascii_lower_words, spread_join, stage, table
 from crucible.llm.components import connected_components
 
 THRESHOLD = 3
@@ -167,9 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Fingerprints of a text for near_copies, and the bits in which one may differ.
-WIDE, WIDE_THRESHOLD = 4, 10
+WIDE, WIDE_THRESHOLD = 8, 14
 #: At an anchor with more fingerprints, only those whose own anchor it is look for their nearest.
-CROWD = 64
+CROWD = 8
 
 
 def wide_fingerprint(text: str | None, shingle: int = 3) -> list[int]:
@@ -304,7 +304,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = sets.select(F.col("row").alias("src"), F.col("s").alias("a")), sets.select(F.col("row").alias("dst"), F.col("s").alias("b"))
-    links = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
+    with arrow_rows(docs.sparkSession, 512):
+        links = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
     labels = connected_components(links)
     # Rows of one node belong together, linked or not.
     of_node = nodes.join(labels, "node", "left").select(*lanes, "n", F.coalesce("label", "node").alias("label"))
