@@ -20,13 +20,12 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crucible.llm.common import table
 
 #: Pre-tokens in a generation of those that a worker keeps between batches.
-KEPT = 250_000
+KEPT = 150_000
 #: Longer pre-tokens are not kept.
 KEPT_BYTES = 64
 
@@ -240,20 +239,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.mapInArrow(encode, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None, ids_col: str = "token_ids", bytes_col: str = "decoded", digest: bool = False) -> DataFrame:
-    """encoded with the decoded bytes as `bytes_col`; null ids decode to no bytes. With digest, `bytes_col` and `ids_col` are replaced by n_tokens, ids_sha256 and decoded_sha256."""
-    path, pattern = _vocabulary(path, pattern)
-    made = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digest else [(bytes_col, T.BinaryType())]
-    kept = [c for c in encoded.columns if c not in [m[0] for m in made] and not (digest and c == ids_col)]
-    at, order = encoded.columns.index(ids_col), [encoded.columns.index(c) for c in kept]
-    schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(*m) for m in made])
+def _pieces(strings: Strings, flat: np.ndarray, last: np.ndarray):
+    """The joined strings of the numbers, and where those of each row lie; last holds each row's end among the numbers."""
+    joined, ends = strings(flat)
+    at = np.concatenate([[0], ends])[last].tolist()
+    return joined, list(zip(at, at[1:], strict=False))
 
-    def pieces(strings, flat, last):
-        joined, ends = strings(flat)
-        at = np.concatenate([[0], ends])[last].tolist()
-        return joined, list(zip(at, at[1:], strict=False))
 
-    sha = lambda b: hashlib.sha256(b).hexdigest()
+def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
+    """encoded with the decoded bytes as `bytes_col`, which replaces a column of that name; null ids decode to no bytes."""
+    path, pattern = _vocabulary(path, pattern)
+    kept = [c for c in encoded.columns if c != bytes_col]
+    at, order = encoded.columns.index(ids_col), [encoded.columns.index(c) for c in kept]
+    schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(bytes_col, T.BinaryType())])
 
     def decode(batches):
         bpe = load(path, pattern)
@@ -262,26 +260,41 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
                 batch = big.slice(k, ROWS)
                 column = batch.column(at)
                 size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                last = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-                raw, cuts = pieces(bpe.bytes_table, flat, last)
-                if digest:
-                    text, commas = pieces(bpe.decimal_table, flat, last)
-                    new = [
-                        pa.array(size, pa.int64()),
-                        pa.array([sha(text[a : max(a, b - 1)]) for a, b in commas], pa.string()),  # without the last comma
-                        pa.array([sha(raw[a:b]) for a, b in cuts], pa.string()),
-                    ]
-                else:
-                    new = [pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), *new], names=[*kept, *(m[0] for m in made)])
+                raw, cuts = _pieces(bpe.bytes_table, column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), pa.array([bytes(raw[a:b]) for a, b in cuts], pa.binary())], names=[*kept, bytes_col])
 
     return encoded.mapInArrow(decode, schema)
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    return decode_documents(encode_documents(docs.select("doc_id", "text"), path, pattern).select("doc_id", "token_ids"), path, pattern, digest=True)
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): encode_documents and decode_documents in one pass, for those who need only digests.
+
+    The first digest is of the decimal ids joined by commas, the second of the
+    bytes that the ids decode to. Rows and texts are treated as there.
+    """
+    path, pattern = _vocabulary(path, pattern)
+    one = docs.select(id_col, text_col)
+
+    def work(batches):
+        bpe = load(path, pattern)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        for big in batches:
+            for k in range(0, big.num_rows, ROWS):
+                batch = big.slice(k, ROWS)
+                ids = bpe.encode_batch(batch.column(1).to_pylist())
+                size = np.array([len(x) for x in ids])
+                flat, last = np.concatenate([*ids, np.empty(0, dtype=np.int32)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                raw, cuts = _pieces(bpe.bytes_table, flat, last)
+                text, commas = _pieces(bpe.decimal_table, flat, last)
+                cols = [
+                    pa.array(size, pa.int64()),
+                    pa.array([sha(text[a : max(a, b - 1)]) for a, b in commas], pa.string()),  # without the last comma
+                    pa.array([sha(raw[a:b]) for a, b in cuts], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return one.mapInArrow(work, f"`{id_col}` {one.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_two_tier_bpe(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents").select("doc_id", F.col("text")))
+    return digests(table(spark, sf_dir, "documents"))
