@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,26 +166,28 @@ def cut_words(text: str, upto: int) -> str:
     return text[:end]
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+def mixed_documents(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
     """Rows of docs as the mix takes them: one for each pass that takes words of a document, with all its columns.
 
     A document in which a source's quota ends gives its first words; `n_chars`,
     if there is such a column, follows its text. Documents without words, of
-    which the mix takes nothing, and those beyond the quotas give no row.
+    which the mix takes nothing, and those beyond the quotas give no row. Other
+    columns go along unchanged, whatever their names.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    mixed = mix_sources(rows, carry=("_row",), **params).rows
-    one = lambda taken: F.struct(F.col(taken).alias("taken"))
-    turns = mixed.filter("first > 0").select("_row", "size", F.explode(F.filter(F.array(one("first"), one("second")), lambda x: x["taken"] > 0)).alias("x")).select("_row", "size", "x.taken")
-    out = rows.join(turns, "_row")
-    whole, part = out.filter("taken = size").select(*docs.columns), out.filter("taken < size")
-    schema = out.schema
-
-    def cut(frames):
-        for f in frames:
-            f["text"] = [cut_words(t, int(n)) for t, n in zip(f.text, f.taken, strict=True)]
-            if "n_chars" in f:
-                f["n_chars"] = f.text.str.len().astype("int64")
-            yield f
-
-    return whole.unionByName(part.mapInPandas(cut, schema).select(*docs.columns))
+    rows = docs.withColumn("_mix_row", F.monotonically_increasing_id())
+    mixed = mix_sources(rows, text_col=text_col, carry=("_mix_row",), **params).rows
+    turns = mixed.filter("first > 0").select("_mix_row", F.col("size").alias("_mix_size"), F.explode(F.array("first", "second")).alias("_mix_taken")).filter("_mix_taken > 0")
+    out = rows.join(turns, "_mix_row")
+    whole, part = out.filter("_mix_taken = _mix_size").select(*docs.columns), out.filter("_mix_taken < _mix_size").select(*docs.columns, "_mix_taken")
+    at, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batches):
+        for batch in batches:
+            texts = [cut_words(t, n) for t, n in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            cols[at] = pa.array(texts, pa.string())
+            if chars is not None:
+                cols[chars] = pa.array([len(t) for t in texts], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+
+    return whole.unionByName(part.mapInArrow(cut, docs.schema))

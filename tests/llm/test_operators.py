@@ -212,8 +212,9 @@ def test_splitting_tree_is_exact_and_fair():
 
 
 def test_mixed_documents(docs, empty):
-    out = mixing.mixed_documents(docs.withColumn("n_chars", F.length("text").cast("long")))
-    assert out.columns == [*docs.columns, "n_chars"]
+    more = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("size", F.lit("s")).withColumn("taken", F.lit(1)).withColumn("spans", F.lit(None).cast("string"))
+    out = mixing.mixed_documents(more)
+    assert out.columns == more.columns
     words = defaultdict(int)
     source = {}
     for r in out.collect():
@@ -474,7 +475,7 @@ def check_removal(got, rows):
     assert have == want
 
 
-@pytest.mark.parametrize(("hot", "scanned"), [(2048, 1 << 22), (3, 2000)])
+@pytest.mark.parametrize(("hot", "scanned"), [(512, 1 << 22), (3, 2000)])
 def test_removal_of_repeats(docs, empty, monkeypatch, hot, scanned):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SCANNED_BYTES", scanned)
@@ -483,7 +484,7 @@ def test_removal_of_repeats(docs, empty, monkeypatch, hot, scanned):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2048, 5, 1])
+@pytest.mark.parametrize("hot", [512, 5, 1])
 def test_removal_around_common_passages(spark, tmp_path, monkeypatch, hot):
     """A line and a passage of 90 to 130 bytes in most texts, with other text around: anchors with many contexts, divided once and twice."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
