@@ -33,9 +33,11 @@ from crucible.llm.common import stage, table
 LENGTH = 100
 GRAM = 32
 #: Contexts of an anchor beyond which its key is made longer.
-HOT = 2048
+HOT = 512
 #: Ranges of string starts that share a key, after the first.
 RANGES = (18, 1)
+#: Parts of the rows of one string that stands in many contexts.
+PARTS = 32
 #: Bytes of contexts that are sorted at once, and of texts that are scanned at once.
 SORTED_BYTES, SCANNED_BYTES = 1 << 21, 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -368,8 +370,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Parts of one start are equal if their keys are: the first of each stays.
         single = parts.join(still, "key", "left_semi").select("key", "doc", "row", "loc", "ctx", "rel").mapInArrow(_divide_again(RANGES[1]), CONTEXTS)
         single = single.select("key", F.sha2("ctx", 256).alias("sha"), F.struct("doc", "row", "loc").alias("place"))
-        first = single.groupBy("key", "sha").agg(F.min("place").alias("first"))
-        repeats = single.join(first, ["key", "sha"]).filter("place <> first")
+        # A string may stand in most texts: its rows are dealt out, its first place goes to each part.
+        single = single.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(PARTS)).cast("int"))
+        first = single.groupBy("key", "sha").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        first = first.select("key", "sha", "first", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        repeats = single.join(first, ["key", "sha", "part"]).filter("place <> first")
         gone = gone.unionByName(repeats.select("place.row", F.col("place.loc").alias("from"), (F.col("place.loc") + LENGTH).alias("to")))
     of_row = gone.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("gone"))
     whole = base.join(of_row, "row", "left").select(F.col("_id").alias(id_col), "_text", "gone")
