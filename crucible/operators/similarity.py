@@ -113,6 +113,14 @@ def retrieval_metrics(neighbours: DataFrame, labels: DataFrame, id_col: str, lab
     return out.select("level", "k", "annotated_query_count", "precision", (F.coalesce("any", F.lit(0)) / n).alias("hit_rate"), "random_precision", "random_hit_rate", F.when(F.col("random_precision") != 0, F.col("precision") / F.col("random_precision")).alias("lift"))
 
 
+def compare_metrics(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two tables of retrieval_metrics side by side: precision and hit rate of both and their differences, by level and k."""
+    a = first.select("level", "k", F.col("precision").alias("first_precision"), F.col("hit_rate").alias("first_hit_rate"))
+    b = second.select("level", "k", F.col("precision").alias("second_precision"), F.col("hit_rate").alias("second_hit_rate"))
+    both = a.join(b, ["level", "k"])
+    return both.withColumn("precision_delta", F.col("second_precision") - F.col("first_precision")).withColumn("hit_rate_delta", F.col("second_hit_rate") - F.col("first_hit_rate"))
+
+
 def paired_top1(first: DataFrame, second: DataFrame, labels: DataFrame, id_col: str, labels_col: str, levels=LEVELS) -> DataFrame:
     """Two neighbour tables compared on the queries' nearest: mean difference (second - first) with a normal 95 % interval, wins, losses, ties."""
     tokens = token_rows(labels, id_col, labels_col, levels)

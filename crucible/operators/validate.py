@@ -33,6 +33,13 @@ def check_same_rows(a: DataFrame, b: DataFrame, rule: str) -> DataFrame:
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("violations"))
 
 
+def check_same_order(a: DataFrame, b: DataFrame, position: str, value: str, rule: str) -> DataFrame:
+    """Both tables have the same value at each position; a position that one of them lacks is a violation."""
+    left, right = a.select(position, F.col(value).alias("_a"), F.lit(True).alias("_in_a")), b.select(position, F.col(value).alias("_b"), F.lit(True).alias("_in_b"))
+    same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
+    return left.join(right, position, "full").agg(F.lit(rule).alias("rule"), F.count_if(~same).alias("violations"))
+
+
 def check_count(df: DataFrame, expected: int, rule: str) -> DataFrame:
     return df.agg(F.lit(rule).alias("rule"), F.abs(F.count(F.lit(1)) - expected).alias("violations"))
 

@@ -127,6 +127,24 @@ SELECT level, count(*) AS annotated_query_count, round(avg(x), 6) AS first_preci
   count(*) FILTER (d > 0) AS improved, count(*) FILTER (d < 0) AS worsened, count(*) FILTER (d = 0) AS unchanged
 FROM d GROUP BY level"""
 
+def _metrics(neighbours: str, name: str) -> str:
+    return f"""WITH {neighbours}, {TOKENS}, ks AS (SELECT * FROM (VALUES (1), (5), (10)) v(k)),
+hit AS (
+  SELECT q.level, q.vec_id, t.rank, max(CASE WHEN b.vec_id IS NOT NULL THEN 1 ELSE 0 END) AS hit
+  FROM annotated q JOIN {name} t ON t.query = q.vec_id JOIN tokens a ON a.level = q.level AND a.vec_id = q.vec_id
+  LEFT JOIN tokens b ON b.level = a.level AND b.token = a.token AND b.vec_id = t.neighbour GROUP BY 1, 2, 3),
+own AS (SELECT level, k, vec_id, sum(hit) AS n, max(hit) AS any_hit FROM hit, ks WHERE rank <= k GROUP BY 1, 2, 3),
+found AS (SELECT level, k, sum(n) AS n, sum(any_hit) AS h FROM own GROUP BY 1, 2),
+total AS (SELECT CAST(count(*) - 1 AS DOUBLE) AS c FROM embeddings),
+chance AS (
+  SELECT level, k, count(*) AS q, avg(matches / c) AS rp, avg(1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(k), lambda d: (c - matches - d) / (c - d))), lambda x, y: x * y)) AS rh
+  FROM matches, ks, total GROUP BY 1, 2)
+SELECT level, CAST(k AS INTEGER) AS k, q AS annotated_query_count, round(n / (q * k), 6) AS precision, round(h / q, 6) AS hit_rate, round(rp, 6) AS random_precision, round(rh, 6) AS random_hit_rate, round(n / (q * k) / rp, 6) AS lift
+FROM chance JOIN found USING (level, k)"""
+
+
+SHORT10 = _neighbours("short10", "CAST({}.embedding[1:16] AS DOUBLE[])", 10)
+
 SQL = {
     "scan_project_cast": "SELECT 'ORD:' || o_orderkey AS order_id, o_orderkey AS order_number, CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) AS priority FROM orders WHERE o_totalprice > 100000",
     "filter_prefix_exists": f"WITH {MEMBERS} SELECT record_id, CAST(count(*) AS INTEGER) AS n FROM members GROUP BY record_id HAVING max(CASE WHEN compound_id LIKE 'Brand#1%' THEN 1 ELSE 0 END) = 1",
@@ -185,19 +203,13 @@ FROM c LEFT JOIN b ON b.member = c.member""",
     "knn_global_top20": f"WITH {TOP10} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10 ORDER BY round(top10.cosine, 12) DESC, query, neighbour LIMIT 20",
     "neighbour_labels": f"""WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, a.label % 2 = b.label % 2 AS level1_match, a.label = b.label AS exact_match
 FROM top10 JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = neighbour""",
-    "retrieval_metrics": f"""WITH {TOP10}, {TOKENS}, ks AS (SELECT * FROM (VALUES (1), (5), (10)) v(k)),
-hit AS (
-  SELECT q.level, q.vec_id, t.rank, max(CASE WHEN b.vec_id IS NOT NULL THEN 1 ELSE 0 END) AS hit
-  FROM annotated q JOIN top10 t ON t.query = q.vec_id JOIN tokens a ON a.level = q.level AND a.vec_id = q.vec_id
-  LEFT JOIN tokens b ON b.level = a.level AND b.token = a.token AND b.vec_id = t.neighbour GROUP BY 1, 2, 3),
-own AS (SELECT level, k, vec_id, sum(hit) AS n, max(hit) AS any_hit FROM hit, ks WHERE rank <= k GROUP BY 1, 2, 3),
-found AS (SELECT level, k, sum(n) AS n, sum(any_hit) AS h FROM own GROUP BY 1, 2),
-total AS (SELECT CAST(count(*) - 1 AS DOUBLE) AS c FROM embeddings),
-chance AS (
-  SELECT level, k, count(*) AS q, avg(matches / c) AS rp, avg(1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(k), lambda d: (c - matches - d) / (c - d))), lambda x, y: x * y)) AS rh
-  FROM matches, ks, total GROUP BY 1, 2)
-SELECT level, CAST(k AS INTEGER) AS k, q AS annotated_query_count, round(n / (q * k), 6) AS precision, round(h / q, 6) AS hit_rate, round(rp, 6) AS random_precision, round(rh, 6) AS random_hit_rate, round(n / (q * k) / rp, 6) AS lift
-FROM chance JOIN found USING (level, k)""",
+    "retrieval_metrics": _metrics(TOP10, "top10"),
+    "ablation_metrics": f"""SELECT level, k, a.precision AS first_precision, b.precision AS second_precision, round(b.rp - a.rp, 6) AS precision_delta,
+  a.hit_rate AS first_hit_rate, b.hit_rate AS second_hit_rate, round(b.rh2 - a.rh2, 6) AS hit_rate_delta
+FROM ({_metrics(TOP10, "top10").replace("round(n / (q * k), 6) AS precision", "n / (q * k) AS rp, h / q AS rh2, round(n / (q * k), 6) AS precision")}) a
+JOIN ({_metrics(SHORT10, "short10").replace("round(n / (q * k), 6) AS precision", "n / (q * k) AS rp, h / q AS rh2, round(n / (q * k), 6) AS precision")}) b USING (level, k)""",
+    "ordered_ids_check": """SELECT 'same' AS rule, CAST(0 AS BIGINT) AS violations
+UNION ALL SELECT 'shorter', count(*) FILTER (c_custkey IS NULL OR s_suppkey IS NULL) FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""",
     "random_baseline": f"WITH {TOKENS} SELECT level, vec_id, matches FROM matches",
     "ec_tokens": f"WITH {TOKENS} SELECT level, vec_id, string_agg(token, ';' ORDER BY token) AS tokens FROM tokens GROUP BY 1, 2",
     "paired_delta_ci": PAIRED,

@@ -271,6 +271,21 @@ def paired_delta_ci(spark, d):
     return p.select("level", "annotated_query_count", *r6("first_precision", "second_precision", "delta", "low", "high"), "improved", "worsened", "unchanged")
 
 
+def ablation_metrics(spark, d):
+    """Metrics of the whole vectors against those of their first 16 components."""
+    labels = labelled(spark, d)
+    half = T.exact_neighbours(vectors(spark, d).withColumn("embedding", F.slice("embedding", 1, 16)), 10, "vec_id", "embedding")
+    c = T.compare_metrics(T.retrieval_metrics(neighbours(spark, d), labels, "vec_id", "ec"), T.retrieval_metrics(half, labels, "vec_id", "ec"))
+    return c.select("level", "k", *r6("first_precision", "second_precision", "precision_delta", "first_hit_rate", "second_hit_rate", "hit_rate_delta"))
+
+
+def ordered_ids_check(spark, d):
+    """Identifiers of two tables, place by place: customers against themselves and against suppliers."""
+    place = lambda n, key: table(spark, d, n).select(F.col(key).alias("position"), F.col(key).alias("id"))
+    c = place("customer", "c_custkey")
+    return V.union(V.check_same_order(c, c, "position", "id", "same"), V.check_same_order(c, place("supplier", "s_suppkey"), "position", "id", "shorter"))
+
+
 def quantised(spark, d):
     return vectors(spark, d).select("vec_id", "label", F.transform(F.slice("embedding", 1, 3), lambda x: F.signum(x).cast("int")).alias("q"))
 
@@ -471,7 +486,7 @@ QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
     dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, index_values, index_xrefs,
     direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_top1, knn_global_top20,
-    neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, vector_duplicates, dup_histogram, dup_excess, dup_diagnosis,
+    neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
     constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
 from datetime import UTC, datetime
 
 import numpy as np
@@ -57,6 +58,14 @@ def matrix_files(df: DataFrame, id_col: str, vector_col: str, folder: str, most_
     return len(rows)
 
 
+def git_revision(folder: str = ".") -> str | None:
+    """The commit of a folder on the driver; None where there is none."""
+    try:
+        return subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder, capture_output=True, text=True, check=True, timeout=10).stdout.strip()
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 def report(values: dict, path: str) -> None:
     """A JSON report on the driver: keys in order, indented."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)

@@ -163,3 +163,14 @@ def test_evaluation_mode(spark):
     assert T.evaluation_mode(ids, ids.filter("id < 2"), ids.filter("id = 3")) == "holdout"
     with pytest.raises(ValueError):
         T.evaluation_mode(ids.filter("id < 2"), ids, ids)
+
+
+def test_same_order_and_revision(spark, tmp_path):
+    from crucible.sources.sinks import git_revision
+
+    kind = "p int, id string"
+    a = spark.createDataFrame([(0, "x"), (1, None), (2, "z")], kind)
+    assert V.check_same_order(a, a, "p", "id", "r").first().violations == 0
+    b = spark.createDataFrame([(0, "x"), (1, "y"), (3, "z")], kind)
+    assert V.check_same_order(a, b, "p", "id", "r").first().violations == 3  # another value, and a place that each lacks
+    assert git_revision(str(tmp_path)) is None
