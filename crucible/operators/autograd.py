@@ -14,6 +14,27 @@ def _unbroadcast(g: np.ndarray, shape: tuple) -> np.ndarray:
     return g
 
 
+def sum_by(x: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+    """Rows of x added up by segment: first rows of all segments, then second ones, and so on; by a product where a segment has many rows."""
+    out = np.zeros((n, *x.shape[1:]))
+    if not len(segment):
+        return out
+    if x.ndim == 1:
+        return np.bincount(segment, weights=x, minlength=n)
+    count = np.bincount(segment, minlength=n)
+    if count.max() > 64 and n * len(segment) <= 1 << 22:
+        hit = np.zeros((n, len(segment)))
+        hit[segment, np.arange(len(segment))] = 1.0
+        return hit @ x
+    order = np.argsort(segment, kind="stable")
+    begin = np.cumsum(count) - count
+    live = np.flatnonzero(count)
+    for k in range(int(count.max())):
+        live = live[count[live] > k]
+        out[live] += x[order[begin[live] + k]]
+    return out
+
+
 class T:
     """A value and how it came about."""
 
@@ -64,6 +85,8 @@ class T:
 
     def __getitem__(self, i):
         def back(g):
+            if isinstance(i, np.ndarray) and i.ndim == 1 and i.dtype.kind == "i":
+                return (sum_by(g, i, len(self.v)),)
             out = np.zeros_like(self.v)
             np.add.at(out, i, g)
             return (out,)
@@ -119,9 +142,7 @@ def where(mask, a: T, b: T) -> T:
 
 
 def segment_sum(x: T, segment: np.ndarray, n: int) -> T:
-    out = np.zeros((n, *x.v.shape[1:]))
-    np.add.at(out, segment, x.v)
-    return T(out, (x,), lambda g: (g[segment],))
+    return T(sum_by(x.v, segment, n), (x,), lambda g: (g[segment],))
 
 
 def segment_softmax(scores: T, segment: np.ndarray, n: int, least: float = 1e-12) -> T:
