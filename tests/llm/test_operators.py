@@ -472,6 +472,22 @@ def test_near_copies_in_template_families(spark):
     assert got == want
 
 
+def test_near_copies_in_one_large_group(spark):
+    """Many copies of one text that differ in few words, of which the exact check joins some only, and a chain of copies."""
+    rng = random.Random(4)
+    base, rows = [f"w{rng.random()}" for _ in range(120)], []
+    for i in range(2300):
+        w = list(base)
+        for k in rng.sample(range(0, 120, 6), 2 + (i % 9 == 0)):
+            w[k] = f"e{rng.random() if i % 2 else rng.randrange(3)}"
+        rows.append(" ".join(w))
+    chain = [f"c{k}" for k in range(260)]
+    rows += [" ".join(chain[k : k + 200]) for k in range(0, 60, 15)]
+    got, want = groups_of_pairs(spark, rows)
+    assert 1 < len(set(want.values())) < len(rows) - 100
+    assert got == want
+
+
 # 7
 
 
