@@ -488,6 +488,15 @@ def test_near_copies_in_one_large_group(spark):
     assert got == want
 
 
+def test_near_copies_with_a_repeated_majority(spark):
+    """One shingle makes most of each text; what else they say differs, but for two."""
+    rng = random.Random(5)
+    rows = ["- " * 200 + " ".join(f"w{rng.random()}" for _ in range(120)) for _ in range(20)]
+    rows += [rows[7] + " more", rows[9].upper()]
+    got, want = groups_of_pairs(spark, rows)
+    assert got == want == {**{i: i for i in range(20)}, 20: 7, 21: 9}
+
+
 # 7
 
 
