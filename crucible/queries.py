@@ -122,8 +122,8 @@ def participants_agg(spark, d):
 
 def positional_zip(spark, d):
     words = lambda c: F.split(c, " ")
-    pairs = table(spark, d, "documents").select("doc_id", F.posexplode(R.positional_zip(words(F.substring_index("text", "\n", 1)), F.split("source", "c"))).alias("pos", "p"))
-    return pairs.select("doc_id", "pos", F.col("p.left").alias("left_part"), F.col("p.right").alias("right_part")).filter("pos < 3")
+    pairs = table(spark, d, "documents").select("doc_id", F.posexplode(R.positional_zip(words(F.col("text")), F.split("source", "c"))).alias("pos", "p"))
+    return pairs.select("doc_id", "pos", F.col("p.left").alias("left_part"), F.col("p.right").alias("right_part"))
 
 
 def change_log(spark, d):
