@@ -194,7 +194,7 @@ def index_values(spark, d):
 
 def index_xrefs(spark, d):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return E.index_xrefs(e.filter("k < 20"), "user_id", "event_type", "k").select("user_id", F.to_json("xrefs").alias("xrefs"))
+    return E.index_xrefs(e, "user_id", "event_type", "k").select("user_id", F.to_json("xrefs").alias("xrefs"))
 
 
 def direction_evidence(spark, d):

@@ -1,7 +1,8 @@
 """Queries give the whole of their tables, by plain Python over the smallest ones."""
 
+import json
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
@@ -23,3 +24,11 @@ def test_positional_zip_has_every_position(spark):
             right = (r["source"] or "").split("c")
             want.update((r["doc_id"], i, w, right[i] if i < len(right) and r["source"] is not None else None) for i, w in enumerate(r["text"].split(" ")))
     assert Counter(map(tuple, QUERIES["positional_zip"](spark, FOLDER).collect())) == want
+
+
+def test_index_xrefs_has_every_event(spark):
+    want = defaultdict(lambda: defaultdict(set))
+    for r in rows_of("events"):
+        want[r["user_id"]][r["event_type"]].add(json.loads(r["props"])["k"])
+    got = {r.user_id: json.loads(r.xrefs) for r in QUERIES["index_xrefs"](spark, FOLDER).collect()}
+    assert got == {u: {t: sorted(k) for t, k in x.items()} for u, x in want.items()}
