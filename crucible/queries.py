@@ -337,7 +337,7 @@ def pca_spectrum(spark, d):
 
 
 def collapse_report(spark, d):
-    return Q.collapse_report(vectors(spark, d), "vec_id", "embedding", n_pairs=20_000)
+    return Q.collapse_report(vectors(spark, d), "vec_id", "embedding")
 
 
 def segment_sum(spark, d):

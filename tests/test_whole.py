@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pyarrow.parquet as pq
 import pytest
 
+from crucible import queries
 from crucible.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +33,9 @@ def test_index_xrefs_has_every_event(spark):
         want[r["user_id"]][r["event_type"]].add(json.loads(r["props"])["k"])
     got = {r.user_id: json.loads(r.xrefs) for r in QUERIES["index_xrefs"](spark, FOLDER).collect()}
     assert got == {u: {t: sorted(k) for t, k in x.items()} for u, x in want.items()}
+
+
+def test_collapse_report_draws_all_pairs(spark, monkeypatch):
+    seen, draw = [], queries.Q.random_pairs
+    monkeypatch.setattr(queries.Q, "random_pairs", lambda df, i, v, n, *a, **b: seen.append(n) or draw(df, i, v, n, *a, **b))
+    assert QUERIES["collapse_report"](spark, FOLDER).count() == 1 and seen == [200_000]
