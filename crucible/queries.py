@@ -21,6 +21,8 @@ from crucible.sources.sinks import checksum, histogram
 #: Stand-ins for direction codes; other event types have none.
 EVENT_CODES = {"click": "left_to_right", "view": "right_to_left", "purchase": "reversible", "signup": "undefined"}
 IGNORED = ["Brand#1", "Brand#2"]
+#: Components of an embedding.
+DIM = 64
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -90,7 +92,7 @@ def variants(spark, d) -> DataFrame:
 def views(spark, d) -> DataFrame:
     """Batches of eight vectors with two views: the first and the last half."""
     v = F.col("embedding").cast("array<double>")
-    return vectors(spark, d).select((F.col("vec_id") - F.col("vec_id") % 8).alias("batch"), "vec_id", F.slice(v, 1, 8).alias("a"), F.slice(v, 33, 8).alias("b"))
+    return vectors(spark, d).select((F.col("vec_id") - F.col("vec_id") % 8).alias("batch"), "vec_id", F.slice(v, 1, DIM // 2).alias("a"), F.slice(v, DIM // 2 + 1, DIM // 2).alias("b"))
 
 
 def r6(*names):
@@ -287,7 +289,7 @@ def ordered_ids_check(spark, d):
 
 
 def quantised(spark, d):
-    return vectors(spark, d).select("vec_id", "label", F.transform(F.slice("embedding", 1, 3), lambda x: F.signum(x).cast("int")).alias("q"))
+    return vectors(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: F.signum(x).cast("int")).alias("q"))
 
 
 def vector_duplicates(spark, d):
@@ -341,7 +343,7 @@ def collapse_report(spark, d):
 
 
 def segment_sum(spark, d):
-    s = S.segment_sum(vectors(spark, d).withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 4)), "label", "v")
+    s = S.segment_sum(vectors(spark, d).withColumn("v", F.col("embedding").cast("array<double>")), "label", "v")
     return s.select("label", F.posexplode("v").alias("dim", "x")).select("label", "dim", *r6("x"))
 
 
@@ -367,7 +369,7 @@ def info_nce(spark, d):
 
 
 def label_loss(spark, d):
-    v = views(spark, d).withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((F.col("vec_id") % 3 != 0) & (i == F.col("vec_id") % 8), 1.0).otherwise(0.0)))
+    v = views(spark, d).withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(DIM // 2 - 1)), lambda i: F.when((F.col("vec_id") % 3 != 0) & (i == F.col("vec_id") % 8), 1.0).otherwise(0.0)))
     return L.label_loss(v, "batch", "a", "t").select("batch", *r6("loss"))
 
 
@@ -405,7 +407,7 @@ def constraint_suite(spark, d):
 
 
 def embedding_wide(spark, d):
-    return vectors(spark, d).select("vec_id", *C.wide("embedding", 8))
+    return vectors(spark, d).select("vec_id", *C.wide("embedding", DIM))
 
 
 def one_hot(spark, d):

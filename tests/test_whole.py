@@ -39,3 +39,21 @@ def test_collapse_report_draws_all_pairs(spark, monkeypatch):
     seen, draw = [], queries.Q.random_pairs
     monkeypatch.setattr(queries.Q, "random_pairs", lambda df, i, v, n, *a, **b: seen.append(n) or draw(df, i, v, n, *a, **b))
     assert QUERIES["collapse_report"](spark, FOLDER).count() == 1 and seen == [200_000]
+
+
+def test_vector_queries_use_every_component(spark):
+    rows = {r["vec_id"]: r for r in rows_of("embeddings")}
+    wide = QUERIES["embedding_wide"](spark, FOLDER).collect()
+    assert {r.vec_id: list(r)[1:] for r in wide} == {i: r["embedding"] for i, r in rows.items()}
+    sums = defaultdict(float)
+    for r in rows.values():
+        for d, x in enumerate(r["embedding"]):
+            sums[r["label"], d] += x
+    got = {(r.label, r.dim): r.x for r in QUERIES["segment_sum"](spark, FOLDER).collect()}
+    assert got.keys() == sums.keys() and all(abs(got[k] - x) < 2e-6 for k, x in sums.items())
+    assert all(r.a + r.b == rows[r.vec_id]["embedding"] for r in queries.views(spark, FOLDER).collect())
+    keys = Counter(tuple((x > 0) - (x < 0) for x in r["embedding"]) for r in rows.values())
+    excess = QUERIES["dup_excess"](spark, FOLDER).first()
+    assert (excess.distinct_count, excess.duplicate_excess) == (len(keys), len(rows) - len(keys))
+    assert QUERIES["vector_duplicates"](spark, FOLDER).count() == sum(n > 1 for n in keys.values())
+    assert all(r.loss is not None for n in ("label_loss", "info_nce", "variance_loss", "covariance_loss") for r in QUERIES[n](spark, FOLDER).collect())
