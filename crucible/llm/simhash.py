@@ -17,15 +17,13 @@ differ. So no cap is needed, and no link is lost.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crucible.llm.common import arrow_rows, ascii_lower_words, spread_join, stage, table
+from crucible.llm.common import ascii_lower_words, spread_join, stage, table
 from crucible.llm.components import connected_components
 
 THRESHOLD = 3
@@ -38,12 +36,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else [b" ".join(words)]
-    h, n, counts = xxhash.xxh64_intdigest, len(grams), np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 8192):  # bounded memory for long texts
-        block = grams[k : k + 8192]
-        bits = np.unpackbits(np.array([h(g, 42) for g in block], dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    h = xxhash.xxh64_intdigest
+    return majority(np.array([h(g, 42) for g in grams], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are those that over half the hashes have set."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 8192):  # bounded memory for long texts
+        counts += np.unpackbits(hashes[k : k + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -168,228 +170,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return spread_join(rows, of, ["fp"], "n", F.col(id_col)).select(id_col, "fp", "component_id")
 
 
-#: Places among which near_copies deals shingles (2 ** BUCKET_BITS), and the texts that are packed together.
-BUCKET_BITS, PACK = 10, 512
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles; a text that is shorter than a shingle is one shingle."""
-    words = ascii_lower_words(text)
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))) if len(words) >= shingle else {b" ".join(words)}
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
-
-
-def admissible(n: np.ndarray, pos: np.ndarray, label: np.ndarray, similarity: float, begin: int | None):
-    """Pairs of places at one shingle, in blocks (a, b): of different labels, and not too far apart for the similarity.
-
-    Sets of n shingles whose first common one stands at `pos` share at most the
-    smaller of n - pos. For each place comes the first partner from the place
-    `begin` on, around; without a begin all pairs come (a < b).
-    """
-    around = np.roll(np.arange(len(n)), -(begin or 0))
-    rest, need = (n - pos).astype(np.float64), similarity / (1 + similarity)
-    for k in range(0, len(n), 256):
-        i = np.arange(k, min(k + 256, len(n)))
-        ok = (np.minimum(rest[i][:, None], rest[None, :]) >= need * (n[i][:, None] + n[None, :]) - 1e-9) & (label[i][:, None] != label[None, :])
-        if begin is None:
-            a, b = np.nonzero(ok & (i[:, None] < np.arange(len(n))[None, :]))
-        else:
-            a = np.flatnonzero(ok.any(axis=1))
-            b = around[ok[a][:, around].argmax(axis=1)]
-        if len(a):
-            yield i[a], b
-
-
-def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, label): label is the smallest row of the group that links reach; a link is a Jaccard similarity of the sets of `shingle` words of at least `similarity`.
-
-    Every link is found, or a path of links in its place, by prefixes: shingles
-    are ordered by the number of texts that have them, the rare first, and two
-    sets of that similarity share one of their first n - ceil(similarity n) + 1.
-    Shingles of one text only take places in that order but are not joined. At
-    each shingle every row first meets one partner, in a second turn another at
-    each shingle; then all pairs whose groups are still apart are compared,
-    however many meet there. All comparisons are
-    exact. Rows of equal sets are one node. row_col must be a unique long.
-    """
-    base = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("_text"))
-
-    def deal(batches):
-        """Of each PACK texts one row of kind 0 (their rows, numbers of shingles and digests) and, by bucket, rows of kind 1 (places of texts, shingles)."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, PACK):
-                part = batch.slice(at, PACK)
-                row = part.column(0).to_numpy(zero_copy_only=False)
-                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-                tokens = [np.unique(s >> np.uint64(54 - 32)) for s in sets]
-                sizes = np.array([len(t) for t in tokens], dtype=np.int32)
-                every, doc = np.concatenate(tokens), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-                bucket = (every >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, low, doc = bucket[order], every[order].astype(np.uint32), doc[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist()
-                pack = int(row[0])
-                buckets = [pack % (1 << BUCKET_BITS), *bucket[cuts[:-1]].tolist()]
-                ends = list(zip(cuts[:-1], cuts[1:], strict=True))
-                cols = [
-                    pa.array(buckets, pa.int32()), pa.array([0] + [1] * len(ends), pa.int32()), pa.array([pack] * len(buckets), pa.int64()),
-                    pa.array([row.tobytes(), *(doc[a:b].tobytes() for a, b in ends)], pa.binary()), pa.array([sizes.tobytes(), *(low[a:b].tobytes() for a, b in ends)], pa.binary()),
-                    pa.array([digests, *[b""] * len(ends)], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "kind", "pack", "a", "b", "c"])
-
-    def groups_of(batches, column):
-        """Rows come sorted by the column: all batches of one value together."""
-        tail, last = [], None
-        for batch in batches:
-            value = batch.column(column).to_numpy(zero_copy_only=False)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(value)) + 1, [len(value)]]).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if tail and value[a] != last:
-                    yield pa.Table.from_batches(tail)
-                    tail = []
-                last = value[a]
-                tail.append(batch.slice(a, b - a))
-        if tail:
-            yield pa.Table.from_batches(tail)
-
-    def count(batches):
-        """Of each bucket the shingles of several texts, with their number, back by pack; rows of kind 0 go through."""
-        for t in groups_of(batches, 0):
-            kind, pack = t.column(1).to_numpy(), t.column(2).to_numpy()
-            a, b, c = (t.column(i).to_pylist() for i in (3, 4, 5))
-            heads, own = np.flatnonzero(kind == 0).tolist(), np.flatnonzero(kind == 1).tolist()
-            out = [(int(pack[i]), 0, a[i], b[i], c[i]) for i in heads]
-            if own:
-                bucket = t.column(0)[own[0]].as_py()
-                docs_of, low = [np.frombuffer(a[i], dtype=np.uint16) for i in own], [np.frombuffer(b[i], dtype=np.uint32) for i in own]
-                of = np.repeat(np.arange(len(own)), [len(x) for x in low])
-                doc, low = np.concatenate(docs_of), np.concatenate(low)
-                order = np.argsort(low, kind="stable")
-                run = np.flatnonzero(np.concatenate([[True], np.diff(low[order]) != 0]))
-                length = np.diff(np.concatenate([run, [len(low)]]))
-                n = np.empty(len(low), dtype=np.int32)
-                n[order] = np.repeat(length, length)
-                several = np.flatnonzero(n > 1)  # places ascend, and so do packs
-                cuts = np.flatnonzero(np.diff(of[several])) + 1
-                for x in np.split(several, cuts) if len(several) else []:
-                    token = low[x].astype(np.int64) | (bucket << 32)
-                    out.append((int(pack[own[of[x[0]]]]), 1, doc[x].tobytes(), token.tobytes(), n[x].tobytes()))
-            for k in range(0, len(out), 4096):
-                p, *rest = zip(*out[k : k + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rest[1:])], names=["pack", "kind", "a", "b", "c"])
-
-    def heads(batches):
-        for batch in batches:
-            for a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                d = np.frombuffer(c, dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, dtype=np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["row", "d0", "d1"])
-
-    def prefixes(batches):
-        """The shingles of several texts among the first n - ceil(similarity n) + 1 of each row."""
-        for t in groups_of(batches, 0):
-            kind, (a, b, c) = t.column(1).to_pylist(), (t.column(i).to_pylist() for i in (2, 3, 4))
-            head, own = kind.index(0), [i for i, k in enumerate(kind) if k == 1]
-            if not own:
-                continue
-            row, size = np.frombuffer(a[head], dtype=np.int64), np.frombuffer(b[head], dtype=np.int32).astype(np.int64)
-            doc = np.concatenate([np.frombuffer(a[i], dtype=np.uint16) for i in own]).astype(np.int64)
-            token, n = np.concatenate([np.frombuffer(b[i], dtype=np.int64) for i in own]), np.concatenate([np.frombuffer(c[i], dtype=np.int32) for i in own])
-            order = np.lexsort((token, n, doc))
-            doc, token = doc[order], token[order]
-            have = np.bincount(doc, minlength=len(row))
-            pos = np.arange(len(doc)) - (np.cumsum(have) - have)[doc] + (size - have)[doc]
-            keep = pos < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[doc]
-            doc, token, pos = doc[keep], token[keep], pos[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(row[doc]), pa.array(size[doc]), pa.array(pos)], names=["key", "row", "n", "pos"])
-
-    packed = base.mapInArrow(deal, "bucket int, kind int, pack long, a binary, b binary, c binary").repartition("bucket").sortWithinPartitions("bucket")
-    counted = stage(packed.mapInArrow(count, "pack long, kind int, a binary, b binary, c binary"), "copies-shingles")
-    rows = stage(counted.filter("kind = 0").select("a", "c").mapInArrow(heads, "row long, d0 long, d1 long"), "copies")
-    nodes = stage(rows.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "copies-nodes")
-    first = counted.repartition("pack").sortWithinPartitions("pack").mapInArrow(prefixes, "key long, row long, n long, pos long")
-    first = stage(first.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "copies-prefixes")
-
-    def propose(turn):
-        def run(batches):
-            """Rows come sorted by shingle, then by row: whole shingles, cut where it changes."""
-            tail = None
-            for batch in batches:
-                t = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
-                tail = t if tail is None else np.concatenate([tail, t], axis=1)
-                change = np.flatnonzero(np.diff(tail[0])) + 1
-                if len(change):
-                    yield from proposals(tail[:, : change[-1]], change[:-1])
-                    tail = tail[:, change[-1] :]
-            if tail is not None:
-                yield from proposals(tail, np.empty(0, dtype=np.int64))
-
-        def proposals(t, cuts):
-            begin = np.concatenate([[0], cuts, [t.shape[1]]]).astype(np.int64)
-            size, out, held = np.diff(begin), [], 0
-            two = begin[:-1][size == 2]
-            if len(two):
-                rest, need = t[2] - t[3], similarity / (1 + similarity)
-                ok = (np.minimum(rest[two], rest[two + 1]) >= need * (t[2][two] + t[2][two + 1]) - 1e-9) & (t[4][two] != t[4][two + 1])
-                out.append(t[1][np.stack([two[ok], two[ok] + 1])])
-            for k in np.flatnonzero(size > 2).tolist():
-                key, node, n, pos, label = t[:, begin[k] : begin[k + 1]]
-                if (label == label[0]).all():
-                    continue
-                at = (0, int(key[0]) * 2654435761 % (1 << 32) % len(n), None)[turn]
-                for a, b in admissible(n, pos, label, similarity, at):
-                    out.append(np.stack([node[a], node[b]]))
-                    held += len(a)
-                    if held > 1 << 18:
-                        yield pairs_of(out)
-                        out, held = [], 0
-            if out:
-                yield pairs_of(out)
-
-        def pairs_of(out):
-            p = np.sort(np.concatenate(out, axis=1), axis=0)
-            p = np.unique(p, axis=1) if p.shape[1] else p
-            return pa.RecordBatch.from_arrays([pa.array(p[0].copy()), pa.array(p[1].copy())], names=["src", "dst"])
-
-        return run
-
-    def shingles(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["row", "s"])
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    links = done = None
-    for turn in range(3):
-        if links is None:
-            members = first.withColumn("label", F.col("row"))
-        else:
-            members = first.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        dealt = members.select("key", "row", "n", "pos", "label").repartition("key").sortWithinPartitions("key", "row")
-        pairs = dealt.mapInArrow(propose(turn), "src long, dst long").distinct()
-        pairs = stage(pairs if done is None else pairs.join(done, ["src", "dst"], "left_anti"), "copies-pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        asked = pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct()
-        sets = stage(base.join(asked, "row", "left_semi").mapInArrow(shingles, "row long, s binary"), "copies-sets")
-        left, right = sets.select(F.col("row").alias("src"), F.col("s").alias("a")), sets.select(F.col("row").alias("dst"), F.col("s").alias("b"))
-        with arrow_rows(docs.sparkSession, 512):
-            found = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-    of_node = nodes.join(labels, "node", "left").select("d0", "d1", "n", F.coalesce("label", "node").alias("label"))
-    return spread_join(rows, of_node, ["d0", "d1"], "n", F.col("row")).select("row", "label")
-
-
 def op8_anchor_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from crucible.llm import ann, bpe, components, edit_counts, exact_dedup, hmm, mixing, sharding, simhash, suffix_dedup, toxicity
+from crucible.llm import ann, bpe, components, copies, edit_counts, exact_dedup, hmm, mixing, sharding, simhash, suffix_dedup, toxicity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -438,7 +438,7 @@ def test_near_copies_against_all_pairs(spark, tmp_path):
             rows.append(" ".join(w))
     rows += [None, "", "short text", "other text"]
     df = spark.createDataFrame(list(enumerate(rows)), "row long, text string")
-    got = {r.row: r.label for r in simhash.near_copies(df, "row").collect()}
+    got = {r.row: r.label for r in copies.near_copies(df, "row").collect()}
     sets = [shingles(t) for t in rows]
     jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     pairs = [(a, b) for a in range(len(rows)) for b in range(a) if jac(a, b) >= 0.8]
@@ -447,10 +447,10 @@ def test_near_copies_against_all_pairs(spark, tmp_path):
     assert {i: got[i] for i in range(len(rows))} == want
 
 
-def groups_of_pairs(spark, rows):
+def groups_of_pairs(spark, rows, **params):
     """What near_copies gives and what all pairs give."""
     df = spark.createDataFrame(list(enumerate(rows)), "row long, text string")
-    got = {r.row: r.label for r in simhash.near_copies(df, "row").collect()}
+    got = {r.row: r.label for r in copies.near_copies(df, "row", **params).collect()}
     sets = [shingles(t) for t in rows]
     jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     return got, brute_components([(a, b) for a in range(len(rows)) for b in range(a) if jac(a, b) >= 0.8], range(len(rows)))
@@ -488,6 +488,34 @@ def test_near_copies_in_one_large_group(spark):
     assert got == want
 
 
+def test_near_copies_when_keys_are_divided(spark):
+    """Keys of many small parts: two families that few pairs join, rows without a partner, and shingles that most texts of a pack have."""
+    rng, rows = random.Random(6), []
+    base = [f"w{rng.random()}" for _ in range(150)]
+    for i in range(260):
+        w = list(base)
+        for k in rng.sample(range(0, 75, 5) if i % 2 else range(75, 150, 5), rng.randrange(2, 7)):
+            w[k] = f"e{rng.random()}"
+        rows.append(" ".join(w))
+    got, want = groups_of_pairs(spark, rows, part=16, reach=2)
+    assert 2 < len(set(want.values())) < 200
+    assert got == want
+
+
+def test_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(7)
+    filter_ = copies.Filter(0.8)
+    for n in (1, 9, 40, 300, 3000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 42, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 1 << 42, 1 + n // 9, dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            bits = [np.frombuffer(copies.parity(x), dtype=np.uint64)[None] for x in (a, b)]
+            one = lambda x: np.array([x])
+            may = filter_(one(len(a)), one(0), one(1), bits[0], one(len(b)), one(0), one(2), bits[1])[0]
+            assert may or both < 0.8 * (len(a) + len(b) - both)
+
+
 def test_near_copies_with_a_repeated_majority(spark):
     """One shingle makes most of each text; what else they say differs, but for two."""
     rng = random.Random(5)
