@@ -3,8 +3,7 @@
 Tier one: a minimal perfect hash over the vocabulary resolves each pre-token
 that is a vocabulary entry as a whole. Tier two: the others are merged with a
 heap of candidate pairs over a doubly linked list of bytes. Pre-tokens repeat,
-so a batch resolves its distinct ones, and a bounded table keeps the frequent
-ones between batches.
+so a batch resolves only those that a bounded table does not hold, each once.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,16 @@ from pyspark.sql import types as T
 
 from crucible.llm.common import table
 
-#: Pre-tokens in a generation of those that a worker keeps between batches.
+#: Pre-tokens in a generation of those that a worker keeps between batches: some 250 bytes each, and there are two generations.
 KEPT = 150_000
+#: Bits of an id in a pair's number.
+ID_BITS = 20
 #: Longer pre-tokens are not kept.
 KEPT_BYTES = 64
 
+#: Stands for a byte that is no vocabulary entry.
+NO_BYTE = (1 << ID_BITS) - 1
+
 #: A displacement from here on is a place.
 DIRECT = np.uint64(1 << 62)
 
@@ -105,38 +110,63 @@ class TwoTierBpe:
         for w, p in zip(words, place.tolist(), strict=True):
             self.word_at[p], self.id_at[p] = w, ranks[w]
         self.packed_at = [np.int32(i).tobytes() for i in self.id_at.tolist()]
+        if max(ranks.values(), default=0) >= NO_BYTE:
+            raise ValueError(f"ids must be below {NO_BYTE}")
+        self.byte_ids = [ranks.get(bytes([b]), NO_BYTE) for b in range(256)]
+        self.partial = NO_BYTE in self.byte_ids
+        #: The rank of two neighbours joined, by their ids.
+        self.pair = {ranks[a] << ID_BITS | ranks[b]: r for w, r in ranks.items() for k in range(1, len(w)) if (a := w[:k]) in ranks and (b := w[k:]) in ranks}
         of = {i: w for w, i in ranks.items()}
         self.bytes_table = Strings([of.get(i, b"") for i in range(max(of, default=-1) + 1)])
         self.decimal_table = Strings([b"%d," % i for i in range(max(of, default=-1) + 1)])
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Pre-tokens that the young generation did not hold, and those of them that the old one did not hold either.
+        self.asked = self.resolved = 0
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> TwoTierBpe:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
-        """The ids of a pre-token that is no vocabulary entry: repeatedly join the pair of lowest rank, the leftmost of equals."""
-        ranks, n = self.ranks, len(word)
-        part = [word[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    def merge(self, word: bytes) -> list[int]:
+        """The ids of a pre-token that is no vocabulary entry: repeatedly join the pair of lowest rank, the leftmost of equals.
+
+        A heap's entry is a pair's rank and the place where it begins; it is
+        out of date if the pair at that place has another rank by now.
+        """
+        pair, push, pop, n = self.pair.get, heapq.heappush, heapq.heappop, len(word)
+        byte = self.byte_ids
+        ids = [byte[x] for x in word]
+        rank = [pair(a << ID_BITS | b, -1) for a, b in pairwise(ids)]
+        bits = 12 if n < 1 << 12 else 40  # small numbers are quicker
+        place = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(rank) if r >= 0]
+        rank.append(-1)
+        left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            x = pop(heap)
+            i, r = x & place, x >> bits
+            if rank[i] != r:
+                continue
             j = right[i]
-            if part[i] is not a or j < 0 or part[j] is not b:
-                continue  # one side has been merged since
-            part[i], part[j] = a + b, b""
             right[i] = k = right[j]
-            if k >= 0:
+            ids[i], ids[j], rank[j] = r, -1, -1
+            if k < n:
                 left[k] = i
-                if (r := ranks.get(part[i] + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, part[i], part[k]))
-            if (h := left[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
-                heapq.heappush(heap, (r, h, part[h], part[i]))
-        return tuple(ranks[p] for p in part if p)
+                rank[i] = q = pair(r << ID_BITS | ids[k], -1)
+                if q >= 0:
+                    push(heap, q << bits | i)
+            else:
+                rank[i] = -1
+            if (h := left[i]) >= 0:
+                rank[h] = q = pair(ids[h] << ID_BITS | r, -1)
+                if q >= 0:
+                    push(heap, q << bits | h)
+        if self.partial and NO_BYTE in ids:
+            raise ValueError("a byte of a text is no vocabulary entry")
+        return [x for x in ids if x >= 0]
 
     def resolve(self, pre_tokens: list[str]) -> dict[str, bytes]:
         """The ids of distinct pre-tokens, as 4 bytes each."""
@@ -149,22 +179,30 @@ class TwoTierBpe:
                 out[p] = id_at[at] if word_at[at] == w else np.array(merge(w), dtype=pack).tobytes()
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text. The pre-tokens that are new to the worker are resolved together.
+    def encode_batch(self, texts: list[str | None], most: int = KEPT) -> list[np.ndarray]:
+        """The ids of each text. The pre-tokens that the worker does not hold are resolved together.
 
-        What was resolved is kept in two generations: when the young one is
-        full it becomes the old one, from which pre-tokens that occur again return.
+        What was resolved is kept in two generations of some `most`: when the
+        young one is full it becomes the old one, from which pre-tokens that
+        occur again return.
         """
-        split = [self.pattern.findall(text or "") for text in texts]
-        distinct = set().union(*split)
-        if len(self.kept) > KEPT:
+        if len(self.kept) > most:
             self.old, self.kept = self.kept, {}
-        kept, old = self.kept, self.old
-        missing = [p for p in distinct if p not in kept]
-        kept.update([(p, old[p]) for p in missing if p in old])
-        kept.update(self.resolve([p for p in missing if p not in old]))
-        look, join = kept.__getitem__, b"".join
-        out = [np.frombuffer(join(map(look, pre)), dtype=np.int32) for pre in split]
+        kept, old, join, find = self.kept, self.old, b"".join, self.pattern.findall
+        split = [find(text or "") for text in texts]
+        got = [list(map(kept.get, pre)) for pre in split]
+        open_ = [i for i, ids in enumerate(got) if None in ids]
+        missing = {p for i in open_ for p, ids in zip(split[i], got[i], strict=True) if ids is None}
+        if missing:
+            self.asked += len(missing)
+            fresh = [p for p in missing if p not in old]
+            self.resolved += len(fresh)
+            kept.update([(p, old[p]) for p in missing if p in old])
+            kept.update(self.resolve(fresh))
+            look = kept.__getitem__
+            for i in open_:
+                got[i] = map(look, split[i])
+        out = [np.frombuffer(join(ids), dtype=np.int32) for ids in got]
         for p in missing:
             if len(p) > KEPT_BYTES:
                 del kept[p]
@@ -214,13 +252,14 @@ def lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, dtype=np.int32)])))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_col: str = "text", ids_col: str = "token_ids", kept_tokens: int = KEPT) -> DataFrame:
     """docs with the ids of each whole text as `ids_col` (array of int), which replaces a column of that name.
 
     Null and empty texts have no ids. Each match of the pattern is encoded
     separately and special tokens have no meaning. Rows are independent: there
     is no shuffle, and repeated rows give repeated results. The vocabulary
-    file must lie at the same path on every machine.
+    file must lie at the same path on every machine. `kept_tokens` bounds what
+    a worker keeps, not the result.
     """
     path, pattern = _vocabulary(path, pattern)
     kept = [c for c in docs.columns if c != ids_col]
@@ -233,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         for big in batches:
             for k in range(0, big.num_rows, ROWS):
                 batch = big.slice(k, ROWS)
-                ids = bpe.encode_batch(batch.column(at).to_pylist())
+                ids = bpe.encode_batch(batch.column(at).to_pylist(), kept_tokens)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), lists(ids)], names=[*kept, ids_col])
 
     return docs.mapInArrow(encode, schema)
@@ -266,7 +305,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
     return encoded.mapInArrow(decode, schema)
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", kept_tokens: int = KEPT) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode_documents and decode_documents in one pass, for those who need only digests.
 
     The first digest is of the decimal ids joined by commas, the second of the
@@ -281,7 +320,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         for big in batches:
             for k in range(0, big.num_rows, ROWS):
                 batch = big.slice(k, ROWS)
-                ids = bpe.encode_batch(batch.column(1).to_pylist())
+                ids = bpe.encode_batch(batch.column(1).to_pylist(), kept_tokens)
                 size = np.array([len(x) for x in ids])
                 flat, last = np.concatenate([*ids, np.empty(0, dtype=np.int32)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
                 raw, cuts = _pieces(bpe.bytes_table, flat, last)
@@ -297,4 +336,4 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def op10_two_tier_bpe(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"), kept_tokens=4 * KEPT)
