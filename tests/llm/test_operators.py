@@ -170,9 +170,9 @@ def brute_targets(sizes):
 
 
 def test_mixing(docs):
-    run = lambda: sorted(mixing.mix_sources(docs, shards=5, block_words=64).rows.collect(), key=repr)
+    run = lambda **k: sorted(mixing.mix_sources(docs, shards=5, block_words=64, **k).rows.collect(), key=repr)
     rows = run()
-    assert [(r.doc_id, r["size"], r.first, r.second) for r in rows] == [(r.doc_id, r["size"], r.first, r.second) for r in run()]
+    assert rows == run() == run(few_sources=0)
     size = defaultdict(int)
     for (_, t, s, *_x) in corpus():
         size[s] += len(WORDS.findall(t or ""))
@@ -180,25 +180,66 @@ def test_mixing(docs):
     for r in rows:
         assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6
         n = r.first + r.second
-        assert n <= 2 * r["size"] and n == sum(x["to"] - x["from"] for x in r.spans)
-        assert all(0 <= x["from"] < x["to"] <= r["size"] and 0 <= x["shard"] < 5 for x in r.spans)
+        assert n <= 2 * r["size"] and n == sum(x["taken"] for x in r.draws)
+        assert all(0 < x["taken"] <= r["size"] and 0 <= x["shard"] < 5 for x in r.draws)
         taken[r.source] += n
     assert all(0 <= want[s] - taken[s] < 1 for s in want)
 
 
-def test_mixing_spans_are_disjoint_and_follow_the_tree(docs):
-    m = mixing.mix_sources(docs, shards=5, block_words=64)
-    seen, blocks = set(), defaultdict(set)
-    rows = m.rows.select("source", "key", "doc_id", "spans").collect()
-    for r in rows:
-        for x in r.spans:
-            blocks[r.source, x["block"]].add(x["shard"])
+def test_mixing_follows_the_tree(spark, monkeypatch):
+    """Texts of one word in blocks of four: each shard gets as many blocks of each source as the tree says, disjoint, and not the stream's next ones."""
+    rows = [(i, "word", f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.col("doc_id"))
+    m = mixing.mix_sources(df, shards=5, block_words=4, carry=("n",))
+    blocks = defaultdict(set)
+    for r in m.rows.select("source", F.explode("draws").alias("d")).select("source", "d.*").collect():
+        blocks[r.source, r.block].add(r.shard)
     assert all(len(s) == 1 for s in blocks.values())
-    order = sorted(m.quotas, key=lambda s: (s is None, s or ""))
-    count = Counter((s, next(iter(shards))) for (s, _), shards in blocks.items())
-    for i, s in enumerate(order):
-        assert [count[s, k] for k in range(5)] == m.tree[:, i].tolist()
-    assert not seen
+    for i, s in enumerate(m.quotas):
+        assert len([b for x, b in blocks if x == s]) == -(-m.quotas[s] // 4)
+        assert [sum(blocks[s, b] == {k} for x, b in blocks if x == s) for k in range(5)] == m.tree[:, i].tolist()
+        order = [next(iter(blocks[s, b])) for b in sorted(b for x, b in blocks if x == s)]
+        assert order != sorted(order)
+    places = defaultdict(list)
+    for r in m.placed("n").collect():
+        places[r.shard].append((r.place, r.part, r.n))
+    for some in places.values():
+        some.sort()
+        assert [p for p, _, _ in some] == list(range(len(some))) and [q for _, q, _ in some] == sorted(q for _, q, _ in some)
+        assert [d for _, _, d in some] != sorted(d for _, _, d in some)
+    before = {k: sorted(d for _, _, d in v) for k, v in places.items()}
+    out = lambda: [r.doc_id for r in mixing.mixed_documents(df, shards=5, block_words=4).collect()]
+    order = out()
+    assert Counter(order) == Counter(d for v in before.values() for d in v) and order == out()
+
+    def all_first(quotas, shards, seed=42):
+        t = np.zeros((shards, len(quotas)), dtype=np.int64)
+        t[0] = quotas
+        return t
+
+    monkeypatch.setattr(mixing, "splitting_tree", all_first)
+    assert {r.shard for r in mixing.mix_sources(df, shards=5, block_words=4, carry=("n",)).placed("n").collect()} == {0}
+    assert out() != order
+
+
+def test_hypergeometric_beyond_the_sampler(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(mixing, "LARGE", 0)
+    for good, bad, n in ((60, 20, 40), (5, 500, 30), (7, 0, 3), (0, 7, 3), (3, 9, 12), (400, 400, 1)):
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+        mean, whole = n * good / (good + bad), good + bad
+        var = mean * bad / whole * (whole - n) / max(1, whole - 1)
+        assert abs(got.mean() - mean) <= 5 * np.sqrt(var / 4000) + 1e-9 and abs(got.var() - var) <= 0.15 * var + 1e-9
+    far = [mixing.hypergeometric(rng, 6 * 10**9, 4 * 10**9, 5 * 10**9) for _ in range(30)]
+    assert len(set(far)) == 30 and abs(np.mean(far) - 3 * 10**9) < 5 * 25_000 / np.sqrt(30)
+
+
+def test_permutation_is_one():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 10, 97, 1000):
+        a, c = mixing.permutation(n, rng)
+        assert sorted((a * b + c) % n for b in range(n)) == list(range(n))
 
 
 def test_splitting_tree_is_exact_and_fair():
@@ -212,7 +253,7 @@ def test_splitting_tree_is_exact_and_fair():
 
 
 def test_mixed_documents(docs, empty):
-    more = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("size", F.lit("s")).withColumn("taken", F.lit(1)).withColumn("spans", F.lit(None).cast("string"))
+    more = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("size", F.lit("s")).withColumn("taken", F.lit(1)).withColumn("_mix_row", F.lit("r")).withColumn("shard", F.lit(9))
     out = mixing.mixed_documents(more)
     assert out.columns == more.columns
     words = defaultdict(int)
