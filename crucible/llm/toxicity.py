@@ -2,32 +2,33 @@
 
 Linear models predict the categories one after the other; each sees the
 probabilities of the earlier ones besides the text's features. For training,
-these probabilities come out of fold: from models that did not see the row.
-The features are words and the first characters of words; the executors count
-them by class, and the most telling ones, a bounded number, make the model.
+these probabilities come out of fold: from models that did not see the row, with
+features that were chosen without it. The features are words and the first
+characters of words; the executors count them by fold and class, and the most
+telling ones, a bounded number, make a model.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crucible.llm.common import stage, table
 
 #: Labelled rows that train the chain, at most: those of the smallest hash.
 MOST_LABELLED = 20_000
-#: Features, at most, and how telling one must be (log likelihood ratio).
+#: Features of a model, at most, and how telling one must be for a category (log likelihood ratio).
 MOST_FEATURES, LEAST_G2 = 4000, 20.0
 PREFIXES = (4, 5)
 FOLDS = 5
-#: In this order. `pervasive` and `scattered` divide toxic texts by how densely the telling features stand in them.
-CATEGORIES = ("pervasive", "scattered", "toxic")
-REJECT_AT = 0.35
+#: In this order, the last one decides: what a label table says about a text. It labels one kind of toxicity; a chain takes any number.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic > 0"}
 STRIP = ".,;:!?\"'()[]{}<>*#%$&|/\\-_=+~`^@"
 
 
@@ -41,24 +42,28 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Chain:
-    """For category i: probability = sigmoid(bias + features + chain[i] . logits of the earlier categories)."""
+    """For category i: probability = sigmoid(bias + features + links[i] . probabilities of the earlier categories)."""
 
     categories: tuple[str, ...]
     index: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
     links: np.ndarray
+    reject_at: float = 1.0
+    """The least probability of the last category that rejects a text."""
 
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities (rows by categories) of rows of feature numbers."""
         out = np.zeros((len(rows), len(self.categories)))
-        logits = np.zeros_like(out)
         for c in range(len(self.categories)):
             base = np.array([self.weights[c][r].sum() for r in rows]) if rows else np.zeros(0)
-            logits[:, c] = self.bias[c] + base + logits[:, :c] @ self.links[c][:c]
-            out[:, c] = 1 / (1 + np.exp(-np.clip(logits[:, c], -30, 30)))
+            out[:, c] = sigmoid(self.bias[c] + base + out[:, :c] @ self.links[c][:c])
         return out
 
 
@@ -105,7 +110,7 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_featu
 
     def loss(p: np.ndarray):
         z = np.bincount(owner, weights=p[flat], minlength=len(rows)) + p[n_features] + dense @ p[n_features + 1 :]
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        r = (sigmoid(z) - y) * weight
         g = np.concatenate([np.bincount(flat, weights=r[owner], minlength=n_features), [r.sum()], dense.T @ r])
         return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.5 * float(free @ (p * p)), g + free * p
 
@@ -113,83 +118,123 @@ def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_featu
     return p[:n_features], p[n_features], p[n_features + 1 :]
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, index: dict[str, int], categories=CATEGORIES, fold: np.ndarray | None = None) -> Chain:
-    """A chain from rows of feature numbers and 0/1 labels (rows by categories)."""
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, index: dict[str, int], categories, fold: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[Chain, np.ndarray]:
+    """A chain from rows of feature numbers and 0/1 labels (rows by categories), and the out-of-fold probabilities that trained it.
+
+    allowed[f]: which features a model without fold f may use; the last entry is
+    that of the models of all rows. Without it all may use all.
+    """
     n, k = len(index), len(categories)
-    fold = np.arange(len(rows)) % FOLDS if fold is None else fold
-    logits = np.zeros((len(rows), k))
+    folds = int(fold.max()) + 1 if len(fold) else 0
+    use = allowed if allowed is not None else [np.ones(n, dtype=bool)] * (folds + 1)
+    out = np.zeros((len(rows), k))
     weights, bias, links = np.zeros((k, n)), np.full(k, -30.0), np.zeros((k, k))
+
+    def fit(some: np.ndarray, c: int, may: np.ndarray):
+        y = labels[some, c].astype(np.float64)
+        if not 0 < y.sum() < len(y):
+            return np.zeros(n), 30.0 if len(y) and y.all() else -30.0, np.zeros(c)
+        return fit_linear([r[may[r]] for r in (rows[i] for i in some)], out[some, :c], y, n)
+
     for c in range(k):
-        y = labels[:, c].astype(np.float64)
-        if 0 < y.sum() < len(y):
-            w, b, d = fit_linear(rows, logits[:, :c], y, n)
-            weights[c], bias[c], links[c, :c] = w, b, d
-        else:
-            bias[c] = 30.0 if len(y) and y.all() else -30.0
-        for f in range(FOLDS):
-            own, other = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            if not len(own):
-                continue
-            if 0 < y[other].sum() < len(other):
-                w, b, d = fit_linear([rows[i] for i in other], logits[other, :c], y[other], n)
-                logits[own, c] = np.clip([b + w[rows[i]].sum() for i in own] + logits[own, :c] @ d, -30, 30)
-            else:
-                logits[own, c] = bias[c]
-    return Chain(tuple(categories), index, weights, bias, links)
-
-
-def weak_categories(rows: list[np.ndarray], n_words: np.ndarray, toxic: np.ndarray, telling: np.ndarray) -> np.ndarray:
-    """Labels of CATEGORIES: a toxic text is pervasive if its share of telling features is at least the median of toxic texts, else scattered."""
-    share = np.array([telling[r].sum() for r in rows]) / np.maximum(1, n_words) if len(rows) else np.zeros(0)
-    bar = np.median(share[toxic > 0]) if (toxic > 0).any() else 0.0
-    dense = (toxic > 0) & (share >= bar)
-    return np.stack([dense, (toxic > 0) & ~dense, toxic > 0], axis=1).astype(np.int64)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_labelled: int = MOST_LABELLED) -> Chain:
-    """The chain from labelled documents: at most `most_labelled`, by hash. Rows without label or identifier do not count; of several labels the largest does."""
-    chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
+        weights[c], bias[c], links[c, :c] = fit(np.arange(len(rows)), c, use[-1])
+        for f in range(folds):
+            own = np.flatnonzero(fold == f)
+            if len(own):
+                w, b, d = fit(np.flatnonzero(fold != f), c, use[f])
+                out[own, c] = sigmoid(np.array([w[rows[i]].sum() for i in own]) + b + out[own, :c] @ d)
+    return Chain(tuple(categories), index, weights, bias, links, best_bar(out[:, -1], labels[:, -1]) if len(rows) else 1.0), out
+
+
+def best_bar(p: np.ndarray, y: np.ndarray) -> float:
+    """The bar for probabilities p at which precision and recall of y have the largest harmonic mean, halfway between two of them, so that no row lies on it.
+
+    Without rows of either class, or where nothing tells them apart: 1, which
+    none reaches.
+    """
+    order = np.argsort(-p, kind="stable")
+    p, hits = p[order], np.cumsum(y[order])
+    last = np.flatnonzero(np.diff(p))  # whole ties; a bar below all rows is none
+    if not len(last) or not 0 < hits[-1] < len(y):
+        return 1.0
+    f1 = 2 * hits[last] / (last + 1 + hits[-1])
+    best = last[f1 == f1.max()]
+    i = best[np.argmax(p[best] - p[best + 1])]  # of equals the widest gap
+    return float((p[i] + p[i + 1]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None, most_labelled: int = MOST_LABELLED) -> Chain:
+    """The chain from labelled documents: at most `most_labelled`, by hash.
+
+    `categories` are conditions on the label table, in the order of the chain;
+    conditions on columns that it does not have are left out. Rows without
+    identifier, or for which a condition is null, do not count; of several
+    labels each condition that one fulfils does, and of several texts with one
+    identifier that of the smallest hash. Null texts are empty, and texts are read whole.
+    """
+    categories = {k: v for k, v in (categories or CATEGORIES).items() if v.split()[0] in labels.columns}
+    names = tuple(categories)
+    k = len(names)
+    asked = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *(F.expr(v).alias(f"y{i}") for i, v in enumerate(categories.values()))).dropna()
+    chosen = asked.groupBy("_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(k)))
     chosen = chosen.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(most_labelled)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_toxic").distinct()
-    known = stage(known, "toxicity-labelled")
+    text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    known = text.groupBy("_id").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"), *(F.first(f"y{i}").alias(f"y{i}") for i in range(k)))
+    fold = F.pmod(F.xxhash64("_text", F.lit(11)), F.lit(FOLDS)).cast("int")
+    known = stage(known.select("_text", fold.alias("fold"), *(f"y{i}" for i in range(k))), "toxicity-labelled")
 
     def expand(batches):
         for big in batches:
             for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                words, toxic = [], []
-                for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                batch, words, of = big.slice(at, 256), [], []
+                for i, text in enumerate(batch.column(0).to_pylist()):
                     mine = features(text)
                     words += mine
-                    toxic += [y] * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.bool_())], names=["f", "y"])
-
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("_toxic").alias("t")).first()
-    counts = known.mapInArrow(expand, "f string, y boolean").groupBy("f").agg(F.count_if("y").alias("t"), F.count_if(~F.col("y")).alias("c"))
-    part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
-    share = (F.col("t") + F.col("c")) / F.lit(float(max(1, total.n)))
-    t_all, c_all = F.lit(float(max(1, total.t))), F.lit(float(max(1, total.n - total.t)))
-    g2 = 2 * (part(F.col("t"), t_all * share) + part(F.col("c"), c_all * share) + part(t_all - F.col("t"), t_all * (1 - share)) + part(c_all - F.col("c"), c_all * (1 - share)))
-    telling = counts.filter("t + c >= 2").withColumn("g", F.round(g2, 6)).filter((F.col("g") >= LEAST_G2) & (F.col("t") * c_all > F.col("c") * t_all))
-    top = telling.orderBy(F.desc("g"), "f").limit(MOST_FEATURES).select("f", "g").collect()
-    index = {r.f: i for i, r in enumerate(top)}
+                    of += [i] * len(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(batch.column(1 + c).take(pa.array(of, pa.int32())) for c in range(1 + k))], names=["f", "fold", *(f"y{c}" for c in range(k))])
+
+    def cells(rows):
+        """n{f}: rows of fold f; t{f}_{c}: those of category c."""
+        return [*(F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(FOLDS)), *(F.count_if((F.col("fold") == f) & F.col(f"y{c}")).alias(f"t{f}_{c}") for f in range(FOLDS) for c in range(k))]
+
+    whole = known.agg(*cells(known)).first()
+    counts = known.mapInArrow(expand, "f string, fold int, " + ", ".join(f"y{c} boolean" for c in range(k))).groupBy("f").agg(*cells(known))
+
+    def telling(without: int | None):
+        """How telling a feature is for any category, in the folds but one."""
+        rest = [f for f in range(FOLDS) if f != without]
+        of = lambda x: sum((F.col(x.format(f)) for f in rest), F.lit(0))
+        n, n_all = of("n{}"), float(sum(whole[f"n{f}"] for f in rest))
+        part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
+        g = []
+        for c in range(k):
+            t, t_all = of(f"t{{}}_{c}"), float(sum(whole[f"t{f}_{c}"] for f in rest))
+            if 0 < t_all < n_all:
+                share = n / F.lit(n_all)
+                g.append(2 * (part(t, t_all * share) + part(n - t, (n_all - t_all) * share) + part(t_all - t, t_all * (1 - share)) + part(n_all - t_all - (n - t), (n_all - t_all) * (1 - share))))
+        return F.when(n >= 2, F.round(F.greatest(*g) if len(g) > 1 else g[0], 6)).otherwise(0.0) if g else F.lit(0.0)
+
+    choices = [*range(FOLDS), None]
+    counts = stage(counts.filter(" + ".join(f"n{f}" for f in range(FOLDS)) + " >= 2"), "toxicity-features")
+    chosen_of = [counts.select("f", telling(f).alias("g"), F.lit(i).alias("i")).filter(F.col("g") >= LEAST_G2).orderBy(F.desc("g"), "f").limit(MOST_FEATURES) for i, f in enumerate(choices)]
+    top = reduce(DataFrame.unionByName, chosen_of).collect()  # MOST_FEATURES rows for each choice at most
+    index = {f: i for i, f in enumerate(sorted({r.f for r in top}))}
+    allowed = [np.zeros(len(index), dtype=bool) for _ in choices]
+    for r in top:
+        allowed[r.i][index[r.f]] = True
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def encode(batches):
         for batch in batches:
-            index, rows, n, fold = shared.value, [], [], []
-            for text in batch.column(0).to_pylist():
-                mine = features(text)
-                rows.append(sorted(index[f] for f in mine if f in index))
-                n.append(len(mine))
-                fold.append(zlib.crc32((text or "").encode()) % FOLDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(fold, pa.int32()), batch.column(1)], names=["r", "n", "fold", "y"])
-
-    got = known.mapInArrow(encode, "r array<int>, n int, fold int, y boolean").orderBy("y", "n", "fold", "r").collect()  # most_labelled rows of few numbers
+            index = shared.value
+            rows = [sorted(index[f] for f in features(text) if f in index) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *(batch.column(1 + c) for c in range(1 + k))], names=["r", "fold", *(f"y{c}" for c in range(k))])
+
+    order = ["fold", *(f"y{c}" for c in range(k)), "r"]
+    got = known.mapInArrow(encode, "r array<int>, fold int, " + ", ".join(f"y{c} boolean" for c in range(k))).orderBy(*order).collect()  # most_labelled rows of few numbers
     rows = [np.array(r.r, dtype=np.int64) for r in got]
-    toxic = np.array([r.y for r in got], dtype=np.int64)
-    labels_of = weak_categories(rows, np.array([r.n for r in got]), toxic, np.ones(len(index)))
-    return fit_chain(rows, labels_of, index, fold=np.array([r.fold for r in got], dtype=np.int64))
+    y = np.array([[r[f"y{c}"] for c in range(k)] for r in got], dtype=np.int64).reshape(len(got), k)
+    return fit_chain(rows, y, index, names, np.array([r.fold for r in got], dtype=np.int64), allowed)[0]
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
@@ -214,19 +259,20 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "
                 p = chain.predict(rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in order), *(pa.array(p[:, c].copy()) for c in range(p.shape[1]))], names=[*kept, *names])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(work, T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in names]))
 
 
-def judge(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
-    """docs with the chain's probabilities and `rejected`: the last category's probability is at least reject_at.
+def judge(docs: DataFrame, labels: DataFrame, reject_at: float | None = None, prefix: str = "p_", flag: str = "rejected") -> DataFrame:
+    """docs with the chain's probabilities and `rejected`: the last category's probability is at least reject_at, or else the chain's own bar.
 
-    Repeated rows are judged alike. Without toxic or without clean labelled
-    texts there is nothing to learn, and nothing is rejected.
+    Columns of these names are replaced; prefix and flag choose others. Repeated
+    rows are judged alike, null and empty texts as texts without features, very
+    long ones whole. Without texts of either class there is nothing to learn, and
+    nothing is rejected; an empty table gives no rows.
     """
     chain = train(docs, labels)
-    return score(docs, chain).withColumn("rejected", (F.col("p_" + chain.categories[-1]) >= reject_at) & F.lit(bool(len(chain.index))))
+    bar = chain.reject_at if reject_at is None else reject_at
+    return score(docs, chain, prefix=prefix).withColumn(flag, (F.col(prefix + chain.categories[-1]) >= bar) & F.lit(bool(len(chain.index))))
 
 
 def op6_classifier_chain(spark, sf_dir):

@@ -830,14 +830,59 @@ def test_nothing_to_learn_rejects_nothing(spark):
     assert toxicity.judge(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
-def test_chain_feeds_probabilities_forward():
+def brute_logistic(x, y, l2=1e-3):
+    """Newton's method on the dense matrix; the last column is the free bias."""
+    w = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    ridge, p = np.diag([l2] * (x.shape[1] - 1) + [0.0]), np.zeros(x.shape[1])
+    for _ in range(60):
+        m = 1 / (1 + np.exp(-x @ p))
+        p = p - np.linalg.solve((x * (w * m * (1 - m))[:, None]).T @ x + ridge, x.T @ (w * (m - y)) + ridge @ p)
+    return p
+
+
+def test_chain_equals_brute_force():
+    """Three categories, each model with the features that its folds allow and the out-of-fold probabilities of the earlier ones."""
     rng = np.random.default_rng(0)
-    rows = [np.array([0] if i % 4 == 0 else [1], dtype=np.int64) for i in range(400)]
-    first = np.array([int(i % 4 == 0) for i in range(400)])
-    labels = np.stack([first, first, first], axis=1)
-    chain = toxicity.fit_chain(rows, labels, {"a": 0, "b": 1})
-    assert (chain.links[1][:1] > 0).all() and (chain.links[2][:2] > 0).all() and chain.links[0].sum() == 0
-    p = chain.predict(rows)
-    assert p.shape == (400, 3) and (p[first == 1, 2] > 0.9).all() and (p[first == 0, 2] < 0.1).all()
-    held = toxicity.fit_chain(rows[:200], labels[:200], {"a": 0, "b": 1}).predict(rows[200:])[:, 2] > 0.5
-    assert (held == (first[200:] > 0)).mean() > 0.99 and rng is not None
+    x = (rng.random((300, 6)) < 0.3).astype(float)
+    noise = rng.random((300, 3)) < 0.15
+    labels = np.stack([x[:, 0] > 0, (x[:, 1] > 0) | (x[:, 0] > 0), (x[:, 0] + x[:, 2]) > 0], axis=1) ^ noise
+    labels, fold = labels.astype(np.int64), np.arange(300) % 5
+    allowed = [np.arange(6) != f for f in range(5)] + [np.ones(6, dtype=bool)]
+    rows = [np.flatnonzero(r) for r in x]
+    index = {c: i for i, c in enumerate("abcdef")}
+    chain, held = toxicity.fit_chain(rows, labels, index, "xyz", fold, allowed)
+    want, whole = np.zeros((300, 3)), np.zeros((300, 3))
+    for c in range(3):
+        for f in range(5):
+            some = lambda pick: np.concatenate([(x * allowed[f])[pick], want[pick, :c], np.ones((pick.sum(), 1))], axis=1)  # noqa: B023, E731
+            want[fold == f, c] = 1 / (1 + np.exp(-some(fold == f) @ brute_logistic(some(fold != f), labels[fold != f, c].astype(float))))
+        every = np.concatenate([x, want[:, :c], np.ones((300, 1))], axis=1)
+        p = brute_logistic(every, labels[:, c].astype(float))
+        whole[:, c] = 1 / (1 + np.exp(-np.concatenate([x, whole[:, :c], np.ones((300, 1))], axis=1) @ p))
+    assert np.abs(held - want).max() < 2e-3 and np.abs(chain.predict(rows) - whole).max() < 2e-3
+    assert chain.links[1][0] > 0 and chain.links[2][:2].any() and not chain.links[0].any()
+    assert 0 < chain.reject_at < 1
+    # A fold's labels have no say in its own probabilities.
+    flipped = labels.copy()
+    flipped[fold == 2, 0] ^= 1
+    assert np.array_equal(toxicity.fit_chain(rows, flipped, index, "xyz", fold, allowed)[1][fold == 2, 0], held[fold == 2, 0])
+
+
+def test_best_bar():
+    y = np.array([1, 1, 0, 1, 0, 0])
+    assert toxicity.best_bar(np.array([0.9, 0.8, 0.2, 0.7, 0.1, 0.1]), y) == pytest.approx(0.45)
+    assert toxicity.best_bar(np.full(6, 0.5), y) == 1.0
+    assert toxicity.best_bar(np.arange(6) / 6, np.zeros(6, dtype=int)) == toxicity.best_bar(np.zeros(0), np.zeros(0, dtype=int)) == 1.0
+
+
+def test_chain_reads_whole_texts_and_one_text_of_an_identifier(spark):
+    rows, marks = toxic_corpus()
+    long = " ".join(random.Random(3).choice(VOCAB) for _ in range(200_000))
+    docs = spark.createDataFrame([*rows, *[(i, "another text") for i, _ in marks[:40]], (7001, long + " rotten swine! Vileb"), (7002, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2, y) for i, y in marks], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    assert chain.categories == ("low_quality", "toxic")
+    got = {r.doc_id: r.bad for r in toxicity.judge(docs.filter("doc_id > 7000"), labels.limit(0), prefix="q_", flag="bad").collect()}
+    assert got == {7001: False, 7002: False}
+    got = {r.doc_id: r.rejected for r in toxicity.judge(docs, labels).filter("doc_id > 7000").collect()}
+    assert got == {7001: True, 7002: False}
