@@ -82,6 +82,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def unused_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, with as many underscores behind it as it takes for no column of df to begin with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
