@@ -102,14 +102,14 @@ matches AS (
 
 VIEWS = """
 views AS (
-  SELECT vec_id - vec_id % 8 AS batch, vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS a, CAST(embedding[33:40] AS DOUBLE[]) AS b FROM embeddings),
+  SELECT vec_id - vec_id % 8 AS batch, vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS a, CAST(embedding[33:64] AS DOUBLE[]) AS b FROM embeddings),
 long AS (
-  SELECT batch, vec_id, 'a' AS view, unnest(range(8)) AS dim, unnest(a) AS x FROM views
-  UNION ALL SELECT batch, vec_id, 'b', unnest(range(8)), unnest(b) FROM views)"""
+  SELECT batch, vec_id, 'a' AS view, unnest(range(32)) AS dim, unnest(a) AS x FROM views
+  UNION ALL SELECT batch, vec_id, 'b', unnest(range(32)), unnest(b) FROM views)"""
 
 QUANTISED = """
 quantised AS (
-  SELECT vec_id, label, CAST(sign(embedding[1]) AS INTEGER) || ',' || CAST(sign(embedding[2]) AS INTEGER) || ',' || CAST(sign(embedding[3]) AS INTEGER) AS k FROM embeddings),
+  SELECT vec_id, label, array_to_string(list_transform(range(4), lambda i: CAST(sign(list_sum(CAST(embedding[16 * i + 1:16 * i + 16] AS DOUBLE[]))) AS INTEGER)), ',') AS k FROM embeddings),
 grouped AS (
   SELECT k, count(*) AS n, min(vec_id) AS first_id, count(DISTINCT label) AS labels, count(DISTINCT label % 2) AS parities, max(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS zero
   FROM quantised GROUP BY k)"""
@@ -152,9 +152,9 @@ SQL = {
     "participants_agg": f"""WITH {MEMBERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id, side, compound_id, canonical ORDER BY l_linenumber, l_partkey) AS r FROM members)
 SELECT record_id, side, compound_id, canonical, CAST(count(*) * CASE WHEN side = 'reactant' THEN -1 ELSE 1 END AS DOUBLE) AS coefficient,
   max(CASE WHEN r = 1 THEN original END) AS original, max(status) AS status, false AS missing FROM ranked GROUP BY 1, 2, 3, 4""",
-    "positional_zip": """WITH a AS (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS l, string_split(source, 'c') AS r FROM documents),
+    "positional_zip": """WITH a AS (SELECT doc_id, string_split(text, ' ') AS l, string_split(source, 'c') AS r FROM documents),
 e AS (SELECT doc_id, unnest(range(len(l))) AS p, l, r FROM a)
-SELECT doc_id, CAST(p AS INTEGER) AS pos, l[p + 1] AS left_part, r[p + 1] AS right_part FROM e WHERE p < 3""",
+SELECT doc_id, CAST(p AS INTEGER) AS pos, l[p + 1] AS left_part, r[p + 1] AS right_part FROM e""",
     "change_log": f"WITH {MEMBERS} SELECT compound_id, 'high' AS confidence, count(*) AS n FROM members WHERE original IS DISTINCT FROM canonical GROUP BY 1",
     "coef_reduce_gcd": f"WITH {COEFFICIENTS} SELECT record_id, compound_id, coefficient FROM reduced",
     "canonical_keys": f"WITH {KEYS} SELECT record_id, strict_key FROM strict",
@@ -183,7 +183,7 @@ SELECT (SELECT round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6
   (SELECT round(avg(CASE WHEN compound_id <> '' THEN 1.0 ELSE 0.0 END), 6) FROM m) AS compound, (SELECT round(avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END), 6) FROM m) AS large,
   (SELECT round(avg(CASE WHEN canonical = 'ECONOMY' THEN 1.0 ELSE 0.0 END), 6) FROM m) AS economy""",
     "index_values": "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS types FROM events GROUP BY 1",
-    "index_xrefs": """WITH e AS (SELECT DISTINCT user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) < 20),
+    "index_xrefs": """WITH e AS (SELECT DISTINCT user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
 l AS (SELECT user_id, event_type, '"' || event_type || '":[' || string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) || ']' AS j FROM e GROUP BY 1, 2)
 SELECT user_id, '{' || string_agg(j, ',' ORDER BY event_type) || '}' AS xrefs FROM l GROUP BY 1""",
     "direction_evidence": f"WITH {EVIDENCE} SELECT user_id, direction, database, count(*) AS n, min(value) AS first_id FROM evidence GROUP BY 1, 2, 3",
@@ -216,7 +216,7 @@ UNION ALL SELECT 'shorter', count(*) FILTER (c_custkey IS NULL OR s_suppkey IS N
     "vector_duplicates": f"WITH {QUANTISED} SELECT k AS vector_key, n AS group_size, first_id FROM grouped WHERE n > 1",
     "dup_histogram": f"WITH {QUANTISED} SELECT n AS group_size, count(*) AS groups FROM grouped WHERE n > 1 GROUP BY 1",
     "dup_excess": f"WITH {QUANTISED} SELECT CAST(sum(n) AS BIGINT) AS row_count, count(*) AS distinct_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_excess FROM grouped",
-    "dup_diagnosis": f"""WITH {QUANTISED} SELECT count(*) AS group_count, CAST(sum(n) AS BIGINT) AS rows_in_groups, CAST(sum(n - 1) AS BIGINT) AS excess, count(*) FILTER (labels = 1) AS groups_same_label, count(*) FILTER (parities = 1) AS groups_same_parity,
+    "dup_diagnosis": f"""WITH {QUANTISED} SELECT count(*) AS group_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS excess, count(*) FILTER (labels = 1) AS groups_same_label, count(*) FILTER (parities = 1) AS groups_same_parity,
   CAST(coalesce(sum(CASE WHEN labels = 1 THEN n - 1 END), 0) AS BIGINT) AS excess_same_label, CAST(coalesce(sum(CASE WHEN parities = 1 THEN n - 1 END), 0) AS BIGINT) AS excess_same_parity, count(*) FILTER (zero = 1) AS groups_with_zero_label FROM grouped WHERE n > 1""",
     "text_exact_duplicates": """SELECT sha256(coalesce(text, '')) AS text_key, count(*) AS group_size, min(doc_id) AS first_id, count(DISTINCT source) = 1 AS same_source, count(DISTINCT lang) = 1 AS same_lang, bool_or(n_chars > 1000) AS has_long
 FROM documents GROUP BY 1 HAVING count(*) > 1""",
@@ -227,7 +227,7 @@ SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS non_finite_count, round(min(n
 SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM e GROUP BY 1""",
     "cosine_quantiles": f"""WITH {TOP1} SELECT round(min(cosine), 6) AS min, round(avg(cosine), 6) AS mean, round(max(cosine), 6) AS max, round(stddev_pop(cosine), 6) AS std, round(quantile_cont(cosine, 0.05), 6) AS p05,
   round(quantile_cont(cosine, 0.5), 6) AS p50, round(quantile_cont(cosine, 0.95), 6) AS p95, round(quantile_cont(cosine, 0.99), 6) AS p99, count(*) FILTER (cosine >= 0.5) AS count_ge_0_5 FROM top1""",
-    "segment_sum": """WITH e AS (SELECT label, unnest(range(4)) AS dim, unnest(CAST(embedding[1:4] AS DOUBLE[])) AS x FROM embeddings)
+    "segment_sum": """WITH e AS (SELECT label, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(x), 6) AS x FROM e GROUP BY 1, 2""",
     "segment_softmax": """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, exp(l_quantity / 10 - max(l_quantity / 10) OVER (PARTITION BY l_orderkey)) AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, round(e / greatest(sum(e) OVER (PARTITION BY l_orderkey), 1e-12), 6) AS weight FROM e""",
@@ -235,7 +235,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(e / greatest(sum(e) OVER (PART
     "variance_loss": f"""WITH {VIEWS}, s AS (SELECT batch, view, dim, sqrt(var_pop(x) + 1e-4) AS s FROM long GROUP BY 1, 2, 3), p AS (SELECT batch, view, avg(greatest(1.0 - s, 0)) AS l FROM s GROUP BY 1, 2)
 SELECT batch, round(avg(l), 6) AS loss FROM p GROUP BY 1""",
     "covariance_loss": f"""WITH {VIEWS}, c AS (SELECT p.batch, p.view, p.dim AS i, q.dim AS j, covar_samp(p.x, q.x) AS c FROM long p JOIN long q ON p.batch = q.batch AND p.view = q.view AND p.vec_id = q.vec_id GROUP BY 1, 2, 3, 4),
-p AS (SELECT batch, view, sum(CASE WHEN i <> j THEN c * c ELSE 0 END) / 8 AS l FROM c GROUP BY 1, 2) SELECT batch, round(avg(l), 6) AS loss FROM p GROUP BY 1""",
+p AS (SELECT batch, view, sum(CASE WHEN i <> j THEN c * c ELSE 0 END) / 32 AS l FROM c GROUP BY 1, 2) SELECT batch, round(avg(l), 6) AS loss FROM p GROUP BY 1""",
     "info_nce": f"""WITH {VIEWS}, s AS (SELECT p.batch, p.vec_id AS i, q.vec_id AS j, list_inner_product(p.a, q.b) / 0.1 AS s FROM views p JOIN views q ON p.batch = q.batch),
 r AS (SELECT batch, i, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) AS l FROM s GROUP BY 1, 2 UNION ALL SELECT batch, j, ln(sum(exp(s))) - max(CASE WHEN i = j THEN s END) FROM s GROUP BY 1, 2)
 SELECT batch, round(avg(l), 6) AS loss FROM r GROUP BY 1""",
@@ -260,7 +260,7 @@ UNION ALL SELECT 'line_unique', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l
 UNION ALL SELECT 'three_variants', CAST(0 AS BIGINT)
 UNION ALL SELECT 'line_has_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'all_finished', count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') FROM orders""",
-    "embedding_wide": "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS embedding_{i}" for i in range(8)) + " FROM embeddings",
+    "embedding_wide": "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS embedding_{i}" for i in range(64)) + " FROM embeddings",
     "direction_counts": f"""WITH {MEMBERS}, r AS (SELECT DISTINCT record_id FROM members WHERE record_id IN (SELECT o_orderkey FROM orders)),
 c AS (SELECT CASE WHEN record_id % 5 = 0 OR record_id % 6 = 0 THEN 'reversible' WHEN record_id % 2 = 0 THEN 'left_to_right' WHEN record_id % 3 = 0 THEN 'right_to_left' ELSE 'undefined' END AS direction FROM r)
 SELECT v.direction, count(c.direction) AS n FROM (VALUES ('left_to_right'), ('right_to_left'), ('reversible'), ('undefined')) v(direction) LEFT JOIN c ON c.direction = v.direction GROUP BY 1""",

@@ -289,7 +289,9 @@ def ordered_ids_check(spark, d):
 
 
 def quantised(spark, d):
-    return vectors(spark, d).select("vec_id", "label", F.transform("embedding", lambda x: F.signum(x).cast("int")).alias("q"))
+    """The sign of each quarter's sum: coarse enough for groups, and every component counts."""
+    part = lambda i: F.aggregate(F.slice(F.col("embedding").cast("array<double>"), i * (DIM // 4) + 1, DIM // 4), F.lit(0.0), lambda a, x: a + x)
+    return vectors(spark, d).select("vec_id", "label", F.array(*(F.signum(part(i)).cast("int") for i in range(4))).alias("q"))
 
 
 def vector_duplicates(spark, d):
@@ -446,7 +448,9 @@ def duplicate_vector_diagnosis(spark, d):
 
 
 def molecule_collisions(spark, d):
-    texts = spark.createDataFrame([(x,) for x in STRUCTURES.values()], "smiles string")
+    """A part is a chain as long as its size that ends in the group of its type; parts of one size and type are one molecule."""
+    tail = C.recode(F.col("p_type"), STRUCTURES)
+    texts = table(spark, d, "part").select(F.concat(F.expr("repeat('C', p_size)"), tail).alias("smiles")).filter("smiles IS NOT NULL").distinct()
     v = encode_molecules(texts, "smiles", ENCODER, new_weights(ENCODER))
     return Q.duplicate_excess(v, "vector", numeric=False)
 
