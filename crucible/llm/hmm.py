@@ -7,9 +7,11 @@ its smoothed frequency in the class. So the model's tables have a fixed size
 while the vocabulary grows with the corpus: counts of the frequent words go to
 the workers, those of the others meet their occurrences in a join.
 
-Training takes windows of up to WINDOW tokens of every training text, so that
-all windows advance together; a window that doesn't begin its text starts from
-its own law. Scoring runs the scaled forward recursion over whole texts.
+Training runs the forward and the backward recursion over every whole training
+text; the steps of long ones are taken in blocks, whose forward values are made
+again from those at the block's begin when the backward recursion comes to it.
+Scoring runs the scaled forward recursion over whole texts. Only the first
+parameters, from which training sets out, come from pieces of some texts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,11 @@ OWN, SHARED, HEAD = 4096, 1024, 131_072
 END = OWN + SHARED
 CLASSES = END + 1
 SUFFIX = 3
-WINDOW = 256
 ROUNDS = 3
-#: Windows, about, from which the first parameters come.
+#: Tokens of texts that are trained on together, and values of the forward recursion that are kept at once (tokens).
+TOKENS, CELLS = 1 << 22, 1 << 20
+#: Pieces of so many tokens, and about how many of them, from which the first parameters come.
+WINDOW = 256
 FIRST_WINDOWS = 4000
 FIRST_ROUNDS = 12
 #: Distinct words that a worker counts before it hands on what it has.
@@ -45,7 +50,7 @@ def shared_class(word: bytes) -> int:
 
 
 class Params:
-    """start[0]: of a text; start[1]: of a later window; move: state to state; emit: state to class."""
+    """start: of a text; move: state to state; emit: state to class."""
 
     def __init__(self, start, move, emit):
         self.start, self.move, self.emit = (np.ascontiguousarray(x, dtype=np.float64) for x in (start, move, emit))
@@ -57,52 +62,74 @@ def maximise(starts, moves, emits, prior) -> Params:
     emit = emits + 2.0 * prior[None, :]
     move = moves + 0.1
     start = starts + 0.1
-    return Params(start / start.sum(1, keepdims=True), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    return Params(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+
 
+def windows_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    return [t[k : k + WINDOW] for t in texts for k in range(0, len(t), WINDOW)]
 
-def windows_of(texts: list[np.ndarray]) -> list[tuple[np.ndarray, bool]]:
-    return [(t[k : k + WINDOW], k == 0) for t in texts for k in range(0, len(t), WINDOW)]
 
+def expected_counts(texts: list[np.ndarray], p: Params, cells: int = CELLS):
+    """Baum-Welch counts (starts, moves, emits) and the log likelihood (natural) of whole texts, none of them empty.
 
-def expected_counts(windows: list[tuple[np.ndarray, bool]], p: Params, lanes: int = 1024):
-    """Baum-Welch counts (starts, moves, emits) and the log likelihood (natural) of the windows."""
+    Texts advance side by side, the longest first, so that those at a step are
+    always the first ones. Forward values of one block of steps are kept, of
+    earlier blocks only the last ones.
+    """
     k = p.move.shape[0]
-    starts, moves, emits, total = np.zeros((2, k)), np.zeros((k, k)), np.zeros((k, p.emit.shape[1])), 0.0
-    windows = sorted(windows, key=lambda w: -len(w[0]))
-    for at in range(0, len(windows), lanes):
-        block = windows[at : at + lanes]
-        size = np.array([len(w) for w, _ in block])
-        steps, width = int(size[0]), len(block)
-        obs = np.zeros((steps, width), dtype=np.int64)
-        for i, (w, _) in enumerate(block):
-            obs[: len(w), i] = w
-        first = np.array([f for _, f in block])
-        live = [int((size > t).sum()) for t in range(steps)]
-        alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-        now = np.where(first[:, None], p.start[0], p.start[1]) * p.by_class[obs[0]]
-        for t in range(steps):
+    moves, emits, total = np.zeros((k, k)), np.zeros((k, p.emit.shape[1])), 0.0
+    if not texts:
+        return np.zeros(k), moves, emits, total
+    texts = sorted(texts, key=lambda t: -len(t))
+    size = np.array([len(t) for t in texts])
+    flat, begin = np.concatenate(texts), np.concatenate([[0], np.cumsum(size)[:-1]])
+    live = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than t
+    upto = np.concatenate([[0], np.cumsum(live)])
+    cuts = [0]
+    while cuts[-1] < len(live):  # blocks of whole steps
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, upto[cuts[-1]] + cells, side="right")) - 1))
+
+    def forward(a: int, b: int, now, keep: bool):
+        """The steps a to b: the forward values after them, and if they are kept those of each step, one under the other."""
+        kept = np.empty((upto[b] - upto[a], k)) if keep else None
+        scale, obs = (np.empty(len(kept)), np.empty(len(kept), dtype=np.int64)) if keep else (None, None)
+        log = 0.0
+        for t in range(a, b):
             n = live[t]
-            if t:
-                now = (now[:n] @ p.move) * p.by_class[obs[t, :n]]
+            o = flat[begin[:n] + t]
+            now = (np.broadcast_to(p.start, (n, k)) if t == 0 else now[:n] @ p.move) * p.by_class[o]
             s = now.sum(1)
             now = now / s[:, None]
-            alpha[t, :n], scale[t, :n] = now, s
-        total += float(np.log(scale).sum())
-        beta = np.ones((width, k))
-        for t in range(steps - 1, -1, -1):
-            n = live[t]
-            if t + 1 < steps and live[t + 1]:
-                m = live[t + 1]
-                ahead = p.by_class[obs[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-                moves += alpha[t, :m].T @ ahead
-                beta[:m] = ahead @ p.move.T
-            alpha[t, :n] *= beta[:n]
-        starts[0] += alpha[0][first].sum(0)
-        starts[1] += alpha[0][~first].sum(0)
-        inside = np.arange(steps)[:, None] < size[None, :]
-        flat, gamma = obs[inside], alpha[inside]
+            if keep:
+                i = slice(upto[t] - upto[a], upto[t + 1] - upto[a])
+                kept[i], scale[i], obs[i] = now, s, o
+            else:
+                log += float(np.log(s).sum())
+        return now, kept, scale, obs, log
+
+    now, at_cut = None, []
+    for a, b in pairwise(cuts[:-1]):
+        at_cut.append(now)
+        now, *_, log = forward(a, b, now, False)
+        total += log
+    at_cut.append(now)
+    ahead = np.zeros((0, k))
+    for (a, b), now in zip(reversed([*pairwise(cuts)]), reversed(at_cut), strict=True):
+        _, alpha, scale, obs, _ = forward(a, b, now, True)
+        if b == cuts[-1]:
+            total += float(np.log(scale).sum())
+        by = p.by_class[obs] / scale[:, None]
+        for t in range(b - 1, a - 1, -1):
+            lo, hi = upto[t] - upto[a], upto[t + 1] - upto[a]
+            m = len(ahead)
+            moves += alpha[lo : lo + m].T @ ahead
+            beta = np.ones((hi - lo, k))
+            beta[:m] = ahead @ p.move.T
+            alpha[lo:hi] *= beta
+            ahead = by[lo:hi] * beta
         for s in range(k):
-            emits[s] += np.bincount(flat, weights=gamma[:, s], minlength=p.emit.shape[1])
+            emits[s] += np.bincount(obs, weights=alpha[:, s], minlength=p.emit.shape[1])
+        starts = alpha[: live[0]].sum(0)
     return starts, moves * p.move, emits, total
 
 
@@ -119,7 +146,7 @@ def log10_likelihood(texts: list[np.ndarray], p: Params, lanes: int = 2048) -> n
             while size[n - 1] <= t:
                 n -= 1
             e = p.by_class[flat[begin[:n] + t]]
-            now = (np.broadcast_to(p.start[0], e.shape) if t == 0 else now[:n] @ p.move) * e
+            now = (np.broadcast_to(p.start, e.shape) if t == 0 else now[:n] @ p.move) * e
             s = now.sum(1)
             now /= s[:, None]
             log[:n] += np.log10(s)
@@ -127,10 +154,10 @@ def log10_likelihood(texts: list[np.ndarray], p: Params, lanes: int = 2048) -> n
     return out
 
 
-def first_params(windows: list[tuple[np.ndarray, bool]], prior: np.ndarray, states: int = STATES, seed: int = 42) -> Params:
+def first_params(windows: list[np.ndarray], prior: np.ndarray, states: int = STATES, seed: int = 42) -> Params:
     """Each state starts from one window, each as unlike the earlier ones as can be; then some rounds on these windows alone."""
     rng = np.random.default_rng(seed)
-    some = [windows[i][0] for i in rng.permutation(len(windows))[:600]]
+    some = [windows[i] for i in rng.permutation(len(windows))[:600]]
     root = np.sqrt(np.stack([np.bincount(w, minlength=len(prior)) / max(1, len(w)) for w in some])) if some else np.zeros((1, len(prior)))
     chosen = [0]
     near = root @ root[0]
@@ -138,7 +165,7 @@ def first_params(windows: list[tuple[np.ndarray, bool]], prior: np.ndarray, stat
         chosen.append(int(np.argmin(near)))
         near = np.maximum(near, root @ root[chosen[-1]])
     emit = np.stack([root[chosen[i % len(chosen)]] ** 2 for i in range(states)]) + prior[None, :] + 0.01 * rng.random((states, len(prior))) * prior[None, :]
-    p = Params(np.full((2, states), 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), emit / emit.sum(1, keepdims=True))
+    p = Params(np.full(states, 1 / states), np.full((states, states), 0.3 / states) + 0.7 * np.eye(states), emit / emit.sum(1, keepdims=True))
     for _ in range(FIRST_ROUNDS):
         if windows:
             p = maximise(*expected_counts(windows, p)[:3], prior)
@@ -271,35 +298,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = min(1.0, FIRST_WINDOWS / max(1, n_windows))
 
     def pick(batches):
-        for texts in batched(batches, 1 << 20):
-            got = [(w, f) for w, f in windows_of(texts) if zlib.crc32(w.tobytes()) < share * (1 << 32)]
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([f for _, f in got], pa.bool_())], names=["w", "f"])
+        for texts in batched(batches, TOKENS):
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in windows_of(texts) if zlib.crc32(w.tobytes()) < share * (1 << 32)], pa.binary())], names=["w"])
 
-    first = [(np.frombuffer(r.w, dtype=np.int16), r.f) for r in train.mapInArrow(pick, "w binary, f boolean").sort("w", "f").limit(4 * FIRST_WINDOWS).collect()]
+    first = [np.frombuffer(r.w, dtype=np.int16) for r in train.mapInArrow(pick, "w binary").sort("w").limit(4 * FIRST_WINDOWS).collect()]
     params = first_params(first, prior, states)
     for _ in range(rounds if n_windows else 0):
         now = spark.sparkContext.broadcast(params)
 
         def expect(batches, now=now):
             starts = moves = emits = None
-            for texts in batched(batches, 1 << 20):
-                s, m, e, _ = expected_counts(windows_of(texts), now.value)
+            for texts in batched(batches, TOKENS):
+                s, m, e, _ = expected_counts(texts, now.value)
                 starts, moves, emits = (s, m, e) if starts is None else (starts + s, moves + m, emits + e)
             if starts is not None:
                 used = np.flatnonzero(emits.sum(0))
-                rows = np.concatenate([starts, moves, emits[:, used].T])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], -3 - np.arange(len(moves)), used]).astype(np.int64)), *(pa.array(rows[:, i].copy()) for i in range(rows.shape[1]))], names=["key", *(f"s{i}" for i in range(rows.shape[1]))])
+                rows = np.concatenate([starts[None], moves, emits[:, used].T])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], -2 - np.arange(len(moves)), used]).astype(np.int64)), *(pa.array(rows[:, i].copy()) for i in range(rows.shape[1]))], names=["key", *(f"s{i}" for i in range(rows.shape[1]))])
 
         counts = train.mapInArrow(expect, "key long, " + ", ".join(f"s{i} double" for i in range(states))).groupBy("key").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(states)))
-        starts, moves, emits = np.zeros((2, states)), np.zeros((states, states)), np.zeros((states, CLASSES))
+        starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, CLASSES))
         for r in counts.collect():  # a row for each class and state, whatever the input
             v = r[1:]
             if r.key >= 0:
                 emits[:, r.key] = v
-            elif r.key >= -2:
-                starts[-1 - r.key] = v
+            elif r.key == -1:
+                starts[:] = v
             else:
-                moves[-3 - r.key] = v
+                moves[-2 - r.key] = v
         params = maximise(starts, moves, emits, prior)
     final = spark.sparkContext.broadcast(params)
 

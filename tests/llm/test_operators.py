@@ -653,7 +653,7 @@ def test_hidden_markov(docs, empty):
 
 def small_params(rng, k=3, c=6):
     x = lambda *s: rng.dirichlet(np.ones(s[-1]), s[:-1])
-    return hmm.Params(x(2, k), x(k, k), x(k, c))
+    return hmm.Params(x(k), x(k, k), x(k, c))
 
 
 def test_forward_equals_all_paths():
@@ -665,7 +665,7 @@ def test_forward_equals_all_paths():
     for t, got in zip(texts, hmm.log10_likelihood(texts, p, lanes=3), strict=True):
         total = 0.0
         for path in itertools.product(range(3), repeat=len(t)):
-            q = p.start[0][path[0]] * p.emit[path[0], t[0]]
+            q = p.start[path[0]] * p.emit[path[0], t[0]]
             for a, b, o in zip(path, path[1:], t[1:], strict=False):
                 q *= p.move[a, b] * p.emit[b, o]
             total += q
@@ -677,28 +677,82 @@ def test_baum_welch_counts_equal_all_paths():
 
     rng = np.random.default_rng(2)
     p = small_params(rng)
-    windows = [(rng.integers(0, 6, n).astype(np.int16), f) for n, f in ((4, True), (1, True), (3, False))]
-    starts, moves, emits = np.zeros((2, 3)), np.zeros((3, 3)), np.zeros((3, 6))
-    for t, first in windows:
+    texts = [rng.integers(0, 6, n).astype(np.int16) for n in (4, 1, 3, 6)]
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 6))
+    for t in texts:
         weights = {}
         for path in itertools.product(range(3), repeat=len(t)):
-            q = p.start[0 if first else 1][path[0]] * p.emit[path[0], t[0]]
+            q = p.start[path[0]] * p.emit[path[0], t[0]]
             for a, b, o in zip(path, path[1:], t[1:], strict=False):
                 q *= p.move[a, b] * p.emit[b, o]
             weights[path] = q
         z = sum(weights.values())
         for path, q in weights.items():
-            starts[0 if first else 1][path[0]] += q / z
+            starts[path[0]] += q / z
             for a, b in zip(path, path[1:], strict=False):
                 moves[a, b] += q / z
             for s, o in zip(path, t, strict=True):
                 emits[s, o] += q / z
-    got = hmm.expected_counts(windows, p, lanes=2)
-    assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
-    before, after = got[3], hmm.expected_counts(windows, hmm.maximise(*got[:3], np.zeros(6) + 1e-9))[3]
+    for cells in (1, 3, 5, 1000):  # blocks of one step and more
+        got = hmm.expected_counts(texts, p, cells)
+        assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
+        assert got[3] == pytest.approx(math.log(10) * hmm.log10_likelihood(texts, p).sum())
+    before, after = got[3], hmm.expected_counts(texts, hmm.maximise(*got[:3], np.zeros(6) + 1e-9))[3]
     assert after > before
 
 
+def test_scores_equal_a_brute_force_model(spark, monkeypatch):
+    """All of the query's model again, with plain recursions: classes, their laws, the rounds over whole texts, the words in their classes."""
+    own, rounds = 5, 2
+    for name, v in (("HEAD", 20), ("OWN", own), ("END", own + hmm.SHARED), ("CLASSES", own + 1 + hmm.SHARED)):
+        monkeypatch.setattr(hmm, name, v)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.choice([0, 1, 5, 30]))) for i in range(60)] + [(60, "One two three of none"), (61, prose(rng, 60))]
+    got = {r.doc_id: r.score for r in hmm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rounds=rounds).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    words = {i: WORDS.findall(t.translate(AZ)) for i, t in rows}
+    c, a = Counter(), Counter()
+    for i, w in words.items():
+        a.update(w)
+        c.update([] if held(i) else w)
+    top = sorted(a, key=lambda w: (-a[w], w.encode()))[:own]
+    end = own + hmm.SHARED
+    class_of = lambda w: top.index(w) if w in top else own + zlib.crc32(w.encode()[-hmm.SUFFIX :]) % hmm.SHARED
+    mass, kinds = np.zeros(end + 1), np.zeros(end + 1)
+    for w in a:
+        mass[class_of(w)] += c[w]
+        kinds[class_of(w)] += c[w] > 0
+    mass[end] = sum(not held(i) for i in words)
+    prior = (mass + 0.5) / (mass + 0.5).sum()
+    obs = {i: np.array([*map(class_of, w), end], dtype=np.int16) for i, w in words.items()}
+    train = [obs[i] for i in words if not held(i)]
+    p = hmm.first_params(sorted(hmm.windows_of(train), key=lambda w: w.tobytes()), prior)
+    k = len(p.move)
+
+    def forward(o):
+        alpha = [p.start * p.emit[:, o[0]]]
+        for x in o[1:]:
+            alpha.append((alpha[-1] @ p.move) * p.emit[:, x])
+        return alpha
+
+    for _ in range(rounds):
+        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, end + 1))
+        for o in train:
+            alpha, beta = forward(o), [np.ones(k)]
+            for x in o[:0:-1]:
+                beta.insert(0, p.move @ (p.emit[:, x] * beta[0]))
+            z = alpha[-1].sum()
+            for t, x in enumerate(o):
+                emits[:, x] += alpha[t] * beta[t] / z
+                if t:
+                    moves += alpha[t - 1][:, None] * p.move * (p.emit[:, x] * beta[t])[None] / z
+            starts += alpha[0] * beta[0] / z
+        p = hmm.maximise(starts, moves, emits, prior)
+    for i, w in words.items():
+        inside = sum(math.log10((c[x] + 0.5) / (mass[class_of(x)] + 0.5 * (kinds[class_of(x)] + 1))) for x in w if x not in top)
+        assert got[i] == pytest.approx(math.log10(forward(obs[i])[-1].sum()) + inside, rel=1e-9)
+
+
 def test_hidden_markov_probabilities_add_up(spark):
     """The probabilities of all texts of one word, known ones and one unknown word of each class, and of the empty text add up to at most one."""
     rng = random.Random(3)
