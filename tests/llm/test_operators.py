@@ -64,8 +64,10 @@ def rows_of(docs):
 # 5
 
 
-def test_exact_dedup(docs):
-    got = exact_dedup.content_sort_dedup(docs, salts=4).collect()
+@pytest.mark.parametrize("most_hot", [1, 8, 1024])
+def test_exact_dedup(docs, most_hot):
+    """Without hot texts, with some, and with all hot that have copies."""
+    got = exact_dedup.content_sort_dedup(docs, salts=4, most_hot=most_hot).collect()
     groups = defaultdict(list)
     for i, t in rows_of(docs):
         groups[(t or "").translate(AZ)].append(i)
@@ -92,6 +94,20 @@ def test_exact_dedup_smallest_and_empty(docs, empty):
         exact_dedup.content_sort_dedup(docs, keep="any")
 
 
+def test_exact_dedup_of_texts_with_long_common_prefixes(spark):
+    """Identifiers are no numbers; texts differ behind the splitter key; most rows are copies of one text."""
+    long = "x" * 5000
+    rows = [(f"k{i:03}", [long, long + "A", long + "a", long + "b"][i % 4]) for i in range(80)] + [(f"m{i:03}", "HOT") for i in range(300)] + [(None, "hot")] * 3
+    got = exact_dedup.content_sort_dedup(spark.createDataFrame(rows, "doc_id string, text string"), salts=8).collect()
+    by = defaultdict(list)
+    for i, t in rows:
+        by[hashlib.sha256(t.translate(AZ).encode()).hexdigest()].append(i)
+    assert len(got) == len(rows) and {r.text_sha256 for r in got} == set(by)
+    for r in got:
+        assert (r.keep_id, r.group_size) == (max(i for i in by[r.text_sha256] if i), len(by[r.text_sha256]))
+        assert r.kept == (r.doc_id == r.keep_id)
+
+
 def test_exact_dedup_runs_no_python(docs):
     plan = exact_dedup.content_sort_dedup(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -143,6 +159,39 @@ def test_rebalancing_edits():
     assert load[8] <= sum(sizes) / 9 and load[8] > 0.9 * sum(sizes) / 9
 
 
+def test_stored_map_is_read_and_edited(spark, docs, tmp_path):
+    """Four runs on one map: the first stores it, the second finds nothing to edit, the third has other bytes, the fourth one shard more."""
+    path, rng = f"file://{tmp_path}/map", random.Random(1)
+    rows = [(i, prose(rng, rng.randrange(1, 90))) for i in range(400)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").repartition(3, "doc_id")
+    run = lambda r, n=4: sharding.shard_by_slots(frame(r), shards=n, slots=64, map_path=path)
+    load = lambda out: Counter({s: sum(r["size"] for r in out.rows.collect() if r.shard == s) for s in range(out.slot_map.shards)})
+    one = run(rows)
+    assert one.edits and len(one.slot_map.versions) == 2
+    two = run(rows)
+    assert two.slot_map == one.slot_map and not two.edits
+    three = run([(i, t if i % 7 else t * 5) for i, t in rows])
+    moved = {s for s, _, _ in three.edits}
+    assert moved and len(three.slot_map.versions) == 3 and three.slot_map.versions[:2] == one.slot_map.versions
+    assert {s for s in range(64) if three.slot_map.versions[1][s] != three.slot_map.versions[2][s]} == moved
+    assert max(load(three).values()) - min(load(three).values()) < 0.02 * sum(load(three).values())
+    four = run(rows, 5)
+    assert four.slot_map.shards == 5 and len(four.slot_map.versions) > 3 and set(load(four)) == set(range(5)) and min(load(four).values()) > 0
+    assert sharding.SlotMap.stored(spark, path) == four.slot_map
+    with pytest.raises(ValueError):
+        run(rows, 8)
+
+
+def test_law_of_bytes(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randrange(0, 60))) for i in range(3000)]
+    out = sharding.shard_by_slots(spark.createDataFrame(rows, "doc_id long, text string"), shards=8)
+    load = Counter()
+    for r in out.rows.collect():
+        load[r.shard] += r["size"]
+    assert len(load) == 8 and max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 8
+
+
 def test_sharding_empty(empty):
     assert sharding.shard_by_slots(empty).rows.count() == 0
 
