@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ BEAM_BUILD, BEAM_QUERY = 64, 160
 ALPHA = 1.2
 #: Shards: at least so many; more where one would hold more vectors than this.
 SHARDS, SHARD_ROWS = 6, 100_000
-#: Queries that meet a shard's graph at once.
+#: Queries that are searched at once.
 QUERY_BLOCK = 4096
 
 
@@ -185,67 +186,110 @@ def reachable(vectors: np.ndarray, edges: np.ndarray, entry: int, beam: int) ->
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows with an identifier whose vector is not null, not empty, finite in all components and not zero, as doubles."""
+    """Rows (_id, _v) with an identifier whose vector is not null, finite in all components, not zero, and as long as most of these (of equally many the longer), as doubles."""
     v = F.col(vector_col).cast("array<double>")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(fine).select(F.col(id_col).alias("_id"), v.alias("_v"))
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(fine).select(F.col(id_col).alias("_id"), v.alias("_v"))
+    usual = rows.groupBy(F.size("_v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return rows.filter(F.size("_v") == (usual.d if usual else 0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in column])
+def packed(rows: DataFrame) -> DataFrame:
+    """(_id, vector): the vectors as the bytes of their doubles."""
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(x, dtype=np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["_id", "vector"])
+
+    return rows.select("_id", "_v").mapInArrow(pack, f"_id {rows.schema['_id'].dataType.simpleString()}, vector binary")
 
 
 def build_index(rows: DataFrame, shards: int, **params) -> DataFrame:
-    """(shard, node, ids, vector, edges, entry) from rows (_id, _v): a row for each distinct vector of a shard."""
-    schema = "shard int, node int, ids array<long>, vector array<double>, edges array<int>, entry int"
+    """(shard, node, ids, vector, edges, entry) from rows (_id, _v): a row for each distinct vector of a shard; vector and edges are the bytes of doubles and of ints."""
+    schema = "shard int, node int, ids array<long>, vector binary, edges binary, entry int"
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_id", kind="stable")
-        distinct, where = np.unique(_matrix(pdf._v), axis=0, return_inverse=True)
+        distinct, where = np.unique(np.stack([np.frombuffer(x, dtype=np.float64) for x in pdf.vector]), axis=0, return_inverse=True)
         where = where.ravel()
         by = np.argsort(where, kind="stable")
         ids = np.split(pdf._id.to_numpy()[by], np.cumsum(np.bincount(where))[:-1])
         sq = (distinct**2).sum(axis=1)
         lifted = np.concatenate([distinct, np.sqrt(np.maximum(0, sq.max() - sq))[:, None]], axis=1).astype(np.float32)
         edges, entry = build_graph(lifted, **params)
-        return pd.DataFrame({"shard": int(pdf.shard.iloc[0]), "node": np.arange(len(distinct), dtype=np.int32), "ids": ids, "vector": list(distinct), "edges": list(edges.astype(np.int32)), "entry": np.int32(entry)})
+        return pd.DataFrame({"shard": int(pdf.shard.iloc[0]), "node": np.arange(len(distinct), dtype=np.int32), "ids": ids, "vector": [x.tobytes() for x in distinct], "edges": [x.tobytes() for x in edges.astype(np.int32)], "entry": np.int32(entry)})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
+    dealt = packed(rows).withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
     # By range with a given number: each shard is a task of its own.
     return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, schema)
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, blocks: int, k: int = 20, beam: int = BEAM_QUERY) -> DataFrame:
-    """(query_id, vec_id, score) with at most k rows of each shard for each query (_id, _v) but the query itself."""
-
-    def search(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(graph) or not len(asked):
-            return empty
-        graph = graph.sort_values("node")
-        vectors, edges = _matrix(graph.vector), np.stack(graph.edges.to_numpy()).astype(np.int64)
-        sq = (vectors**2).sum(axis=1)
-        lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, sq.max() - sq))[:, None]], axis=1).astype(np.float32)
-        q = _matrix(asked._v)
-        lengths = np.linalg.norm(q, axis=1, keepdims=True)
-        unit = np.concatenate([q / lengths * np.sqrt(sq.max()), np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        found, _ = beam_search(lifted, edges, int(graph.entry.iloc[0]), unit, beam)
-        ids, out = graph.ids.to_numpy(), []
-        for i, own in enumerate(asked._id.to_numpy()):
-            nodes = found[i][found[i] >= 0]
-            # Each row is summed by itself in one order, so equal vectors have equal scores in all shards.
-            score = (vectors[nodes] * q[i]).sum(axis=1)
-            got: list[tuple[float, int]] = []
-            for node, s in zip(nodes.tolist(), score.tolist(), strict=True):
-                got += [(-s, int(x)) for x in ids[node][: k + 1] if x != own][:k]
-            got.sort()
-            out += [(int(own), x, -s) for s, x in got[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
-
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    graph = index.withColumn("block", numbers)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return graph.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int = 20, beam: int = BEAM_QUERY) -> DataFrame:
+    """(query_id, vec_id, score) with at most k rows of each shard for each query (_id, _v) but the query itself.
+
+    A shard's graph comes to one task, which builds it once; the queries of the
+    shard follow behind it and are searched block by block.
+    """
+
+    def search(batches):
+        shard, nodes, graph, asked, held = None, [], None, [], 0
+
+        def built():
+            table = pa.Table.from_batches(nodes).sort_by("node")
+            vectors = np.stack([np.frombuffer(x, dtype=np.float64) for x in table.column("vector").to_pylist()])
+            edges = np.stack([np.frombuffer(x, dtype=np.int32) for x in table.column("edges").to_pylist()]).astype(np.int64)
+            sq = (vectors**2).sum(axis=1)
+            lifted = np.concatenate([vectors, np.sqrt(np.maximum(0, sq.max() - sq))[:, None]], axis=1).astype(np.float32)
+            return vectors, lifted, edges, int(table.column("entry")[0].as_py()), sq.max(), table.column("ids").to_pylist()
+
+        def answers():
+            vectors, lifted, edges, entry, largest, ids = graph
+            own = [i for b in asked for i in b.column("node").to_pylist()]
+            q = np.stack([np.frombuffer(x, dtype=np.float64) for b in asked for x in b.column("vector").to_pylist()])
+            unit = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True) * np.sqrt(largest), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+            found, _ = beam_search(lifted, edges, entry, unit, beam)
+            out = []
+            for i, me in enumerate(own):
+                near = found[i][found[i] >= 0]
+                # Each row is summed by itself in one order, so equal vectors have equal scores in all shards.
+                score = (vectors[near] * q[i]).sum(axis=1)
+                got: list[tuple[float, int]] = []
+                for node, s in zip(near.tolist(), score.tolist(), strict=True):
+                    got += [(-s, x) for x in ids[node][: k + 1] if x != me][:k]
+                got.sort()
+                out += [(me, x, -s) for s, x in got[:k]]
+            a, b, c = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            number, is_query = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(is_query) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                if number[a] != shard:
+                    if held:
+                        yield answers()
+                    shard, nodes, graph, asked, held = number[a], [], None, [], 0
+                if not is_query[a]:
+                    nodes.append(batch.slice(a, b - a))
+                elif nodes or graph:
+                    if graph is None:
+                        graph, nodes = built(), []
+                    asked.append(batch.slice(a, b - a))
+                    held += b - a
+                    if held >= QUERY_BLOCK:
+                        yield answers()
+                        asked, held = [], 0
+        if held:
+            yield answers()
+
+    none = lambda kind: F.lit(None).cast(kind)
+    graphs = index.select("shard", F.lit(0).alias("asks"), F.col("node").cast("long").alias("node"), "ids", "vector", "edges", "entry")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), F.col("_id").cast("long").alias("node"), none("array<long>").alias("ids"), "vector", none("binary").alias("edges"), none("int").alias("entry"))
+    # By range with a given number: each shard is a task of its own.
+    met = graphs.unionByName(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asks")
+    return met.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS, beam: int = BEAM_QUERY, **params) -> DataFrame:
@@ -254,16 +298,15 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do rows without an identifier. Ties go to the smaller identifier.
     Rows repeated with one identifier count once for each vector of theirs.
-    Vectors must have one dimension. Other columns are not read; without rows
-    there are no results. A shard holds about shard_rows vectors at most, and a
-    block of queries meets one shard at a time.
+    Vectors of another length than most take no part either. Other columns are
+    not read; without rows there are no results. A shard holds about shard_rows
+    vectors at most; its graph is read once, and all queries pass it.
     """
     rows = stage(valid_vectors(df, id_col, vector_col).dropDuplicates(["_id", "_v"]), "ann-rows")
     asked = rows.filter(is_query(F.col("_id")))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("_id"))).alias("q")).first()
-    shards, blocks = max(shards, -(-n.n // shard_rows)), max(1, -(-n.q // QUERY_BLOCK))
+    shards = max(shards, -(-rows.count() // shard_rows))
     index = stage(build_index(rows, shards, **params), "ann-index")
-    found = search_index(index, asked, shards, blocks, k, beam)
+    found = search_index(index, packed(asked), shards, k, beam)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -511,6 +511,14 @@ def test_components_of_a_path(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Stars whose centres are the smallest, the largest and a middle node, and chains between them."""
+    rng = random.Random(4)
+    pairs = [(1, 10 + i) for i in range(400)] + [(9000, 1000 + i) for i in range(400)] + [(2000, x) for x in rng.sample(range(1900, 2100), 150)] + [(i, i + 1) for i in range(5000, 5040)] + [(1, 5000), (7000, 7001)]
+    got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(pairs, "src long, dst long").repartition(4), many_edges=0).collect()}
+    assert got == brute_components([(a, b) for a, b in pairs if a != b], {x for p in pairs for x in p if p[0] != p[1]})
+
+
 def shingles(text, n=5):
     w = WORDS.findall((text or "").translate(AZ))
     return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} or {" ".join(w)}
@@ -891,6 +899,15 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, ann.nearest(df, lambda i: i % 5 == 0, shards=2).collect())) == want
 
 
+def test_nearest_with_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    odd = [(100, [1.0]), (120, m[0].tolist() + [1.0]), (140, []), (160, None)]
+    ask = lambda r: sorted(map(tuple, ann.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, shards=2).collect()))
+    assert ask(rows + odd) == ask(rows) and len(ask(rows)) == 60
+
+
 def test_robust_pruning_keeps_diverse_edges():
     v = np.array([[0, 0], [1, 0], [1.05, 0], [0, 2], [-3, 0]], dtype=np.float32)
     kept = ann.robust_prune(v, np.array([0]), np.array([[1, 2, 3, 4, -1]]), 4, 1.2)[0]
