@@ -38,7 +38,8 @@ def shuffled(m, rng):
     order = list(range(len(m.atoms)))
     rng.shuffle(order)
     at = {a: i for i, a in enumerate(order)}
-    return C.Molecule([replace(m.atoms[a]) for a in order], [(at[a], at[b], o) for a, b, o in m.bonds])
+    atoms = [replace(m.atoms[a], order=tuple(at.get(x, -1) for x in m.atoms[a].order)) for a in order]
+    return C.Molecule(atoms, [(at[a], at[b], o) for a, b, o in m.bonds], m.name, {(at[a], at[b]): (at[x], at[y], s) for (a, b), (x, y, s) in m.sides.items()})
 
 
 @pytest.mark.parametrize("text", ["CCO", "c1ccccc1C(=O)[O-]", "C1CC2CCC1CC2", "*C(=O)[O-]", "[NH3+]CC(=O)[O-].O", "CC(C)(C)c1ccc(O)cc1", "N#CC=C", "[13CH4]", "OP(=O)(O)OC1CCCO1"])
