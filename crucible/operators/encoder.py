@@ -1,8 +1,8 @@
 """The record encoder: directed message passing over molecules, pooling over each side's participants, fusion with the direction.
 
 One forward function serves training (with gradients) and export; on a cluster
-each Arrow batch of records is encoded with the broadcast weights, its distinct
-molecules once.
+each Arrow batch of records is encoded with the broadcast weights. A worker keeps
+the vectors of a bounded number of molecules, so most are encoded once a worker.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from crucible.functions.columns import DIRECTIONS
@@ -20,6 +21,8 @@ from crucible.operators import chemistry
 from crucible.operators.autograd import T, concat, layer_norm, relu, segment_softmax, segment_sum, unit, where
 
 MASKED = 4
+#: Molecules whose vectors a worker keeps between batches.
+KEPT_MOLECULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,7 @@ class Example:
 class Batch:
     """Participants of all records in a row, with the record and molecule of each."""
 
-    graphs: chemistry.Graph
+    graphs: chemistry.Graph | None
     atom_of: np.ndarray
     n_molecules: int
     molecule: np.ndarray
@@ -73,6 +76,8 @@ class Batch:
     begin: np.ndarray
     direction: np.ndarray
     labels: list[list[int]]
+    names: list[str] = field(default_factory=list)
+    """The distinct molecules, by number."""
 
     def __len__(self) -> int:
         return len(self.direction)
@@ -87,18 +92,18 @@ class Batch:
         return replace(self, molecule=self.molecule[order], coefficient=self.coefficient[order], side=self.side[order], cofactor=self.cofactor[order], record=self.record[order])
 
 
-def collate(examples: list[Example]) -> Batch:
-    """Each molecule once, by first occurrence."""
+def collate(examples: list[Example], graphs: bool = True) -> Batch:
+    """Each molecule once, by first occurrence; without graphs the molecules' vectors come from elsewhere."""
     place: dict[str, int] = {}
     for e in examples:
         for m in e.molecules:
             place.setdefault(m, len(place))
-    graphs, atom_of = chemistry.union([chemistry.graph_of(m) for m in place])
+    whole, atom_of = chemistry.union([chemistry.graph_of(m) for m in place]) if graphs else (None, np.zeros(0, dtype=np.int64))
     flat = lambda f, kind: np.array([x for e in examples for x in f(e)], dtype=kind)
     sizes = [len(e.molecules) for e in examples]
     return Batch(
-        graphs, atom_of, len(place), flat(lambda e: [place[m] for m in e.molecules], np.int64), flat(lambda e: e.coefficients, np.float64), flat(lambda e: e.sides, np.int64),
-        flat(lambda e: e.cofactors, np.int64), np.repeat(np.arange(len(examples)), sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([e.direction for e in examples], dtype=np.int64), [e.labels for e in examples],
+        whole, atom_of, len(place), flat(lambda e: [place[m] for m in e.molecules], np.int64), flat(lambda e: e.coefficients, np.float64), flat(lambda e: e.sides, np.int64),
+        flat(lambda e: e.cofactors, np.int64), np.repeat(np.arange(len(examples)), sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([e.direction for e in examples], dtype=np.int64), [e.labels for e in examples], [*place],
     )
 
 
@@ -265,30 +270,49 @@ def packed(weights: dict[str, np.ndarray]) -> bytes:
 
 
 def example_of(row) -> Example:
-    """From a row (record_id, participants of canonical, coefficient, side and perhaps cofactor_index, direction, perhaps label_index)."""
-    parts = list(row.participants)
-    get = lambda p, k, other: (p.get(k) if isinstance(p, dict) else getattr(p, k, None)) or other
+    """From a row or dict (record_id, participants of canonical, coefficient, side and perhaps cofactor_index, direction, perhaps label_index)."""
+    of = lambda x, k, other=None: x.get(k, other) if isinstance(x, dict) else getattr(x, k, other)
+    parts, labels = list(of(row, "participants")), of(row, "label_index")
+    get = lambda p, k, other: of(p, k) or other
     return Example(
-        row.record_id, [get(p, "canonical", "*") for p in parts], [float(get(p, "coefficient", 0.0)) for p in parts], [int(get(p, "side", "") == "product") for p in parts],
-        [int(get(p, "cofactor_index", 0)) for p in parts], DIRECTIONS.index(row.direction), [int(x) for x in getattr(row, "label_index", None)] if getattr(row, "label_index", None) is not None else [],
+        of(row, "record_id"), [get(p, "canonical", "*") for p in parts], [float(get(p, "coefficient", 0.0)) for p in parts], [int(get(p, "side", "") == "product") for p in parts],
+        [int(get(p, "cofactor_index", 0)) for p in parts], DIRECTIONS.index(of(row, "direction")), [int(x) for x in labels] if labels is not None else [],
     )
 
 
+class Molecules:
+    """The vectors of molecules, of which `most` are kept from batch to batch."""
+
+    def __init__(self, model: Encoder, most: int = KEPT_MOLECULES):
+        self.model, self.most, self.kept = model, most, {}
+
+    def __call__(self, names: list[str]) -> T:
+        new = [n for n in names if n not in self.kept]
+        if len(self.kept) + len(new) > self.most:
+            self.kept, new = {}, names
+        if new:
+            batch = collate([Example("", new, [1.0] * len(new), [0] * len(new), [0] * len(new), 3)])
+            self.kept.update(zip(new, self.model.molecules(batch).v, strict=True))
+        return T(np.stack([self.kept[n] for n in names]))
+
+
 def encode_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128, **masks) -> DataFrame:
-    """(record_id, embedding) for each record (record_id, participants, direction), in batches of `size`."""
+    """(record_id, embedding) for each record (record_id, participants, direction, perhaps label_index), in batches of `size`."""
     shared = records.sparkSession.sparkContext.broadcast((config, weights))
 
-    def work(frames: Iterator[pd.DataFrame]):
+    def work(batches):
         model = Encoder(*shared.value)
-        for f in frames:
-            for at in range(0, len(f), size):
-                part = f.iloc[at : at + size]
-                batch = collate([example_of(r) for r in part.itertuples(index=False)])
-                e, _ = model.encode(model.molecules(batch), batch, **masks)
-                yield pd.DataFrame({"record_id": part.record_id.to_numpy(), "embedding": list(e.v.astype(np.float32))})
+        molecules = Molecules(model)
+        for big in batches:
+            for at in range(0, big.num_rows, size):
+                part = big.slice(at, size)
+                batch = collate([example_of(r) for r in part.to_pylist()], graphs=False)
+                e, _ = model.encode(molecules(batch.names), batch, **masks)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(e.v.astype(np.float32)), pa.list_(pa.float32()))], names=["record_id", "embedding"])
 
     kind = records.schema["record_id"].dataType.simpleString()
-    return records.select("record_id", "participants", "direction").mapInPandas(work, f"record_id {kind}, embedding array<float>")
+    more = [c for c in ("label_index",) if c in records.columns]
+    return records.select("record_id", "participants", "direction", *more).mapInArrow(work, f"record_id {kind}, embedding array<float>")
 
 
 def trace_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128) -> DataFrame:

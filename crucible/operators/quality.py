@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import all_finite, cosine, norm
+from crucible.functions.tables import with_running
 
 #: Thresholds of the collapse report.
 CRITERIA = {"effective_rank_min": 20.0, "top1_max": 0.5, "top10_max": 0.95, "zero_variance_max": 0, "random_cosine_std_min": 0.01, "unexplained_duplicates_max": 0}
@@ -97,8 +98,6 @@ def random_pairs(df: DataFrame, id_col: str, vector_col: str, n_pairs: int = 200
     The pairs are drawn by place in identifier order and meet their vectors in
     two joins; their number is a parameter, not the table's size.
     """
-    from crucible.functions.tables import with_running
-
     rows = with_running(df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v")), ["_id"], "_n")
     n = rows.count()
     if n < 2:
@@ -145,6 +144,11 @@ def duplicate_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     return df.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("first_id")).filter("group_size > 1")
 
 
+def numbered_groups(groups: DataFrame, size: str = "group_size", first: str = "first_id") -> DataFrame:
+    """groups with group_id, their number from 1 in order of size, the largest first, then of the first member."""
+    return with_running(groups, [F.desc(size), F.col(first)], "group_id")
+
+
 def duplicate_histogram(groups: DataFrame) -> DataFrame:
     return groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("groups"))
 

@@ -98,8 +98,8 @@ def resolve_duplicates(records: DataFrame, key: str = "strict_key", number: Colu
 
     Records of one key are merged into the one of the smallest number, unless
     their conflict values differ: then all stay. The groups' facts come from an
-    aggregation and meet the records in a join, so a large group is no single
-    task's work.
+    aggregation, combined before the shuffle, and meet the records in a join,
+    whose skewed parts adaptive execution splits.
     """
     number = numeric_suffix("record_id") if number is None else number
     numbered = records.withColumn("_number", number)
@@ -140,10 +140,11 @@ def loose_candidates(kept: DataFrame, number: Column | None = None) -> DataFrame
     return kept.groupBy("loose_key").agg(ids.alias("record_ids"), F.count(F.lit(1)).alias("candidate_count")).filter("candidate_count > 1").withColumn("action", F.lit("report_only_not_merged"))
 
 
-def dedup_stats(resolved: DataFrame, key: str = "strict_key", labels: str = "labels") -> DataFrame:
-    """One row of counts over records and key groups; differing labels never stop a merge, they are counted."""
+def dedup_stats(resolved: DataFrame, key: str = "strict_key", labels: str = "labels", xrefs: str | None = None) -> DataFrame:
+    """One row of counts over records and key groups; differing labels and cross references never stop a merge, they are counted."""
+    refs = F.coalesce(F.to_json(xrefs), F.lit("{}")) if xrefs else F.lit("{}")
     groups = resolved.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.array_join(labels, ";"), F.lit(""))).alias("label_sets"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.array_join(labels, ";"), F.lit(""))).alias("label_sets"), F.count_distinct(refs).alias("xref_sets"),
         F.max((F.col("dedup_status") == "kept_conflict").cast("int")).alias("clash"),
     )
     several = F.col("n") > 1
@@ -152,6 +153,7 @@ def dedup_stats(resolved: DataFrame, key: str = "strict_key", labels: str = "lab
         F.sum(F.when(F.col("clash") == 1, F.col("n")).otherwise(1)).alias("retained_count"),
         F.count_if(several).alias("duplicate_group_count"),
         F.count_if(several & (F.col("label_sets") > 1)).alias("label_conflict_group_count"),
+        *([F.count_if(several & (F.col("xref_sets") > 1)).alias("xref_conflict_group_count")] if xrefs else []),
         F.count_if(F.col("clash") == 1).alias("conflict_group_count"),
         F.sum(F.when(F.col("clash") == 1, 0).otherwise(F.col("n") - 1)).alias("merged_count"),
     )

@@ -23,8 +23,8 @@ def segment_counts(df: DataFrame, segments: DataFrame, segment: str) -> DataFram
 def segment_softmax(df: DataFrame, segment: str, score: str, name: str = "weight", least: float = 1e-12) -> DataFrame:
     """df with each score's share in its segment: exp(score - largest) over their sum.
 
-    The largest and the sum come from aggregations that meet the rows in joins,
-    so a large segment is no single task's work.
+    The largest and the sum come from aggregations, combined before the shuffle,
+    that meet the rows in joins, whose skewed parts adaptive execution splits.
     """
     top = df.groupBy(segment).agg(F.max(score).alias("_top"))
     shifted = df.join(top, segment).withColumn("_e", F.exp(F.col(score) - F.col("_top")))

@@ -143,6 +143,15 @@ SELECT level, CAST(k AS INTEGER) AS k, q AS annotated_query_count, round(n / (q
 FROM chance JOIN found USING (level, k)"""
 
 
+PUBLISHED = (
+    RESOLVED
+    + """,
+whole AS (SELECT *, CASE WHEN record_id % 3 <> 0 THEN label END AS lab FROM resolved),
+kept AS (SELECT canonical_id, string_agg(CAST(record_id AS VARCHAR), ';' ORDER BY record_id) AS ids, string_agg(DISTINCT lab, ';' ORDER BY lab) AS labs, max(CASE WHEN record_id = canonical_id THEN status END) AS status FROM whole GROUP BY 1),
+participants AS (
+  SELECT record_id, side, compound_id, canonical, max(members.status) AS status FROM members WHERE record_id IN (SELECT canonical_id FROM kept) GROUP BY 1, 2, 3, 4)"""
+)
+
 SHORT10 = _neighbours("short10", "CAST({}.embedding[1:16] AS DOUBLE[])", 10)
 
 SQL = {
@@ -152,6 +161,32 @@ SQL = {
     "participants_agg": f"""WITH {MEMBERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY record_id, side, compound_id, canonical ORDER BY l_linenumber, l_partkey) AS r FROM members)
 SELECT record_id, side, compound_id, canonical, CAST(count(*) * CASE WHEN side = 'reactant' THEN -1 ELSE 1 END AS DOUBLE) AS coefficient,
   max(CASE WHEN r = 1 THEN original END) AS original, max(status) AS status, false AS missing FROM ranked GROUP BY 1, 2, 3, 4""",
+    "record_fields": f"""WITH {PUBLISHED}, i AS (SELECT canonical_id, string_agg(DISTINCT 'ORD:' || (record_id * 10 + n), ';' ORDER BY 'ORD:' || (record_id * 10 + n)) AS source_ids FROM whole, range(4) r(n) GROUP BY 1),
+c AS (SELECT record_id, CAST(count(*) AS INTEGER) AS n FROM participants GROUP BY 1)
+SELECT canonical_id AS record_id, 'ORD_EQ:' || canonical_id * 10 AS equivalence_group_id, source_ids, ids AS members, ids AS provenance, labs AS labels, labs IS NULL AS labels_missing,
+  canonical_id % 2 <> 0 AND canonical_id % 3 <> 0 AND canonical_id % 5 <> 0 AS direction_missing, 'ORD:' || (canonical_id * 10 + 3) AS reversible, c.n AS n_participants
+FROM kept JOIN i USING (canonical_id) JOIN c ON c.record_id = canonical_id""",
+    "coverage_full": f"""WITH {PUBLISHED}, p AS (SELECT avg(CASE WHEN compound_id = 'Brand#3' THEN 1.0 ELSE 0.0 END) AS cofactor FROM participants)
+SELECT 1.0::DOUBLE AS reaction_smiles, 0.0::DOUBLE AS direction_defined, round(avg(CASE WHEN canonical_id % 2 = 0 OR canonical_id % 3 = 0 OR canonical_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 6) AS direction_evidence_available,
+  round(avg(CASE WHEN labs IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ec_numbers, 0.0::DOUBLE AS reaction_type, 0.0::DOUBLE AS atom_map, 0.0::DOUBLE AS context,
+  1.0::DOUBLE AS participant_compound_id, 1.0::DOUBLE AS participant_canonical_smiles, 0.0::DOUBLE AS participant_compartment, 0.0::DOUBLE AS participant_role, (SELECT round(cofactor, 6) FROM p) AS participant_cofactor_role FROM kept""",
+    "report_counts": f"""WITH {PUBLISHED} SELECT count(*) AS reaction_count, CAST(0 AS BIGINT) AS failed_smiles_count, (SELECT count(*) FROM participants WHERE status = 'unsanitized') AS unsanitized_smiles_count,
+  count(*) FILTER (status = 'O') AS imbalanced_reaction_count, count(*) FILTER (status NOT IN ('O', 'F')) AS unknown_balance_count FROM kept""",
+    "corpus_index": f"""WITH {PUBLISHED}, l AS (SELECT DISTINCT canonical_id, lab FROM whole WHERE lab IS NOT NULL), v AS (SELECT lab, row_number() OVER (ORDER BY lab) AS i FROM (SELECT DISTINCT lab FROM l)),
+n AS (SELECT canonical_id, string_agg(CAST(i AS VARCHAR), ';' ORDER BY i) AS label_index FROM l JOIN v USING (lab) GROUP BY 1), c AS (SELECT record_id, count(*) FILTER (compound_id = 'Brand#3') AS n FROM participants GROUP BY 1)
+SELECT kept.canonical_id AS record_id, coalesce(label_index, '') AS label_index, CAST(c.n AS INTEGER) AS n_cofactors FROM kept LEFT JOIN n USING (canonical_id) JOIN c ON c.record_id = kept.canonical_id""",
+    "vocab_sizes": f"""WITH {PUBLISHED} SELECT 'role' AS vocabulary, CAST(1 AS BIGINT) AS size UNION ALL SELECT 'compartment', 1 UNION ALL SELECT 'reaction_type', 1
+UNION ALL SELECT 'cofactor', 1 + count(DISTINCT compound_id) FILTER (compound_id = 'Brand#3') FROM participants UNION ALL SELECT 'label', 1 + count(DISTINCT lab) FROM whole UNION ALL SELECT 'molecule', 1 + count(DISTINCT canonical) FROM participants""",
+    "group_numbers": f"WITH {QUANTISED} SELECT row_number() OVER (ORDER BY n DESC, first_id) AS group_id, k AS vector_key, n AS group_size, first_id FROM grouped WHERE n > 1",
+    "encoded_signatures": f"""WITH {MEMBERS}, p AS (
+  SELECT record_id, CASE WHEN side = 'reactant' THEN 0 ELSE 1 END AS side, CAST(count(*) * CASE WHEN side = 'reactant' THEN -1 ELSE 1 END AS DOUBLE) AS c,
+    sha256(CASE canonical WHEN 'ECONOMY' THEN 'CCO' WHEN 'STANDARD' THEN 'CC=O' WHEN 'SMALL' THEN 'O' WHEN 'MEDIUM' THEN 'CC(=O)O' WHEN 'LARGE' THEN 'c1ccccc1O' WHEN 'PROMO' THEN '[NH4+]' ELSE '*' END) AS m
+  FROM members WHERE record_id IN (SELECT o_orderkey FROM orders) GROUP BY record_id, members.side, compound_id, canonical),
+d AS (SELECT *, CASE WHEN record_id % 5 = 0 OR record_id % 6 = 0 THEN 2 WHEN record_id % 2 = 0 THEN 0 WHEN record_id % 3 = 0 THEN 1 ELSE 3 END AS direction FROM p),
+l AS (SELECT record_id, direction, list(struct_pack(side := side, c := c, m := m) ORDER BY side, c, m) AS there, list(struct_pack(side := 1 - side, c := -c, m := m) ORDER BY 1 - side, -c, m) AS back FROM d GROUP BY 1, 2),
+k AS (SELECT record_id, direction, CASE WHEN direction = 1 OR direction = 2 AND back < there THEN back ELSE there END AS core FROM l)
+SELECT record_id, sha256('{{"direction_index":' || direction || ',"ec_indices":[],"participants":[' ||
+  list_aggregate(list_transform(core, lambda x: '[' || x.side || ',' || CAST(x.c AS VARCHAR) || ',"' || x.m || '",0,0,0]'), 'string_agg', ',') || '],"reaction_type_index":0}}') AS signature FROM k""",
     "positional_zip": """WITH a AS (SELECT doc_id, string_split(text, ' ') AS l, string_split(source, 'c') AS r FROM documents),
 e AS (SELECT doc_id, unnest(range(len(l))) AS p, l, r FROM a)
 SELECT doc_id, CAST(p AS INTEGER) AS pos, l[p + 1] AS left_part, r[p + 1] AS right_part FROM e""",
@@ -164,9 +199,9 @@ SELECT doc_id, CAST(p AS INTEGER) AS pos, l[p + 1] AS left_part, r[p + 1] AS rig
     "dedup_conflicts": f"WITH {RESOLVED} SELECT record_id, strict_key, group_size FROM resolved WHERE dedup_status = 'kept_conflict'",
     "dedup_idmap": f"""WITH {RESOLVED} SELECT o_orderkey AS source_id, canonical_id, coalesce(dedup_status, 'excluded_missing_rxn') AS status
 FROM orders LEFT JOIN resolved ON record_id = o_orderkey""",
-    "dedup_stats": f"""WITH {RESOLVED}, g AS (SELECT strict_key, count(*) AS n, count(DISTINCT label) AS labels, max(CASE WHEN dedup_status = 'kept_conflict' THEN 1 ELSE 0 END) AS clash FROM resolved GROUP BY 1)
+    "dedup_stats": f"""WITH {RESOLVED}, g AS (SELECT strict_key, count(*) AS n, count(DISTINCT label) AS labels, count(DISTINCT o_custkey % 3) AS refs, max(CASE WHEN dedup_status = 'kept_conflict' THEN 1 ELSE 0 END) AS clash FROM resolved JOIN orders ON o_orderkey = record_id GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS record_count, CAST(sum(CASE WHEN clash = 1 THEN n ELSE 1 END) AS BIGINT) AS retained_count, count(*) FILTER (n > 1) AS duplicate_group_count,
-  count(*) FILTER (n > 1 AND labels > 1) AS label_conflict_group_count, count(*) FILTER (clash = 1) AS conflict_group_count,
+  count(*) FILTER (n > 1 AND labels > 1) AS label_conflict_group_count, count(*) FILTER (n > 1 AND refs > 1) AS xref_conflict_group_count, count(*) FILTER (clash = 1) AS conflict_group_count,
   CAST(sum(CASE WHEN clash = 1 THEN 0 ELSE n - 1 END) AS BIGINT) AS merged_count FROM g""",
     "loose_candidates": f"""WITH {RESOLVED} SELECT loose_key, string_agg(CAST(record_id AS VARCHAR), ';' ORDER BY record_id) AS record_ids, count(*) AS candidate_count, 'report_only_not_merged' AS action
 FROM resolved WHERE record_id = canonical_id GROUP BY loose_key HAVING count(*) > 1""",

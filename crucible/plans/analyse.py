@@ -16,6 +16,10 @@ from crucible.operators.encoder import Config, Encoder, Example, collate, encode
 from crucible.sources import sinks
 
 
+#: Indices of a participant, as far as it has them.
+INDICES = ("role_index", "cofactor_index", "compartment_index")
+
+
 def oriented(participants: Column, direction: Column) -> Column:
     """Sorted (side, coefficient, structure, cofactor) in the order of the direction: right to left exchanges the sides."""
     swap = direction == "right_to_left"
@@ -49,9 +53,33 @@ def signatures(participants: Column, direction: Column, labels: Column) -> dict[
 def model_rows(records: DataFrame) -> DataFrame:
     """(record_id, participants, direction, labels) as the encoder takes them."""
     have = records.schema["participants"].dataType.elementType.fieldNames()
-    part = lambda p: F.struct(p["side"].alias("side"), p["coefficient"].alias("coefficient"), p["canonical"].alias("canonical"), (p["cofactor"] if "cofactor" in have else F.lit(None).cast("string")).alias("cofactor"))
+    more = [c for c in INDICES if c in have]
+    part = lambda p: F.struct(p["side"].alias("side"), p["coefficient"].alias("coefficient"), p["canonical"].alias("canonical"), (p["cofactor"] if "cofactor" in have else F.lit(None).cast("string")).alias("cofactor"), *(p[c].alias(c) for c in more))
     direction = direction_policy(F.col("supported_directions")) if "supported_directions" in records.columns else F.col("direction")
-    return records.select("record_id", F.transform("participants", part).alias("participants"), direction.alias("direction"), "labels")
+    return records.select("record_id", F.transform("participants", part).alias("participants"), direction.alias("direction"), "labels", *(c for c in ("label_index", "reaction_type_index") if c in records.columns))
+
+
+def encoded_signature(participants: Column, direction: Column, molecule_key, labels: Column | None = None, reaction_type: Column | None = None, indices: tuple[str, ...] = ()) -> Column:
+    """A hash of what the encoder reads as numbers: sides, coefficients, molecules by key, the indices of role, cofactor and compartment, direction, kind and labels.
+
+    As signatures(): right to left exchanges the sides, a reversible record is
+    the lesser of both ways round. molecule_key makes the key of a participant;
+    `indices` names those of INDICES that the participants have, others are 0.
+    """
+    number = F.array_position(F.array(*map(F.lit, DIRECTIONS)), direction).cast("int") - 1
+    index = lambda p, n: F.coalesce(p[n], F.lit(0)).cast("int") if n in indices else F.lit(0)
+    have = INDICES
+    one = lambda p: F.struct(
+        (p["side"] == "product").cast("int").alias("side"), F.round(p["coefficient"], 8).alias("coefficient"), molecule_key(p).alias("molecule"), *(index(p, n).alias(n) for n in have),
+    )
+    back = lambda p: F.struct((1 - p["side"]).alias("side"), (-p["coefficient"]).alias("coefficient"), p["molecule"].alias("molecule"), *(p[n].alias(n) for n in have))
+    there = F.array_sort(F.transform(participants, one))
+    turned = F.array_sort(F.transform(there, back))
+    chosen = F.when(direction == "right_to_left", turned).when(direction == "reversible", F.least(there, turned)).otherwise(there)
+    items = json_list(F.transform(chosen, lambda p: json_list(F.array(json_number(p["side"]), json_number(p["coefficient"]), json_text(p["molecule"]), *(json_number(p[n]) for n in have)))))
+    labels = json_list(F.transform(F.array_sort(F.coalesce(labels, F.array().cast("array<bigint>"))), json_number)) if labels is not None else F.lit("[]")
+    kind = json_number(F.coalesce(reaction_type, F.lit(0))) if reaction_type is not None else F.lit("0")
+    return stable_hash(F.concat(F.lit('{"direction_index":'), json_number(number), F.lit(',"ec_indices":'), labels, F.lit(',"participants":'), items, F.lit(',"reaction_type_index":'), kind, F.lit("}")))
 
 
 def diagnose(vectors: DataFrame, records: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,15 +128,86 @@ def check_export(vectors: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     )
 
 
+def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(numbered members of molecule groups, summary) of molecules with equal vectors (canonical, vector), and of records with equal ones.
+
+    Of the groups of records with equal vectors: in how many the encoded inputs
+    are equal, with each molecule as its vector's hash, and how many hold two
+    molecules of one vector.
+    """
+    keyed = molecules.select("canonical", F.sha2(Q.bit_key(F.col("vector")), 256).alias("molecule"))
+    sizes = keyed.groupBy("molecule").agg(F.count(F.lit(1)).alias("group_size"), F.min("canonical").alias("first_id"))
+    groups = Q.numbered_groups(sizes.filter("group_size > 1"))
+    members = keyed.join(groups, "molecule").select("group_id", "group_size", F.col("canonical").alias("smiles"))
+    rows = model_rows(records).join(vectors.select("record_id", F.sha2(Q.bit_key(F.col("embedding")), 256).alias("group")), "record_id")
+    several = rows.join(rows.groupBy("group").count().filter("count > 1").select("group"), "group")
+    parts = several.select("group", "record_id", "direction", F.posexplode("participants").alias("pos", "p")).select("group", "record_id", "direction", "pos", "p.*").join(keyed, "canonical")
+    more = tuple(c for c in INDICES if c in parts.columns)
+    again = parts.groupBy("group", "record_id", "direction").agg(F.collect_list(F.struct("side", "coefficient", "molecule", *more)).alias("participants"))
+    signed = again.withColumn("s", encoded_signature(F.col("participants"), F.col("direction"), lambda p: p["molecule"], indices=more))
+    explained = signed.groupBy("group").agg((F.min("s") == F.max("s")).alias("explained"))
+    collided = parts.groupBy("group").agg((F.count_distinct("molecule") < F.count_distinct("canonical")).alias("collided"))
+    of_records = explained.join(collided, "group").agg(
+        F.count(F.lit(1)).alias("record_group_count"), F.count_if("explained").alias("groups_with_equal_inputs"), F.count_if("collided").alias("groups_with_equal_molecules"),
+    )
+    of_molecules = sizes.agg(
+        F.coalesce(F.sum("group_size"), F.lit(0)).alias("molecule_count"), F.count(F.lit(1)).alias("distinct_count"), F.coalesce(F.sum(F.col("group_size") - 1), F.lit(0)).alias("excess"),
+        F.count_if(F.col("group_size") > 1).alias("group_count"), F.coalesce(F.sum(F.when(F.col("group_size") > 1, F.col("group_size"))), F.lit(0)).alias("molecules_in_groups"),
+    )
+    return members, of_molecules.crossJoin(of_records)  # one row each
+
+
+def without_direction(rows: DataFrame, group: str, direction: str = "reversible") -> DataFrame:
+    """rows without the groups that hold a record of that direction."""
+    return rows.join(rows.filter(F.col("direction") == direction).select(group).distinct(), group, "left_anti")
+
+
 def audit(records: DataFrame, config: Config, weights: dict[str, np.ndarray]) -> DataFrame:
-    """One row: what leaving out the direction changes (distance of each record's vectors), and that labels change nothing."""
+    """One row: what leaving out the direction changes (distance of each record's vectors), and that labels and excluded indices change nothing.
+
+    The records are encoded as they are, with labels on all of them exchanged
+    for another, and with other roles, compartments and kinds: all reach the
+    encoder, which must not read them.
+    """
     rows = model_rows(records)
+    if "label_index" not in rows.columns:
+        rows = rows.withColumn("label_index", F.array(F.lit(1)))
+    others = ("role_index", "compartment_index")
+    have = rows.schema["participants"].dataType.elementType.fieldNames()
+    altered = lambda p: F.struct(*(p[n].alias(n) for n in have if n not in others), *(F.lit(7).alias(n) for n in others))
     base = encode_records(rows, config, weights)
-    without = encode_records(rows, config, weights, mask_direction=True).withColumnRenamed("embedding", "other")
-    no_labels = encode_records(rows.withColumn("labels", F.lit(None).cast("array<string>")), config, weights).withColumnRenamed("embedding", "bare")
-    distance = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
-    d = base.join(without, "record_id").join(no_labels, "record_id").select(distance("embedding", "other").alias("d"), F.array_max(F.zip_with("embedding", "bare", lambda x, y: F.abs(x - y))).alias("l"))
-    return d.agg(F.count(F.lit(1)).alias("record_count"), F.min("d").alias("direction_min"), F.median("d").alias("direction_median"), F.avg("d").alias("direction_mean"), F.max("d").alias("direction_max"), F.count_if(F.col("d") > 1e-6).alias("direction_changed"), F.max("l").alias("label_max_difference"))
+    variants = {
+        "d": encode_records(rows, config, weights, mask_direction=True),
+        "l": encode_records(rows.withColumn("label_index", F.transform("label_index", lambda x: x + 1)), config, weights),
+        "m": encode_records(rows.withColumn("participants", F.transform("participants", altered)).withColumn("reaction_type_index", F.lit(7)), config, weights),
+    }
+    joined = base
+    for name, v in variants.items():
+        joined = joined.join(v.withColumnRenamed("embedding", name), "record_id")
+    gap = lambda n: F.array_max(F.zip_with("embedding", n, lambda x, y: F.abs(x - y)))
+    squares = F.zip_with("embedding", "d", lambda x, y: (x - y).cast("double") * (x - y).cast("double"))
+    d = joined.select(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("d"), gap("l").alias("l"), gap("m").alias("m"))
+    out = d.agg(
+        F.count(F.lit(1)).alias("record_count"), F.min("d").alias("direction_min"), F.median("d").alias("direction_median"), F.avg("d").alias("direction_mean"), F.max("d").alias("direction_max"),
+        F.count_if(F.col("d") > 1e-6).alias("direction_changed"), F.max("l").alias("label_max_difference"), F.max("m").alias("metadata_max_difference"),
+    )
+    return out.withColumn("passed", (F.col("label_max_difference") == 0) & (F.col("metadata_max_difference") == 0) & (F.col("direction_changed") == F.col("record_count")))
+
+
+def plot_tables(vectors: DataFrame, near: DataFrame, metrics: DataFrame, id_col: str = "record_id", vector_col: str = "embedding", n_pairs: int = 200_000, bins: int = 60) -> dict[str, DataFrame]:
+    """The data of the report's three panels: the spectrum, the cosines of nearest and of random pairs, and precision by level and k beside chance."""
+    width = lambda df, name: sinks.histogram(df, "cosine", -1.0, 1.0, bins).withColumn("pairs", F.lit(name))
+    return {
+        "spectrum": Q.spectrum(vectors, vector_col),
+        "cosines": width(near.filter("rank = 1"), "nearest").unionByName(width(Q.random_pairs(vectors, id_col, vector_col, n_pairs), "random")),
+        "precision": metrics.select("level", "k", "precision", "random_precision", "lift"),
+    }
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Diagnostic tables as delimited files with a header: neighbours, label agreement, groups, members, traces, ablation. Scores have eight decimals."""
+    for name, df in tables.items():
+        sinks.delimited(df, f"{folder}/{name}", sep=",", decimals={c: 8 for c, t in df.dtypes if t == "double"})
 
 
 def direction_counts(records: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from crucible.operators import evidence as E
 from crucible.operators import records as R
 from crucible.operators import validate as V
 from crucible.operators.chemistry import canonicalise, parse_molblock, parse_rxn
+from crucible.plans import formats
 from crucible.sources import readers, sinks
 
 #: File and column names of the public reaction archives.
@@ -47,9 +48,14 @@ class Corpus:
     changes: DataFrame
     failures: DataFrame
     balance: DataFrame
+    prefix: str
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in self.__dict__.items() if k not in ("molecules", "resolved")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("molecules", "resolved", "prefix")}
+
+    def published(self) -> dict[str, DataFrame]:
+        """The tables in their published layout."""
+        return {"reactions": formats.records(self.records, self.prefix), "source_reactions": formats.source_records(self.source_records, self.prefix), "direction_variants": formats.variants(self.variants)}
 
 
 MOLECULES = "record_id string, side string, pos int, compound_id string, original string, canonical string, status string, atoms map<string,bigint>, charge bigint, unknown_atoms int, error string, stage string"
@@ -104,14 +110,17 @@ def prepare(spark: SparkSession, c: Config) -> Corpus:
     failures = lost.unionByName(parsed.filter("stage IS NOT NULL").select("record_id", "stage", "error"))
     parts = R.participants(molecules)
     balance = R.balance(molecules)
-    records = R.nested(parts).join(directions, "record_id").join(balance, "record_id").join(ec, "master", "left").join(xrefs, "master", "left")
-    records = records.withColumn("reaction_smiles", R.text_of(F.col("participants"))).withColumn("xrefs", F.coalesce("xrefs", F.expr("map()").cast("map<string,array<string>>")))
+    fields = ["side_order", "compound_id", "canonical", "coefficient", "side", "compartment", "status", "original"]
+    no_xrefs = F.expr("map()").cast("map<string,array<string>>")
+    records = R.nested(parts, fields).join(directions, "record_id").join(balance, "record_id").join(ec, "master", "left").join(xrefs, "master", "left")
+    records = records.join(smiles.withColumnRenamed("reaction_smiles", "source_reaction_smiles"), "left_to_right", "left")
+    records = records.withColumn("reaction_smiles", R.text_of(F.col("participants"))).withColumn("xrefs", F.coalesce("xrefs", no_xrefs))
     keyed = settled(R.with_keys(records, c.ignored), "keyed")
     resolved = settled(R.resolve_duplicates(keyed), "resolved")
     kept = R.merged(resolved)
     # Cross references of a group, united by database.
     united = resolved.select("canonical_id", F.explode("xrefs").alias("db", "ids")).groupBy("canonical_id", "db").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids")).groupBy("canonical_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("db", "ids")))).alias("xrefs"))
-    kept = kept.drop("xrefs").join(united, "canonical_id", "left")
+    kept = kept.drop("xrefs").join(united, "canonical_id", "left").join(formats.group_facts(resolved, c.release, c.prefix), "canonical_id")
     id_map = R.id_map(resolved, directions)
     uniprot = tsv(UNIPROT_FILE, ["MASTER_ID", "ID", "DIRECTION"]).select(number("MASTER_ID").alias("master"), "ID", "DIRECTION")
     ev = E.direction_evidence(xrefs_raw, "master", "DIRECTION", "ID", database="DB").unionByName(E.direction_evidence(uniprot, "master", "DIRECTION", "ID", fixed_database=UNIPROT)).distinct()
@@ -120,35 +129,31 @@ def prepare(spark: SparkSession, c: Config) -> Corpus:
     ids = resolved.select("canonical_id", F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), prefixed(c.prefix, d).alias("id")) for d in ("left_to_right", "right_to_left", "reversible")))).alias("x"))
     ids = ids.groupBy("canonical_id", "x.direction").agg(F.array_sort(F.collect_list("x.id")).alias("directional_ids"))
     variants = settled(variants.join(ids, ["canonical_id", "direction"]), "variants")
-    kept = kept.join(E.supported(variants).withColumnRenamed("directions", "supported_directions"), "canonical_id")
+    kept = kept.join(E.supported(variants).withColumnRenamed("directions", "supported_directions"), "canonical_id").join(formats.evidence_summary(of, ev, "master"), "canonical_id", "left")
+    sources = directions.join(ec, "master", "left").join(xrefs, "master", "left")
     return Corpus(
-        kept.withColumn("direction_missing", F.size("supported_directions") == 0), molecules, resolved, id_map, R.source_records(directions, id_map, failures),
-        variants, R.loose_candidates(kept), R.changes(molecules), failures, balance,
+        kept.withColumn("direction_missing", F.size("supported_directions") == 0), molecules, resolved, id_map, R.source_records(sources, id_map, failures),
+        variants, R.loose_candidates(kept), R.changes(molecules), failures, balance, c.prefix,
     )
 
 
 def quality_report(corpus: Corpus) -> dict:
     """Counts and coverage of a corpus: one row from each aggregation."""
-    filled = lambda f: lambda p: p[f].isNotNull() & (p[f] != "")
-    coverage = R.coverage(
-        corpus.records,
-        {
-            "reaction_smiles": F.col("reaction_smiles") != "", "direction_evidence_available": F.size("supported_directions") > 0,
-            "labels": F.size(F.coalesce("labels", F.array().cast("array<string>"))) > 0,
-        },
-        {"participant_compound_id": filled("compound_id"), "participant_canonical": filled("canonical"), "participant_compartment": filled("compartment")},
-    ).first()
+    table = corpus.published()["reactions"]
     states = {r.status: r["count"] for r in corpus.balance.groupBy("status").count().collect()}
     return {
-        "coverage": coverage.asDict(), "balance": states, "dedup": R.dedup_stats(corpus.resolved).first().asDict(), "support": E.support_stats(corpus.variants).first().asDict(),
-        "failures": corpus.failures.count(), "loose_groups": corpus.loose.count(), "molecule_status": {r.status: r["count"] for r in corpus.molecules.groupBy("status").count().collect()},
+        "coverage": formats.coverage(table).first().asDict(), "counts": formats.report_counts(table).first().asDict(), "balance": states, "dedup": R.dedup_stats(corpus.resolved, xrefs="xrefs").first().asDict(), "support": E.support_stats(corpus.variants).first().asDict(),
+        "source_record_count": corpus.source_records.count(), "rxn_smiles_fallback_count": corpus.molecules.filter(F.col("error").startswith("rxn_fallback")).count(), "failures": corpus.failures.count(), "loose_groups": corpus.loose.count(),
+        "molecule_status": {r.status: r["count"] for r in corpus.molecules.groupBy("status").count().collect()},
     }
 
 
 def constraints(corpus: Corpus) -> DataFrame:
     """The rules that a prepared corpus keeps."""
     signs = corpus.records.select(F.explode("participants").alias("p")).select("p.*")
+    published = corpus.published()
     return V.union(
+        formats.rules(published["reactions"], published["source_reactions"], published["direction_variants"], corpus.id_map),
         V.check_rows(signs, {"sign_follows_side": F.when(F.col("side") == "reactant", F.col("coefficient") < 0).otherwise(F.col("coefficient") > 0)}),
         V.check_unique(corpus.records, ["record_id"], "record_unique"),
         V.check_complete(corpus.variants, "canonical_id", "direction", ["left_to_right", "right_to_left", "reversible"], "three_variants"),
@@ -158,9 +163,11 @@ def constraints(corpus: Corpus) -> DataFrame:
 
 
 def write(corpus: Corpus, folder: str) -> dict[str, str]:
-    """All tables as Parquet, variants and maps also as TSV, the change log as JSON lines; the manifest of contents."""
-    for name, df in corpus.tables().items():
+    """All tables as Parquet, also in the published layout, variants and maps as TSV, records and the change log as JSON lines; the manifest of contents."""
+    for name, df in (corpus.tables() | corpus.published()).items():
         sinks.parquet(df, f"{folder}/{name}")
+    sinks.json_lines(corpus.published()["reactions"], f"{folder}/reactions_jsonl")
+    sinks.json_lines(corpus.published()["source_reactions"], f"{folder}/source_reactions_jsonl")
     sinks.delimited(corpus.id_map.orderBy(numeric_suffix("source_id")), f"{folder}/id_map_tsv", single=True)
     sinks.delimited(corpus.loose, f"{folder}/loose_tsv")
     sinks.delimited(corpus.variants, f"{folder}/variants_tsv")

@@ -13,9 +13,12 @@ from crucible.operators import quality as Q
 from crucible.operators import records as R
 from crucible.operators import segments as S
 from crucible.operators import similarity as T
+from crucible.operators import training as TR
 from crucible.operators import validate as V
 from crucible.operators.encoder import Config, encode_molecules, encode_records, example_of, new_weights, trace_records
 from crucible.plans import analyse as A
+from crucible.plans import formats
+from crucible.plans import model as M
 from crucible.sources.sinks import checksum, histogram
 
 #: Stand-ins for direction codes; other event types have none.
@@ -53,7 +56,8 @@ def keyed(spark, d) -> DataFrame:
 
 
 def resolved(spark, d) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_orderpriority")).alias("labels"))
+    refs = F.create_map(F.lit("cust"), F.array((F.col("o_custkey") % 3).cast("string")))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_orderpriority")).alias("labels"), refs.alias("xrefs"))
     # Keys are made once: the rule reads them for the groups and for the records.
     return R.resolve_duplicates(settled(keyed(spark, d).join(orders, "record_id"), "keyed"), number=F.col("record_id"))
 
@@ -161,7 +165,7 @@ def dedup_idmap(spark, d):
 
 
 def dedup_stats(spark, d):
-    return R.dedup_stats(resolved(spark, d))
+    return R.dedup_stats(resolved(spark, d), xrefs="xrefs")
 
 
 def loose_candidates(spark, d):
@@ -170,6 +174,49 @@ def loose_candidates(spark, d):
     return c.select("loose_key", F.array_join("record_ids", ";").alias("record_ids"), "candidate_count", "action")
 
 
+def published(spark, d) -> DataFrame:
+    """Kept orders in the published layout: four numbers from an order's, structures of its parts, labels of all but every third."""
+    key = F.col("record_id")
+    numbers = [(key * 10 + i).alias(n) for i, n in enumerate(formats.VARIANTS)]
+    all_of = settled(resolved(spark, d).withColumn("labels", F.when(key % 3 != 0, F.col("labels"))).select("*", *numbers), "resolved")
+    kept = R.merged(all_of, number=key).join(formats.group_facts(all_of, "1", "ORD", number=key), "canonical_id").drop("participants")
+    parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.when(F.col("compound_id") == "Brand#3", F.col("compound_id")))
+    nested = R.nested(parts, ["side_order", "compound_id", "canonical", "coefficient", "side", "compartment", "status", "original", "cofactor"])
+    more = {
+        "reaction_smiles": R.text_of(F.col("participants")), "source_reaction_smiles": F.lit(None).cast("string"), "supported_directions": supported_of(key), "direction_evidence_summary_json": F.lit(None).cast("string"),
+        "is_balanced": F.col("status") == "F", "element_delta": F.lit(None).cast("string"), "charge_delta": F.lit(0), "status": F.when(F.col("status") == "F", "balanced").when(F.col("status") == "O", "imbalanced").otherwise("unknown"),
+    }
+    return formats.records(kept.join(nested, "record_id").withColumns(more), "ORD")
+
+
+def record_fields(spark, d):
+    p = published(spark, d)
+    return p.select(
+        F.col("reaction_id").alias("record_id"), "equivalence_group_id", F.array_join("source_ids.rhea", ";").alias("source_ids"), F.array_join(F.transform("equivalent_rhea_master_ids", lambda x: x.cast("string")), ";").alias("members"),
+        F.array_join(F.transform("provenance", lambda x: x["source_reaction_id"].cast("string")), ";").alias("provenance"), F.array_join("ec_numbers", ";").alias("labels"), F.col("missing_masks.ec_numbers").alias("labels_missing"),
+        F.col("missing_masks.direction").alias("direction_missing"), "direction_variant_ids.reversible", F.size("participants").alias("n_participants"),
+    )
+
+
+def coverage_full(spark, d):
+    return formats.coverage(published(spark, d))
+
+
+def report_counts(spark, d):
+    return formats.report_counts(published(spark, d))
+
+
+def corpus_index(spark, d):
+    """Labels and cofactors of records as the encoder's numbers."""
+    rows = M.build_corpus(published(spark, d)).rows
+    return rows.select("record_id", F.array_join(F.transform("label_index", lambda x: x.cast("string")), ";").alias("label_index"), F.size(F.filter("participants", lambda p: p["cofactor_index"] > 0)).alias("n_cofactors"))
+
+
+def vocab_sizes(spark, d):
+    c = M.build_corpus(published(spark, d))
+    return spark.createDataFrame([(k, v) for k, v in c.sizes.items()] + [("molecule", c.molecules.count() + 1)], "vocabulary string, size long")
+
+
 def balance_status(spark, d):
     atoms = F.map_from_arrays(F.array(F.lit("C"), F.lit("H")), F.array(F.col("p_size").cast("long"), (F.col("p_size") % 3).cast("long")))
     m = members(spark, d).select(
@@ -299,6 +346,11 @@ def vector_duplicates(spark, d):
     return g.select(F.col("key").alias("vector_key"), "group_size", "first_id")
 
 
+def group_numbers(spark, d):
+    g = Q.numbered_groups(Q.duplicate_groups(quantised(spark, d), "vec_id", F.array_join("q", ",")))
+    return g.select("group_id", F.col("key").alias("vector_key"), "group_size", "first_id")
+
+
 def dup_histogram(spark, d):
     return Q.duplicate_histogram(Q.duplicate_groups(quantised(spark, d), "vec_id", F.array_join("q", ",")))
 
@@ -421,13 +473,16 @@ STRUCTURES = {"ECONOMY": "CCO", "STANDARD": "CC=O", "SMALL": "O", "MEDIUM": "CC(
 ENCODER = Config(dim=32, steps=2, readout="attention_sum", dropout=0.0)
 
 
+def supported_of(key):
+    return F.filter(F.array(*(F.when(key % m == 0, F.lit(x)) for m, x in ((2, "left_to_right"), (3, "right_to_left"), (5, "reversible")))), lambda x: x.isNotNull())
+
+
 def corpus(spark, d) -> DataFrame:
     """Orders as records that the encoder takes."""
     parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.lit(None).cast("string"))
     nested = R.nested(parts, ["side_order", "compound_id", "canonical", "coefficient", "side", "cofactor", "status"])
-    supported = F.filter(F.array(*(F.when(F.col("record_id") % m == 0, F.lit(x)) for m, x in ((2, "left_to_right"), (3, "right_to_left"), (5, "reversible")))), lambda x: x.isNotNull())
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_orderpriority").alias("labels"))
-    return nested.join(orders, "record_id").withColumn("supported_directions", supported)
+    return nested.join(orders, "record_id").withColumn("supported_directions", supported_of(F.col("record_id")))
 
 
 def encode_reactions(spark, d):
@@ -440,6 +495,30 @@ def record_signatures(spark, d):
     return rows.select("record_id", "direction", *(c.alias(n) for n, c in A.signatures(F.col("participants"), F.col("direction"), F.col("labels")).items()))
 
 
+def encoded_signatures(spark, d):
+    rows = A.model_rows(corpus(spark, d))
+    key = lambda p: F.sha2(F.coalesce(p["canonical"], F.lit("*")), 256)
+    return rows.select("record_id", A.encoded_signature(F.col("participants"), F.col("direction"), key).alias("signature"))
+
+
+def collision_trace(spark, d):
+    """Molecules and records with equal vectors, with the weights that an encoder begins with."""
+    rows = settled(corpus(spark, d), "corpus")
+    weights = new_weights(ENCODER)
+    texts = rows.select(F.explode("participants.canonical").alias("canonical")).filter("canonical IS NOT NULL")
+    molecules = settled(encode_molecules(texts, "canonical", ENCODER, weights), "molecules")
+    vectors = settled(encode_records(A.model_rows(rows), ENCODER, weights), "vectors")
+    return A.collision_trace(molecules, rows, vectors)[1]
+
+
+def train_steps(spark, d):
+    """Two steps of training on all partitions: the loss of each."""
+    c = M.build_corpus(published(spark, d))
+    config, _ = M.untrained(c, steps=2, readout="attention_sum")
+    _, losses = TR.fit_distributed(A.model_rows(c.rows).repartition(8, "record_id"), config, steps=2, size=32)
+    return spark.createDataFrame(list(enumerate(losses, 1)), "step int, loss double")
+
+
 def duplicate_vector_diagnosis(spark, d):
     rows = settled(corpus(spark, d), "corpus")
     vectors = encode_records(A.model_rows(rows), ENCODER, new_weights(ENCODER))
@@ -456,9 +535,10 @@ def molecule_collisions(spark, d):
 
 
 def fusion_trace(spark, d):
-    rows = settled(A.model_rows(corpus(spark, d)).filter("direction <> 'reversible'"), "corpus")
-    sig = rows.select("record_id", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group"))
-    groups = sig.join(sig.groupBy("group").count().filter("count > 1").select("group"), "group")
+    rows = settled(A.model_rows(corpus(spark, d)), "corpus")
+    sig = rows.select("record_id", "direction", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group"))
+    sig = A.without_direction(sig, "group").drop("direction")
+    groups = sig.join(sig.groupBy("group").count().filter("count > 1").select("group"), "group")  # of groups that hold no reversible record
     # Each stage's ranges and counts read the traces.
     stages = settled(trace_records(rows.join(groups.select("record_id"), "record_id", "left_semi"), ENCODER, new_weights(ENCODER)).join(groups, "record_id"), "traces")
     names = ["fusion_input", "linear1", "relu", "linear2", "layernorm"]
@@ -490,11 +570,11 @@ def cosine_histogram(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
-    dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, index_values, index_xrefs,
+    dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
     direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_top1, knn_global_top20,
-    neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, dup_histogram, dup_excess, dup_diagnosis,
+    neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
-    constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,
+    constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,
     input_audit, direction_counts, invariance_checks, rows_checksum, cosine_histogram,
 )}

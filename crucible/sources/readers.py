@@ -12,15 +12,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def tar_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(archive, member, basename, ordinal, content) of the regular files of tar archives, compressed or not. An archive is read by one task, member by member."""
+def fetched(spark: SparkSession, url: str, path: str) -> bool:
+    """Copy what a URL gives to a path of any store that Spark knows, unless there is something; whether it was copied. A copy that breaks off leaves nothing at the path."""
+    from urllib.request import urlopen
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at, part = hadoop.Path(path), hadoop.Path(path + ".part")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    out = fs.create(part, True)
+    try:
+        with urlopen(url) as source:
+            while block := source.read(1 << 20):
+                out.write(block, 0, len(block))
+    finally:
+        out.close()
+    return fs.rename(part, at)
+
+
+def tar_members(spark: SparkSession, path: str, suffix: str = "", basename: str | None = None) -> DataFrame:
+    """(archive, member, basename, ordinal, content) of the regular files of tar archives, compressed or not, of one basename if it is given. An archive is read by one task, member by member; contents of other members are not taken out."""
 
     def untar(batches):
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with tarfile.open(fileobj=io.BytesIO(raw.as_py()), mode="r:*") as tar:
                     for i, m in enumerate(tar):
-                        if m.isfile() and m.name.endswith(suffix):
+                        if m.isfile() and m.name.endswith(suffix) and basename in (None, m.name.rsplit("/", 1)[-1]):
                             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (m.name, pa.string()), (m.name.rsplit("/", 1)[-1], pa.string()), (i, pa.int64()), (tar.extractfile(m).read(), pa.binary()))], names=["archive", "member", "basename", "ordinal", "content"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -66,7 +85,7 @@ def tsv_from_tar(spark: SparkSession, path: str, basename: str, columns: list[st
                 if block:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*block, strict=True)], names=columns)
 
-    found = tar_members(spark, path).filter(F.col("basename") == basename)
+    found = tar_members(spark, path, basename=basename)
     first = found.orderBy("archive", "ordinal").limit(1).select("content")
     return first.mapInArrow(parse, ", ".join(f"`{c}` string" for c in columns))
 
