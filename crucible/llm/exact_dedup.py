@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from crucible.llm.common import ascii_lower, stage, table
 
-PREFIX_CHARS = 256
+PREFIX_CHARS = 128
 #: A text with more than one in so many rows is hot; there are fewer hot texts than this.
 MOST_HOT = 1024
 
