@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +21,19 @@ def variance_loss(df: DataFrame, batch: str, views: list[str], target: float = 1
 
 
 def covariance_loss(df: DataFrame, batch: str, views: list[str]) -> DataFrame:
-    """(batch, loss): squared covariances (n - 1) of different dimensions over the number of dimensions, averaged over the views."""
-    out = None
-    for v in views:
-        pairs = df.select(batch, F.col(v).alias("v"), F.posexplode(v).alias("i", "x")).select(batch, "i", "x", F.posexplode("v").alias("j", "y"))
-        cov = pairs.groupBy(batch, "i", "j").agg(F.covar_samp("x", "y").alias("c"))
-        part = cov.groupBy(batch).agg((F.sum(F.when(F.col("i") != F.col("j"), F.col("c") * F.col("c")).otherwise(0.0)) / (F.max("i") + 1)).alias("loss"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(batch).agg(F.avg("loss").alias("loss"))
+    """(batch, loss): squared covariances (n - 1) of different dimensions over the number of dimensions, averaged over the views. A batch, of training size, is one matrix product; null for a batch of one."""
+
+    def of_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for v in views:
+            m = np.stack(pdf[v].to_numpy()).astype(np.float64)
+            c = m - m.mean(0)
+            if len(m) > 1:
+                cov = c.T @ c / (len(m) - 1)
+                parts.append(((cov**2).sum() - (np.diag(cov) ** 2).sum()) / m.shape[1])
+        return pd.DataFrame({batch: pdf[batch].iloc[:1], "loss": [float(np.mean(parts)) if parts else None]})
+
+    return df.select(batch, *views).groupBy(batch).applyInPandas(of_batch, f"`{batch}` {df.schema[batch].dataType.simpleString()}, loss double")
 
 
 def info_nce(df: DataFrame, batch: str, key: str, first: str, second: str, temperature: float = 0.1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import all_finite, cosine, norm
-from crucible.functions.tables import with_running
+from crucible.functions.tables import settled, with_running
 
 #: Thresholds of the collapse report.
 CRITERIA = {"effective_rank_min": 20.0, "top1_max": 0.5, "top10_max": 0.95, "zero_variance_max": 0, "random_cosine_std_min": 0.01, "unexplained_duplicates_max": 0}
@@ -26,16 +26,54 @@ def norm_stats(df: DataFrame, vector_col: str) -> DataFrame:
 
 
 def dimension_stats(df: DataFrame, vector_col: str) -> DataFrame:
-    """(dim, mean, std): population statistics of each component."""
-    return df.select(F.posexplode(F.col(vector_col).cast("array<double>")).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    """(dim, mean, std): population statistics of each component. Each partition adds up its own rows; what is shuffled has a row for each partition and component."""
+    import pyarrow as pa
+
+    def add(batches):
+        n, mean, off = 0, None, None  # off: the sum of squares about the mean
+        for batch in batches:
+            rows = [x for x in batch.column(0).to_pylist() if x is not None]
+            if not rows:
+                continue
+            m = np.array(rows, dtype=np.float64)
+            k, own = len(m), m.mean(0)
+            part = ((m - own) ** 2).sum(0)
+            if n:
+                d = own - mean
+                mean, off = mean + d * (k / (n + k)), off + part + d * d * (n * k / (n + k))
+            else:
+                mean, off = own, part
+            n += k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mean), dtype=np.int32)), pa.array(np.full(len(mean), n)), pa.array(mean), pa.array(off)], names=["dim", "n", "m", "s"])
+
+    parts = df.select(F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(add, "dim int, n long, m double, s double")
+    whole = parts.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum("s").alias("within"), F.collect_list(F.struct("n", "m")).alias("all"))
+    between = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean")))
+    return whole.select("dim", "mean", F.sqrt((F.col("within") + between) / F.col("n")).alias("std"))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares) -> dict[float, float | None]:
+    """The linearly interpolated quantiles of a column without nulls: rows are range-partitioned and numbered, and the ranks next to each share are picked, two rows for each."""
+    placed = with_running(df.select(value).filter(F.col(value).isNotNull()), [value], "_rank")
+    n = placed.count()
+    if not n:
+        return dict.fromkeys(shares)
+    at = {p: p * (n - 1) for p in shares}
+    need = sorted({int(f(h)) + 1 for h in at.values() for f in (math.floor, math.ceil)})
+    got = {r["_rank"]: float(r[value]) for r in placed.filter(F.col("_rank").isin(need)).collect()}
+    low = {p: got[int(math.floor(h)) + 1] for p, h in at.items()}
+    return {p: low[p] + (h - math.floor(h)) * (got[int(math.ceil(h)) + 1] - low[p]) for p, h in at.items()}
 
 
 def quantiles(df: DataFrame, value: str, shares=(0.05, 0.5, 0.95, 0.99), thresholds=()) -> DataFrame:
     """One row: min, mean, max, population deviation, exact linearly interpolated quantiles, and counts at or above thresholds."""
     name = lambda p: f"p{round(p * 100):02d}"
+    df = settled(df.select(value), "values")  # read by the ranks and by the sums
+    at = exact_quantiles(df, value, shares)
     return df.agg(
         F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"),
-        *(F.percentile(value, p).alias(name(p)) for p in shares),
+        *(F.lit(at[p]).cast("double").alias(name(p)) for p in shares),
         *(F.count_if(F.col(value) >= t).alias(f"count_ge_{str(t).replace('.', '_')}") for t in thresholds),
     )
 

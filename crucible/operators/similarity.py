@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import label_tokens
+from crucible.functions.tables import settled
 
 LEVELS = ("1", "2", "3", "exact")
 #: Vectors in a block: two blocks and their products are what a task holds.
@@ -24,6 +25,10 @@ def exact_neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, block:
     query, so what is shuffled is a block's rows and k results of each pair of
     blocks. Ties go to the smaller identifier. Norms are at least 1e-12. Rows
     without vector or identifier take no part.
+
+    The work grows with the square of the rows, and each vector is copied to
+    rows / block tasks: for some millions of rows at most. Beyond, ask with
+    `queries`, or use the graph search of the subpackage llm, which is not exact.
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), *([queries.alias("_asks")] if queries is not None else [])).filter("_id IS NOT NULL AND _v IS NOT NULL")
     n = rows.count()
@@ -73,14 +78,20 @@ def token_rows(labels: DataFrame, id_col: str, labels_col: str, levels=LEVELS) -
 def match_counts(tokens: DataFrame) -> DataFrame:
     """(level, id, matches): other rows that share a token.
 
-    Rows with the same tokens are one; only distinct token lists meet, so rows
-    of one label are never paired with each other.
+    Rows with the same tokens are one list. A list's rows are those of its
+    tokens, added up, less what was counted more than once: rows that share
+    several tokens with it, which only lists of several tokens do. These meet at
+    pairs of tokens; nothing else is paired.
     """
-    lists = tokens.groupBy("level", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    exploded = lists.withColumn("token", F.explode("tokens"))
-    pairs = exploded.select("level", "token", F.col("tokens").alias("a")).join(exploded.select("level", "token", F.col("tokens").alias("b"), "n"), ["level", "token"]).select("level", "a", "b", "n").distinct()
-    total = pairs.groupBy("level", "a").agg(F.sum("n").alias("total"))
-    return tokens.join(total.withColumnRenamed("a", "tokens"), ["level", "tokens"]).select("level", "id", (F.col("total") - 1).alias("matches"))
+    lists = settled(tokens.groupBy("level", "tokens").agg(F.count(F.lit(1)).alias("n")), "token-lists")
+    one = lists.withColumn("token", F.explode("tokens"))
+    of_token = one.groupBy("level", "token").agg(F.sum("n").alias("rows"))
+    added = one.join(of_token, ["level", "token"]).groupBy("level", "tokens").agg(F.sum("rows").alias("added"))
+    several = lists.filter(F.size("tokens") > 1).withColumn("x", F.explode("tokens")).withColumn("y", F.explode("tokens")).filter("x < y")
+    met = several.select("level", "x", "y", "tokens").join(several.select("level", "x", "y", F.col("tokens").alias("other"), "n"), ["level", "x", "y"]).select("level", "tokens", "other", "n").distinct()
+    again = met.groupBy("level", "tokens").agg(F.sum(F.col("n") * (F.size(F.array_intersect("tokens", "other")) - 1)).alias("again"))
+    total = added.join(again, ["level", "tokens"], "left").select("level", "tokens", (F.col("added") - F.coalesce("again", F.lit(0)) - 1).alias("matches"))
+    return tokens.join(total, ["level", "tokens"]).select("level", "id", "matches")
 
 
 def no_hit(candidates: Column, matches: Column, k: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import DIRECTIONS, direction_policy, json_list, json_number, json_text, stable_hash
+from crucible.functions.tables import settled
 from crucible.operators import quality as Q
 from crucible.operators import similarity as S
 from crucible.operators import validate as V
@@ -186,9 +187,10 @@ def audit(records: DataFrame, config: Config, weights: dict[str, np.ndarray]) ->
         joined = joined.join(v.withColumnRenamed("embedding", name), "record_id")
     gap = lambda n: F.array_max(F.zip_with("embedding", n, lambda x, y: F.abs(x - y)))
     squares = F.zip_with("embedding", "d", lambda x, y: (x - y).cast("double") * (x - y).cast("double"))
-    d = joined.select(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("d"), gap("l").alias("l"), gap("m").alias("m"))
+    d = settled(joined.select(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("d"), gap("l").alias("l"), gap("m").alias("m")), "audit")
+    median = Q.exact_quantiles(d, "d", (0.5,))[0.5]
     out = d.agg(
-        F.count(F.lit(1)).alias("record_count"), F.min("d").alias("direction_min"), F.median("d").alias("direction_median"), F.avg("d").alias("direction_mean"), F.max("d").alias("direction_max"),
+        F.count(F.lit(1)).alias("record_count"), F.min("d").alias("direction_min"), F.lit(median).cast("double").alias("direction_median"), F.avg("d").alias("direction_mean"), F.max("d").alias("direction_max"),
         F.count_if(F.col("d") > 1e-6).alias("direction_changed"), F.max("l").alias("label_max_difference"), F.max("m").alias("metadata_max_difference"),
     )
     return out.withColumn("passed", (F.col("label_max_difference") == 0) & (F.col("metadata_max_difference") == 0) & (F.col("direction_changed") == F.col("record_count")))

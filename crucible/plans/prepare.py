@@ -92,7 +92,8 @@ def parse_members(found: DataFrame) -> DataFrame:
 
 
 def prepare(spark: SparkSession, c: Config) -> Corpus:
-    tsv = lambda name, columns, header=True: readers.tsv_from_tar(spark, c.tsv_archive, name, columns, header)
+    tables = settled(readers.tar_members(spark, c.tsv_archive, ".tsv"), "archive")  # the archive is read once
+    tsv = lambda name, columns, header=True: readers.tsv_from_members(tables, name, columns, header)
     number = lambda x: F.col(x).cast("bigint")
     raw = tsv(DIRECTIONS_FILE, DIRECTION_COLUMNS).withColumn("_at", F.monotonically_increasing_id())
     directions = readers.last_wins(raw.select(number("RHEA_ID_MASTER").alias("master"), number("RHEA_ID_LR").alias("left_to_right"), number("RHEA_ID_RL").alias("right_to_left"), number("RHEA_ID_BI").alias("reversible"), "_at"), "master", "_at").drop("_at")

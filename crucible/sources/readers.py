@@ -68,6 +68,11 @@ def decoded(members: DataFrame, name: str = "text") -> DataFrame:
 
 
 def tsv_from_tar(spark: SparkSession, path: str, basename: str, columns: list[str], header: bool = True) -> DataFrame:
+    """As tsv_from_members, of an archive."""
+    return tsv_from_members(tar_members(spark, path, basename=basename), basename, columns, header)
+
+
+def tsv_from_members(members: DataFrame, basename: str, columns: list[str], header: bool = True) -> DataFrame:
     """The named columns, as strings, of the first member with that basename; without a header the names are given in order. Fields may be quoted; empty ones stay empty."""
 
     def parse(batches):
@@ -85,7 +90,7 @@ def tsv_from_tar(spark: SparkSession, path: str, basename: str, columns: list[st
                 if block:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*block, strict=True)], names=columns)
 
-    found = tar_members(spark, path, basename=basename)
+    found = members.filter(F.col("basename") == basename)
     first = found.orderBy("archive", "ordinal").limit(1).select("content")
     return first.mapInArrow(parse, ", ".join(f"`{c}` string" for c in columns))
 
