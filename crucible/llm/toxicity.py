@@ -23,8 +23,8 @@ from crucible.llm.common import stage, table
 
 #: Labelled rows that train the chain, at most: those of the smallest hash.
 MOST_LABELLED = 20_000
-#: Features of a model, at most, and how telling one must be for a category (log likelihood ratio).
-MOST_FEATURES, LEAST_G2 = 4000, 20.0
+#: Features of a model, at most, for each category, and how telling one must be for it (log likelihood ratio).
+MOST_FEATURES, LEAST_G2 = 300, 20.0
 PREFIXES = (4, 5)
 FOLDS = 5
 #: In this order, the last one decides: what a label table says about a text. It labels one kind of toxicity; a chain takes any number.
@@ -67,7 +67,7 @@ class Chain:
         return out
 
 
-def minimise(f, x: np.ndarray, steps: int = 120, memory: int = 10, enough: float = 1e-7) -> np.ndarray:
+def minimise(f, x: np.ndarray, steps: int = 120, memory: int = 10, enough: float = 1e-6) -> np.ndarray:
     """Limited-memory BFGS with backtracking; f gives the value and the gradient."""
     value, g = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,17 +102,29 @@ def minimise(f, x: np.ndarray, steps: int = 120, memory: int = 10, enough: float
 def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1e-3):
     """Logistic regression (weights, bias, dense weights); both classes weigh the same."""
     size = np.array([len(r) for r in rows])
-    flat = np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), size)
+    flat = np.concatenate([*rows, np.empty(0, dtype=np.int32)]).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    by_feature = np.argsort(flat, kind="stable")
+    owner_by_feature, count = owner[by_feature], np.bincount(flat, minlength=n_features)
+    del owner, by_feature
+
+    def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of values that lie one group after the other; 0 for a group of none."""
+        out, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+        return out
+
     weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     free = np.full(n_features + 1 + dense.shape[1], l2)
     free[n_features] = 0.0
 
     def loss(p: np.ndarray):
-        z = np.bincount(owner, weights=p[flat], minlength=len(rows)) + p[n_features] + dense @ p[n_features + 1 :]
+        # einsum and sum, not matrix products, which would start threads for so little work.
+        z = sums(p[flat], size) + p[n_features] + np.einsum("ij,j->i", dense, p[n_features + 1 :])
         r = (sigmoid(z) - y) * weight
-        g = np.concatenate([np.bincount(flat, weights=r[owner], minlength=n_features), [r.sum()], dense.T @ r])
-        return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.5 * float(free @ (p * p)), g + free * p
+        g = np.concatenate([sums(r[owner_by_feature], count), [r.sum()], np.einsum("ij,i->j", dense, r)])
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum()) + 0.5 * float((free * p * p).sum()), g + free * p
 
     p = minimise(loss, np.zeros(n_features + 1 + dense.shape[1]))
     return p[:n_features], p[n_features], p[n_features + 1 :]
@@ -200,24 +212,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = known.agg(*cells(known)).first()
     counts = known.mapInArrow(expand, "f string, fold int, " + ", ".join(f"y{c} boolean" for c in range(k))).groupBy("f").agg(*cells(known))
 
-    def telling(without: int | None):
-        """How telling a feature is for any category, in the folds but one."""
+    def telling(without: int | None, c: int):
+        """How telling a feature is for a category, in the folds but one."""
         rest = [f for f in range(FOLDS) if f != without]
         of = lambda x: sum((F.col(x.format(f)) for f in rest), F.lit(0))
         n, n_all = of("n{}"), float(sum(whole[f"n{f}"] for f in rest))
         part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
-        g = []
-        for c in range(k):
-            t, t_all = of(f"t{{}}_{c}"), float(sum(whole[f"t{f}_{c}"] for f in rest))
-            if 0 < t_all < n_all:
-                share = n / F.lit(n_all)
-                g.append(2 * (part(t, t_all * share) + part(n - t, (n_all - t_all) * share) + part(t_all - t, t_all * (1 - share)) + part(n_all - t_all - (n - t), (n_all - t_all) * (1 - share))))
-        return F.when(n >= 2, F.round(F.greatest(*g) if len(g) > 1 else g[0], 6)).otherwise(0.0) if g else F.lit(0.0)
+        t, t_all = of(f"t{{}}_{c}"), float(sum(whole[f"t{f}_{c}"] for f in rest))
+        if not 0 < t_all < n_all:
+            return F.lit(0.0)
+        share = n / F.lit(n_all)
+        g = 2 * (part(t, t_all * share) + part(n - t, (n_all - t_all) * share) + part(t_all - t, t_all * (1 - share)) + part(n_all - t_all - (n - t), (n_all - t_all) * (1 - share)))
+        return F.when(n >= 2, F.round(g, 6)).otherwise(0.0)
 
     choices = [*range(FOLDS), None]
     counts = stage(counts.filter(" + ".join(f"n{f}" for f in range(FOLDS)) + " >= 2"), "toxicity-features")
-    chosen_of = [counts.select("f", telling(f).alias("g"), F.lit(i).alias("i")).filter(F.col("g") >= LEAST_G2).orderBy(F.desc("g"), "f").limit(MOST_FEATURES) for i, f in enumerate(choices)]
-    top = reduce(DataFrame.unionByName, chosen_of).collect()  # MOST_FEATURES rows for each choice at most
+    chosen_of = [counts.select("f", telling(f, c).alias("g"), F.lit(i).alias("i")).filter(F.col("g") >= LEAST_G2).orderBy(F.desc("g"), "f").limit(MOST_FEATURES) for i, f in enumerate(choices) for c in range(k)]
+    top = reduce(DataFrame.unionByName, chosen_of).collect()  # MOST_FEATURES rows for each choice and category at most
     index = {f: i for i, f in enumerate(sorted({r.f for r in top}))}
     allowed = [np.zeros(len(index), dtype=bool) for _ in choices]
     for r in top:
@@ -227,12 +238,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def encode(batches):
         for batch in batches:
             index = shared.value
-            rows = [sorted(index[f] for f in features(text) if f in index) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *(batch.column(1 + c) for c in range(1 + k))], names=["r", "fold", *(f"y{c}" for c in range(k))])
+            rows = [np.array(sorted(index[f] for f in features(text) if f in index), dtype=np.int32).tobytes() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *(batch.column(1 + c) for c in range(1 + k))], names=["r", "fold", *(f"y{c}" for c in range(k))])
 
     order = ["fold", *(f"y{c}" for c in range(k)), "r"]
-    got = known.mapInArrow(encode, "r array<int>, fold int, " + ", ".join(f"y{c} boolean" for c in range(k))).orderBy(*order).collect()  # most_labelled rows of few numbers
-    rows = [np.array(r.r, dtype=np.int64) for r in got]
+    got = known.mapInArrow(encode, "r binary, fold int, " + ", ".join(f"y{c} boolean" for c in range(k))).orderBy(*order).collect()  # most_labelled rows of few numbers
+    rows = [np.frombuffer(r.r, dtype=np.int32) for r in got]
     y = np.array([[r[f"y{c}"] for c in range(k)] for r in got], dtype=np.int64).reshape(len(got), k)
     return fit_chain(rows, y, index, names, np.array([r.fold for r in got], dtype=np.int64), allowed)[0]
 
