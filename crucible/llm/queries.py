@@ -10,7 +10,7 @@ from crucible.llm.hmm import op3_hidden_markov
 from crucible.llm.mixing import op1_splitting_tree_mix
 from crucible.llm.sharding import op4_virtual_slots
 from crucible.llm.simhash import op8_anchor_simhash
-from crucible.llm.suffix_dedup import op7_difference_cover
+from crucible.llm.suffix_dedup import OP7_SQL, op7_difference_cover
 from crucible.llm.toxicity import op6_classifier_chain
 
 QUERIES = {
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_content_sort_dedup": OP5_SQL,
+    "op7_difference_cover": OP7_SQL,
 }

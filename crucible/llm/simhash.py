@@ -93,9 +93,11 @@ def spanning_links(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[in
         while len(wave) and len(left):
             hit = np.zeros(len(left), dtype=np.int64) - 1
             for k in range(0, len(wave), 256):
-                near = np.bitwise_count((left[:, None] ^ wave[None, k : k + 256]).view(np.uint64)) <= threshold
-                got = near.any(axis=1) & (hit < 0)
-                hit[got] = k + near[got].argmax(axis=1)
+                for at in range(0, len(left), 8192):  # bounded memory for large anchors
+                    own = slice(at, at + 8192)
+                    near = np.bitwise_count((left[own, None] ^ wave[None, k : k + 256]).view(np.uint64)) <= threshold
+                    got = near.any(axis=1) & (hit[own] < 0)
+                    hit[own][got] = k + near[got].argmax(axis=1)
             found = hit >= 0
             links += zip(np.minimum(wave[hit[found]], left[found]).tolist(), np.maximum(wave[hit[found]], left[found]).tolist(), strict=True)
             wave, left = left[found], left[~found]

@@ -388,3 +388,20 @@ def op7_difference_cover(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as two hex digits each; h holds a text's, every place i begins a string of 200 digits.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 200) AS g FROM d, LATERAL (SELECT unnest(range(greatest(0, length(h) // 2 - 99))) AS i)),
+f AS (SELECT g, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, s.i, CASE WHEN s.i > lag(s.i) OVER w + 100 THEN 1 ELSE 0 END AS fresh FROM s JOIN f USING (g) WHERE struct_pack(doc_id := doc_id, i := s.i) > first WINDOW w AS (PARTITION BY doc_id ORDER BY s.i)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY 1, 2),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM spans),
+kept AS (
+  SELECT p.doc_id, string_agg(substr(h, CAST(2 * upto + 1 AS BIGINT), CAST(2 * (a - upto) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS b, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans
+  FROM pieces p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(b, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
