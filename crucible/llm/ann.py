@@ -26,7 +26,7 @@ DEGREE = 32
 BEAM_BUILD, BEAM_QUERY = 64, 160
 ALPHA = 1.2
 #: Shards: at least so many; more where one would hold more vectors than this.
-SHARDS, SHARD_ROWS = 6, 100_000
+SHARDS, SHARD_ROWS = 6, 25_000
 #: Queries that are searched at once.
 QUERY_BLOCK = 4096
 
