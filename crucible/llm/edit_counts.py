@@ -7,11 +7,16 @@ at the last boundary that no changed character can have influenced, and ends
 where a new boundary meets an old one behind the edit. Then the pattern, which
 only looks forward, would find the old pre-tokens again. Subtree sums on the
 changed leaves' paths are updated.
+
+Trees can be kept: build_trees makes a table of them, edit_trees takes a stored
+table and edits and gives the table that follows, without reading the pattern
+over texts or encoding what no edit touches.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import accumulate
 from operator import add
 
 import pyarrow as pa
@@ -68,6 +73,23 @@ class CountTree:
         self.chars = self._up([sum(map(len, p)) for p, _ in self.leaves] + empty)
         self.tokens = self._up([sum(x) for _, x in self.leaves] + empty)
 
+    @classmethod
+    def kept(cls, counts: Counts, text: str, sizes: list[int], tokens: list[int]) -> CountTree:
+        """The tree of a text whose pre-tokens have these sizes in characters and these counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.counts, tree.find, tree.reencoded = counts, counts.bpe.pattern.findall, 0
+        ends = list(accumulate(sizes))
+        tree._build([text[e - n : e] for e, n in zip(ends, sizes, strict=True)], list(tokens))
+        return tree
+
+    def state(self) -> tuple[list[int], list[int]]:
+        """The sizes and counts of the pre-tokens, as kept() takes them."""
+        return [len(p) for one, _ in self.leaves for p in one], [n for _, one in self.leaves for n in one]
+
+    def apply(self, edits) -> None:
+        for e in edits or []:
+            self.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
+
     def _up(self, level: list[int]) -> list[int]:
         """The tree over a row of leaf sums."""
         levels = [level]
@@ -233,8 +255,7 @@ def count_with_edits(docs: DataFrame, path: str | None = None, pattern: str | No
                         counts.prepare(set(pre))
                     tree = CountTree(counts, "", pre)
                     before, tree.reencoded = tree.n_tokens, 0
-                    for e in edits or []:
-                        tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
+                    tree.apply(edits)
                     for c, v in zip(cols, (before, len(edits or []), tree.n_tokens, len(pre), tree.reencoded, tree.text if with_text else None), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.string())], names=names)
@@ -244,6 +265,57 @@ def count_with_edits(docs: DataFrame, path: str | None = None, pattern: str | No
     return one.mapInArrow(work, f"`{id_col}` {one.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:6]) + ", edited_text string")
 
 
+TREE = "text string, sizes array<int>, counts array<int>, n_tokens long"
+
+
+def _trees(batch, column, rows, id_col, more=()):
+    """A batch of a table of trees: rows of (text, sizes, counts, n_tokens) and of what else belongs to each."""
+    text, sizes, tokens, n, *rest = zip(*rows, strict=True)
+    ints = lambda x: pa.array(x, pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([batch.column(column), pa.array(text, pa.string()), ints(sizes), ints(tokens), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in rest)], names=[id_col, "text", "sizes", "counts", "n_tokens", *more])
+
+
+def build_trees(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, sizes, counts, n_tokens): the leaves of each document's tree, one after the other, to be stored. A null text is an empty one."""
+    path, pattern = _vocabulary(path, pattern)
+
+    def work(batches):
+        counts = counts_of(path, pattern)
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                trees = [CountTree(counts, t or "") for t in batch.column(1).to_pylist()]
+                yield _trees(batch, 0, [(t.text, *t.state(), t.n_tokens) for t in trees], id_col)
+
+    one = docs.select(id_col, text_col)
+    return one.mapInArrow(work, f"`{id_col}` {one.schema[0].dataType.simpleString()}, {TREE}")
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """The table of trees after edits (id, edits), with n_reencoded: the pre-tokens that a document's edits encoded again.
+
+    Documents without edits keep their trees; edits of documents without a tree
+    are left out, as are those without identifier. Identifiers must occur once in either table.
+    """
+    path, pattern = _vocabulary(path, pattern)
+
+    def work(batches):
+        counts = counts_of(path, pattern)
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                batch, rows = big.slice(at, 256), []
+                for text, sizes, tokens, todo in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    tree = CountTree.kept(counts, text or "", sizes or [], tokens or [])
+                    tree.apply(todo)
+                    rows.append((tree.text, *tree.state(), tree.n_tokens, tree.reencoded))
+                if rows:
+                    yield _trees(batch, 0, rows, id_col, ("n_reencoded",))
+
+    asked = edits.select(id_col, F.col(edits_col).cast(EDITS).alias("_edits"))
+    both = trees.select(id_col, "text", "sizes", "counts").join(asked, id_col, "left")
+    return both.mapInArrow(work, f"`{id_col}` {trees.schema[id_col].dataType.simpleString()}, {TREE}, n_reencoded long")
+
+
 def sample_edits(text):
     """Three edits that the query applies to every text: an insertion at a quarter, a replacement in the middle, a deletion near the end."""
     n = F.coalesce(F.char_length(text), F.lit(0))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -378,6 +379,29 @@ def test_minimal_perfect_hash():
 # 2
 
 
+def test_trees_are_kept_between_runs(spark, docs, tmp_path, tokenizer):
+    """Two rounds of edits on stored trees: counts as of the edited texts, and only what the edits touch is encoded again."""
+    library, own = tokenizer
+    texts = {i: prose(random.Random(i), 30 * i) for i in range(12)} | {50: "", 51: "it's a test 's  '", 52: prose(random.Random(52), 5000)}
+    df = spark.createDataFrame([*texts.items(), (60, None)], "doc_id long, text string")
+    texts[60] = ""
+    edit_counts.build_trees(df).write.parquet(str(tmp_path / "0"))
+    rng = random.Random(9)
+    for turn in range(2):
+        todo = {i: [(rng.randrange(len(t) + 2), rng.choice([0, 3, 20]), rng.choice(["", "new words here", " 're", "12"])) for _ in range(2)] for i, t in texts.items() if i % 3 != turn}
+        edits = spark.createDataFrame([*todo.items(), (999, [(0, 0, "nothing")])], "doc_id long, edits array<struct<start:int,length:int,text:string>>")
+        trees = spark.read.parquet(str(tmp_path / str(turn)))
+        edit_counts.edit_trees(trees, edits).write.parquet(str(tmp_path / str(turn + 1)))
+        for i, some in todo.items():
+            for at, n, new in some:
+                at = min(at, len(texts[i]))
+                texts[i] = texts[i][:at] + new + texts[i][at + n :]
+        got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / str(turn + 1))).collect()}
+        assert {i: (r.text, r.n_tokens, sum(r.counts)) for i, r in got.items()} == {i: (t, *[len(library.encode_ordinary(t))] * 2) for i, t in texts.items()}
+        assert all([t[e - n : e] for e, n in zip(itertools.accumulate(r.sizes), r.sizes, strict=True)] == own.pattern.findall(t) for i, t in texts.items() for r in [got[i]])
+        assert all(got[i].n_reencoded <= 40 for i in todo) and all(not r.n_reencoded for i, r in got.items() if i not in todo)
+
+
 def test_edit_counts_equal_recounts(tokenizer):
     library, own = tokenizer
     rng = random.Random(5)
