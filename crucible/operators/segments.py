@@ -51,8 +51,8 @@ def pointers(df: DataFrame, group: str) -> DataFrame:
 def cumulative_share(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, share, cumulative) of a value's total, groups of largest total first."""
     sums = df.groupBy(group).agg(F.sum(value).alias("total"))
-    whole = sums.agg(F.sum("total").alias("whole"))
-    shares = sums.crossJoin(F.broadcast(whole)).select(group, (F.col("total") / F.col("whole")).alias("share"))
+    whole = sums.agg(F.sum("total").alias("whole")).first().whole
+    shares = sums.select(group, (F.col("total") / F.lit(whole)).alias("share"))
     return with_running(shares, [F.desc("share"), F.col(group)], "position", ("share", "cumulative"))
 
 

@@ -155,7 +155,8 @@ def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame
         F.coalesce(F.sum("group_size"), F.lit(0)).alias("molecule_count"), F.count(F.lit(1)).alias("distinct_count"), F.coalesce(F.sum(F.col("group_size") - 1), F.lit(0)).alias("excess"),
         F.count_if(F.col("group_size") > 1).alias("group_count"), F.coalesce(F.sum(F.when(F.col("group_size") > 1, F.col("group_size"))), F.lit(0)).alias("molecules_in_groups"),
     )
-    return members, of_molecules.crossJoin(of_records)  # one row each
+    one = F.lit(0).alias("_one")
+    return members, of_molecules.select("*", one).join(of_records.select("*", one), "_one").drop("_one")  # one row each
 
 
 def without_direction(rows: DataFrame, group: str, direction: str = "reversible") -> DataFrame:
