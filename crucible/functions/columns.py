@@ -90,20 +90,18 @@ def gcd(a: Column, b: Column) -> Column:
 
 
 def common_divisor(values: Column) -> Column:
-    """The greatest common divisor of an array of longs that are not negative, at least 1; 1 for none."""
-    return F.greatest(F.aggregate(values, F.lit(0).cast("long"), gcd), F.lit(1).cast("long"))
+    """The greatest common divisor of an array of longs that are not negative, at least 1; 1 for none. With a 1 among them nothing is divided."""
+    one = F.lit(1).cast("long")
+    return F.when(F.array_contains(values, one), one).otherwise(F.greatest(F.aggregate(values, F.lit(0).cast("long"), gcd), one))
 
 
 def reduced_coefficients(participants: Column) -> Column:
     """Sorted (compound_id, coefficient, compartment): whole parts of the coefficients over their greatest common divisor."""
     whole = lambda p: p["coefficient"].cast("long")
     divisor = common_divisor(F.transform(participants, lambda p: F.abs(whole(p))))
-    return F.array_sort(
-        F.transform(
-            participants,
-            lambda p: F.struct(p["compound_id"].alias("compound_id"), F.floor(whole(p) / divisor).cast("long").alias("coefficient"), p["compartment"].alias("compartment")),
-        )
-    )
+    divided = lambda d: lambda p: F.struct(p["compound_id"].alias("compound_id"), F.floor(whole(p) / d).cast("long").alias("coefficient"), p["compartment"].alias("compartment"))
+    # The outer list has one element, the divisor: it is computed once, not for each participant.
+    return F.transform(F.array(divisor), lambda d: F.array_sort(F.transform(participants, divided(d))))[0]
 
 
 def strict_key(participants: Column, direction: Column) -> Column:

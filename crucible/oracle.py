@@ -238,6 +238,12 @@ FROM c LEFT JOIN b ON b.member = c.member""",
     "knn_global_top20": f"WITH {TOP10} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10 ORDER BY round(top10.cosine, 12) DESC, query, neighbour LIMIT 20",
     "neighbour_labels": f"""WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, a.label % 2 = b.label % 2 AS level1_match, a.label = b.label AS exact_match
 FROM top10 JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = neighbour""",
+    "neighbour_table": f"""WITH {TOP10}, e AS (
+  SELECT vec_id, CASE WHEN vec_id % 5 = 4 THEN [] WHEN vec_id % 7 = 0 THEN [label, (label + 1) % 10] ELSE [label] END AS x FROM embeddings),
+t AS (SELECT vec_id, array_to_string(list_transform(x, lambda y: (y % 2) || '.' || (y % 5) || '.' || y), ';') AS ec, list_transform(x, lambda y: '' || (y % 2)) AS one, list_transform(x, lambda y: (y % 2) || '.' || (y % 5)) AS two, x FROM e)
+SELECT query AS query_reaction_id, CAST(rank AS INTEGER) AS rank, neighbour AS neighbor_reaction_id, round(cosine, 6) AS cosine_similarity, coalesce(a.ec, '') AS query_ec, coalesce(b.ec, '') AS neighbor_ec,
+  list_has_any(a.one, b.one) AS ec_level1_match, list_has_any(a.two, b.two) AS ec_level2_match, list_has_any(a.x, b.x) AS exact_ec_match
+FROM top10 JOIN t a ON a.vec_id = query JOIN t b ON b.vec_id = neighbour""",
     "retrieval_metrics": _metrics(TOP10, "top10"),
     "ablation_metrics": f"""SELECT level, k, a.precision AS first_precision, b.precision AS second_precision, round(b.rp - a.rp, 6) AS precision_delta,
   a.hit_rate AS first_hit_rate, b.hit_rate AS second_hit_rate, round(b.rh2 - a.rh2, 6) AS hit_rate_delta

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crucible.functions.columns import DIRECTIONS, direction_policy, json_list, json_number, json_text, stable_hash
+from crucible.functions.columns import DIRECTIONS, direction_policy, json_list, json_number, json_text, label_tokens, stable_hash
 from crucible.functions.tables import settled
 from crucible.operators import quality as Q
 from crucible.operators import similarity as S
@@ -207,6 +207,29 @@ def plot_tables(vectors: DataFrame, near: DataFrame, metrics: DataFrame, id_col:
     }
 
 
+def neighbour_table(near: DataFrame, labels: DataFrame, id_col: str = "record_id", labels_col: str = "labels") -> DataFrame:
+    """Neighbours with the labels of both, joined by semicolons, and whether they agree at level 1, level 2 and as a whole; a side without labels never agrees."""
+    empty = F.array().cast("array<string>")
+    of = labels.select(F.col(id_col).alias("_id"), F.coalesce(labels_col, empty).alias("_l"))
+    both = near.join(of.select(F.col("_id").alias("query"), F.col("_l").alias("a")), "query", "left").join(of.select(F.col("_id").alias("neighbour"), F.col("_l").alias("b")), "neighbour", "left")
+    agree = lambda level: F.coalesce(F.arrays_overlap(label_tokens(F.col("a"), level), label_tokens(F.col("b"), level)), F.lit(False))
+    return both.select(
+        F.col("query").alias("query_reaction_id"), "rank", F.col("neighbour").alias("neighbor_reaction_id"), F.col("cosine").alias("cosine_similarity"),
+        F.array_join(F.coalesce("a", empty), ";").alias("query_ec"), F.array_join(F.coalesce("b", empty), ";").alias("neighbor_ec"),
+        agree("1").alias("ec_level1_match"), agree("2").alias("ec_level2_match"), agree("exact").alias("exact_ec_match"),
+    )
+
+
+def diagnostic_tables(vectors: DataFrame, records: DataFrame, shared: DataFrame, near: DataFrame) -> dict[str, DataFrame]:
+    """What write_tables writes for a set of vectors: neighbours, label agreement, and groups of equal vectors, numbered, with their members."""
+    members, groups, _ = diagnose(vectors, records, shared)
+    numbered = settled(Q.numbered_groups(groups), "groups")
+    return {
+        "nearest_neighbors": neighbour_table(near, records), "ec_consistency": S.retrieval_metrics(near, records, "record_id", "labels"),
+        "duplicate_embedding_groups": numbered.drop("key"), "duplicate_embedding_members": members.join(numbered.select("key", "group_id"), "key").drop("key", "first_id").withColumnRenamed("id", "reaction_id"),
+    }
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Diagnostic tables as delimited files with a header: neighbours, label agreement, groups, members, traces, ablation. Scores have eight decimals."""
     for name, df in tables.items():

@@ -298,6 +298,11 @@ def neighbour_labels(spark, d):
     return n.select(F.col("query").alias("query_id"), "rank", (F.col("a") % 2 == F.col("b") % 2).alias("level1_match"), (F.col("a") == F.col("b")).alias("exact_match"))
 
 
+def neighbour_table(spark, d):
+    t = A.neighbour_table(neighbours(spark, d), labelled(spark, d), "vec_id", "ec")
+    return t.withColumn("cosine_similarity", F.round("cosine_similarity", 6))
+
+
 def retrieval_metrics(spark, d):
     m = T.retrieval_metrics(neighbours(spark, d), labelled(spark, d), "vec_id", "ec")
     return m.select("level", "k", "annotated_query_count", *r6("precision", "hit_rate", "random_precision", "random_hit_rate", "lift"))
@@ -572,7 +577,7 @@ QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
     dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
     direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_top1, knn_global_top20,
-    neighbour_labels, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
+    neighbour_labels, neighbour_table, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
     constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,

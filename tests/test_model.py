@@ -148,6 +148,18 @@ def test_fetched_only_where_absent(spark, tmp_path):
     assert not readers.fetched(spark, f"file://{tmp_path}/there", at) and (tmp_path / "sub" / "here").read_bytes() == b"first"
 
 
+def test_diagnostic_tables(spark, corpus, tmp_path):
+    config, weights = M.untrained(corpus, 16, steps=2)
+    vectors = encode_records(A.model_rows(corpus.rows), config, weights).cache()
+    near = A.S.exact_neighbours(vectors, 3, "record_id", "embedding")
+    shared = spark.createDataFrame([("CCO", 2)], "canonical string, identity_count int")
+    tables = A.diagnostic_tables(vectors, corpus.rows, shared, near)
+    A.write_tables(tables, str(tmp_path))
+    back = {n: spark.read.option("header", True).csv(str(tmp_path / n)) for n in tables}
+    assert back["nearest_neighbors"].count() == 72 and back["duplicate_embedding_groups"].columns[-1] == "group_id"
+    assert back["duplicate_embedding_members"].count() == sum(int(r.group_size) for r in back["duplicate_embedding_groups"].collect())
+
+
 def test_write_tables(spark, tmp_path):
     A.write_tables({"neighbours": spark.createDataFrame([("a", 1, 0.123456789)], "query string, rank int, cosine double")}, str(tmp_path))
     assert "0.12345679" in next(p for p in (tmp_path / "neighbours").iterdir() if p.name.startswith("part")).read_text()
