@@ -51,3 +51,20 @@ def with_running(df: DataFrame, order: list[Column | str], index: str = "index",
     if total:
         out = out.withColumn(total[1], F.col("_s0") + F.sum(total[0]).over(within))
     return out.drop("_part", "_at", "_n0", "_s0")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, by: Column, most: int = 1024, salts: int = 64) -> DataFrame:
+    """rows joined with facts, which has one row for each key (null is one) and in `size` how many rows have it.
+
+    Keys of more than 1/most of all rows are fewer than `most`. Their rows are
+    dealt out over `salts` parts by a hash of `by`, and their facts go to each
+    part, so no task gets all rows of a key, whatever its share, with or without
+    adaptive execution.
+    """
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.broadcast(facts.filter(F.col(size) * most > total).select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot")))  # fewer than `most` rows
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    left = rows.join(hot, rows[key].eqNullSafe(F.col("_hot")), "left").withColumn("_salt", salt).drop("_hot", "_is_hot")
+    every = F.when(F.col(size) * most > total, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = facts.withColumn("_at", F.explode(every)).withColumnRenamed(key, "_key")
+    return left.join(right, (left["_salt"] == right["_at"]) & left[key].eqNullSafe(right["_key"])).drop("_salt", "_at", "_key")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import loose_key, numeric_suffix, strict_key
+from crucible.functions.tables import join_facts, settled
 
 #: Name prefixes of compounds without a definite structure.
 GENERIC_PREFIXES = ("POLYMER:", "RHEA-COMP:")
@@ -98,8 +99,8 @@ def resolve_duplicates(records: DataFrame, key: str = "strict_key", number: Colu
 
     Records of one key are merged into the one of the smallest number, unless
     their conflict values differ: then all stay. The groups' facts come from an
-    aggregation, combined before the shuffle, and meet the records in a join,
-    whose skewed parts adaptive execution splits.
+    aggregation, combined before the shuffle, and meet the records in a join that
+    deals out the records of large groups.
     """
     number = numeric_suffix("record_id") if number is None else number
     numbered = records.withColumn("_number", number)
@@ -107,7 +108,7 @@ def resolve_duplicates(records: DataFrame, key: str = "strict_key", number: Colu
         F.min_by("record_id", "_number").alias("_winner"), F.count(F.lit(1)).alias("group_size"),
         (F.min(conflict).eqNullSafe(F.max(conflict)) & ((F.count(conflict) == 0) | (F.count(conflict) == F.count(F.lit(1))))).alias("_agree"),
     )
-    joined = numbered.join(facts, key)
+    joined = join_facts(numbered, settled(facts, "duplicate-facts"), key, "group_size", F.col("record_id"))
     first = F.col("record_id") == F.col("_winner")
     clash = (F.col("group_size") > 1) & ~F.col("_agree")
     return joined.select(
