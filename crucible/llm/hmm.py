@@ -1,7 +1,7 @@
 """A hidden Markov language model trained by Baum-Welch counts from all partitions.
 
-The chain emits word classes, of which there is a fixed number: each of the most
-frequent words is a class of its own, the others share classes by the hash of
+The chain emits word classes, of which there is a fixed number: each of the words
+most frequent in training texts is a class of its own, the others share classes by the hash of
 their last bytes, and the end of a text is a class. A class emits a word with
 its smoothed frequency in the class. So the model's tables have a fixed size
 while the vocabulary grows with the corpus: counts of the frequent words go to
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from crucible.llm.common import ascii_lower_words, stage, table
 
 STATES = 8
-#: Words that are classes of their own; classes of the others; words whose counts the workers hold, at most.
-OWN, SHARED, HEAD = 4096, 1024, 131_072
+#: Words that are classes of their own; classes of the others; words whose counts the workers hold, at most, and how many bytes such a word has at most.
+OWN, SHARED, HEAD, LONGEST = 4096, 1024, 131_072, 256
 END = OWN + SHARED
 CLASSES = END + 1
 SUFFIX = 3
@@ -189,13 +189,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def count(batches):
-        """(word, occurrences in training texts, in all)."""
-        train, held = Counter(), Counter()
+        """(word, occurrences in training texts), also of words that only others have."""
+        train, held = Counter(), set()
 
         def rows():
-            words = list(train.keys() | held.keys())
-            c = [train[w] for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([x + held[w] for w, x in zip(words, c, strict=True)], pa.int64())], names=["word", "c", "a"])
+            words = list(train.keys() | held)
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64())], names=["word", "c"])
             train.clear()
             held.clear()
             return out
@@ -207,33 +206,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield rows()
         yield rows()
 
-    counted = base.select("_text", "held_out").mapInArrow(count, "word binary, c long, a long")
-    words = stage(counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "hmm-words")
+    counted = base.select("_text", "held_out").mapInArrow(count, "word binary, c long")
+    words = stage(counted.groupBy("word").agg(F.sum("c").alias("c")), "hmm-words")
     n_docs = base.agg(F.count_if(~F.col("held_out")).alias("t")).first().t
-    # The frequent words: as many as fit, by steps of frequency. At most some thousand steps come to the driver.
-    step = F.floor(F.log2("a") * 64).cast("int")
+    # The words frequent in training texts: as many as fit, by steps of frequency. At most some thousand steps come to the driver.
+    # Long words are never among them, so what comes to the driver and to the workers has a bound in bytes too.
+    step = F.when((F.col("c") > 0) & (F.octet_length("word") <= LONGEST), F.floor(F.log2("c") * 64).cast("int")).otherwise(-1)
     steps = sorted(words.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).collect(), reverse=True)
     train_tokens, distinct = sum(r.c for r in steps) + n_docs, sum(r.v for r in steps) + (n_docs > 0)
     least, n = 1 << 30, 0
     for r in steps:
         n += r.n
-        if n > HEAD:
+        if n > HEAD or r.k < 0:
             break
         least = r.k
-    frequent = words.filter(step >= least).toPandas()  # HEAD rows at most
-    frequent = frequent.sort_values(["a", "word"], ascending=[False, True], kind="stable")
+    frequent = words.filter(step >= least).toPandas()  # HEAD rows of LONGEST bytes at most
+    frequent = frequent.sort_values(["c", "word"], ascending=[False, True], kind="stable")
     own = {bytes(w): i for i, w in enumerate(frequent.word[:OWN])}
     head = {bytes(w): (own.get(bytes(w)), math.log10(c + 0.5), c > 0) for w, c in zip(frequent.word, frequent.c.tolist(), strict=True)}
     of_class = F.lit(OWN) + F.pmod(F.crc32(F.substring("word", -SUFFIX, SUFFIX)), F.lit(SHARED)).cast("int")
-    least_own = int(frequent.a.iloc[OWN - 1]) if len(frequent) >= OWN else 0
-    shared = words.filter(F.col("a") <= least_own) if least_own else words.filter(step < least)
+    least_own = int(frequent.c.iloc[OWN - 1]) if len(frequent) >= OWN else 0
+    shared = words.filter((F.col("c") <= least_own) | (step < 0)) if least_own else words.filter(step < least)
     by_class = shared.groupBy(of_class.alias("k")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()  # SHARED rows at most
     mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class:
         mass[r.k], kinds[r.k] = r.n, r.v
     for w, c in zip(frequent.word[:OWN], frequent.c[:OWN].tolist(), strict=True):
         mass[own[bytes(w)]] = c
-        if least_own and int(frequent.a.iloc[own[bytes(w)]]) == least_own:  # counted among the shared ones above
+        if least_own and c == least_own:  # counted among the shared ones above
             k = shared_class(bytes(w))
             mass[k] -= c
             kinds[k] -= c > 0

@@ -796,7 +796,7 @@ def test_scores_equal_a_brute_force_model(spark, monkeypatch):
     for i, w in words.items():
         a.update(w)
         c.update([] if held(i) else w)
-    top = sorted(a, key=lambda w: (-a[w], w.encode()))[:own]
+    top = sorted(c, key=lambda w: (-c[w], w.encode()))[:own]
     end = own + hmm.SHARED
     class_of = lambda w: top.index(w) if w in top else own + zlib.crc32(w.encode()[-hmm.SUFFIX :]) % hmm.SHARED
     mass, kinds = np.zeros(end + 1), np.zeros(end + 1)
@@ -858,6 +858,19 @@ def test_hidden_markov_beats_its_base_on_two_languages(spark):
     assert sum(r.score for r in h) > sum(r.base_score for r in h) + 0.2 * sum(r.n_tokens for r in h)
 
 
+def test_held_out_texts_do_not_shape_the_model(spark, monkeypatch):
+    for name, v in (("HEAD", 20), ("OWN", 5), ("END", 5 + hmm.SHARED), ("CLASSES", 6 + hmm.SHARED)):
+        monkeypatch.setattr(hmm, name, v)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20)) for i in range(60)] + [(1000, "x" * 5000 + " " + prose(rng, 5))] * 3
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    other = [(i, t + " newly seen words" * 200 if held(i) else t) for i, t in rows]
+    score = lambda rows: sorted((r.doc_id, r.score, r.base_score) for r in hmm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rounds=1).collect() if not r.held_out)
+    was, now = score(rows), score(other)
+    assert len(was) > 40 and [r[0] for r in was] == [r[0] for r in now]
+    assert np.allclose([r[1:] for r in was], [r[1:] for r in now], rtol=1e-12)
+
+
 def test_hidden_markov_without_training_texts(spark):
     df = spark.createDataFrame([(i, "a b c") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     rows = hmm.score_documents(df).collect()
