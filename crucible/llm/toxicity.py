@@ -178,13 +178,14 @@ def best_bar(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: dict[str, str] | None = None, most_labelled: int = MOST_LABELLED) -> Chain:
     """The chain from labelled documents: at most `most_labelled`, by hash.
 
-    `categories` are conditions on the label table, in the order of the chain;
-    conditions on columns that it does not have are left out. Rows without
+    `categories` are conditions on the label table, in the order of the chain; one
+    on a column that it does not have is an error. Without `categories` those of
+    CATEGORIES count whose column the table has. Rows without
     identifier, or for which a condition is null, do not count; of several
     labels each condition that one fulfils does, and of several texts with one
     identifier that of the smallest hash. Null texts are empty, and texts are read whole.
     """
-    categories = {k: v for k, v in (categories or CATEGORIES).items() if v.split()[0] in labels.columns}
+    categories = dict(categories or {k: v for k, v in CATEGORIES.items() if v.split()[0] in labels.columns})
     names = tuple(categories)
     k = len(names)
     asked = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *(F.expr(v).alias(f"y{i}") for i, v in enumerate(categories.values()))).dropna()

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from crucible.llm import ann, bpe, components, copies, edit_counts, exact_dedup, hmm, mixing, sharding, simhash, suffix_dedup, toxicity
@@ -1039,6 +1040,10 @@ def test_chain_reads_whole_texts_and_one_text_of_an_identifier(spark):
     labels = spark.createDataFrame([(i, i % 3 % 2, y) for i, y in marks], "doc_id long, quality int, toxic int")
     chain = toxicity.train(docs, labels)
     assert chain.categories == ("low_quality", "toxic")
+    bracketed = toxicity.train(docs, labels, categories={"bad": "(toxic > 0)", "toxic": "toxic > 0"})
+    assert bracketed.categories == ("bad", "toxic")
+    with pytest.raises(AnalysisException):
+        toxicity.train(docs, labels, categories={"bad": "rude > 0"})
     got = {r.doc_id: r.bad for r in toxicity.judge(docs.filter("doc_id > 7000"), labels.limit(0), prefix="q_", flag="bad").collect()}
     assert got == {7001: False, 7002: False}
     got = {r.doc_id: r.rejected for r in toxicity.judge(docs, labels).filter("doc_id > 7000").collect()}
