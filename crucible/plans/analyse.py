@@ -134,7 +134,8 @@ def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame
 
     Of the groups of records with equal vectors: in how many the encoded inputs
     are equal, with each molecule as its vector's hash, and how many hold two
-    molecules of one vector.
+    molecules of one vector. A molecule without structure is read as the encoder
+    reads it, as an atom of any kind (*); one that `molecules` lacks is itself.
     """
     keyed = molecules.select("canonical", F.sha2(Q.bit_key(F.col("vector")), 256).alias("molecule"))
     sizes = keyed.groupBy("molecule").agg(F.count(F.lit(1)).alias("group_size"), F.min("canonical").alias("first_id"))
@@ -142,7 +143,8 @@ def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame
     members = keyed.join(groups, "molecule").select("group_id", "group_size", F.col("canonical").alias("smiles"))
     rows = model_rows(records).join(vectors.select("record_id", F.sha2(Q.bit_key(F.col("embedding")), 256).alias("group")), "record_id")
     several = rows.join(rows.groupBy("group").count().filter("count > 1").select("group"), "group")
-    parts = several.select("group", "record_id", "direction", F.posexplode("participants").alias("pos", "p")).select("group", "record_id", "direction", "pos", "p.*").join(keyed, "canonical")
+    parts = several.select("group", "record_id", "direction", F.posexplode("participants").alias("pos", "p")).select("group", "record_id", "direction", "pos", "p.*")
+    parts = parts.withColumn("canonical", F.coalesce("canonical", F.lit("*"))).join(keyed, "canonical", "left").withColumn("molecule", F.coalesce("molecule", "canonical"))
     more = tuple(c for c in INDICES if c in parts.columns)
     again = parts.groupBy("group", "record_id", "direction").agg(F.collect_list(F.struct("side", "coefficient", "molecule", *more)).alias("participants"))
     signed = again.withColumn("s", encoded_signature(F.col("participants"), F.col("direction"), lambda p: p["molecule"], indices=more))
