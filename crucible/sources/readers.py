@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import tarfile
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,58 @@ def fetched(spark: SparkSession, url: str, path: str) -> bool:
     return fs.rename(part, at)
 
 
+class _Stream:
+    """What a file object has of an iterator of bytes, read once and forwards."""
+
+    def __init__(self, chunks):
+        self.chunks, self.have = chunks, b""
+
+    def read(self, n: int) -> bytes:
+        parts, size = [self.have], len(self.have)
+        while size < n and (more := next(self.chunks, None)) is not None:
+            parts.append(more)
+            size += len(more)
+        whole = b"".join(parts)
+        self.have = whole[n:]
+        return whole[:n]
+
+
 def tar_members(spark: SparkSession, path: str, suffix: str = "", basename: str | None = None) -> DataFrame:
-    """(archive, member, basename, ordinal, content) of the regular files of tar archives, compressed or not, of one basename if it is given. An archive is read by one task, member by member; contents of other members are not taken out."""
+    """(archive, member, basename, ordinal, content) of the regular files of tar archives, compressed or not, of one basename if it is given.
+
+    An archive is streamed, whatever its size: Spark's text reader hands out its
+    bytes between line feeds, decompressed where the name tells how (as .gz), and
+    a task takes out members as they pass. Only a member's own content is ever
+    held, and only of members that are asked for. An archive that the reader
+    splits, as it does without such a name, is put in order by a shuffle first;
+    then the bytes themselves tell the compression. Tasks work on archives side
+    by side. Without any file at the path there are no rows.
+    """
+
+    def chunks(batches):
+        """(archive, bytes): of each batch what belongs to one archive together."""
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            lines = batch.column(1).to_pylist()
+            at = 0
+            for name, same in groupby(names):
+                end = at + sum(1 for _ in same)
+                yield name, b"\n".join(lines[at:end]) + b"\n"
+                at = end
 
     def untar(batches):
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(raw.as_py()), mode="r:*") as tar:
-                    for i, m in enumerate(tar):
-                        if m.isfile() and m.name.endswith(suffix) and basename in (None, m.name.rsplit("/", 1)[-1]):
-                            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (m.name, pa.string()), (m.name.rsplit("/", 1)[-1], pa.string()), (i, pa.int64()), (tar.extractfile(m).read(), pa.binary()))], names=["archive", "member", "basename", "ordinal", "content"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(untar, "archive string, member string, basename string, ordinal long, content binary")
+        for name, own in groupby(chunks(batches), key=lambda x: x[0]):
+            with tarfile.open(fileobj=_Stream(b for _, b in own), mode="r|*") as tar:
+                for i, m in enumerate(tar):
+                    if m.isfile() and m.name.endswith(suffix) and basename in (None, m.name.rsplit("/", 1)[-1]):
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (m.name, pa.string()), (m.name.rsplit("/", 1)[-1], pa.string()), (i, pa.int64()), (tar.extractfile(m).read(), pa.binary()))], names=["archive", "member", "basename", "ordinal", "content"])
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("archive"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("start"))
+    whole = F.lower("archive").rlike(r"\.(gz|zst|deflate)$")  # the reader decompresses these and does not split them
+    split = lines.filter(~whole).withColumn("at", F.monotonically_increasing_id()).repartition("archive").sortWithinPartitions("archive", "start", "at")
+    schema = "archive string, member string, basename string, ordinal long, content binary"
+    of = lambda df: df.select("archive", "value").mapInArrow(untar, schema)
+    return of(lines.filter(whole)).unionByName(of(split))
 
 
 def last_by_name(members: DataFrame) -> DataFrame:

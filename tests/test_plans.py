@@ -1,8 +1,10 @@
 import io
 import json
+import random
 import tarfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from crucible.operators import validate as V
@@ -109,6 +111,32 @@ def test_readers(spark, tmp_path):
     assert readers.yaml_config(spark, str(tmp_path / "c.yaml")) == {"a": [1, 2]}
 
 
+@pytest.mark.parametrize("name", ["a.tar.gz", "a.tar.bz2", "a.tar", "a.tgz", "a.tar.xz"])
+def test_archives_are_streamed(spark, tmp_path, name):
+    """Any bytes, long names, several archives, and splits within members."""
+    rng = random.Random(4)
+    want = []
+    for k in range(2):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        with tarfile.open(folder / name, {"gz": "w:gz", "gz2": "w:gz", "bz2": "w:bz2", "tar": "w", "tgz": "w:gz", "xz": "w:xz"}[name.rsplit(".", 1)[-1]]) as tar:
+            for i in range(40):
+                content = rng.choice([b"", b"\n", b"\r\n\xff\xfe\n\n", b"\n" * 700, rng.randbytes(rng.randrange(5000)), b"line of text\r\n" * rng.randrange(300)])
+                info = tarfile.TarInfo(f"{'long' * 40}/{k}/{i}.{'bin' if i % 3 else 'txt'}")
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+                if i % 3:
+                    want.append((f"{i}.bin", i, content))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = readers.tar_members(spark, f"{tmp_path}/*/{name}", ".bin").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted((r.basename, r.ordinal, bytes(r.content)) for r in got) == sorted(want)
+    assert len({r.archive for r in got}) == 2
+
+
 def test_unreadable_cache_is_rebuilt(spark, tmp_path):
     calls = []
 
