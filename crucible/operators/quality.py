@@ -54,14 +54,21 @@ def dimension_stats(df: DataFrame, vector_col: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, shares) -> dict[float, float | None]:
-    """The linearly interpolated quantiles of a column without nulls: rows are range-partitioned and numbered, and the ranks next to each share are picked, two rows for each."""
-    placed = with_running(df.select(value).filter(F.col(value).isNotNull()), [value], "_rank")
-    n = placed.count()
+    """The linearly interpolated quantiles of a column, without its nulls.
+
+    Equal values are counted first, so a value counts as one row however often it
+    occurs; the values are range-partitioned and their numbers added up, and
+    those that hold the ranks next to each share are picked, two for each.
+    """
+    counts = settled(df.select(value).filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    placed = with_running(counts, [value], "_i", ("_n", "_last"))
+    n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if not n:
         return dict.fromkeys(shares)
     at = {p: p * (n - 1) for p in shares}
     need = sorted({int(f(h)) + 1 for h in at.values() for f in (math.floor, math.ceil)})
-    got = {r["_rank"]: float(r[value]) for r in placed.filter(F.col("_rank").isin(need)).collect()}
+    holds = F.filter(F.array(*map(F.lit, need)), lambda r: (r <= F.col("_last")) & (r > F.col("_last") - F.col("_n")))
+    got = {r["_rank"]: float(r[value]) for r in placed.select(value, F.explode(holds).alias("_rank")).collect()}
     low = {p: got[int(math.floor(h)) + 1] for p, h in at.items()}
     return {p: low[p] + (h - math.floor(h)) * (got[int(math.ceil(h)) + 1] - low[p]) for p, h in at.items()}
 

@@ -234,6 +234,7 @@ SELECT record_id, CASE WHEN b.member IS NOT NULL THEN record_id END AS canonical
 FROM c LEFT JOIN b ON b.member = c.member""",
     "semi_anti_split": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'seen' ELSE 'held_out' END AS part FROM orders",
     "knn_top10": f"WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10",
+    "knn_pivots": f"WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10",
     "knn_top1": f"WITH {TOP1} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top1",
     "knn_global_top20": f"WITH {TOP10} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10 ORDER BY round(top10.cosine, 12) DESC, query, neighbour LIMIT 20",
     "neighbour_labels": f"""WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, a.label % 2 = b.label % 2 AS level1_match, a.label = b.label AS exact_match

@@ -121,12 +121,8 @@ def check_export(vectors: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """An export keeps: one vector of the right size for each identifier, finite, no identifier twice or missing."""
     from crucible.functions.columns import all_finite
 
-    return V.union(
-        V.check_rows(vectors, {"size": F.size("embedding") == size, "finite": all_finite(F.col("embedding"))}),
-        V.check_unique(vectors, ["record_id"], "record_unique"),
-        V.check_references(ids, "record_id", vectors, "every_record"),
-        V.check_references(vectors, "record_id", ids, "no_other_record"),
-    )
+    suite = V.Suite().rows(vectors, {"size": F.size("embedding") == size, "finite": all_finite(F.col("embedding"))}).unique(vectors, ["record_id"], "record_unique")
+    return suite.references(ids, "record_id", vectors, "every_record").references(vectors, "record_id", ids, "no_other_record").checks()
 
 
 def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

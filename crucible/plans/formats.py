@@ -131,20 +131,17 @@ def rules(table: DataFrame, sources: DataFrame, variant_rows: DataFrame, id_map:
     p = F.col("participants")
     has = lambda s: F.exists(p, lambda x: x["side"] == s)
     signed = F.forall(p, lambda x: F.when(x["side"] == "reactant", x["coefficient"] < 0).otherwise(x["coefficient"] > 0))
-    ids = table.select(F.col("reaction_id").alias("canonical_reaction_id"))
     included = F.col("embedding_included")
-    return V.union(
-        V.check_rows(table, {"both_sides": has("reactant") & has("product"), "structures_given": F.forall(p, lambda x: F.coalesce(x["canonical_smiles"], F.lit("")) != ""), "signs_follow_sides": signed}),
-        V.check_unique(table, ["reaction_id"], "record_once"),
-        V.check_unique(variant_rows, ["direction_variant_id"], "variant_once"),
-        V.check_complete(variant_rows, "canonical_reaction_id", "direction", list(VARIANTS[1:]), "three_directions"),
-        V.check_references(ids, "canonical_reaction_id", variant_rows, "record_has_variants"),
-        V.check_references(variant_rows, "canonical_reaction_id", ids, "variant_has_record"),
-        V.check_rows(sources, {"excluded_has_error": included | (F.col("canonical_reaction_id").isNull() & F.col("parse_error").isNotNull())}),
-        V.check_references(sources.filter(included), "canonical_reaction_id", ids, "included_has_record"),
-        V.check_unique(id_map, ["source_id"], "mapped_once"),
-        V.check_references(sources.select(F.col("source_reaction_id").alias("source_id")), "source_id", id_map, "source_mapped"),
-    )
+    suite = V.Suite()
+    suite.rows(table, {"both_sides": has("reactant") & has("product"), "structures_given": F.forall(p, lambda x: F.coalesce(x["canonical_smiles"], F.lit("")) != ""), "signs_follow_sides": signed})
+    suite.unique(table, ["reaction_id"], "record_once").unique(variant_rows, ["direction_variant_id"], "variant_once")
+    suite.complete(variant_rows, "canonical_reaction_id", "direction", list(VARIANTS[1:]), "three_directions")
+    suite.references(table, "reaction_id", variant_rows, "record_has_variants", "canonical_reaction_id")
+    suite.references(variant_rows, "canonical_reaction_id", table, "variant_has_record", "reaction_id")
+    suite.rows(sources, {"excluded_has_error": included | (F.col("canonical_reaction_id").isNull() & F.col("parse_error").isNotNull())})
+    suite.references(sources, "canonical_reaction_id", table, "included_has_record", "reaction_id", where=included)
+    suite.unique(id_map, ["source_id"], "mapped_once").references(sources, "source_reaction_id", id_map, "source_mapped", "source_id")
+    return suite.checks()
 
 
 def report_rules(report: dict, neighbours: DataFrame, rows: int, size: int, k: int = 10) -> list[str]:

@@ -15,6 +15,7 @@ from crucible.operators import segments as S
 from crucible.operators import similarity as T
 from crucible.operators import training as TR
 from crucible.operators import validate as V
+from crucible.operators.pivots import pivot_neighbours
 from crucible.operators.encoder import Config, encode_molecules, encode_records, example_of, new_weights, trace_records
 from crucible.plans import analyse as A
 from crucible.plans import formats
@@ -292,6 +293,12 @@ def knn_global_top20(spark, d):
     return top.select(F.col("query").alias("query_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def knn_pivots(spark, d):
+    """As knn_top10, by cells of some 100 vectors."""
+    near = pivot_neighbours(vectors(spark, d), 10, "vec_id", "embedding", cell=100)
+    return near.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
 def neighbour_labels(spark, d):
     lab = vectors(spark, d).select("vec_id", "label")
     n = neighbours(spark, d).join(lab.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(lab.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("b")), "neighbour")
@@ -455,14 +462,11 @@ def rank_monotone_check(spark, d):
 
 def constraint_suite(spark, d):
     lines, orders, v = table(spark, d, "lineitem"), table(spark, d, "orders"), variants(spark, d)
-    return V.union(
-        V.check_rows(lines, {"quantity_positive": F.col("l_quantity") > 0, "discount_small": F.col("l_discount") <= 0.05, "known_flag": F.col("l_returnflag").isin("A", "N", "R")}),
-        V.check_unique(orders, ["o_orderkey"], "order_unique"),
-        V.check_unique(lines, ["l_orderkey", "l_linenumber"], "line_unique"),
-        V.check_complete(v, "canonical_id", "direction", list(C.DIRECTIONS[:3]), "three_variants"),
-        V.check_references(lines.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", orders, "line_has_order"),
-        V.check_single_value(orders, "o_orderstatus", "F", "all_finished"),
-    )
+    suite = V.Suite().rows(lines, {"quantity_positive": F.col("l_quantity") > 0, "discount_small": F.col("l_discount") <= 0.05, "known_flag": F.col("l_returnflag").isin("A", "N", "R")})
+    suite.unique(orders, ["o_orderkey"], "order_unique").unique(lines, ["l_orderkey", "l_linenumber"], "line_unique")
+    suite.complete(v, "canonical_id", "direction", list(C.DIRECTIONS[:3]), "three_variants")
+    suite.references(lines, "l_orderkey", orders, "line_has_order", "o_orderkey").rows(orders, {"all_finished": F.col("o_orderstatus") == "F"})
+    return suite.checks()
 
 
 def embedding_wide(spark, d):
@@ -576,7 +580,7 @@ def cosine_histogram(spark, d):
 QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
     dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
-    direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_top1, knn_global_top20,
+    direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_pivots, knn_top1, knn_global_top20,
     neighbour_labels, neighbour_table, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,

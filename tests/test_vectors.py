@@ -152,6 +152,33 @@ def test_constraints_and_requirement(spark):
     assert V.check_same_rows(df, df, "same").first().violations == 0
 
 
+def test_suite_equals_single_checks_and_reads_each_table_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2.0), (1, "b", None), (None, "a", 1.0), (3, "a", -1.0), (4, None, 1.0)], "i int, s string, x double").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(1,), (1,), (None,), (5,)], "j int").write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    suite = V.Suite().rows(a, {"positive": F.col("x") > 0, "any": F.lit(True)}).unique(a, ["i"], "once").unique(a, ["i", "s"], "pair_once").complete(a, "i", "s", ["b", "a"], "both")
+    suite.references(a, "i", b, "known", "j").references(b, "j", a, "used", "i").references(a, "i", b, "known_b", "j", where=F.col("s") == "b")
+    got = suite.checks()
+    pairs = lambda x: {r.rule: r.violations for r in x.collect()}
+    want = V.union(
+        V.check_rows(a, {"positive": F.col("x") > 0, "any": F.lit(True)}), V.check_unique(a, ["i"], "once"), V.check_unique(a, ["i", "s"], "pair_once"), V.check_complete(a, "i", "s", ["a", "b"], "both"),
+        V.check_references(a, "i", b.withColumnRenamed("j", "i"), "known"), V.check_references(b.withColumnRenamed("j", "i"), "i", a, "used"), V.check_references(a.filter("s = 'b'"), "i", b.withColumnRenamed("j", "i"), "known_b"),
+    )
+    assert pairs(got) == pairs(want) == {"positive": 2, "any": 0, "once": 1, "pair_once": 0, "both": 3, "known": 3, "used": 2, "known_b": 0}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+
+
+def test_quantiles_of_a_value_that_most_rows_have(spark):
+    """Equal values never stand in one task as rows: what is numbered are the distinct values."""
+    x = np.concatenate([np.full(9000, 0.25), np.random.default_rng(3).random(1000), [np.inf, -1.0]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
+    shares = (0.0, 0.05, 0.5, 0.95, 0.99)
+    got = Q.exact_quantiles(df, "x", shares)
+    assert all(abs(got[p] - np.quantile(x, p)) < 1e-12 for p in shares)
+    assert Q.exact_quantiles(df.filter("x IS NULL"), "x", shares) == dict.fromkeys(shares)
+
+
 def test_monotone_violations(spark):
     df = spark.createDataFrame([("q", 1, 0.5), ("q", 2, 0.7), ("p", 2, 0.1)], "q string, r int, s double")
     assert tuple(Q.monotone_violations(df, "q", "r", "s", 2).first()) == (1, 1, 1)
