@@ -235,6 +235,12 @@ FROM c LEFT JOIN b ON b.member = c.member""",
     "semi_anti_split": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'seen' ELSE 'held_out' END AS part FROM orders",
     "knn_top10": f"WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10",
     "knn_pivots": f"WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10",
+    "rows_tree": """WITH r AS (SELECT sha256(CAST(json_object('o_custkey', o_custkey, 'o_orderkey', o_orderkey, 'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus) AS VARCHAR)) AS d FROM orders),
+c AS (SELECT d, count(*) AS n FROM r GROUP BY 1),
+l2 AS (SELECT d[1:2] AS prefix, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(d || ':' || n, ',' ORDER BY d)) AS digest FROM c GROUP BY 1),
+l1 AS (SELECT prefix[1:1] AS prefix, CAST(sum(row_count) AS BIGINT) AS row_count, sha256(string_agg(l2.prefix || '=' || l2.digest, ',' ORDER BY l2.prefix)) AS digest FROM l2 GROUP BY l2.prefix[1:1]),
+l0 AS (SELECT '' AS prefix, CAST(sum(row_count) AS BIGINT) AS row_count, sha256(string_agg(l1.prefix || '=' || l1.digest, ',' ORDER BY l1.prefix)) AS digest FROM l1)
+SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1 AS level, * FROM l1 UNION ALL SELECT 0 AS level, * FROM l0""",
     "knn_top1": f"WITH {TOP1} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top1",
     "knn_global_top20": f"WITH {TOP10} SELECT query AS query_id, neighbour AS neighbour_id, round(cosine, 6) AS cosine FROM top10 ORDER BY round(top10.cosine, 12) DESC, query, neighbour LIMIT 20",
     "neighbour_labels": f"""WITH {TOP10} SELECT query AS query_id, CAST(rank AS INTEGER) AS rank, a.label % 2 = b.label % 2 AS level1_match, a.label = b.label AS exact_match

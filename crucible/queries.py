@@ -15,6 +15,7 @@ from crucible.operators import segments as S
 from crucible.operators import similarity as T
 from crucible.operators import training as TR
 from crucible.operators import validate as V
+from crucible.operators.digests import digest_tree
 from crucible.operators.pivots import pivot_neighbours
 from crucible.operators.encoder import Config, encode_molecules, encode_records, example_of, new_weights, trace_records
 from crucible.plans import analyse as A
@@ -568,6 +569,10 @@ def invariance_checks(spark, d):
     return spark.createDataFrame([A.invariance(rows, ENCODER, new_weights(ENCODER))])
 
 
+def rows_tree(spark, d):
+    return digest_tree(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), depth=2)
+
+
 def rows_checksum(spark, d):
     names = ("orders", "part", "customer", "supplier")
     return spark.createDataFrame([(n, checksum(table(spark, d, n))) for n in names], "name string, checksum string")
@@ -585,5 +590,5 @@ QUERIES = {f.__name__: f for f in (
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
     constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,
-    input_audit, direction_counts, invariance_checks, rows_checksum, cosine_histogram,
+    input_audit, direction_counts, invariance_checks, rows_checksum, rows_tree, cosine_histogram,
 )}
