@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import label_tokens
-from crucible.functions.tables import settled
+from crucible.functions.tables import settled, with_running
 
 LEVELS = ("1", "2", "3", "exact")
 #: Vectors in a block: two blocks and their products are what a task holds.
@@ -76,21 +76,23 @@ def token_rows(labels: DataFrame, id_col: str, labels_col: str, levels=LEVELS) -
 
 
 def match_counts(tokens: DataFrame) -> DataFrame:
-    """(level, id, matches): other rows that share a token.
+    """(level, id, matches): other rows that share a token; each id occurs once at a level.
 
-    Rows with the same tokens are one list. A list's rows are those of its
-    tokens, added up, less what was counted more than once: rows that share
-    several tokens with it, which only lists of several tokens do. These meet at
-    pairs of tokens; nothing else is paired.
+    Rows with the same tokens are one list. Rows of one token are added up; they
+    cannot be counted twice. Rows of several tokens are numbered, and each token
+    has a bitmap of theirs: a list's union of bitmaps counts each row once. So no
+    rows are paired, whatever lists share, and what a list costs is a bit for
+    each row of several tokens.
     """
-    lists = settled(tokens.groupBy("level", "tokens").agg(F.count(F.lit(1)).alias("n")), "token-lists")
-    one = lists.withColumn("token", F.explode("tokens"))
-    of_token = one.groupBy("level", "token").agg(F.sum("n").alias("rows"))
-    added = one.join(of_token, ["level", "token"]).groupBy("level", "tokens").agg(F.sum("rows").alias("added"))
-    several = lists.filter(F.size("tokens") > 1).withColumn("x", F.explode("tokens")).withColumn("y", F.explode("tokens")).filter("x < y")
-    met = several.select("level", "x", "y", "tokens").join(several.select("level", "x", "y", F.col("tokens").alias("other"), "n"), ["level", "x", "y"]).select("level", "tokens", "other", "n").distinct()
-    again = met.groupBy("level", "tokens").agg(F.sum(F.col("n") * (F.size(F.array_intersect("tokens", "other")) - 1)).alias("again"))
-    total = added.join(again, ["level", "tokens"], "left").select("level", "tokens", (F.col("added") - F.coalesce("again", F.lit(0)) - 1).alias("matches"))
+    tokens = settled(tokens, "token-rows")
+    lists = tokens.groupBy("level", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn("token", F.explode("tokens"))
+    alone = lists.filter(F.size("tokens") == 1).select("level", "token", F.col("n").alias("alone"))
+    several = with_running(tokens.filter(F.size("tokens") > 1), ["level", "id"], "_n").select("level", F.explode("tokens").alias("token"), "_n")
+    bitmaps = settled(several.groupBy("level", "token", F.bitmap_bucket_number("_n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("bits")), "token-bitmaps")
+    together = lists.join(bitmaps, ["level", "token"]).groupBy("level", "tokens", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    together = together.groupBy("level", "tokens").agg(F.sum(F.bitmap_count("bits")).alias("together"))
+    added = lists.join(alone, ["level", "token"], "left").groupBy("level", "tokens").agg(F.sum(F.coalesce("alone", F.lit(0))).alias("alone"))
+    total = added.join(together, ["level", "tokens"], "left").select("level", "tokens", (F.col("alone") + F.coalesce("together", F.lit(0)) - 1).alias("matches"))
     return tokens.join(total, ["level", "tokens"]).select("level", "id", "matches")
 
 

@@ -179,6 +179,21 @@ def test_quantiles_of_a_value_that_most_rows_have(spark):
     assert Q.exact_quantiles(df.filter("x IS NULL"), "x", shares) == dict.fromkeys(shares)
 
 
+def test_match_counts_without_pairs(spark):
+    """Many different lists that share two tokens: as counted by brute force, and no step has a row for each pair."""
+    rng = np.random.default_rng(2)
+    rows = [("1", i, sorted({"a", "b", f"t{i}"})) for i in range(1500)] + [("1", 2000 + i, sorted({f"t{x}" for x in rng.integers(0, 40, rng.integers(1, 5))})) for i in range(300)]
+    rows += [("2", i, ["a"] if i % 3 else ["a", "c"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "level string, id long, tokens array<string>").repartition(3)
+    got = T.match_counts(df)
+    want = {}
+    for level in ("1", "2"):
+        mine = [(i, set(t)) for v, i, t in rows if v == level]
+        for i, t in mine:
+            want[level, i] = sum(bool(t & u) for _, u in mine) - 1
+    assert {(r.level, r.id): r.matches for r in got.collect()} == want
+
+
 def test_monotone_violations(spark):
     df = spark.createDataFrame([("q", 1, 0.5), ("q", 2, 0.7), ("p", 2, 0.1)], "q string, r int, s double")
     assert tuple(Q.monotone_violations(df, "q", "r", "s", 2).first()) == (1, 1, 1)
