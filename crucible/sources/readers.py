@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import tarfile
+import uuid
 from itertools import groupby
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crucible.operators.digests import digest_tree
+
 
 def fetched(spark: SparkSession, url: str, path: str) -> bool:
     """Copy what a URL gives to a path of any store that Spark knows, unless there is something; whether it was copied. A copy that breaks off leaves nothing at the path."""
@@ -180,15 +183,38 @@ def yaml_config(spark: SparkSession, path: str) -> dict:
     return yaml.safe_load(text_of(spark, path))
 
 
-def cached_table(spark: SparkSession, folder: str, fingerprint: str, version: int, build) -> DataFrame:
-    """The table kept for a fingerprint and a version; where it is missing or unreadable it is built and kept."""
-    path = f"{folder}/{fingerprint}-v{version}"
+#: What a kept table's manifest holds.
+MANIFEST = "data string, rows long, digest string, members string"
+
+
+def _root(df: DataFrame) -> str:
+    """The digest of all rows; empty for an empty table."""
+    found = digest_tree(df).filter("level = 0").first()
+    return found.digest if found else ""
+
+
+def cached_table(spark: SparkSession, folder: str, fingerprint: str, version: int, build, members: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """The table kept for a fingerprint and a version; where it is missing, damaged or of other members it is built and kept.
+
+    Data goes to a folder of its own, never over data that someone may read; the
+    manifest is written last, so a table without one is none. It names the folder,
+    the number of rows, the digest of all rows, and that of `members` (such as the
+    list of what was encoded). Rows are counted on each call; with `whole` they are
+    digested too. Older data stays until its folder is deleted.
+    """
+    at = f"{folder}/{fingerprint}-v{version}"
+    of = None if members is None else _root(members)
     try:
-        out = spark.read.parquet(path)
-        out.limit(1).count()
-        return out
+        kept = spark.read.schema(MANIFEST).json(f"{at}/manifest").collect()
+        if len(kept) == 1 and kept[0].data and kept[0].members == of:
+            out = spark.read.parquet(f"{at}/{kept[0].data}")
+            if out.count() == kept[0].rows and (not whole or _root(out) == kept[0].digest):
+                return out
     except Exception as e:
         if type(e).__name__ not in ("AnalysisException", "Py4JJavaError", "SparkException", "SparkRuntimeException", "IllegalArgumentException", "SparkFileNotFoundException"):
             raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    name = f"data-{uuid.uuid4().hex}"
+    build().write.parquet(f"{at}/{name}")
+    out = spark.read.parquet(f"{at}/{name}")
+    spark.createDataFrame([(name, out.count(), _root(out), of)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{at}/manifest")
+    return out

@@ -155,6 +155,39 @@ def test_unreadable_cache_is_rebuilt(spark, tmp_path):
     assert readers.cached_table(spark, str(tmp_path), "g", 1, build).count() == 3
 
 
+def test_kept_tables_are_checked(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(1000).withColumn("x", F.col("id") * 2).repartition(3)
+
+    members = spark.createDataFrame([("a",), ("b",)], "s string")
+    ask = lambda **more: readers.cached_table(spark, str(tmp_path), "k", 1, build, **more)
+    assert ask(members=members).count() == 1000 and ask(members=members.orderBy(F.desc("s")), whole=True).count() == 1000 and len(calls) == 1
+    reader = ask(members=members)
+    assert ask(members=members.union(members)).count() == 1000 and len(calls) == 2  # other members
+    assert reader.count() == 1000  # what was read before is still there
+    ask(members=members)
+    assert len(calls) == 3
+    data = sorted((tmp_path / "k-v1").glob("data-*"), key=lambda p: p.stat().st_mtime)[-1]
+    parts = sorted(data.glob("part-*"))
+    parts[0].unlink()  # rows are missing
+    assert ask(members=members).count() == 1000 and len(calls) == 4
+    data = sorted((tmp_path / "k-v1").glob("data-*"), key=lambda p: p.stat().st_mtime)[-1]
+    other = spark.range(1000).withColumn("x", F.col("id") * 3)
+    for p in data.glob("*"):
+        p.unlink()
+    for p in data.glob(".*"):
+        p.unlink()
+    other.write.mode("append").parquet(str(data))  # as many rows, but others
+    assert ask(members=members).count() == 1000 and len(calls) == 4
+    assert ask(members=members, whole=True).agg(F.sum("x")).first()[0] == 999000 and len(calls) == 5
+    for p in (tmp_path / "k-v1" / "manifest").glob("*"):
+        p.unlink()  # a build that broke off
+    assert ask(members=members).count() == 1000 and len(calls) == 6
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"], None, "é", 0.123456789)], "z int, l array<string>, n string, a string, x double")
     sinks.json_lines(df.coalesce(1), str(tmp_path / "j"))
