@@ -166,6 +166,34 @@ c AS (SELECT record_id, CAST(count(*) AS INTEGER) AS n FROM participants GROUP B
 SELECT canonical_id AS record_id, 'ORD_EQ:' || canonical_id * 10 AS equivalence_group_id, source_ids, ids AS members, ids AS provenance, labs AS labels, labs IS NULL AS labels_missing,
   canonical_id % 2 <> 0 AND canonical_id % 3 <> 0 AND canonical_id % 5 <> 0 AS direction_missing, 'ORD:' || (canonical_id * 10 + 3) AS reversible, c.n AS n_participants
 FROM kept JOIN i USING (canonical_id) JOIN c ON c.record_id = canonical_id""",
+    "record_fields_rest": f"""WITH {PUBLISHED}, p AS (
+  SELECT record_id, side, compound_id, CASE canonical WHEN 'ECONOMY' THEN 'CCO' WHEN 'STANDARD' THEN 'CC=O' WHEN 'SMALL' THEN 'O' WHEN 'MEDIUM' THEN 'CC(=O)O' WHEN 'LARGE' THEN 'c1ccccc1O' WHEN 'PROMO' THEN '[NH4+]' END AS canonical, count(*) AS n, arg_min(original, struct_pack(a := l_linenumber, b := l_partkey)) AS original, max(members.status) AS status
+  FROM members WHERE record_id IN (SELECT canonical_id FROM kept) GROUP BY 1, 2, 3, 4),
+o AS (SELECT *, CASE WHEN side = 'reactant' THEN 0 ELSE 1 END AS side_order, CASE WHEN side = 'reactant' THEN -n ELSE n END AS coefficient,
+  CASE WHEN canonical IS NULL THEN 'failed' ELSE status END AS state FROM p),
+t AS (SELECT record_id,
+  string_agg(concat_ws(',', compound_id, original, canonical, state, CAST(canonical IS NULL AS VARCHAR), '-', coefficient, coefficient, side, '-', CASE WHEN compound_id = 'Brand#3' THEN compound_id ELSE '-' END,
+    CAST(compound_id <> 'Brand#3' AS VARCHAR), 'true', 'true'), ';' ORDER BY side_order, compound_id, canonical NULLS FIRST, coefficient) AS participants,
+  coalesce(string_agg(coalesce(canonical, ''), '.' ORDER BY compound_id, canonical NULLS FIRST, coefficient) FILTER (side = 'reactant'), '') || '>>' || coalesce(string_agg(coalesce(canonical, ''), '.' ORDER BY compound_id, canonical NULLS FIRST, coefficient) FILTER (side = 'product'), '') AS reaction_smiles
+  FROM o GROUP BY 1)
+SELECT k.canonical_id AS canonical_reaction_id, 'ORD:' || k.canonical_id * 10 AS master, 'ORD:' || (k.canonical_id * 10 + 1) AS left_to_right, 'ORD:' || (k.canonical_id * 10 + 2) AS right_to_left, participants, reaction_smiles,
+  CAST(NULL AS VARCHAR) AS source_reaction_smiles, CAST(NULL AS VARCHAR) AS atom_mapped_reaction_smiles, 'undefined' AS direction, CAST(NULL AS VARCHAR) AS reaction_type,
+  concat_ws(';', CASE WHEN k.canonical_id % 2 = 0 THEN 'left_to_right' END, CASE WHEN k.canonical_id % 3 = 0 THEN 'right_to_left' END, CASE WHEN k.canonical_id % 5 = 0 THEN 'reversible' END) AS supported_directions,
+  k.canonical_id % 2 <> 0 AND k.canonical_id % 3 <> 0 AND k.canonical_id % 5 <> 0 AS direction_missing, '{{}}' AS direction_evidence_summary_json,
+  k.status = 'F' AS is_balanced, CASE k.status WHEN 'F' THEN 'balanced' WHEN 'O' THEN 'imbalanced' ELSE 'unknown' END AS balance_check_status, CAST(NULL AS VARCHAR) AS balance_element_delta_json,
+  CAST(0 AS BIGINT) AS balance_charge_delta, CAST(0 AS BIGINT) AS balance_unknown_atom_count, CAST(NULL AS VARCHAR) AS context, '{{"cust":["' || o_custkey % 3 || '"]}}' AS external_xrefs_json,
+  r.strict_key AS canonical_key_sha256, r.loose_key AS loose_key_sha256
+FROM kept k JOIN t ON t.record_id = k.canonical_id JOIN resolved r ON r.record_id = k.canonical_id JOIN orders ON o_orderkey = k.canonical_id""",
+    "source_table": f"""WITH {RESOLVED} SELECT o_orderkey AS source_reaction_id, canonical_id AS canonical_reaction_id, canonical_id IS NOT NULL AS embedding_included,
+  coalesce(dedup_status, 'excluded_missing_rxn') AS deduplication_status, CASE WHEN canonical_id IS NULL THEN 'rxn_lookup' ELSE 'parsed' END AS parse_status, CASE WHEN canonical_id IS NULL THEN 'no lines' END AS parse_error,
+  concat_ws(';', 'ORD:' || o_orderkey * 10, 'ORD:' || (o_orderkey * 10 + 1), 'ORD:' || (o_orderkey * 10 + 2), 'ORD:' || (o_orderkey * 10 + 3)) AS direction_variant_ids,
+  o_orderpriority AS ec_numbers, '{{"cust":["' || o_custkey || '"]}}' AS external_xrefs_json
+FROM orders LEFT JOIN resolved ON record_id = o_orderkey""",
+    "variant_table": f"""WITH {VARIANTS}, n AS (SELECT * FROM (VALUES ('left_to_right', 1), ('right_to_left', 2), ('reversible', 3)) v(direction, i)),
+ids AS (SELECT canonical_id, direction, string_agg('CUS:' || (user_id * 10 + i), ';' ORDER BY 'CUS:' || (user_id * 10 + i)) AS directional_ids FROM masters, n GROUP BY 1, 2)
+SELECT variant_id AS direction_variant_id, canonical_id AS canonical_reaction_id, direction, directional_ids, swap_sides, symmetrized AS reversible_symmetrization, evidence_count AS directional_evidence_count,
+  has_evidence AS has_directional_evidence, evidence_by_database AS evidence_by_database_json, undefined_count AS undefined_evidence_count, semantics
+FROM variants JOIN ids USING (canonical_id, direction)""",
     "coverage_full": f"""WITH {PUBLISHED}, p AS (SELECT avg(CASE WHEN compound_id = 'Brand#3' THEN 1.0 ELSE 0.0 END) AS cofactor FROM participants)
 SELECT 1.0::DOUBLE AS reaction_smiles, 0.0::DOUBLE AS direction_defined, round(avg(CASE WHEN canonical_id % 2 = 0 OR canonical_id % 3 = 0 OR canonical_id % 5 = 0 THEN 1.0 ELSE 0.0 END), 6) AS direction_evidence_available,
   round(avg(CASE WHEN labs IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS ec_numbers, 0.0::DOUBLE AS reaction_type, 0.0::DOUBLE AS atom_map, 0.0::DOUBLE AS context,

@@ -200,6 +200,37 @@ def record_fields(spark, d):
     )
 
 
+def record_fields_rest(spark, d):
+    """What record_fields leaves out of the record."""
+    p = published(spark, d)
+    shown = lambda x: F.concat_ws(",", x["compound_id"], x["original_smiles"], x["canonical_smiles"], x["smiles_sanitization_status"], x["smiles_missing"].cast("string"), F.coalesce("reaction_type", F.lit("-")), x["coefficient"].cast("int").cast("string"), x["original_coefficient"].cast("int").cast("string"), x["side"], F.coalesce(x["mapped_smiles"], x["compartment"], x["role"], F.lit("-")), F.coalesce(x["cofactor_role"], F.lit("-")), x["cofactor_missing"].cast("string"), x["compartment_missing"].cast("string"), x["role_missing"].cast("string"))
+    return p.select(
+        "canonical_reaction_id", "direction_variant_ids.master", "direction_variant_ids.left_to_right", "direction_variant_ids.right_to_left", F.array_join(F.transform("participants", shown), ";").alias("participants"),
+        "reaction_smiles", "source_reaction_smiles", "atom_mapped_reaction_smiles", "direction", "reaction_type", F.array_join("supported_directions", ";").alias("supported_directions"), "direction_missing", "direction_evidence_summary_json",
+        "is_balanced", "balance_check_status", "balance_element_delta_json", "balance_charge_delta", "balance_unknown_atom_count", "context", "external_xrefs_json", "canonical_key_sha256", "loose_key_sha256",
+    )
+
+
+def source_table(spark, d):
+    """Every order as a source, with what became of it, in the published layout."""
+    key = F.col("record_id")
+    sources = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_orderpriority").alias("labels"), F.create_map(F.lit("cust"), F.array(F.col("o_custkey").cast("string"))).alias("xrefs"))
+    mapping = R.id_map(resolved(spark, d), sources)
+    lost = mapping.filter("canonical_id IS NULL").select(F.col("source_id").alias("record_id"), F.lit("rxn_lookup").alias("stage"), F.lit("no lines").alias("error"))
+    outcomes = R.source_records(sources, mapping, lost).withColumns({n: key * 10 + i for i, n in enumerate(formats.VARIANTS)})
+    out = formats.source_records(outcomes, "ORD")
+    return out.withColumn("direction_variant_ids", F.concat_ws(";", "direction_variant_ids.*")).withColumn("ec_numbers", F.array_join("ec_numbers", ";"))
+
+
+def variant_table(spark, d):
+    """The direction variants in the published layout, with the identifiers of all members for each direction."""
+    of = masters(spark, d).select("canonical_id", F.explode(F.array(*(F.struct(F.lit(x).alias("direction"), C.prefixed("CUS", F.col("user_id") * 10 + i).alias("id")) for i, x in enumerate(C.DIRECTIONS[:3], 1)))).alias("x"))
+    ids = of.groupBy("canonical_id", "x.direction").agg(F.array_sort(F.collect_list("x.id")).alias("directional_ids"))
+    out = formats.variants(variants(spark, d).join(ids, ["canonical_id", "direction"]))
+    names = [c for c in out.columns if not c.endswith("directional_ids")]
+    return out.select(*names, *(F.array_join(c, ";").alias("directional_ids") for c in out.columns if c not in names))
+
+
 def coverage_full(spark, d):
     return formats.coverage(published(spark, d))
 
@@ -584,7 +615,7 @@ def cosine_histogram(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     scan_project_cast, filter_prefix_exists, enum_recode, participants_agg, positional_zip, change_log, coef_reduce_gcd, canonical_keys, loose_keys,
-    dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
+    dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, record_fields_rest, source_table, variant_table, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
     direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_pivots, knn_top1, knn_global_top20,
     neighbour_labels, neighbour_table, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
