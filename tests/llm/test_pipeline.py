@@ -73,7 +73,7 @@ def test_contract():
     from crucible.llm.queries import ORACLE_SQL, QUERIES
 
     numbers = Counter(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == dict.fromkeys(range(1, 11), 1)
+    assert numbers == dict.fromkeys(range(1, 13), 1)
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
     random.seed(0)
 
