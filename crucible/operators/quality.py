@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,12 +244,18 @@ def monotone_violations(ranked: DataFrame, by: str, rank: str, score: str, expec
 
 
 def stage_uniqueness(stages: DataFrame, group: str, names: list[str]) -> DataFrame:
-    """For each group: distinct vectors and the largest range over components at each stage, and the first stage with one vector."""
-    count = lambda c: F.count_distinct(c)
-    unique = stages.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), *(count(n).alias(f"{n}_unique") for n in names))
-    ranges = None
-    for n in names:
-        r = stages.select(group, F.posexplode(n).alias("dim", "x")).groupBy(group, "dim").agg((F.max("x") - F.min("x")).alias("r")).groupBy(group).agg(F.max("r").alias(f"{n}_range"))
-        ranges = r if ranges is None else ranges.join(r, group)
+    """For each group: distinct vectors and the largest range over components at each stage, and the first stage with one vector.
+
+    A row's stages become rows, which equal vectors leave once (each task combines
+    its own first), so a large group is divided by its vectors. What is left of a
+    group is combined to one minimum and one maximum for each stage and component.
+    Vectors of a stage have one length and finite components; none is null.
+    """
+    each = F.posexplode(F.array(*(F.col(n).cast("array<double>") for n in names))).alias("_stage", "_vector")
+    distinct = stages.select(group, each).groupBy(group, "_stage", "_vector").agg(F.count(F.lit(1)).alias("_n")).withColumn("_dense", array_to_vector("_vector"))
+    at = lambda i: F.col("_stage") == i
+    bounds = [Summarizer.metrics("min", "max").summary(F.col("_dense"), F.when(at(i), 1.0).otherwise(0.0)).alias(f"_{n}") for i, n in enumerate(names)]
+    per = distinct.groupBy(group).agg(F.sum(F.when(at(0), F.col("_n"))).alias("group_size"), *(F.count_if(at(i)).alias(f"{n}_unique") for i, n in enumerate(names)), *bounds)
+    span = lambda n: F.array_max(F.zip_with(vector_to_array(F.col(f"_{n}")["max"]), vector_to_array(F.col(f"_{n}")["min"]), lambda a, b: a - b))
     first = F.coalesce(*(F.when(F.col(f"{n}_unique") == 1, F.lit(n)) for n in names), F.lit("not_exact_before_output"))
-    return unique.join(ranges, group).withColumn("first_collapsed", first)
+    return per.select(group, "group_size", *(f"{n}_unique" for n in names), *(span(n).alias(f"{n}_range") for n in names), first.alias("first_collapsed"))

@@ -357,4 +357,16 @@ SELECT record_id, direction, sha256(head || '}}') AS structure, sha256(head || '
     "cosine_histogram": f"""WITH {TOP1}, b AS (SELECT CAST(least(greatest(floor((cosine + 1.0) / 0.05), 0), 39) AS BIGINT) AS bin FROM top1)
 SELECT bin, -1.0 + bin * CAST(0.05 AS DOUBLE) AS low, -1.0 + (bin + 1) * CAST(0.05 AS DOUBLE) AS high, count(*) AS n FROM b GROUP BY 1""",
     "one_hot": "SELECT vec_id, CASE label WHEN 0 THEN '1000' WHEN 1 THEN '0100' WHEN 2 THEN '0010' ELSE '0001' END AS hot FROM embeddings",
+    "stage_ranges": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS given FROM embeddings),
+t AS (
+  SELECT label, 'given' AS stage, given AS x FROM v UNION ALL SELECT label, 'rounded', list_transform(given, lambda x: round(x, 1)) FROM v
+  UNION ALL SELECT label, 'signs', list_transform(given[1:4], lambda x: CAST(sign(x) AS DOUBLE)) FROM v UNION ALL SELECT label, 'length', [CAST(len(given) AS DOUBLE)] FROM v),
+u AS (SELECT label, stage, count(DISTINCT x) AS n FROM t GROUP BY ALL),
+e AS (SELECT label, stage, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM t),
+r AS (SELECT label, stage, max(w) AS w FROM (SELECT label, stage, i, max(c) - min(c) AS w FROM e GROUP BY ALL) GROUP BY ALL)
+SELECT label, (SELECT count(*) FROM v WHERE v.label = u.label) AS group_size,
+  max(n) FILTER (stage = 'given') AS given_unique, max(n) FILTER (stage = 'rounded') AS rounded_unique, max(n) FILTER (stage = 'signs') AS signs_unique, max(n) FILTER (stage = 'length') AS length_unique,
+  max(w) FILTER (stage = 'given') AS given_range, max(w) FILTER (stage = 'rounded') AS rounded_range, max(w) FILTER (stage = 'signs') AS signs_range, max(w) FILTER (stage = 'length') AS length_range,
+  CASE WHEN given_unique = 1 THEN 'given' WHEN rounded_unique = 1 THEN 'rounded' WHEN signs_unique = 1 THEN 'signs' WHEN length_unique = 1 THEN 'length' ELSE 'not_exact_before_output' END AS first_collapsed
+FROM u JOIN r USING (label, stage) GROUP BY label""",
 }

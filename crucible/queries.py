@@ -586,6 +586,13 @@ def fusion_trace(spark, d):
     return Q.stage_uniqueness(stages, "group", names).groupBy("first_collapsed").agg(F.count(F.lit(1)).alias("groups"))
 
 
+def stage_ranges(spark, d):
+    """Vectors of a label on the way to one value: as they are, rounded, their signs, their length in whole units."""
+    v, unit = F.col("embedding").cast("array<double>"), lambda x: F.round(x, 1)
+    stages = vectors(spark, d).select("label", v.alias("given"), F.transform(v, unit).alias("rounded"), F.transform(F.slice(v, 1, 4), F.signum).alias("signs"), F.array(F.size(v).cast("double")).alias("length"))
+    return Q.stage_uniqueness(stages, "label", ["given", "rounded", "signs", "length"])
+
+
 def input_audit(spark, d):
     return A.audit(settled(corpus(spark, d), "corpus"), ENCODER, new_weights(ENCODER))
 
@@ -620,6 +627,6 @@ QUERIES = {f.__name__: f for f in (
     neighbour_labels, neighbour_table, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
     text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
-    constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace,
+    constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace, stage_ranges,
     input_audit, direction_counts, invariance_checks, rows_checksum, rows_tree, cosine_histogram,
 )}

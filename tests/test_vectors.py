@@ -216,3 +216,15 @@ def test_same_order_and_revision(spark, tmp_path):
     b = spark.createDataFrame([(0, "x"), (1, "y"), (3, "z")], kind)
     assert V.check_same_order(a, b, "p", "id", "r").first().violations == 3  # another value, and a place that each lacks
     assert git_revision(str(tmp_path)) is None
+
+
+def test_stage_uniqueness_plan_and_values(spark):
+    """Two shuffles, none of all a group's vectors; a group of one row, one of repeats, one that falls together at the second stage."""
+    rows = [("a", [1.0, 5.0], [0.5])] + [("b", [2.0, 2.0], [1.0])] * 5 + [("c", [float(i), -3.0 * i], [7.0]) for i in range(6)] + [(None, [0.0, 1.0], [1.0]), (None, [0.0, 1.5], [3.0])]
+    got = Q.stage_uniqueness(spark.createDataFrame(rows, "g string, first array<float>, second array<float>").repartition(3), "g", ["first", "second"])
+    want = {("a", 1, 1, 1, 0.0, 0.0, "first"), ("b", 5, 1, 1, 0.0, 0.0, "first"), ("c", 6, 6, 1, 15.0, 0.0, "second"), (None, 2, 2, 2, 0.5, 2.0, "not_exact_before_output")}
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan
+    first = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert first.count("Exchange hashpartitioning") == 2
