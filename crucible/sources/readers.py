@@ -8,12 +8,12 @@ import tarfile
 import uuid
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crucible.operators.digests import digest_tree
+from crucible.sources.matrices import read_matrix
 
 
 def fetched(spark: SparkSession, url: str, path: str) -> bool:
@@ -153,17 +153,8 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def npy_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row_index, vector) of .npy matrices of floats; pickled objects are refused."""
-
-    def read(batches):
-        for batch in batches:
-            for raw in batch.column(0):
-                m = np.load(io.BytesIO(raw.as_py()), allow_pickle=False)
-                for k in range(0, len(m), 1024):
-                    part = m[k : k + 1024].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int64)), pa.array(list(part), pa.list_(pa.float32()))], names=["row_index", "vector"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "row_index long, vector array<float>")
+    """(row_index, vector) of .npy matrices of numbers; pickled objects are refused."""
+    return read_matrix(spark, path)
 
 
 def text_of(spark: SparkSession, path: str) -> str:

@@ -7,11 +7,11 @@ import os
 import subprocess
 from datetime import UTC, datetime
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import wide
+from crucible.sources.matrices import write_matrix
 
 
 def parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,16 +46,9 @@ def wide_vectors(df: DataFrame, id_col: str, vector_col: str, size: int, path: s
     df.select(id_col, *wide(vector_col, size)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def matrix_files(df: DataFrame, id_col: str, vector_col: str, folder: str, most_rows: int = 1_000_000) -> int:
-    """A table with at most most_rows rows as vectors.npy and ids.tsv in a folder of the driver; Parquet is the form for larger ones."""
-    rows = df.select(id_col, vector_col).orderBy(id_col).limit(most_rows + 1).toPandas()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} rows: write Parquet instead")
-    os.makedirs(folder, exist_ok=True)
-    np.save(f"{folder}/vectors.npy", np.stack(rows[vector_col].to_numpy()).astype(np.float32) if len(rows) else np.zeros((0, 0), np.float32))
-    with open(f"{folder}/ids.tsv", "w", encoding="utf-8") as f:
-        f.write("row_index\t" + id_col + "\n" + "".join(f"{i}\t{x}\n" for i, x in enumerate(rows[id_col])))
-    return len(rows)
+def matrix_files(df: DataFrame, id_col: str, vector_col: str, folder: str) -> int:
+    """A table as vectors.npy and ids.tsv in a folder that all executors have mounted; the number of rows. Tasks write their rows at their places."""
+    return write_matrix(df, id_col, vector_col, folder, single=True)
 
 
 def git_revision(folder: str = ".") -> str | None:
