@@ -34,6 +34,20 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, whose key is nearly unique, written to the shared folder in sorted buckets of the key and read again.
+
+    There are as many buckets as shuffles have partitions, so joins on the key with
+    such tables, or with what was grouped by it, shuffle nothing. A key of many
+    rows stays in one bucket, which no plan divides: such tables go to `settled`.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def with_running(df: DataFrame, order: list[Column | str], index: str = "index", total: tuple[str, str] | None = None) -> DataFrame:
     """df with a 1-based number in the given (total) order, and on request the running total of a column: total = (column, name).
 

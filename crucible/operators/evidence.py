@@ -25,13 +25,19 @@ def direction_evidence(rows: DataFrame, key: str, code: str, value: str, databas
     return rows.select(F.col(key), recode(code, codes or DIRECTION_CODES).alias("direction"), source.alias("database"), F.col(value).alias("value")).filter("direction IS NOT NULL").distinct()
 
 
-def direction_variants(members: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+def evidence_counts(members: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """(canonical_id, direction, database, n): distinct identifiers of the evidence that a record's members (canonical_id, key) have together."""
+    return members.join(evidence, key).groupBy("canonical_id", "direction", "database").agg(F.count_distinct("value").alias("n"))
+
+
+def direction_variants(members: DataFrame, evidence: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Three rows for each record of members (canonical_id, key): what evidence its members have together for each direction.
 
     Identifiers count once for each direction and database, over all members
-    and sources. Records without evidence have rows with zero counts.
+    and sources. Records without evidence have rows with zero counts. Counts that
+    are there already (of `evidence_counts`) can be given.
     """
-    counts = members.join(evidence, key).groupBy("canonical_id", "direction", "database").agg(F.count_distinct("value").alias("n"))
+    counts = evidence_counts(members, evidence, key) if counts is None else counts
     by = counts.groupBy("canonical_id", "direction").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("database", "n")))).alias("by_database"))
     wanted = members.select("canonical_id").distinct().withColumn("direction", F.explode(F.array(*map(F.lit, DIRECTIONS[:3]))))
     undefined = by.filter(F.col("direction") == "undefined").select("canonical_id", F.col("n").alias("undefined_count"))

@@ -38,9 +38,8 @@ def group_facts(resolved: DataFrame, release: str, prefix: str, number: Column |
     )
 
 
-def evidence_summary(members: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """(canonical_id, direction_evidence_summary_json): by direction and database, how many identifiers; both in order."""
-    counts = members.join(evidence, key).groupBy("canonical_id", "direction", "database").agg(F.count_distinct("value").alias("n"))
+def evidence_summary(counts: DataFrame) -> DataFrame:
+    """(canonical_id, direction_evidence_summary_json) of counted evidence: by direction and database, how many identifiers; both in order."""
     by = counts.groupBy("canonical_id", "direction").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("database", "n"))))).alias("j"))
     item = lambda x: F.concat(F.lit('"'), x["direction"], F.lit('":'), x["j"])
     return by.groupBy("canonical_id").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("direction", "j"))), item), ","), F.lit("}")).alias("direction_evidence_summary_json"))

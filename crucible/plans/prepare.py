@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crucible.functions.columns import first_group, numeric_suffix, prefixed
-from crucible.functions.tables import settled
+from crucible.functions.tables import bucketed, settled
 from crucible.operators import evidence as E
 from crucible.operators import records as R
 from crucible.operators import validate as V
@@ -97,10 +97,13 @@ def prepare(spark: SparkSession, c: Config) -> Corpus:
     number = lambda x: F.col(x).cast("bigint")
     raw = tsv(DIRECTIONS_FILE, DIRECTION_COLUMNS).withColumn("_at", F.monotonically_increasing_id())
     directions = readers.last_wins(raw.select(number("RHEA_ID_MASTER").alias("master"), number("RHEA_ID_LR").alias("left_to_right"), number("RHEA_ID_RL").alias("right_to_left"), number("RHEA_ID_BI").alias("reversible"), "_at"), "master", "_at").drop("_at")
-    directions = settled(directions.withColumn("record_id", prefixed(c.prefix, "master")).withColumn("member", F.concat(F.col("left_to_right").cast("string"), F.lit(".rxn"))), "directions")
+    directions = bucketed(directions.withColumn("record_id", prefixed(c.prefix, "master")).withColumn("member", F.concat(F.col("left_to_right").cast("string"), F.lit(".rxn"))), "directions", "master")
     ec = E.index_values(tsv(EC_FILE, ["MASTER_ID", "ID"]).select(number("MASTER_ID").alias("master"), "ID"), "master", "ID").withColumnRenamed("values", "labels")
+    ec = bucketed(ec, "labels", "master")
     xrefs_raw = tsv(XREFS_FILE, ["MASTER_ID", "DB", "ID", "DIRECTION"]).select(number("MASTER_ID").alias("master"), "DB", "ID", "DIRECTION")
-    xrefs = E.index_xrefs(xrefs_raw, "master", "DB", "ID")
+    xrefs = bucketed(E.index_xrefs(xrefs_raw, "master", "DB", "ID"), "xrefs", "master")
+    # One row for each record, first in buckets of the master number, then of the identifier.
+    sources = bucketed(directions.join(ec, "master", "left").join(xrefs, "master", "left"), "sources", "record_id")
     smiles = readers.last_wins(tsv(SMILES_FILE, ["id", "reaction_smiles"], header=False).select(number("id").alias("left_to_right"), "reaction_smiles").withColumn("_at", F.monotonically_increasing_id()), "left_to_right", "_at").drop("_at")
     members = readers.decoded(readers.last_by_name(readers.tar_members(spark, c.rxn_archive, ".rxn"))).select(F.col("basename").alias("member"), "ordinal", F.col("text").alias("content"))
     found, lost = R.parse_outcomes(directions, members)
@@ -113,7 +116,7 @@ def prepare(spark: SparkSession, c: Config) -> Corpus:
     balance = R.balance(molecules)
     fields = ["side_order", "compound_id", "canonical", "coefficient", "side", "compartment", "status", "original"]
     no_xrefs = F.expr("map()").cast("map<string,array<string>>")
-    records = R.nested(parts, fields).join(directions, "record_id").join(balance, "record_id").join(ec, "master", "left").join(xrefs, "master", "left")
+    records = R.nested(parts, fields).join(sources, "record_id").join(balance, "record_id")
     records = records.join(smiles.withColumnRenamed("reaction_smiles", "source_reaction_smiles"), "left_to_right", "left")
     records = records.withColumn("reaction_smiles", R.text_of(F.col("participants"))).withColumn("xrefs", F.coalesce("xrefs", no_xrefs))
     keyed = settled(R.with_keys(records, c.ignored), "keyed")
@@ -126,12 +129,12 @@ def prepare(spark: SparkSession, c: Config) -> Corpus:
     uniprot = tsv(UNIPROT_FILE, ["MASTER_ID", "ID", "DIRECTION"]).select(number("MASTER_ID").alias("master"), "ID", "DIRECTION")
     ev = E.direction_evidence(xrefs_raw, "master", "DIRECTION", "ID", database="DB").unionByName(E.direction_evidence(uniprot, "master", "DIRECTION", "ID", fixed_database=UNIPROT)).distinct()
     of = resolved.select("canonical_id", "master")
-    variants = E.direction_variants(of, ev, "master")
+    counts = settled(E.evidence_counts(of, ev, "master"), "evidence-counts")  # read by variants and summary
+    variants = E.direction_variants(of, ev, "master", counts)
     ids = resolved.select("canonical_id", F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), prefixed(c.prefix, d).alias("id")) for d in ("left_to_right", "right_to_left", "reversible")))).alias("x"))
     ids = ids.groupBy("canonical_id", "x.direction").agg(F.array_sort(F.collect_list("x.id")).alias("directional_ids"))
     variants = settled(variants.join(ids, ["canonical_id", "direction"]), "variants")
-    kept = kept.join(E.supported(variants).withColumnRenamed("directions", "supported_directions"), "canonical_id").join(formats.evidence_summary(of, ev, "master"), "canonical_id", "left")
-    sources = directions.join(ec, "master", "left").join(xrefs, "master", "left")
+    kept = kept.join(E.supported(variants).withColumnRenamed("directions", "supported_directions"), "canonical_id").join(formats.evidence_summary(counts), "canonical_id", "left")
     return Corpus(
         kept.withColumn("direction_missing", F.size("supported_directions") == 0), molecules, resolved, id_map, R.source_records(sources, id_map, failures),
         variants, R.loose_candidates(kept), R.changes(molecules), failures, balance, c.prefix,

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crucible.functions import columns as C
-from crucible.functions.tables import with_running
+from crucible.functions.tables import bucketed, with_running
 
 PARTS = "participants array<struct<compound_id:string,coefficient:double,compartment:string>>, direction string"
 STRICT = "870e4775ef210a6ae56ac12aada6cf89ad420e7dce1a4e8f7a5fd10dc59e525c"
@@ -86,3 +86,13 @@ def test_running_numbers_and_totals(spark):
     assert [r.i for r in rows] == list(range(1, 1001))
     assert all(r.t == r.x * (r.x + 1) // 2 for r in rows)
     assert with_running(df.limit(0), ["x"], "i", ("x", "t")).count() == 0
+
+
+def test_bucketed_tables_meet_without_shuffle(spark):
+    a = bucketed(spark.range(500).select("id", (F.col("id") * 2).alias("a")), "left", "id").hint("merge")
+    b = bucketed(spark.range(100, 600).select("id", F.array("id").alias("b")), "right", "id")
+    joined = a.join(b, "id", "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 500 and joined.filter("b[0] = id").count() == 400
+    grouped = spark.range(2000).selectExpr("id % 700 AS id").groupBy("id").count().join(a, "id")
+    assert grouped._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and grouped.count() == 500
