@@ -1,20 +1,23 @@
 """Training of the encoder: losses with gradients, AdamW, epochs over a split, the best epoch kept.
 
 Gradients are additive over batches, so a step can be one batch on the driver
-or one batch on each partition; fit_distributed does the latter and brings one
-set of gradients for each partition to the driver.
+or one batch on each partition; fit_partitions and fit_distributed do the latter
+and bring one set of gradients for each partition to the driver.
 """
 
 from __future__ import annotations
 
 import os
 import time
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from crucible.functions.tables import shared_folder, with_running
 from crucible.operators.autograd import T, backward, log1p_exp, log_sum_exp, relu, sqrt
 from crucible.operators.encoder import Batch, Config, Encoder, Example, collate, example_of
 
@@ -47,16 +50,18 @@ def covariance_loss(views: list[T]) -> T:
 
 def label_loss(model: Encoder, e: T, b: Batch) -> T:
     """Binary cross entropy of the annotated rows' classes (numbered from 1); 0 where none is annotated."""
+    at = [(i, int(x)) for i, some in enumerate(b.labels) for x in some]
     n = max(1, model.c.labels)
-    target = np.zeros((len(b), n))
-    for i, some in enumerate(b.labels):
-        for x in some:
-            target[i, min(max(x - 1, 0), n - 1)] = 1.0
-    on = np.flatnonzero(target.sum(axis=1) > 0)
-    if not len(on):
-        return e.sum() * 0.0
+    if any(not 1 <= x <= n for _, x in at):
+        raise ValueError(f"labels are numbered from 1 to {n}: {sorted({x for _, x in at if not 1 <= x <= n})}")
+    if not at:
+        return T(0.0)
+    row, label = np.array(at).T
+    on, place = np.unique(row, return_inverse=True)
+    target = np.zeros((len(on), n))
+    target[place, label - 1] = 1.0
     logits = model.label_logits(e[on])
-    return (log1p_exp(logits) - logits * T(target[on])).mean()
+    return (log1p_exp(logits) - logits * T(target)).mean()
 
 
 def losses(model: Encoder, b: Batch, temperature: float = 0.1) -> dict[str, T]:
@@ -142,42 +147,95 @@ def fit(train: list[Example], validation: list[Example], config: Config, epochs:
     return kept, history
 
 
-def fit_distributed(records: DataFrame, config: Config, steps: int = 50, size: int = 64, weights: dict[str, float] | None = None, temperature: float = 0.1, rate: float = 1e-3, seed: int = 42):
-    """(weights, mean loss of each step): in each step every partition draws one batch of its rows, and their gradients' mean is applied.
+def dealt(records: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
+    """(records with a step and a part, number of steps): in an order drawn by seed, each record in one batch of some `size`, a batch for each partition in each step.
 
-    Records have record_id, participants, direction and perhaps label_index. The
-    gradients have the size of the weights, whatever the table.
+    The table is written by step, so a step reads its own records. Steps and parts
+    differ by one record at most, and no batch has fewer than two where the table has two.
     """
-    weights = {**WEIGHTS, **(weights or {})}
-    model, optimiser, history = Encoder(config, trainable=True), AdamW(rate), []
+    n = records.count()
+    parts = max(1, min(records.rdd.getNumPartitions(), n // 2))
+    steps = max(1, min(-(-n // (size * parts)), n // (2 * parts)))
+    numbered = with_running(records, [F.xxhash64(F.lit(seed), F.col("record_id")), F.col("record_id")], "_n")
+    at = F.col("_n") - 1
+    out = numbered.withColumn("_step", (at % steps).cast("int")).withColumn("_part", (F.floor(at / steps) % parts).cast("int")).drop("_n")
+    path = f"{shared_folder(records.sparkSession)}/batches-{uuid.uuid4().hex}"
+    out.repartition("_step").write.partitionBy("_step").parquet(path)
+    return records.sparkSession.read.schema(out.schema).parquet(path), steps
+
+
+def _of_batch(shared, config: Config, weights: dict[str, float], temperature: float, seed: tuple[int, int]):
+    """What gives a batch's gradients, as 32-bit floats in the order of the weights' names, its loss and its size; nothing for one record alone."""
+
+    def work(key, f):
+        if len(f) < 2:
+            return pd.DataFrame({"g": [], "loss": [], "n": []})
+        own = Encoder(config, shared.value, trainable=True)
+        own.rng = np.random.default_rng([*seed, int(key[0])])
+        grads, loss = gradients(own, [example_of(r) for r in f.sort_values("record_id").itertuples(index=False)], weights, temperature)
+        flat = np.concatenate([grads.get(k, np.zeros_like(own.w[k].v)).ravel() for k in sorted(own.w)])
+        return pd.DataFrame({"g": [flat.astype(np.float32).tobytes()], "loss": [loss], "n": [len(f)]})
+
+    return work
+
+
+def steps_of(table: DataFrame, steps: int, model: Encoder, optimiser: AdamW, weights: dict[str, float], temperature: float, seed: int):
+    """(mean loss, records) of each step over a dealt table: every batch gives gradients, and their mean is applied."""
     names = sorted(model.w)
+    config = model.c
     for step in range(steps):
-        shared = records.sparkSession.sparkContext.broadcast(model.weights())
-
-        def work(frames, shared=shared, step=step):
-            rng, kept, seen = np.random.default_rng(seed * 1_000_003 + step), [], 0
-            for f in frames:  # a reservoir: each row of the partition is as likely
-                for row in f.itertuples(index=False):
-                    seen += 1
-                    if len(kept) < size:
-                        kept.append(row)
-                    elif (j := int(rng.integers(seen))) < size:
-                        kept[j] = row
-            if len(kept) > 1:
-                own = Encoder(config, shared.value, trainable=True)
-                own.rng = rng
-                grads, loss = gradients(own, [example_of(r) for r in kept], weights, temperature)
-                flat = np.concatenate([grads.get(k, np.zeros_like(own.w[k].v)).ravel() for k in names])
-                yield pd.DataFrame({"g": [flat.astype(np.float32).tobytes()], "loss": [loss]})
-
-        got = records.mapInPandas(work, "g binary, loss double").collect()
+        shared = table.sparkSession.sparkContext.broadcast(model.weights())
+
+        got = table.filter(F.col("_step") == step).drop("_step").groupBy("_part").applyInPandas(_of_batch(shared, config, weights, temperature, (seed, step)), "g binary, loss double, n long").collect()
         if not got:
-            raise ValueError("no partition has two records to contrast")
+            raise ValueError("two records are needed to contrast")
         mean, at, grads = np.mean([np.frombuffer(r.g, dtype=np.float32) for r in got], axis=0), 0, {}
         for k in names:
             n = model.w[k].v.size
             grads[k], at = mean[at : at + n].reshape(model.w[k].v.shape).astype(np.float64), at + n
         optimiser.step(model, grads)
-        history.append(float(np.mean([r.loss for r in got])))
         shared.unpersist()
+        yield float(np.average([r.loss for r in got], weights=[r.n for r in got])), sum(r.n for r in got)
+
+
+def fit_distributed(records: DataFrame, config: Config, steps: int = 50, size: int = 64, weights: dict[str, float] | None = None, temperature: float = 0.1, rate: float = 1e-3, seed: int = 42):
+    """(weights, mean loss of each step): a number of steps, each over one batch for each partition; after a pass over all records they are dealt anew.
+
+    Records have record_id, participants, direction and perhaps label_index. The
+    gradients have the size of the weights, whatever the table.
+    """
+    weights = {**WEIGHTS, **(weights or {})}
+    model, optimiser, history = Encoder(config, trainable=True), AdamW(rate), []
+    while len(history) < steps:
+        table, n = dealt(records, size, seed + len(history))
+        history += [loss for loss, _ in steps_of(table, min(n, steps - len(history)), model, optimiser, weights, temperature, seed + len(history))]
     return model.weights(), history
+
+
+def held_loss(records: DataFrame, model: Encoder, weights: dict[str, float], temperature: float, size: int) -> float | None:
+    """The mean loss over records in batches of `size` in the order of their identifiers, weighed by size; None without records."""
+    shared, config = model.weights(), model.c
+
+    def work(key, f):
+        own = Encoder(config, shared)
+        examples = [example_of(r) for r in f.sort_values("record_id").itertuples(index=False)]
+        return pd.DataFrame({"loss": [float(total(losses(own, collate(examples), temperature), weights).v) * len(f)], "n": [len(f)]})
+
+    batches = with_running(records, ["record_id"], "_n").withColumn("_batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    got = batches.groupBy("_batch").applyInPandas(work, "loss double, n long").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+    return got.loss / got.n if got.n else None
+
+
+def fit_partitions(train: DataFrame, validation: DataFrame, config: Config, epochs: int = 5, size: int = 64, weights: dict[str, float] | None = None, temperature: float = 0.1, rate: float = 1e-3, seed: int = 42):
+    """As `fit`, over tables of any size: an epoch is a pass over all records, with a step for one batch of each partition."""
+    weights = {**WEIGHTS, **(weights or {})}
+    model, optimiser, history, best, kept, began = Encoder(config, trainable=True), AdamW(rate), [], np.inf, None, time.time()
+    for i in range(1, epochs + 1):
+        table, steps = dealt(train, size, seed + i)
+        done = list(steps_of(table, steps, model, optimiser, weights, temperature, seed + i))
+        loss = float(np.average([x for x, _ in done], weights=[n for _, n in done]))
+        held = held_loss(validation, model, weights, temperature, size)
+        history.append({"epoch": i, "train": loss, "validation": held, "elapsed": time.time() - began})
+        if (held if held is not None else loss) < best:
+            best, kept = (held if held is not None else loss), {k: v.copy() for k, v in model.weights().items()}
+    return kept, history

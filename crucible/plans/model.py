@@ -63,11 +63,12 @@ def build_corpus(records: DataFrame) -> Corpus:
 
 
 def train(spark: SparkSession, corpus: Corpus, config: Config, folder: str, epochs: int = 5, size: int = 64, weights: dict[str, float] | None = None, fraction: float = 0.05, seed: int = 42, limit: int | None = None, rate: float = 1e-3, most_local: int = MOST_LOCAL) -> dict:
-    """Train and write into a folder of the driver: checkpoint.npz (weights of the best epoch, configuration, vocabularies, split), history.jsonl and metadata.json, which is returned.
+    """Train and write into a folder of the driver: checkpoint.npz (weights of the best epoch, configuration), history.jsonl and metadata.json, which is returned; `split` and `vocabularies` as Parquet.
 
-    Up to `most_local` records train in this process, an epoch being a pass over
-    all; more train on all partitions, an epoch being as many steps as batches
-    of one from each partition make a pass, and the last weights are kept.
+    Up to `most_local` records train in this process, more on all partitions. Either
+    way an epoch is a pass over all records, followed by the loss on those held out,
+    and the weights of the best epoch are kept. The checkpoint itself holds the
+    split and a vocabulary only up to `most_local` rows; the tables are whole.
     """
     began = time.time()
     config = replace(config, cofactors=corpus.sizes["cofactor"], labels=max(1, corpus.sizes["label"] - 1))
@@ -79,17 +80,17 @@ def train(spark: SparkSession, corpus: Corpus, config: Config, folder: str, epoc
         for r in rows.orderBy("position").collect():  # most_local rows at most
             examples[r.split].append(example_of(r))
         kept, history = TR.fit(examples["train"], examples["validation"], config, epochs, size, weights, rate=rate, seed=seed)
-        best = min(history, key=lambda h: h["train"] if h["validation"] is None else h["validation"])["epoch"]
     else:
-        steps = max(1, n["train"] // (size * rows.rdd.getNumPartitions()))
-        kept, losses = TR.fit_distributed(rows.filter("split = 'train'"), config, epochs * steps, size, weights, rate=rate, seed=seed)
-        history = [{"epoch": i + 1, "train": float(np.mean(losses[i * steps : (i + 1) * steps])), "validation": None, "elapsed": time.time() - began} for i in range(epochs)]
-        best = epochs
+        kept, history = TR.fit_partitions(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), config, epochs, size, weights, rate=rate, seed=seed)
+    best = min(history, key=lambda h: h["train"] if h["validation"] is None else h["validation"])["epoch"]
     os.makedirs(folder, exist_ok=True)
-    values = {k: {r[k]: r["index"] for r in v.collect()} for k, v in corpus.vocabularies.items() if corpus.sizes[k] <= 1_000_000}
-    ids = [(r.record_id, r.split) for r in split.orderBy("position").select("record_id", "split").limit(most_local).collect()]
+    sinks.parquet(split, f"{folder}/split")
+    for name, v in corpus.vocabularies.items():
+        sinks.parquet(v, f"{folder}/vocabularies/{name}")
+    values = {k: {r[k]: r["index"] for r in v.collect()} for k, v in corpus.vocabularies.items() if corpus.sizes[k] <= MOST_LOCAL}
+    ids = [(r.record_id, r.split) for r in split.orderBy("position").select("record_id", "split").collect()] if sum(n.values()) <= most_local else None  # None: see the table
     data = sinks.checksum(corpus.rows)
-    more = {"vocab_sizes": corpus.sizes, "vocabularies": values, "split": ids, "data_checksum": data, "epoch": best, "loss_weights": {**TR.WEIGHTS, **(weights or {})}}
+    more = {"vocab_sizes": corpus.sizes, "vocabularies": values, "vocabulary_checksums": sinks.manifest(corpus.vocabularies), "split": ids, "data_checksum": data, "epoch": best, "loss_weights": {**TR.WEIGHTS, **(weights or {})}}
     save(f"{folder}/checkpoint.npz", config, kept, **more)
     with open(f"{folder}/history.jsonl", "w", encoding="utf-8") as f:
         f.writelines(json.dumps(h, sort_keys=True) + "\n" for h in history)
@@ -113,6 +114,8 @@ def export(spark: SparkSession, corpus: Corpus, checkpoint: str, folder: str, ma
     config, weights, meta = restore(checkpoint)
     if meta["vocab_sizes"] != corpus.sizes:
         raise ValueError(f"the checkpoint's vocabularies have sizes {meta['vocab_sizes']}, the corpus's {corpus.sizes}")
+    if differ := sinks.verify_manifest(corpus.vocabularies, meta["vocabulary_checksums"]):
+        raise ValueError(f"vocabularies that are not those of the checkpoint: {sorted(differ)}")
     rows = A.model_rows(corpus.rows)
     sinks.parquet(encode_records(rows, config, weights), f"{folder}/vectors")
     vectors = spark.read.parquet(f"{folder}/vectors")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crucible.operators.encoder import Config, encode_molecules, encode_records, new_weights, restore
 from crucible.operators.quality import numbered_groups
+from crucible.operators import training as TR
 from crucible.plans import analyse as A
 from crucible.plans import formats
 from crucible.plans import model as M
@@ -64,6 +65,36 @@ def test_large_corpora_train_on_all_partitions(spark, corpus, tmp_path):
     assert meta["train_count"] == 24 and meta["best_epoch"] == 2 and all(np.isfinite(h["train"]) for h in history)
 
 
+def test_all_sizes_train_alike(spark, corpus, tmp_path):
+    """On partitions too: each epoch takes every record once, has a loss on those held out, the best is kept, and split and vocabularies are whole."""
+    meta = M.train(spark, corpus, Config(dim=8, steps=1, readout="sum", dropout=0.0), str(tmp_path), epochs=3, size=4, fraction=0.2, most_local=3)
+    history = [json.loads(x) for x in (tmp_path / "history.jsonl").read_text().splitlines()]
+    assert meta["best_epoch"] == min(history, key=lambda h: h["validation"])["epoch"] and meta["best_validation_loss"] == min(h["validation"] for h in history)
+    split = spark.read.parquet(str(tmp_path / "split"))
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": meta["train_count"], "validation": meta["validation_count"]}
+    assert {r.label: r["index"] for r in spark.read.parquet(str(tmp_path / "vocabularies" / "label")).collect()} == {"1.0": 1, "1.1": 2, "1.2": 3}
+    config, weights, more = restore(str(tmp_path / "checkpoint.npz"))
+    held = A.model_rows(corpus.rows).join(split.filter("split = 'validation'"), "record_id")
+    model = TR.Encoder(config, weights)
+    assert more["split"] is None and abs(TR.held_loss(held, model, {**TR.WEIGHTS}, 0.1, 4) - meta["best_validation_loss"]) < 1e-5
+    examples = [TR.example_of(r) for r in held.orderBy("record_id").collect()]
+    assert abs(TR.epoch(model, examples, {**TR.WEIGHTS}, 0.1, None, 4, np.random.default_rng(0)) - meta["best_validation_loss"]) < 1e-5
+
+
+def test_dealt_records_are_each_taken_once(spark, corpus):
+    table, steps = TR.dealt(A.model_rows(corpus.rows).repartition(3), 4, 1)
+    sizes = {(r["_step"], r["_part"]): r["count"] for r in table.groupBy("_step", "_part").count().collect()}
+    assert steps == 2 and len(sizes) == 6 and set(sizes.values()) == {4} and table.select("record_id").distinct().count() == 24
+
+
+def test_labels_beyond_the_classes_are_refused(corpus):
+    config, weights = M.untrained(corpus, 8, steps=1)
+    few = TR.Encoder(config.__class__(**{**config.__dict__, "labels": 1}))
+    examples = [TR.example_of(r) for r in A.model_rows(corpus.rows).orderBy("record_id").limit(8).collect()]
+    with pytest.raises(ValueError, match="numbered from 1 to 1"):
+        TR.label_loss(few, TR.T(np.zeros((8, 8))), TR.collate(examples))
+
+
 def test_molecules_are_kept_between_batches(corpus):
     config, weights = M.untrained(corpus, 16, steps=2)
     rows = A.model_rows(corpus.rows)
