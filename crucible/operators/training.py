@@ -147,8 +147,8 @@ def fit(train: list[Example], validation: list[Example], config: Config, epochs:
     return kept, history
 
 
-def dealt(records: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
-    """(records with a step and a part, number of steps): in an order drawn by seed, each record in one batch of some `size`, a batch for each partition in each step.
+def dealt(records: DataFrame, size: int, seed: int) -> tuple[DataFrame, int, int]:
+    """(records with a step and a part, number of steps, number of parts): in an order drawn by seed, each record in one batch of some `size`, a batch for each partition in each step.
 
     The table is written by step, so a step reads its own records. Steps and parts
     differ by one record at most, and no batch has fewer than two where the table has two.
@@ -161,32 +161,34 @@ def dealt(records: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
     out = numbered.withColumn("_step", (at % steps).cast("int")).withColumn("_part", (F.floor(at / steps) % parts).cast("int")).drop("_n")
     path = f"{shared_folder(records.sparkSession)}/batches-{uuid.uuid4().hex}"
     out.repartition("_step").write.partitionBy("_step").parquet(path)
-    return records.sparkSession.read.schema(out.schema).parquet(path), steps
+    return records.sparkSession.read.schema(out.schema).parquet(path), steps, parts
 
 
 def _of_batch(shared, config: Config, weights: dict[str, float], temperature: float, seed: tuple[int, int]):
     """What gives a batch's gradients, as 32-bit floats in the order of the weights' names, its loss and its size; nothing for one record alone."""
 
-    def work(key, f):
+    def work(frames):
+        f = pd.concat(list(frames) or [pd.DataFrame()])  # some `size` records
         if len(f) < 2:
-            return pd.DataFrame({"g": [], "loss": [], "n": []})
+            return
         own = Encoder(config, shared.value, trainable=True)
-        own.rng = np.random.default_rng([*seed, int(key[0])])
+        own.rng = np.random.default_rng([*seed, int(f["_part"].iloc[0])])
         grads, loss = gradients(own, [example_of(r) for r in f.sort_values("record_id").itertuples(index=False)], weights, temperature)
         flat = np.concatenate([grads.get(k, np.zeros_like(own.w[k].v)).ravel() for k in sorted(own.w)])
-        return pd.DataFrame({"g": [flat.astype(np.float32).tobytes()], "loss": [loss], "n": [len(f)]})
+        yield pd.DataFrame({"g": [flat.astype(np.float32).tobytes()], "loss": [loss], "n": [len(f)]})
 
     return work
 
 
-def steps_of(table: DataFrame, steps: int, model: Encoder, optimiser: AdamW, weights: dict[str, float], temperature: float, seed: int):
+def steps_of(table: DataFrame, steps: int, parts: int, model: Encoder, optimiser: AdamW, weights: dict[str, float], temperature: float, seed: int):
     """(mean loss, records) of each step over a dealt table: every batch gives gradients, and their mean is applied."""
     names = sorted(model.w)
     config = model.c
     for step in range(steps):
         shared = table.sparkSession.sparkContext.broadcast(model.weights())
 
-        got = table.filter(F.col("_step") == step).drop("_step").groupBy("_part").applyInPandas(_of_batch(shared, config, weights, temperature, (seed, step)), "g binary, loss double, n long").collect()
+        # A part's number is its partition's, so each task has one batch.
+        got = table.filter(F.col("_step") == step).drop("_step").repartitionById(parts, F.col("_part")).mapInPandas(_of_batch(shared, config, weights, temperature, (seed, step)), "g binary, loss double, n long").collect()
         if not got:
             raise ValueError("two records are needed to contrast")
         mean, at, grads = np.mean([np.frombuffer(r.g, dtype=np.float32) for r in got], axis=0), 0, {}
@@ -207,8 +209,8 @@ def fit_distributed(records: DataFrame, config: Config, steps: int = 50, size: i
     weights = {**WEIGHTS, **(weights or {})}
     model, optimiser, history = Encoder(config, trainable=True), AdamW(rate), []
     while len(history) < steps:
-        table, n = dealt(records, size, seed + len(history))
-        history += [loss for loss, _ in steps_of(table, min(n, steps - len(history)), model, optimiser, weights, temperature, seed + len(history))]
+        table, n, parts = dealt(records, size, seed + len(history))
+        history += [loss for loss, _ in steps_of(table, min(n, steps - len(history)), parts, model, optimiser, weights, temperature, seed + len(history))]
     return model.weights(), history
 
 
@@ -231,8 +233,8 @@ def fit_partitions(train: DataFrame, validation: DataFrame, config: Config, epoc
     weights = {**WEIGHTS, **(weights or {})}
     model, optimiser, history, best, kept, began = Encoder(config, trainable=True), AdamW(rate), [], np.inf, None, time.time()
     for i in range(1, epochs + 1):
-        table, steps = dealt(train, size, seed + i)
-        done = list(steps_of(table, steps, model, optimiser, weights, temperature, seed + i))
+        table, steps, parts = dealt(train, size, seed + i)
+        done = list(steps_of(table, steps, parts, model, optimiser, weights, temperature, seed + i))
         loss = float(np.average([x for x, _ in done], weights=[n for _, n in done]))
         held = held_loss(validation, model, weights, temperature, size)
         history.append({"epoch": i, "train": loss, "validation": held, "elapsed": time.time() - began})

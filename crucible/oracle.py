@@ -307,6 +307,7 @@ SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x
 SELECT label, CAST(dim AS INTEGER) AS dim, round(sum(x), 6) AS x FROM e GROUP BY 1, 2""",
     "segment_softmax": """WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, exp(l_quantity / 10 - max(l_quantity / 10) OVER (PARTITION BY l_orderkey)) AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, round(e / greatest(sum(e) OVER (PARTITION BY l_orderkey), 1e-12), 6) AS weight FROM e""",
+    "segment_weighted_mean": "SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS DOUBLE) * CAST(l_quantity AS DOUBLE)) / greatest(sum(CAST(l_quantity AS DOUBLE)), 1) AS cents FROM lineitem GROUP BY 1",
     "segment_counts": "SELECT c_custkey, greatest(count(o_orderkey), 1) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "variance_loss": f"""WITH {VIEWS}, s AS (SELECT batch, view, dim, sqrt(var_pop(x) + 1e-4) AS s FROM long GROUP BY 1, 2, 3), p AS (SELECT batch, view, avg(greatest(1.0 - s, 0)) AS l FROM s GROUP BY 1, 2)
 SELECT batch, round(avg(l), 6) AS loss FROM p GROUP BY 1""",

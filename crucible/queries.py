@@ -450,6 +450,12 @@ def segment_softmax(spark, d):
     return w.select("l_orderkey", "l_linenumber", "l_partkey", *r6("weight"))
 
 
+def segment_weighted_mean(spark, d):
+    """The price in cents of an order's lines, weighed by quantity: sums of whole numbers, so their order does not matter."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("double").alias("x"), F.col("l_quantity").cast("double").alias("w"))
+    return lines.groupBy("l_orderkey").agg(S.weighted_mean(F.col("x"), F.col("w")).alias("cents"))
+
+
 def segment_counts(spark, d):
     return S.segment_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, d, "customer"), "c_custkey")
 
@@ -625,7 +631,7 @@ QUERIES = {f.__name__: f for f in (
     dedup_winners, dedup_conflicts, dedup_idmap, dedup_stats, loose_candidates, balance_status, field_coverage, record_fields, record_fields_rest, source_table, variant_table, coverage_full, report_counts, corpus_index, vocab_sizes, index_values, index_xrefs,
     direction_evidence, direction_variants, direction_policy, direction_support_stats, failures_left_join, semi_anti_split, knn_top10, knn_pivots, knn_top1, knn_global_top20,
     neighbour_labels, neighbour_table, retrieval_metrics, random_baseline, ec_tokens, paired_delta_ci, ablation_metrics, ordered_ids_check, vector_duplicates, group_numbers, dup_histogram, dup_excess, dup_diagnosis,
-    text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts,
+    text_exact_duplicates, shared_identity, norm_stats, dim_std, cosine_quantiles, pca_spectrum, collapse_report, segment_sum, segment_softmax, segment_counts, segment_weighted_mean,
     variance_loss, covariance_loss, info_nce, label_loss, vocab_index, csr_pointers, cumulative_share, split_train_val, rank_monotone_check,
     constraint_suite, embedding_wide, one_hot, encode_reactions, record_signatures, encoded_signatures, collision_trace, train_steps, duplicate_vector_diagnosis, molecule_collisions, fusion_trace, stage_ranges,
     input_audit, direction_counts, invariance_checks, rows_checksum, rows_tree, cosine_histogram,

@@ -82,9 +82,9 @@ def test_all_sizes_train_alike(spark, corpus, tmp_path):
 
 
 def test_dealt_records_are_each_taken_once(spark, corpus):
-    table, steps = TR.dealt(A.model_rows(corpus.rows).repartition(3), 4, 1)
+    table, steps, parts = TR.dealt(A.model_rows(corpus.rows).repartition(3), 4, 1)
     sizes = {(r["_step"], r["_part"]): r["count"] for r in table.groupBy("_step", "_part").count().collect()}
-    assert steps == 2 and len(sizes) == 6 and set(sizes.values()) == {4} and table.select("record_id").distinct().count() == 24
+    assert (steps, parts) == (2, 3) and len(sizes) == 6 and set(sizes.values()) == {4} and table.select("record_id").distinct().count() == 24
 
 
 def test_labels_beyond_the_classes_are_refused(corpus):
