@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from crucible.functions.columns import DIRECTIONS
@@ -296,8 +297,31 @@ class Molecules:
         return T(np.stack([self.kept[n] for n in names]))
 
 
-def encode_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128, **masks) -> DataFrame:
-    """(record_id, embedding) for each record (record_id, participants, direction, perhaps label_index), in batches of `size`."""
+def collate_rows(rows: pa.RecordBatch, participants: str = "participants", labels: str | None = None) -> Batch:
+    """As collate() of each row's example, without graphs, from whole columns."""
+    lists, direction = rows.column(participants), pc.index_in(rows.column("direction"), value_set=pa.array(DIRECTIONS))
+    if lists.null_count or direction.null_count:
+        raise ValueError("a record without participants or of an unknown direction")
+    flat = lists.flatten()
+    part = dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
+    number = lambda n, kind: pc.fill_null(part[n], 0).to_numpy(zero_copy_only=False).astype(kind) if n in part else np.zeros(len(flat), dtype=kind)
+    text = part["canonical"]
+    molecule = pc.if_else(pc.fill_null(pc.equal(text, ""), True), "*", text).dictionary_encode()  # numbers by first occurrence
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    names = molecule.dictionary.to_pylist()
+    return Batch(
+        None, np.zeros(0, dtype=np.int64), len(names), molecule.indices.to_numpy(zero_copy_only=False).astype(np.int64), number("coefficient", np.float64),
+        pc.fill_null(pc.equal(part["side"], "product"), False).to_numpy(zero_copy_only=False).astype(np.int64), number("cofactor_index", np.int64), np.repeat(np.arange(len(lists)), sizes),
+        np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), direction.to_numpy(zero_copy_only=False).astype(np.int64), rows.column(labels).to_pylist() if labels else [[]] * len(lists), names,
+    )
+
+
+def encode_variants(records: DataFrame, config: Config, weights: dict[str, np.ndarray], variants: dict[str, dict], carry: tuple[str, ...] = ("record_id",), size: int = 128) -> DataFrame:
+    """The columns `carry` of each record (participants, direction) and a vector for each variant, all made of it in one task, so nothing is joined.
+
+    A variant names what it reads: `participants` and `labels`, other columns in
+    their place (none: the column participants, and no labels), and the masks of encode().
+    """
     shared = records.sparkSession.sparkContext.broadcast((config, weights))
 
     def work(batches):
@@ -305,32 +329,42 @@ def encode_records(records: DataFrame, config: Config, weights: dict[str, np.nda
         molecules = Molecules(model)
         for big in batches:
             for at in range(0, big.num_rows, size):
-                part = big.slice(at, size)
-                batch = collate([example_of(r) for r in part.to_pylist()], graphs=False)
-                e, _ = model.encode(molecules(batch.names), batch, **masks)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(e.v.astype(np.float32)), pa.list_(pa.float32()))], names=["record_id", "embedding"])
+                part, read, out = big.slice(at, size), {}, []
+                for v in variants.values():
+                    columns = (v.get("participants", "participants"), v.get("labels"))
+                    batch = read[columns] = read.get(columns) or collate_rows(part, *columns)
+                    e, _ = model.encode(molecules(batch.names), batch, **v.get("masks", {}))
+                    out.append(pa.array(list(e.v.astype(np.float32)), pa.list_(pa.float32())))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *out], names=[*carry, *variants])
+
+    need = dict.fromkeys([*carry, "direction", *(v.get("participants", "participants") for v in variants.values()), *(v["labels"] for v in variants.values() if v.get("labels"))])
+    kinds = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry]
+    return records.select(*need).mapInArrow(work, ", ".join([*kinds, *(f"`{n}` array<float>" for n in variants)]))
 
-    kind = records.schema["record_id"].dataType.simpleString()
-    more = [c for c in ("label_index",) if c in records.columns]
-    return records.select("record_id", "participants", "direction", *more).mapInArrow(work, f"record_id {kind}, embedding array<float>")
 
+def encode_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128, carry: tuple[str, ...] = ("record_id",), **masks) -> DataFrame:
+    """(record_id, embedding) for each record (record_id, participants, direction, perhaps label_index), in batches of `size`; `carry` names the columns that stay beside the vector."""
+    return encode_variants(records, config, weights, {"embedding": {"labels": "label_index" if "label_index" in records.columns else None, "masks": masks}}, carry, size)
 
-def trace_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128) -> DataFrame:
-    """(record_id, fusion_input, linear1, relu, linear2, layernorm, output): what each layer of the fusion gives."""
+
+def trace_records(records: DataFrame, config: Config, weights: dict[str, np.ndarray], size: int = 128, carry: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """(record_id, fusion_input, linear1, relu, linear2, layernorm, output): what each layer of the fusion gives; `carry` names the columns that stay beside them."""
     shared = records.sparkSession.sparkContext.broadcast((config, weights))
     stages = ["fusion_input", "linear1", "relu", "linear2", "layernorm"]
 
-    def work(frames: Iterator[pd.DataFrame]):
+    def work(batches):
         model = Encoder(*shared.value)
-        for f in frames:
-            for at in range(0, len(f), size):
-                part, model.captures = f.iloc[at : at + size], {}
-                batch = collate([example_of(r) for r in part.itertuples(index=False)])
-                e, _ = model.encode(model.molecules(batch), batch)
-                yield pd.DataFrame({"record_id": part.record_id.to_numpy(), **{s: list(model.captures[s]) for s in stages}, "output": list(e.v)})
-
-    kind = records.schema["record_id"].dataType.simpleString()
-    return records.select("record_id", "participants", "direction").mapInPandas(work, f"record_id {kind}, " + ", ".join(f"{s} array<double>" for s in [*stages, "output"]))
+        molecules = Molecules(model)
+        for big in batches:
+            for at in range(0, big.num_rows, size):
+                part, model.captures = big.slice(at, size), {}
+                batch = collate_rows(part)
+                e, _ = model.encode(molecules(batch.names), batch)
+                out = [pa.array(list(x), pa.list_(pa.float64())) for x in (*(model.captures[s] for s in stages), e.v)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *out], names=[*carry, *stages, "output"])
+
+    kinds = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry]
+    return records.select(*dict.fromkeys([*carry, "participants", "direction"])).mapInArrow(work, ", ".join([*kinds, *(f"{s} array<double>" for s in [*stages, "output"])]))
 
 
 def encode_molecules(texts: DataFrame, column: str, config: Config, weights: dict[str, np.ndarray], size: int = 256) -> DataFrame:

@@ -55,14 +55,16 @@ def dimension_stats(df: DataFrame, vector_col: str) -> DataFrame:
     return whole.select("dim", "mean", F.sqrt((F.col("within") + between) / F.col("n")).alias("std"))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares) -> dict[float, float | None]:
+def exact_quantiles(df: DataFrame, value: str, shares, count: str | None = None) -> dict[float, float | None]:
     """The linearly interpolated quantiles of a column, without its nulls.
 
     Equal values are counted first, so a value counts as one row however often it
     occurs; the values are range-partitioned and their numbers added up, and
     those that hold the ranks next to each share are picked, two for each.
+    `count` names a column that says how many rows each stands for.
     """
-    counts = settled(df.select(value).filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    rows = df.select(value, (F.col(count) if count else F.lit(1)).alias("_c")).filter(F.col(value).isNotNull())
+    counts = settled(rows.groupBy(value).agg(F.sum("_c").alias("_n")), "value-counts")
     placed = with_running(counts, [value], "_i", ("_n", "_last"))
     n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if not n:
@@ -207,15 +209,15 @@ def duplicate_excess(df: DataFrame, vector_col: str, numeric: bool = True) -> Da
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_excess"))
 
 
-def diagnose(df: DataFrame, id_col: str, key: Column, signatures: dict[str, Column], flags: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, groups, summary) of rows with equal keys: whether their inputs' signatures are equal, and which flags any of them has."""
-    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), *(c.alias(f"sig_{n}") for n, c in signatures.items()), *(c.alias(f"has_{n}") for n, c in flags.items()))
+def diagnose(df: DataFrame, id_col: str, key: Column, signatures: dict[str, Column], flags: dict[str, Column], count: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, groups, summary) of rows with equal keys: whether their inputs' signatures are equal, and which flags any of them has. `count` names a column that says how many rows each stands for (members stay as they are)."""
+    rows = df.select(F.col(id_col).alias("id"), key.alias("key"), (F.col(count) if count else F.lit(1)).cast("long").alias("_n"), *(c.alias(f"sig_{n}") for n, c in signatures.items()), *(c.alias(f"has_{n}") for n, c in flags.items()))
     groups = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("group_size"), F.min("id").alias("first_id"),
+        F.sum("_n").alias("group_size"), F.min("id").alias("first_id"),
         *((F.min(f"sig_{n}").eqNullSafe(F.max(f"sig_{n}"))).alias(f"same_{n}") for n in signatures),
         *(F.max(f"has_{n}").alias(f"has_{n}") for n in flags),
     ).filter("group_size > 1")
-    members = rows.join(groups.select("key", "group_size", "first_id"), "key")
+    members = rows.drop("_n").join(groups.select("key", "group_size", "first_id"), "key")
     excess = F.col("group_size") - 1
     summary = groups.agg(
         F.count(F.lit(1)).alias("group_count"), F.coalesce(F.sum("group_size"), F.lit(0)).alias("rows_in_groups"), F.coalesce(F.sum(excess), F.lit(0)).alias("excess"),
@@ -243,16 +245,17 @@ def monotone_violations(ranked: DataFrame, by: str, rank: str, score: str, expec
     return per.agg(F.sum("r").alias("rank_violations"), F.sum("s").alias("score_violations"), F.count_if(F.col("n") != expected).alias("incomplete_queries"))
 
 
-def stage_uniqueness(stages: DataFrame, group: str, names: list[str]) -> DataFrame:
+def stage_uniqueness(stages: DataFrame, group: str, names: list[str], count: str | None = None) -> DataFrame:
     """For each group: distinct vectors and the largest range over components at each stage, and the first stage with one vector.
 
     A row's stages become rows, which equal vectors leave once (each task combines
     its own first), so a large group is divided by its vectors. What is left of a
     group is combined to one minimum and one maximum for each stage and component.
     Vectors of a stage have one length and finite components; none is null.
+    `count` names a column that says how many rows each stands for.
     """
     each = F.posexplode(F.array(*(F.col(n).cast("array<double>") for n in names))).alias("_stage", "_vector")
-    distinct = stages.select(group, each).groupBy(group, "_stage", "_vector").agg(F.count(F.lit(1)).alias("_n")).withColumn("_dense", array_to_vector("_vector"))
+    distinct = stages.select(group, (F.col(count) if count else F.lit(1)).alias("_c"), each).groupBy(group, "_stage", "_vector").agg(F.sum("_c").alias("_n")).withColumn("_dense", array_to_vector("_vector"))
     at = lambda i: F.col("_stage") == i
     bounds = [Summarizer.metrics("min", "max").summary(F.col("_dense"), F.when(at(i), 1.0).otherwise(0.0)).alias(f"_{n}") for i, n in enumerate(names)]
     per = distinct.groupBy(group).agg(F.sum(F.when(at(0), F.col("_n"))).alias("group_size"), *(F.count_if(at(i)).alias(f"{n}_unique") for i, n in enumerate(names)), *bounds)

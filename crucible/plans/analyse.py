@@ -13,7 +13,7 @@ from crucible.functions.tables import settled
 from crucible.operators import quality as Q
 from crucible.operators import similarity as S
 from crucible.operators import validate as V
-from crucible.operators.encoder import Config, Encoder, Example, collate, encode_records
+from crucible.operators.encoder import Config, Encoder, Example, collate, encode_variants
 from crucible.sources import sinks
 
 
@@ -51,13 +51,18 @@ def signatures(participants: Column, direction: Column, labels: Column) -> dict[
     }
 
 
-def model_rows(records: DataFrame) -> DataFrame:
-    """(record_id, participants, direction, labels) as the encoder takes them."""
+def model_rows(records: DataFrame, *carry: str) -> DataFrame:
+    """(record_id, participants, direction, labels) as the encoder takes them, and the columns `carry`."""
     have = records.schema["participants"].dataType.elementType.fieldNames()
     more = [c for c in INDICES if c in have]
     part = lambda p: F.struct(p["side"].alias("side"), p["coefficient"].alias("coefficient"), p["canonical"].alias("canonical"), (p["cofactor"] if "cofactor" in have else F.lit(None).cast("string")).alias("cofactor"), *(p[c].alias(c) for c in more))
     direction = direction_policy(F.col("supported_directions")) if "supported_directions" in records.columns else F.col("direction")
-    return records.select("record_id", F.transform("participants", part).alias("participants"), direction.alias("direction"), "labels", *(c for c in ("label_index", "reaction_type_index") if c in records.columns))
+    return records.select("record_id", F.transform("participants", part).alias("participants"), direction.alias("direction"), *(c for c in ("labels", "label_index", "reaction_type_index") if c in records.columns), *carry)
+
+
+def distinct_inputs(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows that agree in the columns `names` once: the smallest record_id and in n_records how many they are. Equal inputs have equal vectors, so each is encoded once and counts for all."""
+    return rows.groupBy(*names).agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("n_records"))
 
 
 def encoded_signature(participants: Column, direction: Column, molecule_key, labels: Column | None = None, reaction_type: Column | None = None, indices: tuple[str, ...] = ()) -> Column:
@@ -83,13 +88,16 @@ def encoded_signature(participants: Column, direction: Column, molecule_key, lab
     return stable_hash(F.concat(F.lit('{"direction_index":'), json_number(number), F.lit(',"ec_indices":'), labels, F.lit(',"participants":'), items, F.lit(',"reaction_type_index":'), kind, F.lit("}")))
 
 
-def diagnose(vectors: DataFrame, records: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, groups, summary) of records with equal vectors: are their inputs equal, do they hold wildcards or structures that several compounds share?"""
-    rows = model_rows(records).join(vectors, "record_id")
+def diagnose(vectors: DataFrame, records: DataFrame, shared: DataFrame, count: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, groups, summary) of records with equal vectors: are their inputs equal, do they hold wildcards or structures that several compounds share?
+
+    `count` names the column of records that says how many each stands for. Joins on records are by sorting, none by broadcast.
+    """
+    rows = model_rows(records, *([count] if count else [])).join(vectors.hint("merge"), "record_id")
     several = rows.select("record_id", F.explode("participants.canonical").alias("canonical")).join(shared.select("canonical"), "canonical", "left_semi").select("record_id").distinct().withColumn("_several", F.lit(True))
-    rows = rows.join(several, "record_id", "left")
+    rows = rows.join(several.hint("merge"), "record_id", "left")
     flags = {"wildcard": F.exists("participants", lambda p: p["canonical"].contains("*")), "unparsed": F.exists("participants", lambda p: p["canonical"].isNull()), "shared_identity": F.coalesce("_several", F.lit(False))}
-    return Q.diagnose(rows, "record_id", Q.bit_key(F.col("embedding")), signatures(F.col("participants"), F.col("direction"), F.col("labels")), flags)
+    return Q.diagnose(rows, "record_id", Q.bit_key(F.col("embedding")), signatures(F.col("participants"), F.col("direction"), F.col("labels")), flags, count)
 
 
 def quality_report(vectors: DataFrame, labels: DataFrame, id_col: str = "record_id", vector_col: str = "embedding", labels_col: str = "labels", k: int = 10, unexplained: int | None = None, n_pairs: int = 200_000) -> dict:
@@ -125,28 +133,34 @@ def check_export(vectors: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return suite.references(ids, "record_id", vectors, "every_record").references(vectors, "record_id", ids, "no_other_record").checks()
 
 
-def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def collision_trace(molecules: DataFrame, records: DataFrame, vectors: DataFrame, count: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(numbered members of molecule groups, summary) of molecules with equal vectors (canonical, vector), and of records with equal ones.
 
     Of the groups of records with equal vectors: in how many the encoded inputs
     are equal, with each molecule as its vector's hash, and how many hold two
     molecules of one vector. A molecule without structure is read as the encoder
     reads it, as an atom of any kind (*); one that `molecules` lacks is itself.
+    `count` names the column of records that says how many each stands for.
+    Joins on records and groups are by sorting, none by broadcast: staged files
+    are far smaller than their rows in memory.
     """
     keyed = molecules.select("canonical", F.sha2(Q.bit_key(F.col("vector")), 256).alias("molecule"))
     sizes = keyed.groupBy("molecule").agg(F.count(F.lit(1)).alias("group_size"), F.min("canonical").alias("first_id"))
     groups = Q.numbered_groups(sizes.filter("group_size > 1"))
     members = keyed.join(groups, "molecule").select("group_id", "group_size", F.col("canonical").alias("smiles"))
-    rows = model_rows(records).join(vectors.select("record_id", F.sha2(Q.bit_key(F.col("embedding")), 256).alias("group")), "record_id")
-    several = rows.join(rows.groupBy("group").count().filter("count > 1").select("group"), "group")
-    parts = several.select("group", "record_id", "direction", F.posexplode("participants").alias("pos", "p")).select("group", "record_id", "direction", "pos", "p.*")
+    found = vectors.select("record_id", F.sha2(Q.bit_key(F.col("embedding")), 256).alias("group"))
+    rows = model_rows(records.withColumn("_n", F.col(count) if count else F.lit(1)), "_n").join(found.hint("merge"), "record_id")
+    parts = rows.select("group", "record_id", "direction", "_n", F.posexplode_outer("participants").alias("pos", "p")).select("group", "record_id", "direction", "_n", "pos", "p.*")
     parts = parts.withColumn("canonical", F.coalesce("canonical", F.lit("*"))).join(keyed, "canonical", "left").withColumn("molecule", F.coalesce("molecule", "canonical"))
     more = tuple(c for c in INDICES if c in parts.columns)
-    again = parts.groupBy("group", "record_id", "direction").agg(F.collect_list(F.struct("side", "coefficient", "molecule", *more)).alias("participants"))
-    signed = again.withColumn("s", encoded_signature(F.col("participants"), F.col("direction"), lambda p: p["molecule"], indices=more))
-    explained = signed.groupBy("group").agg((F.min("s") == F.max("s")).alias("explained"))
-    collided = parts.groupBy("group").agg((F.count_distinct("molecule") < F.count_distinct("canonical")).alias("collided"))
-    of_records = explained.join(collided, "group").agg(
+    again = parts.groupBy("group", "record_id", "direction", "_n").agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("side", "coefficient", "molecule", "canonical", *more))).alias("participants"))
+    sign = encoded_signature(F.col("participants"), F.col("direction"), lambda p: p["molecule"], indices=more)
+    pairs = F.array_distinct(F.transform("participants", lambda p: F.struct(p["molecule"].alias("molecule"), p["canonical"].alias("canonical"))))
+    signed = settled(again.select("group", "_n", F.when(F.size("participants") > 0, sign).alias("s"), pairs.alias("pairs")), "signed")
+    explained = signed.groupBy("group").agg(F.sum("_n").alias("n"), (F.min("s") == F.max("s")).alias("explained")).filter("n > 1 AND explained IS NOT NULL")
+    structures = signed.select("group", F.explode("pairs").alias("x")).select("group", "x.*").distinct().groupBy("group", "molecule").agg(F.count(F.lit(1)).alias("c"))
+    collided = structures.groupBy("group").agg((F.max("c") > 1).alias("collided"))
+    of_records = explained.join(collided.hint("merge"), "group").agg(
         F.count(F.lit(1)).alias("record_group_count"), F.count_if("explained").alias("groups_with_equal_inputs"), F.count_if("collided").alias("groups_with_equal_molecules"),
     )
     of_molecules = sizes.agg(
@@ -167,7 +181,8 @@ def audit(records: DataFrame, config: Config, weights: dict[str, np.ndarray]) ->
 
     The records are encoded as they are, with labels on all of them exchanged
     for another, and with other roles, compartments and kinds: all reach the
-    encoder, which must not read them.
+    encoder, which must not read them. Equal inputs are encoded once and count
+    for all, the four vectors of an input in one task.
     """
     rows = model_rows(records)
     if "label_index" not in rows.columns:
@@ -175,22 +190,19 @@ def audit(records: DataFrame, config: Config, weights: dict[str, np.ndarray]) ->
     others = ("role_index", "compartment_index")
     have = rows.schema["participants"].dataType.elementType.fieldNames()
     altered = lambda p: F.struct(*(p[n].alias(n) for n in have if n not in others), *(F.lit(7).alias(n) for n in others))
-    base = encode_records(rows, config, weights)
-    variants = {
-        "d": encode_records(rows, config, weights, mask_direction=True),
-        "l": encode_records(rows.withColumn("label_index", F.transform("label_index", lambda x: x + 1)), config, weights),
-        "m": encode_records(rows.withColumn("participants", F.transform("participants", altered)).withColumn("reaction_type_index", F.lit(7)), config, weights),
-    }
-    joined = base
-    for name, v in variants.items():
-        joined = joined.join(v.withColumnRenamed("embedding", name), "record_id")
+    inputs = distinct_inputs(rows, "participants", "direction", "label_index")
+    inputs = inputs.withColumns({"other_labels": F.transform("label_index", lambda x: x + 1), "other_participants": F.transform("participants", altered)})
+    vectors = encode_variants(inputs, config, weights, {
+        "embedding": {"labels": "label_index"}, "d": {"labels": "label_index", "masks": {"mask_direction": True}},
+        "l": {"labels": "other_labels"}, "m": {"participants": "other_participants", "labels": "label_index"},
+    }, carry=("n_records",))
     gap = lambda n: F.array_max(F.zip_with("embedding", n, lambda x, y: F.abs(x - y)))
     squares = F.zip_with("embedding", "d", lambda x, y: (x - y).cast("double") * (x - y).cast("double"))
-    d = settled(joined.select(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("d"), gap("l").alias("l"), gap("m").alias("m")), "audit")
-    median = Q.exact_quantiles(d, "d", (0.5,))[0.5]
+    d = settled(vectors.select("n_records", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("d"), gap("l").alias("l"), gap("m").alias("m")), "audit")
+    median, n = Q.exact_quantiles(d, "d", (0.5,), "n_records")[0.5], F.col("n_records")
     out = d.agg(
-        F.count(F.lit(1)).alias("record_count"), F.min("d").alias("direction_min"), F.lit(median).cast("double").alias("direction_median"), F.avg("d").alias("direction_mean"), F.max("d").alias("direction_max"),
-        F.count_if(F.col("d") > 1e-6).alias("direction_changed"), F.max("l").alias("label_max_difference"), F.max("m").alias("metadata_max_difference"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("record_count"), F.min("d").alias("direction_min"), F.lit(median).cast("double").alias("direction_median"), (F.sum(F.col("d") * n) / F.sum(n)).alias("direction_mean"), F.max("d").alias("direction_max"),
+        F.coalesce(F.sum(F.when(F.col("d") > 1e-6, n)), F.lit(0)).alias("direction_changed"), F.max("l").alias("label_max_difference"), F.max("m").alias("metadata_max_difference"),
     )
     return out.withColumn("passed", (F.col("label_max_difference") == 0) & (F.col("metadata_max_difference") == 0) & (F.col("direction_changed") == F.col("record_count")))
 

@@ -550,12 +550,11 @@ def encoded_signatures(spark, d):
 
 def collision_trace(spark, d):
     """Molecules and records with equal vectors, with the weights that an encoder begins with."""
-    rows = settled(corpus(spark, d), "corpus")
+    rows = settled(A.distinct_inputs(A.model_rows(corpus(spark, d)), "participants", "direction"), "inputs")
     weights = new_weights(ENCODER)
     texts = rows.select(F.explode("participants.canonical").alias("canonical")).filter("canonical IS NOT NULL")
     molecules = settled(encode_molecules(texts, "canonical", ENCODER, weights), "molecules")
-    vectors = settled(encode_records(A.model_rows(rows), ENCODER, weights), "vectors")
-    return A.collision_trace(molecules, rows, vectors)[1]
+    return A.collision_trace(molecules, rows, encode_records(rows, ENCODER, weights), "n_records")[1]
 
 
 def train_steps(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crucible.operators.encoder import Config, encode_molecules, encode_records, new_weights, restore
 from crucible.operators.quality import numbered_groups
 from crucible.operators import training as TR
+from crucible.operators import quality as Q
 from crucible.plans import analyse as A
 from crucible.plans import formats
 from crucible.plans import model as M
@@ -39,7 +40,7 @@ def test_corpus_indices(corpus):
 
 
 def test_train_and_export(spark, corpus, tmp_path):
-    config = Config(dim=16, steps=2, readout="attention_sum", dropout=0.0)
+    config = Config(dim=16, steps=2, readout="attention_sum", dropout=0.0, cofactors=2)
     meta = M.train(spark, corpus, config, str(tmp_path), epochs=3, size=8, weights={"labels": 0.2}, fraction=0.1)
     assert (meta["train_count"], meta["validation_count"], meta["record_count"], meta["molecule_count"]) == (22, 2, 24, 8)
     history = [json.loads(x) for x in (tmp_path / "history.jsonl").read_text().splitlines()]
@@ -200,3 +201,74 @@ def test_molecules_once(spark):
     config = Config(dim=8, steps=1, readout="sum", dropout=0.0)
     got = encode_molecules(spark.createDataFrame([("C",), ("C",), ("O",)], "s string"), "s", config, new_weights(config)).collect()
     assert sorted(r.s for r in got) == ["C", "O"]
+
+
+PARTS = "array<struct<side:string,coefficient:double,canonical:string,cofactor_index:int>>"
+
+
+def repeated(spark, n=6):
+    """Three inputs, each n times, with one label."""
+    of = [([("reactant", -1.0, "CCO", 0), ("product", 1.0, "O", 1)], "left_to_right"), ([("reactant", -2.0, "CC=O", 0), ("product", 1.0, None, 0)], "reversible"), ([("reactant", -1.0, "", 0), ("product", 2.0, "CCO", 0)], "right_to_left")]
+    return spark.createDataFrame([(f"r{i:02d}", *of[i % 3], ["x"], [1]) for i in range(3 * n)], f"record_id string, participants {PARTS}, direction string, labels array<string>, label_index array<int>")
+
+
+def test_columns_make_the_same_batch_as_rows(spark):
+    import pyarrow as pa
+
+    from crucible.operators.encoder import collate, collate_rows, example_of
+
+    rows = repeated(spark).collect()
+    whole = pa.RecordBatch.from_pylist([{**r.asDict(), "participants": [p.asDict() for p in r.participants]} for r in rows])
+    a, b = collate([example_of(r) for r in rows[4:11]], graphs=False), collate_rows(whole.slice(4, 7), labels="label_index")
+    assert a.names == b.names and a.labels == b.labels and a.n_molecules == b.n_molecules
+    for n in ("molecule", "coefficient", "side", "cofactor", "record", "begin", "direction"):
+        assert np.array_equal(getattr(a, n), getattr(b, n)) and getattr(a, n).dtype == getattr(b, n).dtype, n
+
+
+def test_collision_trace_counts_equal_inputs_and_joins_no_records_by_broadcast(spark):
+    rows = repeated(spark)
+    inputs = A.distinct_inputs(A.model_rows(rows), "participants", "direction")
+    assert inputs.count() == 3 and {r.n_records for r in inputs.collect()} == {6}
+    molecules = spark.createDataFrame([("CCO", [1.0]), ("O", [2.0])], "canonical string, vector array<float>")
+    at = lambda df: df.select("record_id", F.array(F.size("participants").cast("float")).alias("embedding"))
+    (_, one), (_, all_of) = A.collision_trace(molecules, inputs, at(inputs), "n_records"), A.collision_trace(molecules, rows, at(rows))
+    assert one.first() == all_of.first() and one.first().record_group_count == 1
+    alone = inputs.limit(1)
+    assert A.collision_trace(molecules, alone, at(alone), "n_records")[1].first().record_group_count == 1  # six records stand behind it
+    # Before, records met their vectors by broadcast where their file was small.
+    hinted = []
+    real = A.settled
+    A.settled = lambda df, name: hinted.append(df._jdf.queryExecution().executedPlan().toString()) if name == "signed" else None or real(df, name)
+    try:
+        with pytest.raises(AttributeError):
+            A.collision_trace(molecules, rows, at(rows))
+    finally:
+        A.settled = real
+    assert "SortMergeJoin [record_id" in hinted[0] and "BroadcastHashJoin [record_id" not in hinted[0]
+
+
+def test_equal_inputs_are_traced_once(spark):
+    from crucible.operators.encoder import trace_records
+
+    config = Config(dim=16, steps=2, readout="attention_sum", dropout=0.0, cofactors=2)
+    inputs = A.distinct_inputs(A.model_rows(repeated(spark, 50)), "participants", "direction")
+    traced = trace_records(inputs, config, new_weights(config), carry=("record_id", "n_records"))
+    got = Q.stage_uniqueness(traced, "record_id", ["fusion_input", "linear1"], "n_records").collect()
+    # Positions in a batch change the last bits of a vector, so equal inputs once had several.
+    assert len(got) == 3 and all((r.group_size, r.fusion_input_unique, r.linear1_unique, r.first_collapsed) == (50, 1, 1, "fusion_input") for r in got)
+
+
+def test_audit_and_diagnosis_count_equal_inputs(spark, monkeypatch):
+    config = Config(dim=16, steps=2, readout="attention_sum", dropout=0.0, cofactors=2)
+    staged = []
+    monkeypatch.setattr(A, "settled", lambda df, name: staged.append((name, df.count())) or df.cache())
+    a = A.audit(repeated(spark, 7), config, new_weights(config)).first()
+    assert (a.record_count, a.direction_changed, a.label_max_difference, a.metadata_max_difference, a.passed) == (21, 21, 0, 0, True)
+    assert staged == [("audit", 3)]  # 21 before
+    rows = repeated(spark, 7)
+    vectors = lambda df: df.select("record_id", F.array(F.size("participants").cast("float")).alias("embedding"))
+    shared = spark.createDataFrame([("CCO", 2)], "canonical string, identity_count long")
+    inputs = A.distinct_inputs(A.model_rows(rows), "participants", "direction", "labels")
+    one, all_of = A.diagnose(vectors(inputs), inputs, shared, "n_records")[2], A.diagnose(vectors(rows), rows, shared)[2]
+    assert one.first() == all_of.first() and one.first().rows_in_groups == 21
+    assert Q.exact_quantiles(spark.createDataFrame([(1.0, 3), (5.0, 1)], "d double, n long"), "d", (0.5, 1.0), "n") == {0.5: 1.0, 1.0: 5.0}
