@@ -581,14 +581,14 @@ def molecule_collisions(spark, d):
 
 
 def fusion_trace(spark, d):
-    rows = settled(A.model_rows(corpus(spark, d)), "corpus")
-    sig = rows.select("record_id", "direction", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group"))
-    sig = A.without_direction(sig, "group").drop("direction")
-    groups = sig.join(sig.groupBy("group").count().filter("count > 1").select("group"), "group")  # of groups that hold no reversible record
-    # Each stage's ranges and counts read the traces.
-    stages = settled(trace_records(rows.join(groups.select("record_id"), "record_id", "left_semi"), ENCODER, new_weights(ENCODER)).join(groups, "record_id"), "traces")
+    """Records of one main signature, of which none is reversible. Equal inputs are traced once, and no trace is written but those of a stage that differ."""
+    rows = A.model_rows(corpus(spark, d)).withColumn("labels", F.lit(None).cast("array<string>"))  # no input of the main signature
+    rows = A.distinct_inputs(rows, "participants", "direction", "labels")
+    rows = settled(rows.select("record_id", "participants", "direction", "n_records", A.signatures(F.col("participants"), F.col("direction"), F.col("labels"))["main"].alias("group")), "signed")
+    groups = A.without_direction(rows, "group").groupBy("group").agg(F.sum("n_records").alias("n")).filter("n > 1").select("group")
+    traced = trace_records(rows.join(groups.hint("merge"), "group", "left_semi"), ENCODER, new_weights(ENCODER), carry=("group", "n_records"))
     names = ["fusion_input", "linear1", "relu", "linear2", "layernorm"]
-    return Q.stage_uniqueness(stages, "group", names).groupBy("first_collapsed").agg(F.count(F.lit(1)).alias("groups"))
+    return Q.stage_uniqueness(traced, "group", names, "n_records").groupBy("first_collapsed").agg(F.count(F.lit(1)).alias("groups"))
 
 
 def stage_ranges(spark, d):
