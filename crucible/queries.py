@@ -566,10 +566,10 @@ def train_steps(spark, d):
 
 
 def duplicate_vector_diagnosis(spark, d):
-    rows = settled(corpus(spark, d), "corpus")
-    vectors = encode_records(A.model_rows(rows), ENCODER, new_weights(ENCODER))
-    several = Q.shared_identities(rows.select(F.explode("participants").alias("p")).select("p.*"), "canonical", "compound_id")
-    return A.diagnose(vectors, rows, several)[2]
+    parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES)), by=[])
+    several = Q.shared_identities(parts, "canonical", "compound_id")  # structures of all records, each compound's once
+    rows = settled(A.distinct_inputs(A.model_rows(corpus(spark, d)), "participants", "direction", "labels"), "inputs")
+    return A.diagnose(encode_records(rows, ENCODER, new_weights(ENCODER)), rows, several, "n_records")[2]
 
 
 def molecule_collisions(spark, d):
