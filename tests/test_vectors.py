@@ -228,3 +228,18 @@ def test_stage_uniqueness_plan_and_values(spark):
     assert "Expand" not in plan and "Join" not in plan
     first = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert first.count("Exchange hashpartitioning") == 2
+
+
+def test_blocks_meet_wherever_their_partitions_are(spark):
+    """Before, keys of both sides had different types, so with several partitions blocks missed each other and rows were lost."""
+    m = np.random.default_rng(11).normal(size=(90, 6))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r["query"], r["rank"], r["neighbour"]) for r in T.exact_neighbours(table(spark, m), 5, "id", "v", block=16).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T - 9 * np.eye(90)
+    want = {i: [j for j in np.argsort(-s[i], kind="stable")[:5]] for i in range(90)}
+    ids = sorted({q for q, _, _ in got})
+    assert len(got) == 450 and all([n for q, _, n in got if q == ids[i]] == [ids[j] for j in want[i]] for i in range(90))
