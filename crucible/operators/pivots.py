@@ -12,6 +12,11 @@ Pivots start from rows of the smallest hash and move to the mean direction of
 their cells in a few rounds. They are at most MOST_PIVOTS, so what the driver
 and the workers hold of them is bounded; cells are divided into blocks, and two
 blocks and their products are what a task holds.
+
+Beyond its own cell a vector is not sent to each cell that it asks: blocks of
+queries read all cells one after another, and a task compares a cell with those
+queries of its block that ask it. So what is shuffled grows with the number of
+blocks, not with that of cells that are asked; a query's bound rises as it reads.
 """
 
 from __future__ import annotations
@@ -19,17 +24,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crucible.functions.tables import settled
+from crucible.operators.similarity import LEAST_NORM, SLACK, Nearest, best_of, in_blocks
 
 #: Vectors of a cell, about; pivots at most; rounds in which they move; vectors of a block.
 CELL, MOST_PIVOTS, ROUNDS, BLOCK = 1024, 4096, 2, 4096
-#: Norms below count as this; such short vectors have a cell of their own.
-LEAST_NORM, SHORT = 1e-12, -1
-#: What rounding may add to an angle's cosine or take from a bound.
-SLACK = 1e-9
+#: Vectors of a smaller norm than LEAST_NORM have a cell of their own.
+SHORT = -1
 
 
 def _matrix(column) -> np.ndarray:
@@ -83,32 +87,24 @@ def find_pivots(rows: DataFrame, n: int, rounds: int = ROUNDS) -> np.ndarray:
 def _compare(k: int):
     """The k best candidates in b for each query in a; equal cosines by identifier. Cosines are summed alike whatever the blocks."""
 
-    def exact(x, y, r, c):
-        return np.concatenate([np.einsum("ij,ij->i", x[r[i : i + 65536]], y[c[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
-
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            b = b.sort_values("_with", kind="stable")
-            ids, of, rest = b._with.to_numpy(), np.stack(b._w.to_numpy()), np.stack(a._u.to_numpy())
-            for at in range(0, len(a), 512):
-                own, mine = a._id.to_numpy()[at : at + 512], rest[at : at + 512]
-                s = mine @ of.T
-                s[own[:, None] == ids[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                bar = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-                r, c = np.nonzero((s >= bar[:, None] - SLACK) & (s > -np.inf))
-                cosine = exact(mine, of, r, c)
-                order = np.lexsort((c, -cosine, r))  # candidates are sorted by identifier
-                r, c, cosine = r[order], c[order], cosine[order]
-                keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(own)))[r] < k
-                out.append(pd.DataFrame({"query": own[r[keep]], "neighbour": ids[c[keep]], "cosine": cosine[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype=a._id.dtype), "neighbour": pd.Series(dtype=a._id.dtype), "cosine": pd.Series(dtype="float64")})
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query": pd.Series(dtype=a._id.dtype), "neighbour": pd.Series(dtype=a._id.dtype), "cosine": pd.Series(dtype="float64")})
+        nearest = Nearest(k, a._id.to_numpy(), np.stack(a._u.to_numpy()))
+        nearest.meet(b._with.to_numpy(), np.stack(b._w.to_numpy()))
+        q, j = np.nonzero(nearest.cosine > -np.inf)
+        return pd.DataFrame({"query": nearest.ids[q], "neighbour": nearest.neighbour[q, j], "cosine": nearest.cosine[q, j]})
 
     return work
 
 
-def pivot_neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, cell: int = CELL, block: int = BLOCK, queries: Column | None = None) -> DataFrame:
+def reach(angle: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The largest cosine that a member of a cell (angles lo to hi to its pivot) can have to vectors at `angle` to that pivot."""
+    gap = np.maximum(0.0, np.maximum(angle - hi, lo - angle))
+    return np.cos(np.minimum(gap, np.pi)) + SLACK
+
+
+def pivot_neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, cell: int = CELL, block: int | None = None, queries: Column | None = None) -> DataFrame:
     """(query, rank, neighbour, cosine): for each row (or those that `queries` selects) the k other rows of largest cosine.
 
     Ties go to the smaller identifier. Norms are at least 1e-12, so a zero vector
@@ -139,11 +135,11 @@ def pivot_neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, cell:
     some = cells[cells._cell != SHORT]
     lo[some._cell], hi[some._cell] = some.lo, some.hi
     has_short = bool((cells._cell == SHORT).any())
-    c_parts = df.sparkSession.createDataFrame([(int(c), -(-int(x) // block)) for c, x in zip(cells._cell, cells.n, strict=True)], "_cell int, _cn int")
+    c_parts = df.sparkSession.createDataFrame([(int(c), -(-int(x) // (block or BLOCK))) for c, x in zip(cells._cell, cells.n, strict=True)], "_cell int, _cn int")
 
     def met(asks: DataFrame) -> DataFrame:
         """asks (_id, _u, _cell) against all vectors of the cell, in blocks."""
-        per = asks.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qn"))  # a row for each pivot
+        per = asks.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).cast("int").alias("_qn"))  # a row for each pivot
         sizes = F.broadcast(c_parts.join(per, "_cell"))
         numbers = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
         own = lambda m: F.pmod(F.xxhash64("_id"), F.col(m)).cast("int")
@@ -151,33 +147,38 @@ def pivot_neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, cell:
         b = placed.join(sizes, "_cell").select(F.col("_id").alias("_with"), F.col("_u").alias("_w"), F.col("_cell").alias("_of"), own("_cn").alias("_part"), numbers("_qn").alias("_for"))
         return a.groupBy("_cell", "_q", "_c").cogroup(b.groupBy("_of", "_for", "_part")).applyInPandas(_compare(k), result.format(kind))
 
-    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
-    top = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query", "rank", "neighbour", "cosine")
     asking = placed.filter("_asks").select("_id", "_u", "_cell")
-    at_home = top(met(asking))
+    at_home = best_of(met(asking), k)
     if len(cells) == 1:
         return at_home
     at_home = settled(at_home, "neighbour-home")
     bars = at_home.filter(F.col("rank") == k).select(F.col("query").alias("_id"), F.col("cosine").alias("_bar"))
 
-    def further(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, home = _matrix(batch.column(1)), batch.column(2).to_numpy()
-            bar = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-            angle = _angles(u, pivots)
-            gap = np.maximum(0.0, np.maximum(angle - hi, lo - angle))
-            reach = np.where(gap > np.pi, -2.0, np.cos(np.minimum(gap, np.pi))) + SLACK
-            reach[home == SHORT] = np.where(np.isfinite(lo), 1.0, -2.0)
-            ask = ~(reach < bar[:, None]) & np.isfinite(lo)  # no bar: nan, everything is asked
-            ask[np.flatnonzero(home != SHORT), home[home != SHORT]] = False
-            i, c = np.nonzero(ask)
-            if has_short:
-                more = np.flatnonzero(home != SHORT)
-                i, c = np.concatenate([i, more]), np.concatenate([c, np.full(len(more), SHORT)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(c.astype(np.int32))], names=["_id", "_cell"])
-
-    with_bar = asking.join(bars, "_id", "left").select("_id", "_u", "_cell", "_bar")
-    asks = settled(with_bar.mapInArrow(further, f"_id {kind}, _cell int"), "neighbour-asks")
-    return top(at_home.drop("rank").unionByName(met(asks.join(asking.select("_id", "_u"), "_id"))))
+    class Asking(Nearest):
+        def __init__(self, batch):
+            bar = batch.column("_bar").to_numpy(zero_copy_only=False).astype(np.float64)
+            super().__init__(k, batch.column("_id").to_numpy(zero_copy_only=False), _matrix(batch.column("_u")), np.where(np.isnan(bar), -np.inf, bar))
+            self.home = batch.column("_cell").to_numpy()
+            self.cell = self.angle = None
+
+        def of(self, cell: int) -> np.ndarray:
+            """Which queries ask a cell: not their own, and only if a member can reach the bar. Short vectors have no angle, so they ask all and all ask their cell."""
+            apart = self.home != cell
+            if cell == SHORT:
+                return np.flatnonzero(apart)
+            if cell != self.cell:
+                self.cell, self.angle = cell, np.arccos(np.clip(self.units @ pivots[cell], -1.0, 1.0))
+            return np.flatnonzero(apart & ((self.home == SHORT) | ~(reach(self.angle, lo[cell], hi[cell]) < self.bar)))
+
+    def meet(nearest, batch):
+        cell, ids, u = batch.column("_cell").to_numpy(), batch.column("_id").to_numpy(zero_copy_only=False), _matrix(batch.column("_u"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            asks = nearest.of(int(cell[x]))
+            if len(asks):
+                nearest.meet(ids[x:y], u[x:y], asks)
+
+    with_bar = settled(asking.join(bars.hint("merge"), "_id", "left"), "neighbour-asks")  # a row for each query, whatever it asks
+    others = placed.select("_id", "_u", "_cell", F.lit(None).cast("double").alias("_bar"))
+    found = in_blocks(with_bar, others, with_bar.count(), n, pivots.shape[1], block, Asking, meet)
+    return best_of(at_home.drop("rank").unionByName(found), k)

@@ -63,3 +63,48 @@ def test_few_rows_and_none(spark):
     assert rows(P.pivot_neighbours(frame(spark, np.eye(3)), 5, "id", "v", cell=1)) == brute(np.eye(3), 5)
     odd = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), (None, [1.0, 1.0]), ("c", [1.0, 1.0])], "id string, v array<double>")
     assert [(r.query, r.neighbour) for r in P.pivot_neighbours(odd, 2, "id", "v").orderBy("query").collect()] == [("a", "c"), ("c", "a")]
+
+
+def test_blocks_copy_vectors_by_blocks_and_not_by_cells(spark, monkeypatch):
+    """What is shuffled beyond a vector's own cell: before, a row for each query and cell that it asks."""
+    from crucible.operators import similarity as T
+
+    m = np.random.default_rng(3).normal(size=(400, 8))
+    copies = []
+    real = T.in_blocks
+
+    def spied(asking, asked, n_ask, n, dim, block, of_queries, meet):
+        copies.append((asking.count(), asked.count(), -(-n_ask // block)))
+        return real(asking, asked, n_ask, n, dim, block, of_queries, meet)
+
+    monkeypatch.setattr(P, "in_blocks", spied)
+    assert rows(P.pivot_neighbours(frame(spark, m), 5, "id", "v", cell=10, block=200)) == brute(m, 5)
+    assert copies == [(400, 400, 2)]
+
+
+def test_copies_and_batches_keep_ties_by_identifier(spark):
+    """A block meets its candidates in several batches; of equal vectors the smaller identifiers stay."""
+    m = np.repeat(np.random.default_rng(5).normal(size=(6, 4)), 30, axis=0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got, few = rows(exact_neighbours(frame(spark, m), 4, "id", "v", block=50)), rows(P.pivot_neighbours(frame(spark, m), 4, "id", "v", cell=20, block=50))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(m, 4) == few
+
+
+def test_far_cells_are_out_of_reach():
+    m = clustered(np.random.default_rng(1), 1200)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    pivots = u[:30]
+    angle = P._angles(u, pivots)
+    cell = angle.argmin(axis=1)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    bar = np.sort(np.where(cell[:, None] == cell[None], s, -2), axis=1)[:, -5]
+    asked = 0
+    for c in range(30):
+        r = P.reach(angle[:, c], angle[cell == c, c].min(), angle[cell == c, c].max())
+        assert (r >= s[:, cell == c].max(axis=1)).all()  # a bound of what a member gives
+        asked += int((r >= bar)[cell != c].sum())
+    assert asked < 0.5 * len(u) * 29
