@@ -316,9 +316,33 @@ def collate_rows(rows: pa.RecordBatch, participants: str = "participants", label
     )
 
 
+def distinct_records(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the records whose inputs are new, for each record the place of its input among these); labels are part of an input."""
+    whole = np.stack([b.molecule, b.coefficient.view(np.int64), b.side, b.cofactor], axis=1)
+    ends, direction, place, first, of = b.begin.tolist(), b.direction.tolist(), {}, [], np.empty(len(b), dtype=np.int64)
+    for i, labels in enumerate(b.labels):
+        key = (whole[ends[i] : ends[i + 1]].tobytes(), direction[i], tuple(labels or ()))
+        of[i] = place.setdefault(key, len(place))
+        if of[i] == len(first):
+            first.append(i)
+    return np.array(first, dtype=np.int64), of
+
+
+def chosen(b: Batch, records: np.ndarray) -> Batch:
+    """Some records of a batch; molecules keep their numbers."""
+    sizes = b.begin[records + 1] - b.begin[records]
+    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    rows = np.arange(begin[-1]) + np.repeat(b.begin[records] - begin[:-1], sizes)
+    return replace(
+        b, molecule=b.molecule[rows], coefficient=b.coefficient[rows], side=b.side[rows], cofactor=b.cofactor[rows], record=np.repeat(np.arange(len(records)), sizes),
+        begin=begin, direction=b.direction[records], labels=[b.labels[i] for i in records],
+    )
+
+
 def encode_variants(records: DataFrame, config: Config, weights: dict[str, np.ndarray], variants: dict[str, dict], carry: tuple[str, ...] = ("record_id",), size: int = 128) -> DataFrame:
     """The columns `carry` of each record (participants, direction) and a vector for each variant, all made of it in one task, so nothing is joined.
 
+    Equal inputs of an Arrow batch are encoded once, in batches of `size`.
     A variant names what it reads: `participants` and `labels`, other columns in
     their place (none: the column participants, and no labels), and the masks of encode().
     """
@@ -328,14 +352,19 @@ def encode_variants(records: DataFrame, config: Config, weights: dict[str, np.nd
         model = Encoder(*shared.value)
         molecules = Molecules(model)
         for big in batches:
-            for at in range(0, big.num_rows, size):
-                part, read, out = big.slice(at, size), {}, []
-                for v in variants.values():
-                    columns = (v.get("participants", "participants"), v.get("labels"))
-                    batch = read[columns] = read.get(columns) or collate_rows(part, *columns)
-                    e, _ = model.encode(molecules(batch.names), batch, **v.get("masks", {}))
-                    out.append(pa.array(list(e.v.astype(np.float32)), pa.list_(pa.float32())))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *out], names=[*carry, *variants])
+            if not big.num_rows:
+                continue
+            read, out = {}, []
+            for v in variants.values():
+                columns = (v.get("participants", "participants"), v.get("labels"))
+                if columns not in read:
+                    batch = collate_rows(big, *columns)
+                    read[columns] = (batch, *distinct_records(batch))
+                batch, first, of = read[columns]
+                vectors = molecules(batch.names) if batch.names else T(np.zeros((0, model.c.dim)))
+                e = np.concatenate([model.encode(vectors, chosen(batch, first[at : at + size]), **v.get("masks", {}))[0].v.astype(np.float32) for at in range(0, len(first), size)])
+                out.append(pa.FixedSizeListArray.from_arrays(pa.array(e[of].reshape(-1)), e.shape[1]).cast(pa.list_(pa.float32())))
+            yield pa.RecordBatch.from_arrays([*(big.column(c) for c in carry), *out], names=[*carry, *variants])
 
     need = dict.fromkeys([*carry, "direction", *(v.get("participants", "participants") for v in variants.values()), *(v["labels"] for v in variants.values() if v.get("labels"))])
     kinds = [f"`{c}` {records.schema[c].dataType.simpleString()}" for c in carry]

@@ -272,3 +272,20 @@ def test_audit_and_diagnosis_count_equal_inputs(spark, monkeypatch):
     one, all_of = A.diagnose(vectors(inputs), inputs, shared, "n_records")[2], A.diagnose(vectors(rows), rows, shared)[2]
     assert one.first() == all_of.first() and one.first().rows_in_groups == 21
     assert Q.exact_quantiles(spark.createDataFrame([(1.0, 3), (5.0, 1)], "d double, n long"), "d", (0.5, 1.0), "n") == {0.5: 1.0, 1.0: 5.0}
+
+
+def test_equal_inputs_of_a_batch_have_equal_vectors(spark):
+    config = Config(dim=16, steps=2, readout="attention_sum", dropout=0.0, cofactors=2)
+    rows = repeated(spark, 100).coalesce(1)
+    got = encode_records(rows, config, new_weights(config)).collect()
+    assert len(got) == 300 and len({tuple(r.embedding) for r in got}) == 3
+    # Each input is encoded once; before, all 300 were.
+    from crucible.operators.encoder import chosen, collate, distinct_records, example_of
+
+    examples = [example_of(r) for r in rows.collect()]
+    batch = collate(examples, graphs=False)
+    first, of = distinct_records(batch)
+    assert first.tolist() == [0, 1, 2] and of.tolist() == [0, 1, 2] * 100
+    some, want = chosen(batch, np.array([1, 5, 3])), collate([examples[i] for i in (1, 5, 3)], graphs=False)
+    assert [batch.names[i] for i in some.molecule] == [want.names[i] for i in want.molecule] and np.array_equal(some.coefficient, want.coefficient)
+    assert np.array_equal(some.record, want.record) and np.array_equal(some.begin, want.begin) and np.array_equal(some.direction, want.direction)
