@@ -22,19 +22,23 @@ def variant_ids(prefix: str) -> Column:
     return F.struct(*(prefixed(prefix, v).alias(v) for v in VARIANTS))
 
 
-def provenance(release: str) -> Column:
+def provenance(release: str, record_id: Column) -> Column:
     """Where a source record comes from."""
-    fields = {"source": F.lit("Rhea"), "source_release": F.lit(release), "source_reaction_id": F.col("record_id"), "rxn_direction_used": F.lit("left_to_right"), "match_confidence": F.lit("exact")}
+    fields = {"source": F.lit("Rhea"), "source_release": F.lit(release), "source_reaction_id": record_id, "rxn_direction_used": F.lit("left_to_right"), "match_confidence": F.lit("exact")}
     return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
 def group_facts(resolved: DataFrame, release: str, prefix: str, number: Column | None = None) -> DataFrame:
-    """(canonical_id, source_id_list, provenance) of each kept record: all identifiers of its group, sorted, and the members' provenance in order of number."""
+    """(canonical_id, source_id_list, provenance) of each kept record: all identifiers of its group, sorted, and the members' provenance in order of number.
+
+    Only numbers are shuffled; texts are made of a group's members where they have met.
+    """
     number = numeric_suffix("record_id") if number is None else number
-    rows = resolved.select("canonical_id", F.array(*(prefixed(prefix, v) for v in VARIANTS)).alias("ids"), F.struct(number.alias("n"), provenance(release).alias("p")).alias("p"))
-    return rows.groupBy("canonical_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("source_id_list"),
-        F.transform(F.array_sort(F.collect_list("p")), lambda x: x["p"]).alias("provenance"),
+    rows = resolved.select("canonical_id", F.struct(number.alias("n"), "record_id", *VARIANTS).alias("x"))
+    groups = rows.groupBy("canonical_id").agg(F.array_sort(F.collect_list("x")).alias("members"))
+    return groups.select(
+        "canonical_id", F.array_sort(F.array_distinct(F.flatten(F.transform("members", lambda x: F.array(*(prefixed(prefix, x[v]) for v in VARIANTS)))))).alias("source_id_list"),
+        F.transform("members", lambda x: provenance(release, x["record_id"])).alias("provenance"),
     )
 
 

@@ -45,9 +45,14 @@ def members(spark, d) -> DataFrame:
     )
 
 
+def by_record(spark, d) -> DataFrame:
+    """members, all of a record in one partition: its participants, the record and joins on it then need no other shuffle."""
+    return members(spark, d).repartition("record_id")
+
+
 def coefficients(spark, d) -> DataFrame:
     """(record_id, participants) with one participant for each compound and side."""
-    m = members(spark, d)
+    m = by_record(spark, d)
     sign = F.when(F.col("side") == "reactant", -1.0).otherwise(1.0)
     parts = m.groupBy("record_id", "side", "compound_id").agg((F.count(F.lit(1)) * F.first(sign)).alias("coefficient"))
     return parts.withColumn("compartment", F.lit(None).cast("string")).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("compound_id", "coefficient", "compartment"))).alias("participants"))
@@ -60,8 +65,8 @@ def keyed(spark, d) -> DataFrame:
 def resolved(spark, d) -> DataFrame:
     refs = F.create_map(F.lit("cust"), F.array((F.col("o_custkey") % 3).cast("string")))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_orderpriority")).alias("labels"), refs.alias("xrefs"))
-    # Keys are made once: the rule reads them for the groups and for the records.
-    return R.resolve_duplicates(settled(keyed(spark, d).join(orders, "record_id"), "keyed"), number=F.col("record_id"))
+    # Keys are made once: the rule reads them for the groups and for the records; what they are made of stays behind.
+    return R.resolve_duplicates(settled(keyed(spark, d).drop("participants").join(orders, "record_id"), "keyed"), number=F.col("record_id"))
 
 
 def vectors(spark, d) -> DataFrame:
@@ -181,8 +186,8 @@ def published(spark, d) -> DataFrame:
     key = F.col("record_id")
     numbers = [(key * 10 + i).alias(n) for i, n in enumerate(formats.VARIANTS)]
     all_of = settled(resolved(spark, d).withColumn("labels", F.when(key % 3 != 0, F.col("labels"))).select("*", *numbers), "resolved")
-    kept = R.merged(all_of, number=key).join(formats.group_facts(all_of, "1", "ORD", number=key), "canonical_id").drop("participants")
-    parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.when(F.col("compound_id") == "Brand#3", F.col("compound_id")))
+    kept = R.merged(all_of, number=key).join(formats.group_facts(all_of, "1", "ORD", number=key), "canonical_id")
+    parts = R.participants(by_record(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.when(F.col("compound_id") == "Brand#3", F.col("compound_id")))
     nested = R.nested(parts, ["side_order", "compound_id", "canonical", "coefficient", "side", "compartment", "status", "original", "cofactor"])
     more = {
         "reaction_smiles": R.text_of(F.col("participants")), "source_reaction_smiles": F.lit(None).cast("string"), "supported_directions": supported_of(key), "direction_evidence_summary_json": F.lit(None).cast("string"),
@@ -526,7 +531,7 @@ def supported_of(key):
 
 def corpus(spark, d) -> DataFrame:
     """Orders as records that the encoder takes."""
-    parts = R.participants(members(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.lit(None).cast("string"))
+    parts = R.participants(by_record(spark, d).withColumn("canonical", C.recode("canonical", STRUCTURES))).withColumn("cofactor", F.lit(None).cast("string"))
     nested = R.nested(parts, ["side_order", "compound_id", "canonical", "coefficient", "side", "cofactor", "status"])
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_orderpriority").alias("labels"))
     return nested.join(orders, "record_id").withColumn("supported_directions", supported_of(F.col("record_id")))

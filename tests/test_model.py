@@ -289,3 +289,22 @@ def test_equal_inputs_of_a_batch_have_equal_vectors(spark):
     some, want = chosen(batch, np.array([1, 5, 3])), collate([examples[i] for i in (1, 5, 3)], graphs=False)
     assert [batch.names[i] for i in some.molecule] == [want.names[i] for i in want.molecule] and np.array_equal(some.coefficient, want.coefficient)
     assert np.array_equal(some.record, want.record) and np.array_equal(some.begin, want.begin) and np.array_equal(some.direction, want.direction)
+
+
+def test_group_facts_shuffle_numbers_and_make_texts_after(spark):
+    rows = spark.createDataFrame([("R:20", "R:3", 20, 21, 22, 23), ("R:3", "R:3", 3, 4, 5, 6), ("R:7", "R:7", 7, 7, 8, 9)], "record_id string, canonical_id string, master long, left_to_right long, right_to_left long, reversible long")
+    facts = formats.group_facts(rows, "141", "R")
+    got = {r.canonical_id: r for r in facts.collect()}
+    assert got["R:3"].source_id_list == sorted(f"R:{n}" for n in (3, 4, 5, 6, 20, 21, 22, 23)) and got["R:7"].source_id_list == ["R:7", "R:8", "R:9"]
+    assert [p.source_reaction_id for p in got["R:3"].provenance] == ["R:3", "R:20"] and {p.source_release for p in got["R:3"].provenance} == {"141"}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :]
+    assert "concat" not in below and "141" not in below  # before, four texts and a constant struct for each member
+
+
+def test_participants_and_records_share_a_shuffle(spark):
+    """One shuffle of lines by record; before, one by participant and one by record."""
+    from crucible import queries
+
+    plan = queries.coefficients(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
