@@ -2,8 +2,9 @@
 
 A SimHash within 3 bits is no test of a similarity of 0.8: at that similarity
 two fingerprints differ in some 10 of 64 bits. So fingerprints propose and shingles
-decide. Groups that SimHash links over anchor points are one source of candidate
-pairs; an exact prefix join is the other, and loses no pair:
+decide. SimHash over anchor points comes first: what it links and whole sets confirm
+is one group, and what they refute is not asked again. An exact prefix join takes the
+pairs that are still apart then, and loses none:
 
 * Shingles are ordered by the number of texts that have them, the rare first.
   Two sets of similarity s share one of their first n - ceil(s n) + 1 shingles.
@@ -13,10 +14,11 @@ pairs; an exact prefix join is the other, and loses no pair:
   bitmaps differ in too many is no link, without its sets being read.
 * All other pairs are compared by their whole sets, unless links already join them.
 
-Most links show up between neighbours in a random order, so pairs come in three
-turns: the next row at each key, the next REACH rows, and at last all pairs whose
-groups are still apart. In the last turn only rows outside a key's largest group
-ask, and a key's rows are dealt to parts that each hear every question.
+Most links that SimHash leaves show up between neighbours in a random order, so
+the join takes three turns: the next row at each key, the next REACH rows, and at
+last all pairs whose groups are still apart. In the last turn only rows outside a
+key's largest group ask, and a key's rows are dealt to parts that each hear every
+question. A turn that has nothing to ask is left out.
 """
 
 from __future__ import annotations
@@ -295,11 +297,16 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
     with arrow_rows(spark, 2 * PACK):
         first = stage(first.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "copies-prefixes")
 
-    # Groups that SimHash links are keys like shingles, with numbers below 0; a text that shares no shingle of its prefix has no part in them.
-    able = stage(first.groupBy("row").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(nodes.select(F.col("node").alias("row"), "fp"), "row"), "copies-able")
-    linked = connected_components(link_fingerprints(able.select("fp").distinct()))
-    group = F.lit(-1) - F.shiftrightunsigned(F.coalesce("label", "fp"), 1)
-    grouped = able.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(group.alias("key"), "row", "n", F.lit(0).cast("long").alias("pos"), "bits")
+    # A text that shares no shingle of its prefix is no copy, whatever its fingerprint.
+    able = stage(nodes.select(F.col("node").alias("row"), "fp").join(first.select("row").distinct(), "row"), "copies-able")
+    heads = stage(able.groupBy("fp").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")), "copies-heads")
+
+    def by_simhash():
+        """The first rows of fingerprints that SimHash links, and the rows of a fingerprint with its first one."""
+        equal = spread_join(able, heads, ["fp"], "n", F.col("row")).filter("row <> head").select(F.col("head").alias("src"), F.col("row").alias("dst"))
+        of = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_row"))
+        near = link_fingerprints(heads).join(of("src"), "src").join(of("dst"), "dst")
+        return equal.unionByName(near.select(F.least("src_row", "dst_row").alias("src"), F.greatest("src_row", "dst_row").alias("dst")))
 
     def shingles(batches):
         for batch in batches:
@@ -315,9 +322,9 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def apart(turn, labels):
-        """The rows of keys whose rows have several labels, with these, a label of the key (in the last turn the most frequent one) and the row's part of the key."""
+        """The rows of keys whose rows have several labels, with these, a label of the key (in the last turn the most frequent one) and the row's part of the key; None if there are no such keys."""
         if labels is None:
-            some = first.unionByName(grouped).withColumn("label", F.col("row"))
+            some = first.withColumn("label", F.col("row"))
         else:
             some = first.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         if turn < 2:
@@ -327,10 +334,14 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
             keys = by_label.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label"))["label"].alias("main"))
             keys = keys.filter((F.col("labels") > 1) & (F.col("m") > reach + 1))  # all pairs of smaller keys have met
         keys = stage(keys.select("key", "m", "main", F.ceil(F.col("m") / part).alias("parts")), "copies-keys")
+        if keys.isEmpty():
+            return None
         return spread_join(some, keys, ["key"], "m", F.col("row")).withColumn("part", F.pmod(F.xxhash64("row", F.lit(5)), F.col("parts")))
 
-    def proposed(turn, labels):
+    def joined(turn, labels):
         rows_of = apart(turn, labels)
+        if rows_of is None:
+            return None
         if turn < 2:
             ordered = rows_of.select("key", "part", "row", "n", "pos", "label", "bits", F.xxhash64("row").alias("o")).repartition("key", "part").sortWithinPartitions("key", "part", "o")
             return ordered.drop("o").mapInArrow(_neighbours(filter_, *((1, 1), (2, reach))[turn]), "src long, dst long")
@@ -340,10 +351,14 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
         met = rows_of.withColumn("asks", F.lit(0)).select(names).unionByName(asking.withColumn("asks", F.lit(1)).select(names))
         return met.repartition("key", "part").sortWithinPartitions("key", "part", "asks").mapInArrow(_questions(filter_), "src long, dst long")
 
-    links = done = labels = None
-    for turn in range(3):
-        pairs = proposed(turn, labels).distinct()
-        pairs = stage(pairs if done is None else pairs.join(done, ["src", "dst"], "left_anti"), "copies-pairs")
+    done = labels = None
+    for turn in ("simhash", 0, 1, 2):
+        pairs = by_simhash() if turn == "simhash" else joined(turn, labels)
+        if pairs is None:
+            continue
+        pairs = stage(pairs.distinct() if done is None else pairs.distinct().join(done, ["src", "dst"], "left_anti"), "copies-pairs")
+        if pairs.isEmpty():
+            continue
         done = pairs if done is None else done.unionByName(pairs)
         asked = pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct()
         with arrow_rows(spark, PACK):
@@ -351,7 +366,9 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", shingle:
         left, right = sets.select(F.col("row").alias("src"), F.col("s").alias("a")), sets.select(F.col("row").alias("dst"), F.col("s").alias("b"))
         with arrow_rows(spark, 128):
             found = stage(pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b").mapInArrow(check, "src long, dst long"), "copies-links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-    of_node = nodes.join(labels, "node", "left").select("d0", "d1", "n", F.coalesce("label", "node").alias("label"))
+        if not found.isEmpty():
+            # The groups so far go on as stars, so their links are not walked again.
+            labels = connected_components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("src"), F.col("label").alias("dst"))))
+    of_node = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_node = of_node.select("d0", "d1", "n", "label")
     return spread_join(rows, of_node, ["d0", "d1"], "n", F.col("row")).select("row", "label")

@@ -625,6 +625,32 @@ def test_near_copies_when_keys_are_divided(spark):
     assert got == want
 
 
+def test_simhash_leaves_the_join_less_to_ask(spark, monkeypatch):
+    """What SimHash links and whole sets confirm is not asked by the prefix join; without SimHash the join asks it, and the groups are the same."""
+    rng, rows = random.Random(8), []
+    for _ in range(30):
+        base = [f"w{rng.random()}" for _ in range(1000)]
+        for k in range(2):
+            w = list(base)
+            w[rng.randrange(1000)] = f"e{rng.random()}"
+            rows.append(" ".join(w))
+    staged, first = [], copies.stage
+    monkeypatch.setattr(copies, "stage", lambda df, name: (staged.append((name, first(df, name))), staged[-1][1])[1])
+
+    def asked_by_join():
+        staged.clear()
+        got, want = groups_of_pairs(spark, rows)
+        assert got == want and len(set(want.values())) == 30
+        asked = {(r.src, r.dst) for name, df in staged if name == "copies-pairs" for r in df.collect()}
+        proposed = {(r.src, r.dst) for r in next(df for name, df in staged if name == "copies-pairs").collect()}
+        return len(asked), len(asked - proposed)
+
+    every, left = asked_by_join()
+    assert every == 30 and 0 < left < 15
+    monkeypatch.setattr(copies, "link_fingerprints", lambda fps: fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0))
+    assert asked_by_join()[1] < every and sum(name == "copies-pairs" for name, _ in staged) >= 2
+
+
 def test_bitmaps_never_hide_a_link():
     rng = np.random.default_rng(7)
     filter_ = copies.Filter(0.8)
