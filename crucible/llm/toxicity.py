@@ -11,11 +11,10 @@ telling ones, a bounded number, make a model.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,8 +227,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     choices = [*range(FOLDS), None]
     counts = stage(counts.filter(" + ".join(f"n{f}" for f in range(FOLDS)) + " >= 2"), "toxicity-features")
-    chosen_of = [counts.select("f", telling(f, c).alias("g"), F.lit(i).alias("i")).filter(F.col("g") >= LEAST_G2).orderBy(F.desc("g"), "f").limit(MOST_FEATURES) for i, f in enumerate(choices) for c in range(k)]
-    top = reduce(DataFrame.unionByName, chosen_of).collect()  # MOST_FEATURES rows for each choice and category at most
+    # One plan for all choices: a plan with a branch for each takes the driver far more memory.
+    g_of = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), telling(f, c).alias("g")) for i, f in enumerate(choices) for c in range(k)))
+    told = counts.select("f", F.explode(g_of).alias("t")).select("f", "t.*").filter(F.col("g") >= LEAST_G2)
+    rank = F.row_number().over(Window.partitionBy("i", "c").orderBy(F.desc("g"), "f"))
+    top = told.withColumn("rank", rank).filter(F.col("rank") <= MOST_FEATURES).select("f", "i").collect()  # MOST_FEATURES rows for each choice and category at most
     index = {f: i for i, f in enumerate(sorted({r.f for r in top}))}
     allowed = [np.zeros(len(index), dtype=bool) for _ in choices]
     for r in top:

@@ -651,6 +651,19 @@ def test_simhash_leaves_the_join_less_to_ask(spark, monkeypatch):
     assert asked_by_join()[1] < every and sum(name == "copies-pairs" for name, _ in staged) >= 2
 
 
+def test_jobs_of_components_and_near_copies(spark):
+    """The driver's memory goes to plans and jobs: few edges take few of them, and turns without questions none."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long"))
+    of_path = jobs() - before
+    text = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate([*text, text[3] + " end", text[5].upper()])), "row long, text string")
+    before = jobs()
+    assert sum(r.row != r.label for r in copies.near_copies(df, "row").collect()) == 2
+    assert of_path <= 65 and jobs() - before <= 110
+
+
 def test_bitmaps_never_hide_a_link():
     rng = np.random.default_rng(7)
     filter_ = copies.Filter(0.8)
